@@ -78,9 +78,153 @@ SELECT round(overall_auc, {R}) AS overall_auc,
 FROM pms, ov"""
 
 
+def _sub_auc(col: str, extra: str = "") -> str:
+    return f"""WITH {_auc_ctes()}
+SELECT subgroup, {extra}round({col}, {R}) AS {col} FROM bias WHERE subgroup <> '__all__'"""
+
+
+def overall_auc() -> str:
+    return f"""WITH {_auc_ctes()}
+SELECT round(subgroup_auc, {R}) AS overall_auc FROM bias WHERE subgroup = '__all__'"""
+
+
+def power_mean() -> str:
+    def pm(c: str) -> str:
+        return f"round(CASE WHEN count({c}) = count(*) THEN pow(avg(pow({c}, -5.0)), -0.2) END, {R})"
+    return f"""WITH {_auc_ctes()}
+SELECT {pm('subgroup_auc')} AS power_mean_subgroup_auc, {pm('bpsn_auc')} AS power_mean_bpsn_auc,
+       {pm('bnsp_auc')} AS power_mean_bnsp_auc
+FROM bias WHERE subgroup <> '__all__'"""
+
+
+# Python str.split() separators, RE2 spelling.
+WS_RE2 = (r"\t\n\x{0b}\x{0c}\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+
+
+SMILEY_RE2 = r":\)|:-\)|;-\)|;\)"
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _cleaned_cte() -> str:
+    from .config import SPACE_CHARS
+    return (f"t AS (SELECT id, translate(coalesce(comment_text, 'nan'), {_sql_str(SPACE_CHARS)}, "
+            f"{_sql_str(' ' * len(SPACE_CHARS))}) AS t FROM c)")
+
+
+def text_coerce() -> str:
+    return f"WITH {comments_cte()} SELECT id, coalesce(comment_text, 'nan') AS comment_text FROM c"
+
+
+def clean_spaces() -> str:
+    return f"WITH {comments_cte()}, {_cleaned_cte()} SELECT id, t AS comment_text FROM t"
+
+
+def _features_cte() -> str:
+    def cnt(pattern: str) -> str:
+        return f"length(regexp_replace(t, '[^{pattern}]', '', 'g'))"
+
+    return f"""{comments_cte()}, {_cleaned_cte()},
+w AS (SELECT id, t, regexp_extract_all(t, '[^{WS_RE2}]+') AS ws FROM t),
+f AS (SELECT id,
+  CAST(length(t) AS INTEGER) AS total_length,
+  CAST({cnt(r'\p{Lu}')} AS INTEGER) AS capitals,
+  CASE WHEN length(t) = 0 THEN 0.0 ELSE {cnt(r'\p{Lu}')} / length(t) END AS caps_vs_length,
+  CAST({cnt('!')} AS INTEGER) AS num_exclamation_marks,
+  CAST({cnt('?')} AS INTEGER) AS num_question_marks,
+  CAST({cnt('.,;:')} AS INTEGER) AS num_punctuation,
+  CAST(len(ws) AS INTEGER) AS num_words,
+  CAST(len(list_distinct(ws)) AS INTEGER) AS num_unique_words,
+  CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_distinct(ws)) / len(ws) END AS words_vs_unique,
+  CAST(len(regexp_extract_all(t, '{SMILEY_RE2}')) AS INTEGER) AS num_smilies,
+  CAST({cnt('*&$%')} AS INTEGER) AS num_symbols
+FROM w)"""
+
+
+def meta_features() -> str:
+    cols = ", ".join(f"round({c}, {R}) AS {c}" if c in ("caps_vs_length", "words_vs_unique") else c
+                     for c in FEATURE_COLUMNS)
+    return f"WITH {_features_cte()} SELECT id, {cols} FROM f"
+
+
+def _stats_cte() -> str:
+    return f"""st AS (SELECT feature, avg(v) AS mean, stddev_pop(v) AS std_pop
+  FROM (UNPIVOT (SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURE_COLUMNS)} FROM f)
+        ON {", ".join(FEATURE_COLUMNS)} INTO NAME feature VALUE v)
+  GROUP BY feature)"""
+
+
+def scale_fit() -> str:
+    return (f"WITH {_features_cte()}, {_stats_cte()} "
+            f"SELECT feature, round(mean, {R}) AS mean, round(std_pop, {R}) AS std_pop FROM st")
+
+
+def scale_apply() -> str:
+    cols = ", ".join(
+        f"round(max(CASE WHEN feature = '{c}' THEN (v - mean) / CASE WHEN std_pop = 0 THEN 1 ELSE std_pop END END), {R}) AS {c}"
+        for c in FEATURE_COLUMNS)
+    return f"""WITH {_features_cte()}, {_stats_cte()},
+long AS (UNPIVOT (SELECT id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURE_COLUMNS)} FROM f)
+         ON {", ".join(FEATURE_COLUMNS)} INTO NAME feature VALUE v)
+SELECT id, {cols} FROM long JOIN st USING (feature) GROUP BY id"""
+
+
+def binarize() -> str:
+    cols = ", ".join(f"{_bool(c)} AS {c}" for c in ("target",) + IDENTITY_COLUMNS)
+    return f"WITH {comments_cte()} SELECT id, {cols} FROM c"
+
+
+def _nz(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL OR isnan({c}) THEN 0.0 ELSE {c} END"
+
+
+def _targets_cte() -> str:
+    ids = ", ".join(_nz(g) for g in IDENTITY_COLUMNS)
+    return f"""{comments_cte()},
+tt AS (SELECT id, target, {", ".join(AUX_COLUMNS[1:])},
+   len(list_filter([{ids}], lambda x: x >= 0.5)) AS n_ge,
+   len(list_filter([{ids}], lambda x: x < 0.5)) AS n_lt,
+   (target IS NOT NULL AND NOT isnan(target) AND target >= 0.5) AS tox,
+   (target IS NOT NULL AND NOT isnan(target) AND target < 0.5) AS nontox
+ FROM c),
+tw AS (SELECT *, CASE WHEN tox THEN 1 ELSE 0 END AS y,
+   CAST(0.25 AS DOUBLE) * (1 + (n_ge > 0)::INT + (tox AND n_lt > 0)::INT + (nontox AND n_ge > 0)::INT) AS weight
+ FROM tt)"""
+
+
+def targets() -> str:
+    aux = ", ".join(f"round({c}, {R}) AS aux_{c}" for c in AUX_COLUMNS)
+    return f"WITH {_targets_cte()} SELECT id, y, round(weight, {R}) AS weight, {aux} FROM tw"
+
+
+def sample_weights() -> str:
+    return f"WITH {_targets_cte()} SELECT weight, count(*) AS n_rows FROM tw GROUP BY weight"
+
+
+def loss_weight() -> str:
+    return f"WITH {_targets_cte()} SELECT round(1.0 / avg(weight), {R}) AS loss_weight FROM tw"
+
+
 ORACLES = {
     "bias_metrics": bias_metrics,
     "final_metric": final_metric,
+    "overall_auc": overall_auc,
+    "subgroup_auc": lambda: _sub_auc("subgroup_auc", "CAST(subgroup_size AS BIGINT) AS subgroup_size, "),
+    "bpsn_auc": lambda: _sub_auc("bpsn_auc"),
+    "bnsp_auc": lambda: _sub_auc("bnsp_auc"),
+    "power_mean": power_mean,
+    "text_coerce": text_coerce,
+    "clean_spaces": clean_spaces,
+    "meta_features": meta_features,
+    "scale_fit": scale_fit,
+    "scale_apply": scale_apply,
+    "binarize": binarize,
+    "targets": targets,
+    "sample_weights": sample_weights,
+    "loss_weight": loss_weight,
 }
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT
+from ..functions import text as tx
 from ..operators import auc as auc_ops
+from ..operators import features as feat
 from ..sources.tables import comments
 
 R = 9
@@ -51,3 +53,89 @@ def bias_metrics(spark: SparkSession, root: str) -> DataFrame:
 def final_metric(spark: SparkSession, root: str) -> DataFrame:
     bias = auc_ops.bias_metrics(comments(spark, root), DEFAULT)
     return rounded(auc_ops.final_metric(bias, DEFAULT))
+
+
+def _bias(spark: SparkSession, root: str) -> DataFrame:
+    return auc_ops.bias_metrics(comments(spark, root), DEFAULT)
+
+
+@register
+def overall_auc(spark: SparkSession, root: str) -> DataFrame:
+    c = comments(spark, root)
+    return rounded(auc_ops.auc(c, DEFAULT.toxicity_column, DEFAULT.score_column)
+                   .select(F.col("auc").alias("overall_auc")))
+
+
+@register
+def subgroup_auc(spark: SparkSession, root: str) -> DataFrame:
+    return rounded(_bias(spark, root).where(F.col("subgroup") != "__all__")
+                   .select("subgroup", "subgroup_size", "subgroup_auc"))
+
+
+@register
+def bpsn_auc(spark: SparkSession, root: str) -> DataFrame:
+    return rounded(_bias(spark, root).where(F.col("subgroup") != "__all__").select("subgroup", "bpsn_auc"))
+
+
+@register
+def bnsp_auc(spark: SparkSession, root: str) -> DataFrame:
+    return rounded(_bias(spark, root).where(F.col("subgroup") != "__all__").select("subgroup", "bnsp_auc"))
+
+
+@register
+def power_mean(spark: SparkSession, root: str) -> DataFrame:
+    fm = auc_ops.final_metric(_bias(spark, root), DEFAULT)
+    return rounded(fm.select("power_mean_subgroup_auc", "power_mean_bpsn_auc", "power_mean_bnsp_auc"))
+
+
+# --- text, features, scaling ----------------------------------------------
+
+@register
+def text_coerce(spark: SparkSession, root: str) -> DataFrame:
+    c = comments(spark, root)
+    return c.select("id", tx.coerce_text("comment_text").alias("comment_text"))
+
+
+@register
+def clean_spaces(spark: SparkSession, root: str) -> DataFrame:
+    c = comments(spark, root)
+    return c.select("id", tx.clean_spaces(tx.coerce_text("comment_text")).alias("comment_text"))
+
+
+@register
+def meta_features(spark: SparkSession, root: str) -> DataFrame:
+    return rounded(feat.meta_features(comments(spark, root)))
+
+
+@register
+def scale_fit(spark: SparkSession, root: str) -> DataFrame:
+    return rounded(feat.scale_fit(feat.meta_features(comments(spark, root))))
+
+
+@register
+def scale_apply(spark: SparkSession, root: str) -> DataFrame:
+    mf = feat.meta_features(comments(spark, root))
+    return rounded(feat.scale_apply(mf, feat.scale_fit(mf), dtype="double"))
+
+
+# --- targets and weights ---------------------------------------------------
+
+@register
+def binarize(spark: SparkSession, root: str) -> DataFrame:
+    return feat.binarized(comments(spark, root))
+
+
+@register
+def targets(spark: SparkSession, root: str) -> DataFrame:
+    return rounded(feat.targets(comments(spark, root)))
+
+
+@register
+def sample_weights(spark: SparkSession, root: str) -> DataFrame:
+    t = feat.targets(comments(spark, root))
+    return t.groupBy("weight").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register
+def loss_weight(spark: SparkSession, root: str) -> DataFrame:
+    return rounded(feat.loss_weight(feat.targets(comments(spark, root))))

@@ -45,6 +45,17 @@ def _norm(v):
     return v
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT",
+          "string": "VARCHAR", "boolean": "BOOLEAN", "smallint": "SMALLINT", "date": "DATE",
+          "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP"}
+
+
+def _same_type(spark_t: str, duck_t: str) -> bool:
+    if spark_t.startswith("array<"):
+        return duck_t.endswith("[]") and _same_type(spark_t[6:-1], duck_t[:-2])
+    return _TYPES.get(spark_t, spark_t.upper()) == duck_t or (spark_t == "timestamp" and duck_t == "TIMESTAMP")
+
+
 def rows_of(cols, records):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted((tuple(_norm(r[i]) for i in order) for r in records), key=repr)
@@ -71,6 +82,12 @@ def compare(spark, sf_dir: str, keys=None, verbose=True):
             d_cols = rel.columns
             d_rows = rel.fetchall()
             ok_cols = sorted(s_cols) == sorted(d_cols)
+            s_types = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+            d_types = dict(zip(d_cols, [str(t) for t in rel.types]))
+            type_diff = {c: (s_types[c], d_types.get(c)) for c in s_cols
+                         if c in d_types and not _same_type(s_types[c], d_types[c])}
+            if type_diff and verbose:
+                print(f"   type mismatch {k}: {type_diff}")
             ok_n = len(s_rows) == len(d_rows)
             a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
             ok_v = ok_cols and a == b
