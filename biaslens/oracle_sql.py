@@ -208,6 +208,79 @@ def loss_weight() -> str:
     return f"WITH {_targets_cte()} SELECT round(1.0 / avg(weight), {R}) AS loss_weight FROM tw"
 
 
+# Tokens: word runs or single non-blank characters (RE2 spelling).
+_WS_CHARS = (r"\t\n\x{0b}\x{0c}\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+TOKEN_RE2 = rf"[\pL\pM\pN_]+|[^\pL\pM\pN_{_WS_CHARS}]"
+VOCAB_SIZE = 5000
+MAX_LEN = 220
+
+
+def _tok_ctes() -> str:
+    return f"""{comments_cte()},
+tk AS (SELECT id, regexp_extract_all(lower(coalesce(comment_text, 'nan')), '{TOKEN_RE2}') AS toks FROM c),
+cnt AS (SELECT tok, count(*) AS n FROM (SELECT unnest(toks) AS tok FROM tk) GROUP BY tok),
+voc AS (SELECT tok, CAST(3 + row_number() OVER (ORDER BY n DESC, tok) AS INTEGER) AS tid, n
+        FROM cnt ORDER BY n DESC, tok LIMIT {VOCAB_SIZE})"""
+
+
+def tokens() -> str:
+    return f"WITH {_tok_ctes()} SELECT id, toks AS tokens FROM tk"
+
+
+def vocab() -> str:
+    return f"WITH {_tok_ctes()} SELECT tok AS token, tid AS token_id, n FROM voc"
+
+
+def _encoded(kept_expr: str) -> str:
+    """ids of the kept tokens in position order, by an unnest + join + list."""
+    return f"""{_tok_ctes()},
+kept AS (SELECT id, {kept_expr} AS kt FROM tk),
+ex AS (SELECT id, unnest(kt) AS tok, unnest(range(1, len(kt) + 1)) AS pos FROM kept),
+ids AS (SELECT id, list(coalesce(v.tid, 1) ORDER BY pos) AS ids FROM ex LEFT JOIN voc v USING (tok) GROUP BY id),
+enc AS (SELECT kept.id, coalesce(ids.ids, []::INTEGER[]) AS ids FROM kept LEFT JOIN ids USING (id))"""
+
+
+def _zeros(n: str, v: int = 0) -> str:
+    return f"list_transform(range(greatest({n}, 0)), lambda x: CAST({v} AS INTEGER))"
+
+
+def encode_head() -> str:
+    m = MAX_LEN - 2
+    return f"""WITH {_encoded(f'toks[1:{m}]')}
+SELECT id, [2] || ids || [3] || {_zeros(f'{m} - len(ids)')} AS token_ids FROM enc"""
+
+
+def encode_head_tail() -> str:
+    m = MAX_LEN - 2
+    h = m // 3
+    kept = f"CASE WHEN len(toks) > {m} THEN toks[1:{h}] || toks[len(toks) - {m - h} + 1:] ELSE toks END"
+    return f"""WITH {_encoded(kept)}
+SELECT id, [2] || ids || [3] || {_zeros(f'{m} - len(ids)')} AS token_ids,
+       {_zeros('len(ids)', 0)} || {_zeros(f'{m} - len(ids)', 1)} AS pad_mask FROM enc"""
+
+
+def encode_plain() -> str:
+    m = MAX_LEN - 2
+    return f"""WITH {_encoded(f'toks[1:{m}]')}
+SELECT id, ids || {_zeros(f'{m} - len(ids)')} AS token_ids FROM enc"""
+
+
+def attention_mask() -> str:
+    m = MAX_LEN - 2
+    return f"""WITH {_encoded(f'toks[1:{m}]')},
+seq AS (SELECT id, [2] || ids || [3] || {_zeros(f'{m} - len(ids)')} AS s FROM enc)
+SELECT id, list_transform(s, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS attention_mask,
+       CAST(len(list_filter(s, lambda x: x = 0)) AS INTEGER) AS n_zeros FROM seq"""
+
+
+def truncation_stats() -> str:
+    m = MAX_LEN - 2
+    return f"""WITH {_tok_ctes()}
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE len(toks) > {m}) AS n_truncated,
+       CAST(sum(greatest(len(toks) - {m}, 0)) AS BIGINT) AS n_tokens_dropped FROM tk"""
+
+
 ORACLES = {
     "bias_metrics": bias_metrics,
     "final_metric": final_metric,
@@ -225,6 +298,13 @@ ORACLES = {
     "targets": targets,
     "sample_weights": sample_weights,
     "loss_weight": loss_weight,
+    "tokens": tokens,
+    "vocab": vocab,
+    "encode_head": encode_head,
+    "encode_head_tail": encode_head_tail,
+    "encode_plain": encode_plain,
+    "attention_mask": attention_mask,
+    "truncation_stats": truncation_stats,
 }
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..config import DEFAULT
 from ..functions import text as tx
 from ..operators import auc as auc_ops
+from ..operators import encode as enc
 from ..operators import features as feat
 from ..sources.tables import comments
 
@@ -139,3 +140,52 @@ def sample_weights(spark: SparkSession, root: str) -> DataFrame:
 @register
 def loss_weight(spark: SparkSession, root: str) -> DataFrame:
     return rounded(feat.loss_weight(feat.targets(comments(spark, root))))
+
+
+# --- sequence encoding ------------------------------------------------------
+
+VOCAB_SIZE = 5000
+
+
+def _vocab(spark: SparkSession, root: str) -> DataFrame:
+    c = comments(spark, root)
+    return enc.build_vocab(c.select(enc.tokenize("comment_text").alias("tokens")), size=VOCAB_SIZE)
+
+
+@register
+def tokens(spark: SparkSession, root: str) -> DataFrame:
+    return comments(spark, root).select("id", enc.tokenize("comment_text").alias("tokens"))
+
+
+@register
+def vocab(spark: SparkSession, root: str) -> DataFrame:
+    return _vocab(spark, root)
+
+
+@register
+def encode_head(spark: SparkSession, root: str) -> DataFrame:
+    return enc.encode(comments(spark, root), _vocab(spark, root), max_len=DEFAULT.max_sequence_length)
+
+
+@register
+def encode_head_tail(spark: SparkSession, root: str) -> DataFrame:
+    return enc.encode(comments(spark, root), _vocab(spark, root), max_len=DEFAULT.max_sequence_length,
+                      mode="head_tail")
+
+
+@register
+def encode_plain(spark: SparkSession, root: str) -> DataFrame:
+    return enc.encode(comments(spark, root), _vocab(spark, root), max_len=DEFAULT.max_sequence_length,
+                      mode="plain")
+
+
+@register
+def attention_mask(spark: SparkSession, root: str) -> DataFrame:
+    e = enc.encode(comments(spark, root), _vocab(spark, root), max_len=DEFAULT.max_sequence_length)
+    return e.select("id", enc.attention_mask("token_ids").alias("attention_mask"),
+                    enc.zero_count("token_ids").alias("n_zeros"))
+
+
+@register
+def truncation_stats(spark: SparkSession, root: str) -> DataFrame:
+    return enc.truncation_stats(comments(spark, root), max_len=DEFAULT.max_sequence_length)
