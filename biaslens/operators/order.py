@@ -153,3 +153,74 @@ def fixed_batches(df: DataFrame, id_col: str, batch_size: int, seed: int | None
     pos = global_positions(df, id_col, seed)
     return (pos.withColumn("batch", F.floor((F.col("position") - 1) / batch_size).cast("long"))
                .drop("position_count"))
+
+
+def assign_folds(df: DataFrame, id_col: str, n_folds: int = 5, seed: int = 2106) -> DataFrame:
+    """(id, fold): fold = (position - 1) mod k in a seeded permutation, so the
+    folds differ in size by at most one row."""
+    pos = global_positions(df.select(id_col), id_col, seed)
+    return pos.select(id_col, F.pmod(F.col("position") - 1, F.lit(n_folds)).cast("int").alias("fold"))
+
+
+def fold_rows(df: DataFrame, folds: DataFrame, fold: int, id_col: str = "id"):
+    """(train, valid) rows of one fold: semi / anti join on the fold table."""
+    valid_ids = folds.where(F.col("fold") == fold).select(id_col)
+    return df.join(valid_ids, id_col, "left_anti"), df.join(valid_ids, id_col, "left_semi")
+
+
+def length_batches(df: DataFrame, id_col: str, zeros_col: str, batch_size: int,
+                   seed: int | None = None, bucket_width: int = 128, drop_last: bool = False) -> DataFrame:
+    """Length-matched batches (id, batch, length_bucket).
+
+    Rows arrive in sampler order (id order, or a seeded permutation) and go
+    to length bucket ``zeros // bucket_width``; a bucket that reaches
+    ``batch_size`` rows emits a batch. Full batches are numbered in emission
+    order (position of their last row); leftovers are then concatenated in
+    bucket order and cut into batches of ``batch_size``.
+
+    Scale: per-bucket row numbers use the bucketed prefix sums (one length
+    bucket may hold most rows); leftovers number at most
+    n_length_buckets x (batch_size - 1) rows, so their ordering is small.
+    """
+    pos = global_positions(df.select(id_col, zeros_col), id_col, seed)
+    lb = F.floor(F.col(zeros_col) / bucket_width).cast("int")
+    rows = pos.withColumn("length_bucket", lb)
+    rows, nb = quantile_bucket(rows, "position")
+    numbered = row_numbers(rows, ["length_bucket"], ["position"], out="rn",
+                           n_buckets_bound=nb, n_groups_bound=None).drop(BUCKET)
+    full_n = F.floor(F.col("rn_count") / batch_size) * batch_size
+    tagged = numbered.withColumn("is_full", F.col("rn") <= full_n).withColumn(
+        "chunk", F.floor((F.col("rn") - 1) / batch_size).cast("long"))
+
+    full = tagged.where("is_full")
+    chunks = full.groupBy("length_bucket", "chunk").agg(F.max("position").alias("last_pos"))
+    n_full = chunks.count()  # a scalar; also sizes the buckets below
+    chunks, nbc = quantile_bucket(chunks, "last_pos", n_rows=n_full)
+    chunks = row_numbers(chunks, [], ["last_pos"], out="emit", n_buckets_bound=nbc, n_groups_bound=1)
+    full_batches = full.join(chunks.select("length_bucket", "chunk", "emit"), ["length_bucket", "chunk"])
+    full_out = full_batches.select(id_col, (F.col("emit") - 1).alias("batch"), "length_bucket")
+
+    # Bounded: fewer than batch_size leftovers per length bucket, so one
+    # ordered window over them is small.
+    everything = Window.partitionBy()
+    li = F.row_number().over(everything.orderBy("length_bucket", "rn")) - 1
+    left = (tagged.where(~F.col("is_full"))
+                  .select(id_col, "length_bucket", li.alias("li"),
+                          F.count(F.lit(1)).over(everything).alias("n_left")))
+    if drop_last:
+        left = left.where(F.col("li") < F.floor(F.col("n_left") / batch_size) * batch_size)
+    left_out = left.select(
+        id_col, (F.lit(n_full) + F.floor(F.col("li") / batch_size)).cast("long").alias("batch"),
+        "length_bucket", "li")
+    return full_out.unionByName(left_out.drop("li"))
+
+
+def trim_batches(df: DataFrame, ids_col: str, batch_col: str = "batch", min_len: int = 2) -> DataFrame:
+    """Cut every sequence of a batch to the batch's largest non-zero count,
+    when that count exceeds ``min_len``. A batch holds at most batch_size
+    rows, so the window per batch is small."""
+    nz = F.size(F.filter(ids_col, lambda x: x != 0))
+    m = F.max(nz).over(Window.partitionBy(batch_col))
+    return df.withColumn("_m", m).withColumn(
+        ids_col, F.when(F.col("_m") > min_len, F.slice(ids_col, 1, F.col("_m"))).otherwise(F.col(ids_col))
+    ).withColumn("batch_max_len", F.col("_m")).drop("_m")

@@ -281,6 +281,65 @@ SELECT count(*) AS n_rows, count(*) FILTER (WHERE len(toks) > {m}) AS n_truncate
        CAST(sum(greatest(len(toks) - {m}, 0)) AS BIGINT) AS n_tokens_dropped FROM tk"""
 
 
+def split_sizes() -> str:
+    return f"""WITH {comments_cte()}, n AS (SELECT count(*) AS n FROM c),
+sz AS (SELECT CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT) AS tr,
+              CAST(floor(n * CAST(0.05 AS DOUBLE)) AS BIGINT) AS va, n FROM n)
+SELECT * FROM (SELECT 'train' AS split, tr AS n_rows FROM sz
+               UNION ALL SELECT 'valid', va FROM sz
+               UNION ALL SELECT 'unused', n - tr - va FROM sz) WHERE n_rows > 0"""
+
+
+def fold_sizes() -> str:
+    return f"""WITH {comments_cte()}, n AS (SELECT count(*) AS n FROM c)
+SELECT CAST(f AS INTEGER) AS fold, CAST((n - f + 4) // 5 AS BIGINT) AS n_rows
+FROM range(5) t(f), n WHERE (n - f + 4) // 5 > 0"""
+
+
+def fold_rows() -> str:
+    return f"""WITH {comments_cte()}, n AS (SELECT count(*) AS n FROM c)
+SELECT CAST(f AS INTEGER) AS fold, CAST(n - (n - f + 4) // 5 AS BIGINT) AS n_train,
+       CAST((n - f + 4) // 5 AS BIGINT) AS n_valid
+FROM range(5) t(f), n"""
+
+
+def fixed_batches() -> str:
+    return f"""WITH {comments_cte()}
+SELECT id, row_number() OVER (ORDER BY id) AS position,
+       (row_number() OVER (ORDER BY id) - 1) // 32 AS batch FROM c"""
+
+
+def _head_seq_cte() -> str:
+    m = MAX_LEN - 2
+    return f"""{_encoded(f'toks[1:{m}]')},
+seq AS (SELECT id, [2] || ids || [3] || {_zeros(f'{m} - len(ids)')} AS s FROM enc)"""
+
+
+def length_batches() -> str:
+    bs = 32
+    return f"""WITH {_head_seq_cte()},
+p AS (SELECT id, CAST(len(list_filter(s, lambda x: x = 0)) // 128 AS INTEGER) AS lb,
+             row_number() OVER (ORDER BY id) AS pos FROM seq),
+r AS (SELECT *, row_number() OVER (PARTITION BY lb ORDER BY pos) AS rn,
+             count(*) OVER (PARTITION BY lb) AS cnt FROM p),
+t AS (SELECT *, rn <= (cnt // {bs}) * {bs} AS is_full, (rn - 1) // {bs} AS chunk FROM r),
+ch AS (SELECT lb, chunk, max(pos) AS last_pos FROM t WHERE is_full GROUP BY lb, chunk),
+chr AS (SELECT lb, chunk, row_number() OVER (ORDER BY last_pos) - 1 AS batch FROM ch),
+nf AS (SELECT count(*) AS n_full FROM ch),
+lo AS (SELECT id, lb, row_number() OVER (ORDER BY lb, rn) - 1 AS li FROM t WHERE NOT is_full)
+SELECT id, CAST(batch AS BIGINT) AS batch, lb AS length_bucket FROM t JOIN chr USING (lb, chunk) WHERE is_full
+UNION ALL SELECT id, CAST(n_full + li // {bs} AS BIGINT), lb FROM lo, nf"""
+
+
+def trim_batches() -> str:
+    return f"""WITH {_head_seq_cte()},
+b AS (SELECT id, s, (row_number() OVER (ORDER BY id) - 1) // 32 AS batch,
+             len(list_filter(s, lambda x: x <> 0)) AS nz FROM seq),
+m AS (SELECT *, max(nz) OVER (PARTITION BY batch) AS mx FROM b)
+SELECT id, CAST(batch AS BIGINT) AS batch, CASE WHEN mx > 2 THEN s[1:mx] ELSE s END AS token_ids,
+       CAST(mx AS INTEGER) AS batch_max_len FROM m"""
+
+
 ORACLES = {
     "bias_metrics": bias_metrics,
     "final_metric": final_metric,
@@ -305,6 +364,12 @@ ORACLES = {
     "encode_plain": encode_plain,
     "attention_mask": attention_mask,
     "truncation_stats": truncation_stats,
+    "split_sizes": split_sizes,
+    "fold_sizes": fold_sizes,
+    "fold_rows": fold_rows,
+    "fixed_batches": fixed_batches,
+    "length_batches": length_batches,
+    "trim_batches": trim_batches,
 }
 
 

@@ -18,6 +18,7 @@ from ..functions import text as tx
 from ..operators import auc as auc_ops
 from ..operators import encode as enc
 from ..operators import features as feat
+from ..operators import order
 from ..sources.tables import comments
 
 R = 9
@@ -189,3 +190,67 @@ def attention_mask(spark: SparkSession, root: str) -> DataFrame:
 @register
 def truncation_stats(spark: SparkSession, root: str) -> DataFrame:
     return enc.truncation_stats(comments(spark, root), max_len=DEFAULT.max_sequence_length)
+
+
+# --- splits, folds, batches -------------------------------------------------
+
+N_FOLDS = 5
+FOLD_SEED = 2106
+
+
+@register
+def split_train_valid(spark: SparkSession, root: str) -> DataFrame:
+    c = comments(spark, root).select("id")
+    s = order.split_train_valid(c, "id", DEFAULT.seed, DEFAULT.train_percent, DEFAULT.valid_percent)
+    return s.select("id", "position", "split")
+
+
+@register
+def split_sizes(spark: SparkSession, root: str) -> DataFrame:
+    c = comments(spark, root).select("id")
+    s = order.split_train_valid(c, "id", DEFAULT.seed, DEFAULT.train_percent, DEFAULT.valid_percent)
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register
+def fold_sizes(spark: SparkSession, root: str) -> DataFrame:
+    folds = order.assign_folds(comments(spark, root), "id", N_FOLDS, FOLD_SEED)
+    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register
+def fold_rows(spark: SparkSession, root: str) -> DataFrame:
+    c = comments(spark, root).select("id")
+    folds = order.assign_folds(c, "id", N_FOLDS, FOLD_SEED)
+    parts = []
+    for k in range(N_FOLDS):
+        tr, va = order.fold_rows(c, folds, k)
+        both = (tr.select(F.lit(1).alias("t"), F.lit(0).alias("v"))
+                  .unionByName(va.select(F.lit(0).alias("t"), F.lit(1).alias("v"))))
+        parts.append(both.agg(F.lit(k).alias("fold"), F.sum("t").cast("long").alias("n_train"),
+                              F.sum("v").cast("long").alias("n_valid")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register
+def fixed_batches(spark: SparkSession, root: str) -> DataFrame:
+    c = comments(spark, root).select("id")
+    return order.fixed_batches(c, "id", DEFAULT.batch_size).select("id", "position", "batch")
+
+
+@register
+def length_batches(spark: SparkSession, root: str) -> DataFrame:
+    e = enc.encode(comments(spark, root), _vocab(spark, root), max_len=DEFAULT.max_sequence_length)
+    z = e.select("id", enc.zero_count("token_ids").alias("n_zeros"))
+    return order.length_batches(z, "id", "n_zeros", DEFAULT.batch_size)
+
+
+@register
+def trim_batches(spark: SparkSession, root: str) -> DataFrame:
+    c = comments(spark, root)
+    e = enc.encode(c, _vocab(spark, root), max_len=DEFAULT.max_sequence_length)
+    b = order.fixed_batches(c.select("id"), "id", DEFAULT.batch_size).select("id", "batch")
+    return order.trim_batches(e.join(b, "id"), "token_ids")
