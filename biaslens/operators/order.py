@@ -224,3 +224,24 @@ def trim_batches(df: DataFrame, ids_col: str, batch_col: str = "batch", min_len:
     return df.withColumn("_m", m).withColumn(
         ids_col, F.when(F.col("_m") > min_len, F.slice(ids_col, 1, F.col("_m"))).otherwise(F.col(ids_col))
     ).withColumn("batch_max_len", F.col("_m")).drop("_m")
+
+
+def prefix_max(df: DataFrame, keys: list[str], order: list, value: str,
+               bucket: str = BUCKET, n_buckets_bound: int | None = None,
+               n_groups_bound: int | None = None) -> DataFrame:
+    """Running maximum of ``value`` over strictly earlier rows (``{v}_prev_max``,
+    null for the first row of a group), with the same bucket scheme as
+    ``prefix_sums``."""
+    totals = df.groupBy(*keys, bucket).agg(F.max(value).alias("_bm"))
+    w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, bucket, F.max("_bm").over(w).alias("_off_max"))
+    if (n_buckets_bound is not None and n_groups_bound is not None
+            and n_buckets_bound * n_groups_bound <= BROADCAST_OFFSET_ROWS):
+        offsets = F.broadcast(offsets)
+    joined = df.join(offsets, on=[*keys, bucket], how="inner")
+    in_bucket = (Window.partitionBy(*keys, bucket).orderBy(*[_col(o) for o in order])
+                 .rowsBetween(Window.unboundedPreceding, -1))
+    local = F.max(value).over(in_bucket)
+    prev = F.when(local.isNull(), F.col("_off_max")).when(F.col("_off_max").isNull(), local) \
+            .otherwise(F.greatest(local, F.col("_off_max")))
+    return joined.select(*[F.col(c) for c in df.columns], prev.alias(f"{value}_prev_max"))

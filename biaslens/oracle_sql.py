@@ -340,6 +340,173 @@ SELECT id, CAST(batch AS BIGINT) AS batch, CASE WHEN mx > 2 THEN s[1:mx] ELSE s
        CAST(mx AS INTEGER) AS batch_max_len FROM m"""
 
 
+def _log_cte() -> str:
+    return """lg AS (SELECT event_id, ts, user_id, event_type, value,
+  CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+  date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS epoch,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
+  count(*) OVER (PARTITION BY user_id) AS n_steps
+FROM events)"""
+
+
+def weighted_avg() -> str:
+    return f"""WITH {_log_cte()}
+SELECT user_id, round(sum(value * k) / nullif(sum(k), 0), {R}) AS weighted_avg, CAST(sum(k) AS BIGINT) AS count
+FROM lg GROUP BY user_id"""
+
+
+def running_avg() -> str:
+    return f"""WITH {_log_cte()}
+SELECT event_id, user_id, round(sum(value * k) OVER w / nullif(sum(k) OVER w, 0), {R}) AS running_avg
+FROM lg WINDOW w AS (PARTITION BY user_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+def running_best() -> str:
+    return f"""WITH {_log_cte()},
+b AS (SELECT *, greatest(0.0, coalesce(max(value) OVER (PARTITION BY user_id ORDER BY step
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS best_before FROM lg)
+SELECT event_id, user_id, value > best_before AS improved, round(greatest(best_before, value), {R}) AS best_so_far
+FROM b"""
+
+
+def best_epoch() -> str:
+    return f"""WITH {_log_cte()},
+s AS (SELECT user_id, epoch, avg(value) AS score FROM lg GROUP BY user_id, epoch),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, epoch ASC) AS rk FROM s)
+SELECT user_id, CAST(epoch AS INTEGER) AS best_epoch, round(score, {R}) AS best_score FROM r WHERE rk = 1"""
+
+
+def retention() -> str:
+    return f"""WITH {_log_cte()}
+SELECT event_id, user_id,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3 AS keep FROM lg"""
+
+
+def every_kth() -> str:
+    return f"WITH {_log_cte()} SELECT event_id, user_id, step FROM lg WHERE step % 10 = 0"
+
+
+def accum_groups() -> str:
+    return f"""WITH {_log_cte()}
+SELECT user_id, CAST((step - 1) // 4 AS BIGINT) AS accum_group, count(*) AS n_steps,
+       round(avg(value), {R}) AS mean_loss FROM lg GROUP BY 1, 2"""
+
+
+def mean_loss() -> str:
+    return f"""WITH {_log_cte()},
+pk AS (SELECT user_id, epoch, event_type, avg(value) AS v FROM lg GROUP BY 1, 2, 3)
+SELECT user_id, CAST(epoch AS INTEGER) AS epoch, round(avg(v), {R}) AS mean_loss, count(*) AS n_losses
+FROM pk GROUP BY 1, 2"""
+
+
+def loss_ema() -> str:
+    return f"""WITH RECURSIVE {_log_cte()},
+e(user_id, step, l) AS (
+  SELECT user_id, step, value FROM lg WHERE step = 1
+  UNION ALL
+  SELECT lg.user_id, lg.step,
+         CASE WHEN e.l = 0 THEN lg.value ELSE CAST(0.98 AS DOUBLE) * e.l + CAST(0.02 AS DOUBLE) * lg.value END
+  FROM e JOIN lg ON lg.user_id = e.user_id AND lg.step = e.step + 1)
+SELECT lg.event_id, lg.user_id, lg.step, round(e.l, {R}) AS ema
+FROM lg JOIN e USING (user_id, step)"""
+
+
+def run_steps() -> str:
+    rows = ", ".join(f"('{r}', '{m}', {d}, {ml}, {bs}, {ac}, {sd})" for r, m, d, ml, bs, ac, sd in RUN_SWEEP)
+    return f"""WITH {comments_cte()},
+sweep(run, model, depth, maxlen, batch_size, accumulation_steps, seed) AS (VALUES {rows}),
+n AS (SELECT CAST(floor(count(*) * CAST(0.7 AS DOUBLE)) AS BIGINT) AS n_train FROM c)
+SELECT run, printf('%s_%dlayers_%dbs_%daccum_%dseed_%d', model, depth, batch_size, accumulation_steps, seed, maxlen)
+         AS run_key, n_train,
+       CAST(ceil(n_train / batch_size / accumulation_steps) * 2 AS BIGINT) AS optimisation_steps
+FROM sweep, n"""
+
+
+def _bce(x: str, y: str) -> str:
+    return f"(greatest({x}, 0.0) - ({x}) * ({y}) + ln(1 + exp(-abs({x}))))"
+
+
+def _scored_cte() -> str:
+    aux_l = ", ".join(f"(coalesce(c.{a}, 0.5) - 0.5) * 4.0 AS l_{a}" for a in AUX_COLUMNS)
+    return f"""{_targets_cte()},
+sc AS (SELECT id, CAST(tw.y AS DOUBLE) AS yb, tw.weight, (c.prediction - 0.5) * 8.0 AS l0, {aux_l},
+         {", ".join(f"c.{a} AS t_{a}" for a in AUX_COLUMNS)},
+         (row_number() OVER (ORDER BY id) - 1) // 32 AS batch
+       FROM tw JOIN c USING (id)),
+auxlong AS (SELECT batch, {_bce('l', 't')} AS b FROM (
+   {" UNION ALL ".join(f"SELECT batch, l_{a} AS l, t_{a} AS t FROM sc" for a in AUX_COLUMNS)})),
+bl AS (SELECT batch, avg(weight * {_bce('l0', 'yb')}) AS bin_loss, count(*) AS n_rows,
+              avg(CASE WHEN (1 / (1 + exp(-l0)) > 0.5) = (yb > 0.5) THEN 1.0 ELSE 0.0 END) AS acc
+       FROM sc GROUP BY batch),
+al AS (SELECT batch, avg(b) AS aux_loss FROM auxlong GROUP BY batch)"""
+
+
+def sigmoid_scores() -> str:
+    return f"""WITH {comments_cte()}
+SELECT id, round(1 / (1 + exp(-((prediction - 0.5) * 8.0))), {R}) AS prediction FROM c"""
+
+
+def split_logits() -> str:
+    aux = ", ".join(f"round((coalesce({a}, 0.5) - 0.5) * 4.0, {R})" for a in AUX_COLUMNS[:6])
+    return f"""WITH {comments_cte()}
+SELECT id, round((prediction - 0.5) * 8.0, {R}) AS binary_logit, [{aux}] AS aux_logits FROM c"""
+
+
+def weighted_loss() -> str:
+    return f"""WITH {_scored_cte()}
+SELECT CAST(batch AS BIGINT) AS batch, n_rows, round(0.5 * bin_loss + 0.5 * aux_loss, {R}) AS loss
+FROM bl JOIN al USING (batch)"""
+
+
+def weighted_loss_scaled() -> str:
+    return f"""WITH {_scored_cte()}
+SELECT CAST(batch AS BIGINT) AS batch, round(1.5 * bin_loss + aux_loss, {R}) AS loss
+FROM bl JOIN al USING (batch)"""
+
+
+def epoch_accuracy() -> str:
+    return f"""WITH {_scored_cte()}
+SELECT round(avg(0.5 * bin_loss + 0.5 * aux_loss) / 4, {R}) AS epoch_loss, round(avg(acc), {R}) AS epoch_accuracy
+FROM bl JOIN al USING (batch)"""
+
+
+def _emb_long() -> str:
+    return "el AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) r(i))"
+
+
+def _pooled(agg: str, src: str = "el", name: str = "p") -> str:
+    return f"""{name} AS (SELECT label, list(round(v, {R}) ORDER BY i) AS pooled FROM
+   (SELECT label, i, {agg}(x) AS v FROM {src} GROUP BY label, i) GROUP BY label)"""
+
+
+def pool_mean() -> str:
+    return f"WITH {_emb_long()}, {_pooled('avg')} SELECT label, pooled AS mean_pool FROM p"
+
+
+def pool_max() -> str:
+    return f"WITH {_emb_long()}, {_pooled('max')} SELECT label, pooled AS max_pool FROM p"
+
+
+def pool_last_k() -> str:
+    return f"""WITH top AS (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 4),
+el AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM top, range(1, 65) r(i)),
+{_pooled('avg')} SELECT label, pooled AS last_k_mean FROM p"""
+
+
+def assemble() -> str:
+    return f"""WITH {_emb_long()}, {_pooled('avg', name='pm')}, {_pooled('max', name='px')}
+SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda v: round(v, {R}))
+       || pm.pooled || px.pooled || [CAST(label AS DOUBLE)] AS features
+FROM embeddings JOIN pm USING (label) JOIN px USING (label)"""
+
+
+def dense_head() -> str:
+    w = "CAST(((7 * i + 3 * j) % 17 - 8) AS DOUBLE) * 0.125 / 8"
+    return f"""SELECT vec_id, list_transform(range(8), lambda j: round(greatest(0.0,
+    list_sum(list_transform(range(64), lambda i: CAST(embedding[i + 1] AS DOUBLE) * {w})) + j * 0.01), {R}))
+    AS hidden FROM embeddings"""
+
+
 ORACLES = {
     "bias_metrics": bias_metrics,
     "final_metric": final_metric,
@@ -370,6 +537,26 @@ ORACLES = {
     "fixed_batches": fixed_batches,
     "length_batches": length_batches,
     "trim_batches": trim_batches,
+    "weighted_avg": weighted_avg,
+    "running_avg": running_avg,
+    "running_best": running_best,
+    "best_epoch": best_epoch,
+    "retention": retention,
+    "every_kth": every_kth,
+    "accum_groups": accum_groups,
+    "mean_loss": mean_loss,
+    "loss_ema": loss_ema,
+    "run_steps": run_steps,
+    "sigmoid_scores": sigmoid_scores,
+    "split_logits": split_logits,
+    "weighted_loss": weighted_loss,
+    "weighted_loss_scaled": weighted_loss_scaled,
+    "epoch_accuracy": epoch_accuracy,
+    "pool_mean": pool_mean,
+    "pool_max": pool_max,
+    "pool_last_k": pool_last_k,
+    "assemble": assemble,
+    "dense_head": dense_head,
 }
 
 

@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT
+from ..functions import nn
 from ..functions import text as tx
 from ..operators import auc as auc_ops
 from ..operators import encode as enc
 from ..operators import features as feat
+from ..operators import loss as loss_ops
+from ..operators import vectors as vec
 from ..operators import order
-from ..sources.tables import comments
+from ..operators import runlog as rl
+from ..sources.tables import comments, read_table
 
 R = 9
 
@@ -254,3 +258,168 @@ def trim_batches(spark: SparkSession, root: str) -> DataFrame:
     e = enc.encode(c, _vocab(spark, root), max_len=DEFAULT.max_sequence_length)
     b = order.fixed_batches(c.select("id"), "id", DEFAULT.batch_size).select("id", "batch")
     return order.trim_batches(e.join(b, "id"), "token_ids")
+
+
+# --- training-log operators on the events table ----------------------------
+# run = user_id, step order = (ts, event_id), loss = value, n = props.k
+
+STEP_ORDER = ["ts", "event_id"]
+
+
+def _log(spark: SparkSession, root: str) -> DataFrame:
+    ev = read_table(spark, root, "events")
+    return ev.select("event_id", "ts", "user_id", "event_type", "value",
+                     F.get_json_object("props", "$.k").cast("int").alias("k"),
+                     F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("epoch"))
+
+
+@register
+def weighted_avg(spark: SparkSession, root: str) -> DataFrame:
+    return rounded(rl.weighted_average(_log(spark, root), ["user_id"], "value", "k"))
+
+
+@register
+def running_avg(spark: SparkSession, root: str) -> DataFrame:
+    r = rl.running_average(_log(spark, root), "user_id", STEP_ORDER, "value", "k")
+    return rounded(r.select("event_id", "user_id", "running_avg"))
+
+
+@register
+def running_best(spark: SparkSession, root: str) -> DataFrame:
+    r = rl.running_best(_log(spark, root), "user_id", STEP_ORDER, "value")
+    return rounded(r.select("event_id", "user_id", "improved", "best_so_far"))
+
+
+def _epoch_scores(spark: SparkSession, root: str) -> DataFrame:
+    return _log(spark, root).groupBy("user_id", "epoch").agg(F.avg("value").alias("score"))
+
+
+@register
+def best_epoch(spark: SparkSession, root: str) -> DataFrame:
+    return rounded(rl.best_epoch(_epoch_scores(spark, root), "user_id", "epoch", "score"))
+
+
+@register
+def retention(spark: SparkSession, root: str) -> DataFrame:
+    return rl.retention(_log(spark, root), "user_id", STEP_ORDER, keep_last=3).select(
+        "event_id", "user_id", "keep")
+
+
+@register
+def every_kth(spark: SparkSession, root: str) -> DataFrame:
+    steps = rl.number_steps(_log(spark, root), "user_id", STEP_ORDER)
+    return rl.every_kth(steps, "step", 10).select("event_id", "user_id", "step")
+
+
+@register
+def accum_groups(spark: SparkSession, root: str) -> DataFrame:
+    steps = rl.number_steps(_log(spark, root), "user_id", STEP_ORDER)
+    return rounded(rl.accumulation_groups(steps, "user_id", "step", "value", DEFAULT.accumulation_steps))
+
+
+@register
+def mean_loss(spark: SparkSession, root: str) -> DataFrame:
+    return rounded(rl.keyed_mean_loss(_log(spark, root), ["user_id", "epoch"], "event_type", "value"))
+
+
+@register
+def loss_ema(spark: SparkSession, root: str) -> DataFrame:
+    e = rl.ema(_log(spark, root), "user_id", STEP_ORDER, "value")
+    return rounded(e.select("event_id", "user_id", "step", "ema"))
+
+
+@register
+def run_steps(spark: SparkSession, root: str) -> DataFrame:
+    c = comments(spark, root).select("id")
+    split = order.split_train_valid(c, "id", DEFAULT.seed, DEFAULT.train_percent, DEFAULT.valid_percent)
+    n_train = split.where(F.col("split") == "train").count()  # one scalar
+    sweep = rl.run_sweep(spark)
+    return sweep.select(
+        "run", rl.run_key("model", "depth", "batch_size", "accumulation_steps", "seed", "maxlen").alias("run_key"),
+        F.lit(n_train).cast("long").alias("n_train"),
+        rl.optimisation_steps(F.lit(n_train), F.col("batch_size"), F.col("accumulation_steps"),
+                              DEFAULT.epochs).alias("optimisation_steps"))
+
+
+# --- model outputs, losses --------------------------------------------------
+
+def _scored(spark: SparkSession, root: str) -> DataFrame:
+    """comments + targets + stand-in logits + batch (id order), keyed by id."""
+    c = comments(spark, root)
+    t = feat.targets(c).select("id", F.col("y").cast("double").alias("y"), "weight",
+                               F.array(*[f"aux_{a}" for a in DEFAULT.aux_columns]).alias("aux_targets"))
+    out = loss_ops.linear_outputs(c)
+    b = order.fixed_batches(c.select("id"), "id", DEFAULT.batch_size).select("id", "batch")
+    return out.join(t, "id").join(b, "id")
+
+
+@register
+def sigmoid_scores(spark: SparkSession, root: str) -> DataFrame:
+    out = loss_ops.linear_outputs(comments(spark, root))
+    return rounded(out.select("id", nn.sigmoid(nn.binary_logit("logits")).alias("prediction")))
+
+
+@register
+def split_logits(spark: SparkSession, root: str) -> DataFrame:
+    out = loss_ops.linear_outputs(comments(spark, root))
+    return rounded(out.select("id", nn.binary_logit("logits").alias("binary_logit"),
+                              nn.aux_logits("logits").alias("aux_logits")))
+
+
+@register
+def weighted_loss(spark: SparkSession, root: str) -> DataFrame:
+    return rounded(loss_ops.batch_losses(_scored(spark, root)).select("batch", "n_rows", "loss"))
+
+
+@register
+def weighted_loss_scaled(spark: SparkSession, root: str) -> DataFrame:
+    lw = 1.5
+    return rounded(loss_ops.batch_losses(_scored(spark, root), loss_weight=lw).select("batch", "loss"))
+
+
+@register
+def epoch_accuracy(spark: SparkSession, root: str) -> DataFrame:
+    s = _scored(spark, root)
+    return rounded(loss_ops.epoch_summary(loss_ops.batch_losses(s), loss_ops.batch_accuracy(s),
+                                          accumulation_steps=DEFAULT.accumulation_steps))
+
+
+# --- vectors on the embeddings table ----------------------------------------
+
+def _emb(spark: SparkSession, root: str) -> DataFrame:
+    return read_table(spark, root, "embeddings")
+
+
+@register
+def pool_mean(spark: SparkSession, root: str) -> DataFrame:
+    return rounded(vec.pool(_emb(spark, root), ["label"], "embedding", "mean"))
+
+
+@register
+def pool_max(spark: SparkSession, root: str) -> DataFrame:
+    return rounded(vec.pool(_emb(spark, root), ["label"], "embedding", "max"))
+
+
+@register
+def pool_last_k(spark: SparkSession, root: str) -> DataFrame:
+    return rounded(vec.pool_last_k(_emb(spark, root), ["label"], "vec_id", "embedding", 4))
+
+
+@register
+def assemble(spark: SparkSession, root: str) -> DataFrame:
+    e = _emb(spark, root)
+    pooled = vec.pool(e, ["label"], "embedding", "mean").join(vec.pool(e, ["label"], "embedding", "max"), "label")
+    return rounded(e.join(pooled, "label").select(
+        "vec_id", vec.assemble(F.col("embedding").cast("array<double>"), "mean_pool", "max_pool",
+                               vec.as_array("label")).alias("features")))
+
+
+DENSE_IN, DENSE_OUT = 64, 8
+
+
+@register
+def dense_head(spark: SparkSession, root: str) -> DataFrame:
+    w = vec.demo_weights(DENSE_IN, DENSE_OUT)
+    b = [0.01 * j for j in range(DENSE_OUT)]
+    e = _emb(spark, root)
+    return rounded(e.select("vec_id", vec.dense("embedding", w, b, relu=True).alias("hidden")))
