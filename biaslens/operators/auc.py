@@ -33,15 +33,17 @@ def binarize(df: DataFrame, cols, threshold: float = 0.5) -> DataFrame:
     return df.withColumns({c: to_bool(c, threshold) for c in cols})
 
 
-def score_counts(df: DataFrame, label: str, score: str, subgroups, threshold: float = 0.5) -> DataFrame:
-    """(group, score, pos, neg): label counts per distinct score, per subgroup
-    and for the pseudo-group ``__all__``. Rows with a null score are ignored."""
+def score_counts(df: DataFrame, label: str, score: str, subgroups, threshold: float = 0.5,
+                 by=()) -> DataFrame:
+    """(by..., group, score, pos, neg): label counts per distinct score, per
+    subgroup and for the pseudo-group ``__all__``. Rows with a null score are
+    ignored."""
     tags = F.array(F.lit(OVERALL), *[F.when(to_bool(g, threshold), F.lit(g)) for g in subgroups])
     y = to_bool(label, threshold).cast("long")
     slim = (df.where(F.col(score).isNotNull())
-              .select(F.col(score).cast("double").alias("score"), y.alias("y"),
+              .select(*by, F.col(score).cast("double").alias("score"), y.alias("y"),
                       F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("grp")))
-    return (slim.groupBy("grp", "score")
+    return (slim.groupBy(*by, "grp", "score")
                 .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
 
 
@@ -51,28 +53,31 @@ def _ratio(num, den):
 
 def bias_metrics(df: DataFrame, cfg: BiasConfig = DEFAULT, label: str | None = None,
                  score: str | None = None, subgroups=None,
-                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, by=()) -> DataFrame:
     """Per-subgroup table (subgroup, subgroup_size, subgroup_auc, bpsn_auc,
     bnsp_auc) plus one ``__all__`` row whose ``subgroup_auc`` is the overall
     AUC. Identity and label columns may be fractions (binarised at the
-    threshold) or booleans."""
+    threshold) or booleans. ``by`` columns (run, epoch, fold...) evaluate
+    many prediction sets in the same pass, one table per ``by`` value."""
     label = label or cfg.toxicity_column
     score = score or cfg.score_column
     subgroups = list(subgroups or cfg.identity_columns)
-    counts = score_counts(df, label, score, subgroups, cfg.threshold)
+    by = list(by)
+    counts = score_counts(df, label, score, subgroups, cfg.threshold, by)
     # The counts feed four branches (quantiles, totals, windows, join):
     # materialise them once in the shared checkpoint folder.
     counts = cut_lineage(counts)
     bucketed, n_buckets = quantile_bucket(counts, "score", rows_per_bucket)
-    sums = prefix_sums(bucketed, ["grp"], ["score"], ["pos", "neg"], BUCKET,
-                       n_buckets_bound=n_buckets, n_groups_bound=len(subgroups) + 1).drop(BUCKET)
+    sums = prefix_sums(bucketed, [*by, "grp"], ["score"], ["pos", "neg"], BUCKET,
+                       n_buckets_bound=n_buckets,
+                       n_groups_bound=None if by else len(subgroups) + 1).drop(BUCKET)
 
     overall = sums.where(F.col("grp") == OVERALL).select(
-        "score", F.col("pos").alias("a_pos"), F.col("neg").alias("a_neg"),
+        *by, "score", F.col("pos").alias("a_pos"), F.col("neg").alias("a_neg"),
         F.col("pos_before").alias("a_pos_before"), F.col("neg_before").alias("a_neg_before"),
         F.col("pos_total").alias("a_pos_total"), F.col("neg_total").alias("a_neg_total"))
     sub = sums.where(F.col("grp") != OVERALL)
-    j = sub.join(overall, on="score", how="inner")
+    j = sub.join(overall, on=[*by, "score"], how="inner")
 
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     a_pos, a_neg = F.col("a_pos").cast("double"), F.col("a_neg").cast("double")
@@ -87,7 +92,7 @@ def bias_metrics(df: DataFrame, cfg: BiasConfig = DEFAULT, label: str | None = N
     bg_neg_below = F.col("a_neg_before") - F.col("neg_before")
     num_bnsp = pos * (bg_neg_below + (a_neg - neg) / 2)
 
-    per_sub = j.groupBy(F.col("grp").alias("subgroup")).agg(
+    per_sub = j.groupBy(*by, F.col("grp").alias("subgroup")).agg(
         F.sum(num_sub).alias("num_sub"), F.sum(num_bpsn).alias("num_bpsn"),
         F.sum(num_bnsp).alias("num_bnsp"),
         F.first("pos_total").alias("p_g"), F.first("neg_total").alias("n_g"),
@@ -95,26 +100,27 @@ def bias_metrics(df: DataFrame, cfg: BiasConfig = DEFAULT, label: str | None = N
     p_g, n_g = F.col("p_g").cast("double"), F.col("n_g").cast("double")
     p_all, n_all = F.col("p_all").cast("double"), F.col("n_all").cast("double")
     sub_table = per_sub.select(
-        "subgroup", (F.col("p_g") + F.col("n_g")).alias("subgroup_size"),
+        *by, "subgroup", (F.col("p_g") + F.col("n_g")).cast("long").alias("subgroup_size"),
         _ratio(F.col("num_sub"), p_g * n_g).alias("subgroup_auc"),
         _ratio(F.col("num_bpsn"), (p_all - p_g) * n_g).alias("bpsn_auc"),
         _ratio(F.col("num_bnsp"), p_g * (n_all - n_g)).alias("bnsp_auc"))
 
-    a = overall.groupBy().agg(
+    a = overall.groupBy(*by).agg(
         F.sum(F.col("a_pos").cast("double") * (F.col("a_neg_before") + a_neg / 2)).alias("num"),
         F.first("a_pos_total").alias("p"), F.first("a_neg_total").alias("n"))
     overall_row = a.select(
-        F.lit(OVERALL).alias("subgroup"), (F.col("p") + F.col("n")).alias("subgroup_size"),
+        *by, F.lit(OVERALL).alias("subgroup"), (F.col("p") + F.col("n")).cast("long").alias("subgroup_size"),
         _ratio(F.col("num"), F.col("p").cast("double") * F.col("n").cast("double")).alias("subgroup_auc"),
         F.lit(None).cast("double").alias("bpsn_auc"), F.lit(None).cast("double").alias("bnsp_auc"))
 
-    # Subgroups with no member at all still get a row (size 0, null AUCs).
-    names = df.sparkSession.createDataFrame([(g,) for g in subgroups], "subgroup string")
-    full = (F.broadcast(names).join(sub_table, "subgroup", "left")
-            .select("subgroup", F.coalesce("subgroup_size", F.lit(0)).cast("long").alias("subgroup_size"),
-                    "subgroup_auc", "bpsn_auc", "bnsp_auc"))
-    return (full.unionByName(overall_row.withColumn("subgroup_size", F.col("subgroup_size").cast("long")))
-                .orderBy(F.asc_nulls_last("subgroup_auc"), "subgroup"))
+    if not by:
+        # Subgroups with no member at all still get a row (size 0, null AUCs).
+        names = df.sparkSession.createDataFrame([(g,) for g in subgroups], "subgroup string")
+        sub_table = (F.broadcast(names).join(sub_table, "subgroup", "left")
+                     .select("subgroup", F.coalesce("subgroup_size", F.lit(0)).cast("long").alias("subgroup_size"),
+                             "subgroup_auc", "bpsn_auc", "bnsp_auc"))
+    return (sub_table.unionByName(overall_row)
+                     .orderBy(*by, F.asc_nulls_last("subgroup_auc"), "subgroup"))
 
 
 def power_mean_col(c, p: float):
@@ -124,14 +130,14 @@ def power_mean_col(c, p: float):
                   F.pow(F.avg(F.pow(c, F.lit(p))), F.lit(1.0 / p)))
 
 
-def final_metric(bias: DataFrame, cfg: BiasConfig = DEFAULT) -> DataFrame:
+def final_metric(bias: DataFrame, cfg: BiasConfig = DEFAULT, by=()) -> DataFrame:
     """One row: overall_auc, the three power means, bias_score, final_metric.
 
     ``bias`` is the output of ``bias_metrics`` (a table of one row per
     subgroup plus ``__all__``; its size is the number of subgroups)."""
     is_sub = F.col("subgroup") != OVERALL
     p = cfg.power
-    agg = bias.groupBy().agg(
+    agg = bias.groupBy(*by).agg(
         F.max(F.when(~is_sub, F.col("subgroup_auc"))).alias("overall_auc"),
         F.count(F.when(is_sub, 1)).alias("_n_sub"),
         F.count(F.when(is_sub & F.col("subgroup_auc").isNotNull(), 1)).alias("_ok_sub"),
@@ -146,7 +152,7 @@ def final_metric(bias: DataFrame, cfg: BiasConfig = DEFAULT) -> DataFrame:
 
     w = cfg.overall_model_weight
     out = agg.select(
-        "overall_auc",
+        *by, "overall_auc",
         pm("_m_sub", "_ok_sub").alias("power_mean_subgroup_auc"),
         pm("_m_bpsn", "_ok_bpsn").alias("power_mean_bpsn_auc"),
         pm("_m_bnsp", "_ok_bnsp").alias("power_mean_bnsp_auc"))

@@ -507,6 +507,40 @@ def dense_head() -> str:
     AS hidden FROM embeddings"""
 
 
+def epoch_metrics() -> str:
+    flags = ", ".join(f"{_bool(g)} AS {g}" for g in IDENTITY_COLUMNS)
+    pm = lambda c: f"CASE WHEN count({c}) = count(*) THEN pow(avg(pow({c}, -5.0)), -0.2) END"
+    return f"""WITH {comments_cte()},
+pe AS (SELECT *, 0 AS epoch, prediction AS score FROM c
+       UNION ALL SELECT *, 1 AS epoch, (prediction + target) / 2 AS score FROM c),
+v AS (SELECT epoch, score, {_bool('target')} AS y, {flags} FROM pe WHERE score IS NOT NULL),
+u AS (UNPIVOT v ON {ID_LIST} INTO NAME subgroup VALUE f),
+ex AS (
+  SELECT epoch, subgroup, 'sub' AS kind, score, y FROM u WHERE f
+  UNION ALL SELECT epoch, subgroup, 'bpsn', score, y FROM u WHERE (f AND NOT y) OR (NOT f AND y)
+  UNION ALL SELECT epoch, subgroup, 'bnsp', score, y FROM u WHERE (f AND y) OR (NOT f AND NOT y)
+  UNION ALL SELECT epoch, '__all__', 'sub', score, y FROM v),
+r AS (SELECT epoch, subgroup, kind, y,
+        rank() OVER (PARTITION BY epoch, subgroup, kind ORDER BY score)
+        + (count(*) OVER (PARTITION BY epoch, subgroup, kind, score) - 1) / 2.0 AS rk FROM ex),
+a AS (SELECT epoch, subgroup, kind, sum(CASE WHEN y THEN 1 ELSE 0 END) AS p,
+        sum(CASE WHEN y THEN 0 ELSE 1 END) AS n, sum(CASE WHEN y THEN rk ELSE 0 END) AS rs
+      FROM r GROUP BY 1, 2, 3),
+auc AS (SELECT epoch, subgroup, kind,
+          CASE WHEN p > 0 AND n > 0 THEN (rs - p * (p + 1) / 2.0) / (p * n) END AS auc FROM a),
+b AS (SELECT epoch, subgroup, max(CASE WHEN kind = 'sub' THEN auc END) AS s,
+        max(CASE WHEN kind = 'bpsn' THEN auc END) AS bp, max(CASE WHEN kind = 'bnsp' THEN auc END) AS bn
+      FROM auc GROUP BY 1, 2),
+m AS (SELECT epoch, {pm('s')} AS pm_sub, {pm('bp')} AS pm_bpsn, {pm('bn')} AS pm_bnsp
+      FROM b WHERE subgroup <> '__all__' GROUP BY epoch),
+o AS (SELECT epoch, s AS overall_auc FROM b WHERE subgroup = '__all__')
+SELECT epoch, round(overall_auc, {R}) AS overall_auc, round(pm_sub, {R}) AS power_mean_subgroup_auc,
+  round(pm_bpsn, {R}) AS power_mean_bpsn_auc, round(pm_bnsp, {R}) AS power_mean_bnsp_auc,
+  round((pm_sub + pm_bpsn + pm_bnsp) / 3, {R}) AS bias_score,
+  round(0.25 * overall_auc + 0.75 * (pm_sub + pm_bpsn + pm_bnsp) / 3, {R}) AS final_metric
+FROM m JOIN o USING (epoch)"""
+
+
 ORACLES = {
     "bias_metrics": bias_metrics,
     "final_metric": final_metric,
@@ -557,6 +591,7 @@ ORACLES = {
     "pool_last_k": pool_last_k,
     "assemble": assemble,
     "dense_head": dense_head,
+    "epoch_metrics": epoch_metrics,
 }
 
 

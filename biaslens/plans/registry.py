@@ -24,6 +24,7 @@ from ..operators import vectors as vec
 from ..operators import order
 from ..operators import runlog as rl
 from ..sources.tables import comments, read_table
+from . import train
 
 R = 9
 
@@ -423,3 +424,70 @@ def dense_head(spark: SparkSession, root: str) -> DataFrame:
     b = [0.01 * j for j in range(DENSE_OUT)]
     e = _emb(spark, root)
     return rounded(e.select("vec_id", vec.dense("embedding", w, b, relu=True).alias("hidden")))
+
+
+# --- Spark ML jobs (fits are iterative: rows-only checks) -------------------
+
+@register
+def train_binary(spark: SparkSession, root: str) -> DataFrame:
+    _, model = train.split_and_train(comments(spark, root))
+    return rounded(train.coefficients(model, spark), 6)
+
+
+@register
+def train_aux(spark: SparkSession, root: str) -> DataFrame:
+    table, _ = train.split_and_train(comments(spark, root))
+    heads = train.fit_aux(table.where(F.col("split") == "train"))
+    out = None
+    for name, m in heads.items():
+        part = train.coefficients(m, spark, name)
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 6)
+
+
+@register
+def score_table(spark: SparkSession, root: str) -> DataFrame:
+    table, model = train.split_and_train(comments(spark, root))
+    return rounded(train.score(model, table), 6)
+
+
+@register
+def submission(spark: SparkSession, root: str) -> DataFrame:
+    """Predictions for the rows outside the training split, keyed by id."""
+    table, model = train.split_and_train(comments(spark, root))
+    test = table.where(F.col("split") != "train")
+    return rounded(train.score(model, test).select("id", "prediction"), 6)
+
+
+@register
+def oof_union(spark: SparkSession, root: str) -> DataFrame:
+    c = comments(spark, root)
+    folds = order.assign_folds(c, "id", N_FOLDS, FOLD_SEED)
+    oof, _, _ = train.out_of_fold(c, folds, N_FOLDS)
+    return rounded(oof.select("id", "fold", "logit", "prediction"), 6)
+
+
+@register
+def submission_folds(spark: SparkSession, root: str) -> DataFrame:
+    """Every fold model scores the whole table: (fold, id, prediction)."""
+    c = comments(spark, root)
+    folds = order.assign_folds(c, "id", N_FOLDS, FOLD_SEED)
+    _, models, table = train.out_of_fold(c, folds, N_FOLDS)
+    out = None
+    for k, (m, _) in models.items():
+        part = train.score(m, table).select(F.lit(k).alias("fold"), "id", "prediction")
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 6)
+
+
+@register
+def epoch_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """Validation metric per epoch in one pass: each epoch's prediction set is
+    a group key of the bias evaluation."""
+    c = comments(spark, root)
+    per_epoch = c.select("*", F.explode(F.array(
+        F.struct(F.lit(0).alias("epoch"), F.col("prediction").alias("score")),
+        F.struct(F.lit(1).alias("epoch"), ((F.col("prediction") + F.col("target")) / 2).alias("score")))).alias("_e")
+    ).select("*", "_e.epoch", "_e.score").drop("_e")
+    bias = auc_ops.bias_metrics(per_epoch, DEFAULT, score="score", by=["epoch"])
+    return rounded(auc_ops.final_metric(bias, DEFAULT, by=["epoch"]))
