@@ -541,6 +541,15 @@ SELECT epoch, round(overall_auc, {R}) AS overall_auc, round(pm_sub, {R}) AS powe
 FROM m JOIN o USING (epoch)"""
 
 
+def scan_comments() -> str:
+    from .sources.io import NA_TOKENS
+    toks = ", ".join(_sql_str(t) for t in NA_TOKENS)
+    ids = ", ".join(f"round({g}, {R}) AS {g}" for g in IDENTITY_COLUMNS)
+    return f"""WITH {comments_cte()}
+SELECT id, CASE WHEN comment_text IN ({toks}) THEN NULL ELSE comment_text END AS comment_text,
+       round(target, {R}) AS target, {ids} FROM c"""
+
+
 ORACLES = {
     "bias_metrics": bias_metrics,
     "final_metric": final_metric,
@@ -592,6 +601,8 @@ ORACLES = {
     "assemble": assemble,
     "dense_head": dense_head,
     "epoch_metrics": epoch_metrics,
+    "scan_comments": scan_comments,
+    "stream_meta_features": meta_features,
 }
 
 

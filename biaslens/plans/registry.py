@@ -23,7 +23,9 @@ from ..operators import loss as loss_ops
 from ..operators import vectors as vec
 from ..operators import order
 from ..operators import runlog as rl
+from ..sources import io
 from ..sources.tables import comments, read_table
+from ..streaming import features as sf
 from . import train
 
 R = 9
@@ -491,3 +493,37 @@ def epoch_metrics(spark: SparkSession, root: str) -> DataFrame:
     ).select("*", "_e.epoch", "_e.score").drop("_e")
     bias = auc_ops.bias_metrics(per_epoch, DEFAULT, score="score", by=["epoch"])
     return rounded(auc_ops.final_metric(bias, DEFAULT, by=["epoch"]))
+
+
+# --- sources, sinks, streaming ----------------------------------------------
+
+@register
+def scan_comments(spark: SparkSession, root: str) -> DataFrame:
+    """Comment table written as CSV (quoted, escaped, multi-line) and scanned
+    back with the missing-value rules of the modelled reader."""
+    path = io.scratch_path(spark, "comments-csv")
+    io.write_comments_csv(comments(spark, root), path)
+    back = io.read_comments_csv(spark, path)
+    return rounded(back.select("id", "comment_text", "target", *DEFAULT.identity_columns))
+
+
+@register
+def stream_meta_features(spark: SparkSession, root: str) -> DataFrame:
+    """Meta features computed by a Structured Streaming job (file source,
+    availableNow trigger, exactly-once file sink), read back as a table."""
+    q, out = sf.stream_meta_features(spark, root)
+    q.awaitTermination()
+    return rounded(spark.read.parquet(out))
+
+
+@register
+def training_table(spark: SparkSession, root: str) -> DataFrame:
+    """Keyed alignment of encoded sequences, scaled features and targets
+    (equi-joins on id; the modelled code zips arrays by position)."""
+    c = comments(spark, root)
+    e = enc.encode(c, _vocab(spark, root), max_len=DEFAULT.max_sequence_length)
+    t = train.training_table(c)
+    j = e.join(t, "id")
+    return rounded(j.select("id", F.size(F.filter("token_ids", lambda x: x != 0)).alias("n_ids"),
+                            F.element_at(train.vector_to_array("features"), 1).alias("total_length_scaled"),
+                            "y", "weight"))
