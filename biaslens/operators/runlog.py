@@ -99,8 +99,15 @@ def keyed_mean_loss(log: DataFrame, keys: list[str], loss_key: str, value: str)
                                       F.count(F.lit(1)).alias("n_losses"))
 
 
+def ema_chunk(decay: float) -> int:
+    """Chunk length for ``ema``: three chunks of decay reach 1e-17 (below
+    double precision), and ``decay**-chunk`` stays far from overflow."""
+    rate = -math.log(decay)
+    return int(min(max(1024, math.ceil(13.1 / rate)), math.floor(600.0 / rate)))
+
+
 def ema(log: DataFrame, run: str, order: list[str], value: str, decay: float = 0.98,
-        chunk: int = 1024) -> DataFrame:
+        chunk: int | None = None) -> DataFrame:
     """Exponential moving average ``l = decay*l + (1-decay)*x`` per run, where
     ``l`` restarts at ``x`` while it is 0 (so leading zero losses keep it 0
     and the first non-zero value starts it).
@@ -111,6 +118,9 @@ def ema(log: DataFrame, run: str, order: list[str], value: str, decay: float = 0
     (run, chunk); older chunks weigh ``decay**(3*chunk)``, below double
     precision. No run is gathered into one task or one row.
     """
+    if not 0.0 < decay < 1.0:
+        raise ValueError("decay must lie in (0, 1)")
+    chunk = chunk or ema_chunk(decay)
     a = 1.0 - decay
     steps = number_steps(log, run, order, out="_t")
     first_nz = (steps.where(F.col(value) != 0).groupBy(run)
