@@ -84,8 +84,16 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "id", text: str = "commen
     third and tail; adds ``pad_mask`` (0 token / 1 padding, length
     ``max_len - 2``). ``plain``: ids only, zero padded to ``max_len - 2``.
     """
+    return encode_tokens(df.select(key, tokenize(text, lower).alias("_tokens")), vocab, key, "_tokens",
+                         max_len, mode)
+
+
+def encode_tokens(df: DataFrame, vocab: DataFrame, key: str = "id", tokens: str = "tokens",
+                  max_len: int = 220, mode: str = "head") -> DataFrame:
+    """``encode`` for an already tokenised column (tokenise once, then build
+    the vocabulary and encode from the same materialised table)."""
     m = max_len - 2
-    toks = tokenize(text, lower)
+    toks = F.col(tokens)
     kept = keep_head_tail(toks, m) if mode == "head_tail" else keep_head(toks, m)
     base = df.select(key, kept.alias("_kept"))
     ids = lookup_ids(base, key, "_kept", vocab, "_ids")

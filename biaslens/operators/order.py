@@ -22,6 +22,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BUCKET = "_bucket"
 DEFAULT_ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 100_000
@@ -182,7 +184,8 @@ def length_batches(df: DataFrame, id_col: str, zeros_col: str, batch_size: int,
     bucket may hold most rows); leftovers number at most
     n_length_buckets x (batch_size - 1) rows, so their ordering is small.
     """
-    pos = global_positions(df.select(id_col, zeros_col), id_col, seed)
+    # Several sizing actions follow: compute the input once.
+    pos = global_positions(cut_lineage(df.select(id_col, zeros_col)), id_col, seed)
     lb = F.floor(F.col(zeros_col) / bucket_width).cast("int")
     rows = pos.withColumn("length_bucket", lb)
     rows, nb = quantile_bucket(rows, "position")

@@ -23,6 +23,7 @@ from ..operators import loss as loss_ops
 from ..operators import vectors as vec
 from ..operators import order
 from ..operators import runlog as rl
+from ..session import cut_lineage
 from ..sources import io
 from ..sources.tables import comments, read_table
 from ..streaming import features as sf
@@ -123,7 +124,7 @@ def scale_fit(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def scale_apply(spark: SparkSession, root: str) -> DataFrame:
-    mf = feat.meta_features(comments(spark, root))
+    mf = cut_lineage(feat.meta_features(comments(spark, root)))
     return rounded(feat.scale_apply(mf, feat.scale_fit(mf), dtype="double"))
 
 
@@ -170,26 +171,31 @@ def vocab(spark: SparkSession, root: str) -> DataFrame:
     return _vocab(spark, root)
 
 
+def _encoded(spark: SparkSession, root: str, mode: str = "head") -> DataFrame:
+    """Tokenise once (materialised), build the vocabulary and encode from it."""
+    toks = cut_lineage(comments(spark, root).select("id", enc.tokenize("comment_text").alias("tokens")))
+    vocab_t = enc.build_vocab(toks, size=VOCAB_SIZE)
+    return enc.encode_tokens(toks, vocab_t, "id", "tokens", DEFAULT.max_sequence_length, mode)
+
+
 @register
 def encode_head(spark: SparkSession, root: str) -> DataFrame:
-    return enc.encode(comments(spark, root), _vocab(spark, root), max_len=DEFAULT.max_sequence_length)
+    return _encoded(spark, root)
 
 
 @register
 def encode_head_tail(spark: SparkSession, root: str) -> DataFrame:
-    return enc.encode(comments(spark, root), _vocab(spark, root), max_len=DEFAULT.max_sequence_length,
-                      mode="head_tail")
+    return _encoded(spark, root, "head_tail")
 
 
 @register
 def encode_plain(spark: SparkSession, root: str) -> DataFrame:
-    return enc.encode(comments(spark, root), _vocab(spark, root), max_len=DEFAULT.max_sequence_length,
-                      mode="plain")
+    return _encoded(spark, root, "plain")
 
 
 @register
 def attention_mask(spark: SparkSession, root: str) -> DataFrame:
-    e = enc.encode(comments(spark, root), _vocab(spark, root), max_len=DEFAULT.max_sequence_length)
+    e = _encoded(spark, root)
     return e.select("id", enc.attention_mask("token_ids").alias("attention_mask"),
                     enc.zero_count("token_ids").alias("n_zeros"))
 
@@ -250,15 +256,14 @@ def fixed_batches(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def length_batches(spark: SparkSession, root: str) -> DataFrame:
-    e = enc.encode(comments(spark, root), _vocab(spark, root), max_len=DEFAULT.max_sequence_length)
-    z = e.select("id", enc.zero_count("token_ids").alias("n_zeros"))
+    z = _encoded(spark, root).select("id", enc.zero_count("token_ids").alias("n_zeros"))
     return order.length_batches(z, "id", "n_zeros", DEFAULT.batch_size)
 
 
 @register
 def trim_batches(spark: SparkSession, root: str) -> DataFrame:
     c = comments(spark, root)
-    e = enc.encode(c, _vocab(spark, root), max_len=DEFAULT.max_sequence_length)
+    e = _encoded(spark, root)
     b = order.fixed_batches(c.select("id"), "id", DEFAULT.batch_size).select("id", "batch")
     return order.trim_batches(e.join(b, "id"), "token_ids")
 
@@ -521,7 +526,7 @@ def training_table(spark: SparkSession, root: str) -> DataFrame:
     """Keyed alignment of encoded sequences, scaled features and targets
     (equi-joins on id; the modelled code zips arrays by position)."""
     c = comments(spark, root)
-    e = enc.encode(c, _vocab(spark, root), max_len=DEFAULT.max_sequence_length)
+    e = _encoded(spark, root)
     t = train.training_table(c)
     j = e.join(t, "id")
     return rounded(j.select("id", F.size(F.filter("token_ids", lambda x: x != 0)).alias("n_ids"),

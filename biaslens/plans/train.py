@@ -27,7 +27,8 @@ def training_table(comments: DataFrame, cfg: BiasConfig = DEFAULT, train_ids: Da
     The scaler is fitted on ``train_ids`` rows only (all rows when None) and
     applied to every row; features, targets and weights are joined on id.
     """
-    mf = feat.meta_features(comments, cfg)
+    # The text pass runs once: fit and transform both read the materialised features.
+    mf = cut_lineage(feat.meta_features(comments, cfg))
     fit_on = mf if train_ids is None else mf.join(train_ids, cfg.id_column, "left_semi")
     scaled = feat.scale_apply(mf, feat.scale_fit(fit_on), dtype="double")
     vecs = VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol="features",
