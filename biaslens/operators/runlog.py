@@ -21,9 +21,15 @@ from .order import BUCKET, prefix_max, prefix_sums, quantile_bucket, row_numbers
 def _order_key(df: DataFrame, ts: str) -> DataFrame:
     """Numeric order key for bucketing (microseconds of a timestamp)."""
     t = df.schema[ts].dataType.simpleString()
-    key = (F.unix_micros(F.col(ts).cast("timestamp")).cast("double") if t.startswith("timestamp")
-           else F.col(ts).cast("double"))
-    return df.withColumn("_ok", key)
+    if t == "timestamp_ntz":
+        # wall-clock micros, independent of the session time zone (a zone
+        # cast could reorder rows around daylight-saving gaps)
+        key = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
+    elif t == "timestamp":
+        key = F.unix_micros(F.col(ts))
+    else:
+        key = F.col(ts)
+    return df.withColumn("_ok", key.cast("double"))
 
 
 def number_steps(log: DataFrame, run: str, order: list[str], out: str = "step") -> DataFrame:

@@ -550,6 +550,13 @@ SELECT id, CASE WHEN comment_text IN ({toks}) THEN NULL ELSE comment_text END AS
        round(target, {R}) AS target, {ids} FROM c"""
 
 
+def fold_seeds() -> str:
+    return f"""WITH {comments_cte()}, n AS (SELECT count(*) AS n FROM c),
+f AS (SELECT CAST(f AS INTEGER) AS fold, CAST((n - f + 4) // 5 AS BIGINT) AS n_rows FROM range(5) t(f), n
+      WHERE (n - f + 4) // 5 > 0)
+SELECT fold, n_rows, CAST(2106 + sum(fold) OVER (ORDER BY fold) AS BIGINT) AS seed FROM f"""
+
+
 ORACLES = {
     "bias_metrics": bias_metrics,
     "final_metric": final_metric,
@@ -602,6 +609,8 @@ ORACLES = {
     "dense_head": dense_head,
     "epoch_metrics": epoch_metrics,
     "scan_comments": scan_comments,
+    "dense_head_batch_udf": dense_head,
+    "fold_seeds": fold_seeds,
     "stream_meta_features": meta_features,
 }
 

@@ -27,7 +27,7 @@ from ..session import cut_lineage
 from ..sources import io
 from ..sources.tables import comments, read_table
 from ..streaming import features as sf
-from . import train
+from . import score, train
 
 R = 9
 
@@ -532,3 +532,21 @@ def training_table(spark: SparkSession, root: str) -> DataFrame:
     return rounded(j.select("id", F.size(F.filter("token_ids", lambda x: x != 0)).alias("n_ids"),
                             F.element_at(train.vector_to_array("features"), 1).alias("total_length_scaled"),
                             "y", "weight"))
+
+
+@register
+def dense_head_batch_udf(spark: SparkSession, root: str) -> DataFrame:
+    """The dense head through the user-model hook (Arrow batches of 32)."""
+    w = vec.demo_weights(DENSE_IN, DENSE_OUT)
+    b = [0.01 * j for j in range(DENSE_OUT)]
+    e = _emb(spark, root)
+    return rounded(score.score_with_model(e, score.dense_relu_model(w, b), "embedding", "vec_id", DENSE_IN,
+                                          out="hidden"))
+
+
+@register
+def fold_seeds(spark: SparkSession, root: str) -> DataFrame:
+    """Fold loop seeds ``seed += fold`` (running sum over the fold table)."""
+    folds = order.assign_folds(comments(spark, root), "id", N_FOLDS, FOLD_SEED)
+    per_fold = folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"))
+    return per_fold.select("fold", "n_rows", rl.accumulating_seeds(per_fold, "fold", FOLD_SEED).alias("seed"))
