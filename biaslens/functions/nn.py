@@ -21,8 +21,12 @@ def bce_with_logits(x, y) -> Column:
     return F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
 
 
-def bce_sum(logits, targets) -> Column:
-    """Sum of element-wise BCE over two equally long arrays."""
+def bce_sum(logits, targets, n: int | None = None) -> Column:
+    """Sum of element-wise BCE over two equally long arrays; with a known
+    length ``n`` the sum is unrolled (generated code, no lambda)."""
+    if n is not None:
+        return sum((bce_with_logits(F.element_at(_c(logits), i + 1), F.element_at(_c(targets), i + 1))
+                    for i in range(n)), F.lit(0.0))
     pairs = F.zip_with(_c(logits), _c(targets), lambda x, y: bce_with_logits(x, y))
     return F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + v)
 

@@ -30,18 +30,24 @@ def filled(c, value: float = 0.0) -> Column:
     return F.nanvl(F.coalesce(c.cast("double"), F.lit(value)), F.lit(value))
 
 
+def _extreme(fn, cols) -> Column:
+    vals = [filled(c) for c in cols]
+    return vals[0] if len(vals) == 1 else fn(*vals)
+
+
 def any_at_least(cols, threshold: float = BINARY_THRESHOLD) -> Column:
-    """Some identity >= threshold after filling missing values with 0."""
-    return F.exists(F.array(*[filled(c) for c in cols]), lambda x: x >= F.lit(threshold))
+    """Some identity >= threshold after filling missing values with 0
+    (``greatest`` instead of a lambda: stays in generated code)."""
+    return _extreme(F.greatest, cols) >= F.lit(threshold)
 
 
 def any_below(cols, threshold: float = BINARY_THRESHOLD) -> Column:
     """Some identity < threshold after filling missing values with 0."""
-    return F.exists(F.array(*[filled(c) for c in cols]), lambda x: x < F.lit(threshold))
+    return _extreme(F.least, cols) < F.lit(threshold)
 
 
 def all_below(cols, threshold: float = BINARY_THRESHOLD) -> Column:
-    return F.forall(F.array(*[filled(c) for c in cols]), lambda x: x < F.lit(threshold))
+    return _extreme(F.greatest, cols) < F.lit(threshold)
 
 
 def sample_weight(target, identities, threshold: float = BINARY_THRESHOLD,

@@ -42,7 +42,8 @@ def score_counts(df: DataFrame, label: str, score: str, subgroups, threshold: fl
     y = to_bool(label, threshold).cast("long")
     slim = (df.where(F.col(score).isNotNull())
               .select(*by, F.col(score).cast("double").alias("score"), y.alias("y"),
-                      F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("grp")))
+                      F.explode(tags).alias("grp"))
+              .where(F.col("grp").isNotNull()))
     return (slim.groupBy(*by, "grp", "score")
                 .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
 

@@ -68,7 +68,7 @@ def lookup_ids(df: DataFrame, key: str, kept: str, vocab: DataFrame, out: str =
     entry = F.when(F.col("pos").isNotNull(),
                    F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
     grouped = looked.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-    return grouped.select(key, F.transform("_e", lambda e: e["id"]).alias(out))
+    return grouped.select(key, F.col("_e.id").alias(out))
 
 
 def _zeros(n: Column) -> Column:
@@ -116,7 +116,7 @@ def attention_mask(ids) -> Column:
 
 def zero_count(ids) -> Column:
     ids = F.col(ids) if isinstance(ids, str) else ids
-    return F.size(F.filter(ids, lambda x: x == 0))
+    return (F.size(ids) - F.size(F.array_remove(ids, 0))).cast("int")
 
 
 def truncation_stats(df: DataFrame, text: str = "comment_text", max_len: int = 220,

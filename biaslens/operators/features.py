@@ -21,9 +21,10 @@ def meta_features(df: DataFrame, cfg: BiasConfig = DEFAULT, keep=None, missing:
     """
     keep = list(keep) if keep is not None else [cfg.id_column]
     cleaned = df.select(*keep, tx.clean_spaces(tx.coerce_text(cfg.text_column, missing)).alias("_t"))
-    # Split once; the three word features derive from the projected list.
-    with_words = cleaned.withColumn("_w", tx.words("_t"))
-    exprs = tx.meta_feature_exprs(F.col("_t"), F.col("_w"))
+    # Split once and reduce to the counted characters once; the features
+    # derive from these projected columns.
+    with_words = cleaned.withColumn("_w", tx.words("_t")).withColumn("_k", tx.counted_chars("_t"))
+    exprs = tx.meta_feature_exprs(F.col("_t"), F.col("_w"), F.col("_k"))
     return with_words.select(*keep, *[exprs[c].alias(c) for c in FEATURE_COLUMNS])
 
 

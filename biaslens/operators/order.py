@@ -184,16 +184,17 @@ def length_batches(df: DataFrame, id_col: str, zeros_col: str, batch_size: int,
     bucket may hold most rows); leftovers number at most
     n_length_buckets x (batch_size - 1) rows, so their ordering is small.
     """
-    # Several sizing actions follow: compute the input once.
-    pos = global_positions(cut_lineage(df.select(id_col, zeros_col)), id_col, seed)
+    # Several sizing actions follow; each stage's input is materialised once
+    # so no window is recomputed per action.
+    pos = cut_lineage(global_positions(cut_lineage(df.select(id_col, zeros_col)), id_col, seed))
     lb = F.floor(F.col(zeros_col) / bucket_width).cast("int")
     rows = pos.withColumn("length_bucket", lb)
-    rows, nb = quantile_bucket(rows, "position")
+    rows, nb = quantile_bucket(rows, "position", n_rows=None)
     numbered = row_numbers(rows, ["length_bucket"], ["position"], out="rn",
                            n_buckets_bound=nb, n_groups_bound=None).drop(BUCKET)
     full_n = F.floor(F.col("rn_count") / batch_size) * batch_size
-    tagged = numbered.withColumn("is_full", F.col("rn") <= full_n).withColumn(
-        "chunk", F.floor((F.col("rn") - 1) / batch_size).cast("long"))
+    tagged = cut_lineage(numbered.withColumn("is_full", F.col("rn") <= full_n).withColumn(
+        "chunk", F.floor((F.col("rn") - 1) / batch_size).cast("long")))
 
     full = tagged.where("is_full")
     chunks = full.groupBy("length_bucket", "chunk").agg(F.max("position").alias("last_pos"))
@@ -222,7 +223,7 @@ def trim_batches(df: DataFrame, ids_col: str, batch_col: str = "batch", min_len:
     """Cut every sequence of a batch to the batch's largest non-zero count,
     when that count exceeds ``min_len``. A batch holds at most batch_size
     rows, so the window per batch is small."""
-    nz = F.size(F.filter(ids_col, lambda x: x != 0))
+    nz = F.size(F.array_remove(ids_col, 0))
     m = F.max(nz).over(Window.partitionBy(batch_col))
     return df.withColumn("_m", m).withColumn(
         ids_col, F.when(F.col("_m") > min_len, F.slice(ids_col, 1, F.col("_m"))).otherwise(F.col(ids_col))

@@ -16,6 +16,17 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-repartition on ``key`` when the scan yields fewer splits than the
+    cluster can run at once (e.g. one large row group), so text work is not
+    single-threaded. A large table already has more splits and is returned
+    unchanged (no shuffle). Hash partitioning keeps retries deterministic."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n, key)
+    return df
+
+
 def _h(m: int, k: int) -> str:
     # Reduce the key before multiplying so the product never overflows a
     # bigint, whatever the size of the key (same residue as without).
@@ -52,5 +63,5 @@ def comments_sql(src: str = "documents") -> str:
 
 def comments(spark: SparkSession, root: str) -> DataFrame:
     """The labelled comment table derived from ``documents`` (column-pruned lazily)."""
-    docs = read_table(spark, root, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, root, "documents").select("doc_id", "text"), "doc_id")
     return spark.sql(comments_sql("{documents}"), documents=docs)
