@@ -24,12 +24,21 @@ def linear_outputs(comments: DataFrame, cfg: BiasConfig = DEFAULT) -> DataFrame:
 
 def batch_losses(frame: DataFrame, batch: str = "batch", logits: str = "logits", y: str = "y",
                  weight: str = "weight", aux_targets: str = "aux_targets",
-                 loss_weight: float | None = None, n_aux: int | None = 6) -> DataFrame:
+                 loss_weight: float | None = None, n_aux: int | None = 6,
+                 criterion=None) -> DataFrame:
     """Per batch: ``bin = mean(w * bce(logit_0, y))``, ``aux = mean over the
     n x 6 aux cells of bce``; loss = ``0.5*bin + 0.5*aux`` or, with
-    ``loss_weight``, ``loss_weight*bin + aux`` (the older training script)."""
-    b = nn.bce_with_logits(nn.binary_logit(logits), F.col(y)) * F.col(weight)
-    a = nn.bce_sum(nn.aux_logits(logits), F.col(aux_targets), n_aux)
+    ``loss_weight``, ``loss_weight*bin + aux`` (the older training script).
+
+    ``criterion(output_bin, target_bin, weight_bin, output_aux, target_aux)``
+    may replace the per-row terms: it returns (binary term, summed aux term)
+    as Columns."""
+    if criterion is None:
+        b = nn.bce_with_logits(nn.binary_logit(logits), F.col(y)) * F.col(weight)
+        a = nn.bce_sum(nn.aux_logits(logits), F.col(aux_targets), n_aux)
+    else:
+        b, a = criterion(nn.binary_logit(logits), F.col(y), F.col(weight), nn.aux_logits(logits),
+                         F.col(aux_targets))
     n_aux = F.size(F.col(aux_targets))
     per = frame.groupBy(batch).agg(F.avg(b).alias("bin_loss"),
                                    (F.sum(a) / F.sum(n_aux)).alias("aux_loss"),

@@ -179,5 +179,3 @@ def accumulating_seeds(folds: DataFrame, fold: str, base_seed: int) -> Column:
     w = Window.orderBy(fold).rowsBetween(Window.unboundedPreceding, 0)
     return (F.lit(base_seed) + F.sum(fold).over(w)).cast("long")
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("math",)]

@@ -480,11 +480,7 @@ def submission_folds(spark: SparkSession, root: str) -> DataFrame:
     c = comments(spark, root)
     folds = order.assign_folds(c, "id", N_FOLDS, FOLD_SEED)
     _, models, table = train.out_of_fold(c, folds, N_FOLDS)
-    out = None
-    for k, (m, _) in models.items():
-        part = train.score(m, table).select(F.lit(k).alias("fold"), "id", "prediction")
-        out = part if out is None else out.unionByName(part)
-    return rounded(out, 6)
+    return rounded(train.score_all_folds(table, models), 6)
 
 
 @register

@@ -135,21 +135,46 @@ def split_and_train(comments: DataFrame, cfg: BiasConfig = DEFAULT):
     return table, model
 
 
-def out_of_fold(comments: DataFrame, folds: DataFrame, n_folds: int, cfg: BiasConfig = DEFAULT,
-                with_aux: bool = False):
-    """Per fold: fit on the other folds, score the held-out fold. Returns
-    (OOF predictions (id, fold, logit, prediction[, aux_logits]), models).
-    Each fit is a distributed Spark ML job; the loop runs over the k folds."""
+def fit_binary_folds(table: DataFrame, n_folds: int, fold: str = "fold", max_iter: int = 100,
+                     reg: float = 0.0) -> dict[int, HeadModel]:
+    """The k fold models (each trained on the other folds) in ONE fit.
+
+    Every row is copied into the training block of each fold but its own
+    (k - 1 copies) with its features placed in that fold's block; the
+    weighted log-loss separates by block, so the joint optimum is each fold
+    model's own. One distributed solver run instead of k.
+    """
+    d = len(FEATURE_COLUMNS) + 1
+    x = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
+    others = F.array_remove(F.sequence(F.lit(0), F.lit(n_folds - 1)), F.col(fold))
+    rows = table.select(x.alias("_x"), F.col("y").cast("double").alias("label"), F.col("weight").alias("w"),
+                        F.explode(others).alias("_k"))
+    block = F.concat(F.array_repeat(F.lit(0.0), F.col("_k") * d), F.col("_x"),
+                     F.array_repeat(F.lit(0.0), (F.lit(n_folds - 1) - F.col("_k")) * d))
+    data = rows.select(array_to_vector(block).alias("features"), "label", "w")
+    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", standardization=False,
+                            maxIter=max_iter, regParam=reg, fitIntercept=False, family="binomial", tol=1e-8)
+    joint = lr.fit(data).coefficients.toArray()
+    return {k: HeadModel(joint[k * d:(k + 1) * d - 1], joint[(k + 1) * d - 1]) for k in range(n_folds)}
+
+
+def out_of_fold(comments: DataFrame, folds: DataFrame, n_folds: int, cfg: BiasConfig = DEFAULT):
+    """Fit the k fold models jointly, score every row with its own fold's
+    model in one pass. Returns (OOF (id, fold, logit, prediction), models,
+    training table)."""
     table = cut_lineage(training_table(comments, cfg).join(folds, cfg.id_column))
-    parts, models = [], {}
-    for k in range(n_folds):
-        train = table.where(F.col("fold") != k)
-        model = fit_binary(train)
-        aux = fit_aux(train, cfg) if with_aux else None
-        models[k] = (model, aux)
-        held = table.where(F.col("fold") == k)
-        parts.append(score(model, held, cfg.id_column, aux).withColumn("fold", F.lit(k)))
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
+    models = fit_binary_folds(table, n_folds)
+    margin = None
+    for k, m in models.items():
+        margin = (F.when(F.col("fold") == k, m.margin()) if margin is None
+                  else margin.when(F.col("fold") == k, m.margin()))
+    oof = table.select(cfg.id_column, "fold", margin.alias("logit")).withColumn(
+        "prediction", nn.sigmoid("logit"))
     return oof, models, table
+
+
+def score_all_folds(table: DataFrame, models: dict[int, HeadModel], id_col: str = "id") -> DataFrame:
+    """(fold, id, prediction): every fold model scores every row, in one pass."""
+    margins = F.array(*[models[k].margin() for k in sorted(models)])
+    return table.select(id_col, F.posexplode(margins).alias("fold", "logit")).select(
+        "fold", id_col, nn.sigmoid("logit").alias("prediction"))

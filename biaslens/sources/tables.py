@@ -21,10 +21,12 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     cluster can run at once (e.g. one large row group), so text work is not
     single-threaded. A large table already has more splits and is returned
     unchanged (no shuffle). Hash partitioning keeps retries deterministic."""
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n, key)
-    return df
+    try:
+        n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()   # planning only, no job
+    except Exception:  # noqa: BLE001 - sessions without an RDD view keep the scan as is
+        return df
+    return df.repartition(n, key) if splits < n else df
 
 
 def _h(m: int, k: int) -> str:

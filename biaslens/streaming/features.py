@@ -25,13 +25,18 @@ def document_stream(spark: SparkSession, root: str, max_files_per_trigger: int =
 
 
 def stream_meta_features(spark: SparkSession, root: str, out: str | None = None,
-                         cfg: BiasConfig = DEFAULT, available_now: bool = True) -> tuple[StreamingQuery, str]:
+                         cfg: BiasConfig = DEFAULT, available_now: bool = True,
+                         spread_partitions: int | None = 0) -> tuple[StreamingQuery, str]:
     """Start the feature stream; returns (query, output folder).
 
     Exactly-once file sink with its own checkpoint under the shared
     checkpoint folder; ``available_now`` processes what is there and stops.
     """
     docs = document_stream(spark, root).select("doc_id", "text")
+    # A micro-batch of few large files is few tasks: hash-spread it over the
+    # cluster's slots (0 = default parallelism, None = keep file splits).
+    if spread_partitions is not None:
+        docs = docs.repartition(spread_partitions or spark.sparkContext.defaultParallelism, "doc_id")
     rows = spark.sql(comments_sql("{documents}"), documents=docs)
     features = feat.meta_features(rows, cfg)
     out = out or scratch_path(spark, "stream-meta-features")
