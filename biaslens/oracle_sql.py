@@ -459,15 +459,15 @@ FROM bl JOIN al USING (batch)"""
 
 
 def weighted_loss_scaled() -> str:
-    return f"""WITH {_scored_cte()}
-SELECT CAST(batch AS BIGINT) AS batch, round(1.5 * bin_loss + aux_loss, {R}) AS loss
-FROM bl JOIN al USING (batch)"""
+    return f"""WITH {_scored_cte()}, lw AS (SELECT 1.0 / avg(weight) AS lw FROM tw)
+SELECT CAST(batch AS BIGINT) AS batch, round(lw * bin_loss + aux_loss, {R}) AS loss
+FROM bl JOIN al USING (batch), lw"""
 
 
 def epoch_accuracy() -> str:
-    return f"""WITH {_scored_cte()}
-SELECT round(avg(0.5 * bin_loss + 0.5 * aux_loss) / 4, {R}) AS epoch_loss, round(avg(acc), {R}) AS epoch_accuracy
-FROM bl JOIN al USING (batch)"""
+    return f"""WITH {_scored_cte()}, lw AS (SELECT 1.0 / avg(weight) AS lw FROM tw)
+SELECT round(avg(lw * bin_loss + aux_loss) / 4, {R}) AS epoch_loss, round(avg(acc), {R}) AS epoch_accuracy
+FROM bl JOIN al USING (batch), lw"""
 
 
 def _emb_long() -> str:

@@ -379,16 +379,24 @@ def weighted_loss(spark: SparkSession, root: str) -> DataFrame:
     return rounded(loss_ops.batch_losses(_scored(spark, root)).select("batch", "n_rows", "loss"))
 
 
+def _loss_weight_value(spark: SparkSession, root: str) -> float:
+    """The scalar loss weight ``1 / mean(weight)`` (one aggregate row)."""
+    return float(feat.loss_weight(feat.targets(comments(spark, root))).first()[0])
+
+
 @register
 def weighted_loss_scaled(spark: SparkSession, root: str) -> DataFrame:
-    lw = 1.5
+    lw = _loss_weight_value(spark, root)
     return rounded(loss_ops.batch_losses(_scored(spark, root), loss_weight=lw).select("batch", "loss"))
 
 
 @register
 def epoch_accuracy(spark: SparkSession, root: str) -> DataFrame:
+    """Epoch loss (scaled criterion with the data's loss weight, divided by
+    the accumulation steps) and accuracy, as means of per-batch means."""
     s = _scored(spark, root)
-    return rounded(loss_ops.epoch_summary(loss_ops.batch_losses(s), loss_ops.batch_accuracy(s),
+    losses = loss_ops.batch_losses(s, loss_weight=_loss_weight_value(spark, root))
+    return rounded(loss_ops.epoch_summary(losses, loss_ops.batch_accuracy(s),
                                           accumulation_steps=DEFAULT.accumulation_steps))
 
 
