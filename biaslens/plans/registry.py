@@ -482,6 +482,15 @@ def oof_union(spark: SparkSession, root: str) -> DataFrame:
     return rounded(oof.select("id", "fold", "logit", "prediction"), 6)
 
 
+@register
+def oof_aux(spark: SparkSession, root: str) -> DataFrame:
+    """Out-of-fold auxiliary logits (six heads per fold)."""
+    c = comments(spark, root)
+    folds = order.assign_folds(c, "id", N_FOLDS, FOLD_SEED)
+    table = cut_lineage(train.training_table(c).join(folds, "id"))
+    return rounded(train.out_of_fold_aux(table, N_FOLDS), 6)
+
+
 @register
 def submission_folds(spark: SparkSession, root: str) -> DataFrame:
     """Every fold model scores the whole table: (fold, id, prediction)."""

@@ -9,7 +9,7 @@ artefact is keyed by ``id`` and aligned by equi-joins, never by row order.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Interaction, OneHotEncoder, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,30 +60,44 @@ def soft_rows(train: DataFrame, target: str) -> DataFrame:
                  .select("features", "_r.label", "_r.w").where(F.col("w") > 0))
 
 
+def block_design(df: DataFrame, block: str, n_blocks: int, features: str = "features",
+                 out: str = "design") -> DataFrame:
+    """Sparse block-diagonal design: row in block b gets ``[features, 1]`` in
+    columns ``b*(d+1) .. b*(d+1)+d`` and zeros elsewhere (one-hot(block) x
+    features via ``Interaction``; only the row's own block is stored)."""
+    spark = df.sparkSession
+    ohe = OneHotEncoder(inputCols=[block], outputCols=["_oh"], dropLast=False).fit(
+        spark.range(n_blocks).select(F.col("id").cast("int").alias(block)))
+    sized = VectorSizeHint(inputCol=features, size=len(FEATURE_COLUMNS), handleInvalid="error").transform(df)
+    with_one = VectorAssembler(inputCols=[features, "_one"], outputCol="_xb").transform(
+        sized.withColumn("_one", F.lit(1.0)))
+    return Interaction(inputCols=["_oh", "_xb"], outputCol=out).transform(
+        ohe.transform(with_one.withColumn(block, F.col(block).cast("int"))))
+
+
+def _joint_fit(design: DataFrame, max_iter: int, reg: float):
+    lr = LogisticRegression(featuresCol="design", labelCol="label", weightCol="w", standardization=False,
+                            maxIter=max_iter, regParam=reg, fitIntercept=False, family="binomial")
+    return lr.fit(design.select("design", "label", "w")).coefficients.toArray()
+
+
 def fit_aux(train: DataFrame, cfg: BiasConfig = DEFAULT, max_iter: int = 100,
             reg: float = 0.0) -> dict[str, "HeadModel"]:
     """All auxiliary heads in ONE distributed fit.
 
-    Head h's rows carry its features (plus a 1 for its own intercept) in
-    block h of a block-diagonal design; with no penalty the log-loss splits
-    into independent per-head terms, so the joint optimum is each head's
-    own fit, reached with one pass over the data per iteration instead of
-    one per head.
+    Head h's soft rows carry its features (plus a 1 for its own intercept) in
+    block h of a sparse block-diagonal design; with no penalty the log-loss
+    splits into independent per-head terms, so the joint optimum is each
+    head's own fit. Sparse blocks keep the work per pass equal to the
+    separate fits, with one solver run instead of one per head.
     """
     heads = list(cfg.aux_columns)
     d = len(FEATURE_COLUMNS) + 1
-    x = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
-    parts = []
+    stacked = None
     for h, a in enumerate(heads):
-        block = F.concat(F.array_repeat(F.lit(0.0), h * d), x, F.array_repeat(F.lit(0.0), (len(heads) - 1 - h) * d))
-        rows = soft_rows(train.withColumn("features", array_to_vector(block)), f"aux_{a}")
-        parts.append(rows)
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", standardization=False,
-                            maxIter=max_iter, regParam=reg, fitIntercept=False, family="binomial", tol=1e-10)
-    joint = lr.fit(stacked).coefficients.toArray()
+        rows = soft_rows(train, f"aux_{a}").withColumn("head", F.lit(h))
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    joint = _joint_fit(block_design(stacked, "head", len(heads)), max_iter, reg)
     return {a: HeadModel(joint[h * d:(h + 1) * d - 1], joint[(h + 1) * d - 1]) for h, a in enumerate(heads)}
 
 
@@ -140,21 +154,14 @@ def fit_binary_folds(table: DataFrame, n_folds: int, fold: str = "fold", max_ite
     """The k fold models (each trained on the other folds) in ONE fit.
 
     Every row is copied into the training block of each fold but its own
-    (k - 1 copies) with its features placed in that fold's block; the
-    weighted log-loss separates by block, so the joint optimum is each fold
-    model's own. One distributed solver run instead of k.
+    (k - 1 copies), in a sparse block-diagonal design; the weighted log-loss
+    separates by block, so the joint optimum is each fold model's own.
     """
     d = len(FEATURE_COLUMNS) + 1
-    x = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
     others = F.array_remove(F.sequence(F.lit(0), F.lit(n_folds - 1)), F.col(fold))
-    rows = table.select(x.alias("_x"), F.col("y").cast("double").alias("label"), F.col("weight").alias("w"),
+    rows = table.select("features", F.col("y").cast("double").alias("label"), F.col("weight").alias("w"),
                         F.explode(others).alias("_k"))
-    block = F.concat(F.array_repeat(F.lit(0.0), F.col("_k") * d), F.col("_x"),
-                     F.array_repeat(F.lit(0.0), (F.lit(n_folds - 1) - F.col("_k")) * d))
-    data = rows.select(array_to_vector(block).alias("features"), "label", "w")
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", standardization=False,
-                            maxIter=max_iter, regParam=reg, fitIntercept=False, family="binomial", tol=1e-8)
-    joint = lr.fit(data).coefficients.toArray()
+    joint = _joint_fit(block_design(rows, "_k", n_folds), max_iter, reg)
     return {k: HeadModel(joint[k * d:(k + 1) * d - 1], joint[(k + 1) * d - 1]) for k in range(n_folds)}
 
 
@@ -178,3 +185,31 @@ def score_all_folds(table: DataFrame, models: dict[int, HeadModel], id_col: str
     margins = F.array(*[models[k].margin() for k in sorted(models)])
     return table.select(id_col, F.posexplode(margins).alias("fold", "logit")).select(
         "fold", id_col, nn.sigmoid("logit").alias("prediction"))
+
+
+def out_of_fold_aux(table: DataFrame, n_folds: int, cfg: BiasConfig = DEFAULT, max_iter: int = 100) -> DataFrame:
+    """(id, fold, aux_logits): for every fold, the six auxiliary heads trained
+    on the other folds score the held-out fold (raw logits, as the modelled
+    OOF files keep them). All folds x heads are ONE sparse block fit (block =
+    fold * heads + head), then one scoring pass."""
+    heads = list(cfg.aux_columns)
+    d = len(FEATURE_COLUMNS) + 1
+    others = F.array_remove(F.sequence(F.lit(0), F.lit(n_folds - 1)), F.col("fold"))
+    stacked = None
+    for h, a in enumerate(heads):
+        base = table.select("features", "fold", f"aux_{a}").withColumn("_k", F.explode(others))
+        p = F.col(f"aux_{a}").cast("double")
+        pairs = F.array(F.struct(F.lit(1.0).alias("label"), p.alias("w")),
+                        F.struct(F.lit(0.0).alias("label"), (F.lit(1.0) - p).alias("w")))
+        rows = (base.where(p.isNotNull() & ~F.isnan(p))
+                    .select("features", (F.col("_k") * len(heads) + h).alias("_b"), F.explode(pairs).alias("_r"))
+                    .select("features", "_b", "_r.label", "_r.w").where(F.col("w") > 0))
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    joint = _joint_fit(block_design(stacked, "_b", n_folds * len(heads)), max_iter, 0.0)
+    arr = None
+    for k in range(n_folds):
+        ms = [HeadModel(joint[b * d:(b + 1) * d - 1], joint[(b + 1) * d - 1])
+              for b in range(k * len(heads), (k + 1) * len(heads))]
+        a_k = F.array(*[m.margin() for m in ms])
+        arr = F.when(F.col("fold") == k, a_k) if arr is None else arr.when(F.col("fold") == k, a_k)
+    return table.select(cfg.id_column, "fold", arr.alias("aux_logits"))

@@ -6,7 +6,7 @@ import pytest
 from conftest import SF001
 from oracle_check import compare
 
-SLOW = {"train_aux", "oof_union", "submission_folds"}
+SLOW = {"train_aux", "oof_union", "submission_folds", "oof_aux"}
 
 
 def test_all_oracles_sf0001(spark):
