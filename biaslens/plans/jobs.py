@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, FEATURE_COLUMNS
 from ..operators import auc, encode as enc, features as feat
-from ..session import build_session
+from ..session import build_session, cut_lineage
 from ..sources import io
 
 
@@ -34,7 +34,8 @@ def read_comments(spark: SparkSession, path: str) -> DataFrame:
 def meta_features_job(spark, inp: str, out: str, scaler: str | None = None) -> None:
     """Train data (no ``scaler``): fit and save the scaler, scale, save.
     Test data: load the saved scaler and apply it."""
-    mf = feat.meta_features(read_comments(spark, inp))
+    # materialised once: the fit and the transform both read it
+    mf = cut_lineage(feat.meta_features(read_comments(spark, inp)))
     if scaler and os.path.exists(scaler):
         stats = spark.read.parquet(scaler)
     else:
@@ -54,7 +55,8 @@ def train_target_job(spark, inp: str, out: str) -> None:
 def extract_data_job(spark, inp: str, out: str, mode: str = "head", max_len: int = 220,
                      vocab: str | None = None, vocab_size: int = 30000) -> None:
     c = read_comments(spark, inp)
-    toks = c.select("id", enc.tokenize("comment_text").alias("tokens"))
+    # materialised once: vocabulary and encoding both read it
+    toks = cut_lineage(c.select("id", enc.tokenize("comment_text").alias("tokens")))
     if vocab and os.path.exists(vocab):
         v = spark.read.parquet(vocab)
     else:

@@ -156,9 +156,14 @@ def loss_weight(spark: SparkSession, root: str) -> DataFrame:
 VOCAB_SIZE = 5000
 
 
+def _tokens(spark: SparkSession, root: str) -> DataFrame:
+    """(id, tokens), materialised: the tokenizer runs once even though the
+    explode's inferred ``size(tokens) > 0`` filter is pushed below it."""
+    return cut_lineage(comments(spark, root).select("id", enc.tokenize("comment_text").alias("tokens")))
+
+
 def _vocab(spark: SparkSession, root: str) -> DataFrame:
-    c = comments(spark, root)
-    return enc.build_vocab(c.select(enc.tokenize("comment_text").alias("tokens")), size=VOCAB_SIZE)
+    return enc.build_vocab(_tokens(spark, root), size=VOCAB_SIZE)
 
 
 @register
@@ -173,7 +178,7 @@ def vocab(spark: SparkSession, root: str) -> DataFrame:
 
 def _encoded(spark: SparkSession, root: str, mode: str = "head") -> DataFrame:
     """Tokenise once (materialised), build the vocabulary and encode from it."""
-    toks = cut_lineage(comments(spark, root).select("id", enc.tokenize("comment_text").alias("tokens")))
+    toks = _tokens(spark, root)
     vocab_t = enc.build_vocab(toks, size=VOCAB_SIZE)
     return enc.encode_tokens(toks, vocab_t, "id", "tokens", DEFAULT.max_sequence_length, mode)
 
