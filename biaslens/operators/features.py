@@ -75,3 +75,16 @@ def targets(df: DataFrame, cfg: BiasConfig = DEFAULT) -> DataFrame:
 def loss_weight(weights: DataFrame, col: str = "weight") -> DataFrame:
     """One row: ``1 / mean(weight)``."""
     return weights.agg((F.lit(1.0) / F.avg(col)).alias("loss_weight"))
+
+
+def alignment(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
+    """One row (left_only, right_only, matched): how two keyed artefacts align
+    (a full outer join on the key; the modelled code assumes equal row
+    order instead). Keys are assumed unique per side."""
+    right_key = right_key or left_key
+    a = left.select(F.col(left_key).alias("_a"))
+    b = right.select(F.col(right_key).alias("_b"))
+    j = a.join(b, F.col("_a") == F.col("_b"), "full_outer")
+    return j.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNull()).alias("left_only"),
+                 F.count_if(F.col("_a").isNull() & F.col("_b").isNotNull()).alias("right_only"),
+                 F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("matched"))

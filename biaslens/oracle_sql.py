@@ -23,11 +23,11 @@ def comments_cte() -> str:
     return f"c AS ({comments_sql('documents')})"
 
 
-def _auc_ctes() -> str:
+def _auc_ctes(source: str | None = None, src: str = "c", target: str = "target") -> str:
     flags = ", ".join(f"{_bool(g)} AS {g}" for g in IDENTITY_COLUMNS)
-    return f"""{comments_cte()},
-v AS (SELECT id, prediction AS score, {_bool('target')} AS y, {flags}
-      FROM c WHERE prediction IS NOT NULL),
+    return f"""{source or comments_cte()},
+v AS (SELECT id, prediction AS score, {_bool(target)} AS y, {flags}
+      FROM {src} WHERE prediction IS NOT NULL),
 u AS (UNPIVOT v ON {ID_LIST} INTO NAME subgroup VALUE f),
 ex AS (
   SELECT subgroup, 'sub' AS kind, score, y FROM u WHERE f
@@ -109,10 +109,10 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _cleaned_cte() -> str:
+def _cleaned_cte(src: str = "c", keys: str = "id", text: str = "comment_text") -> str:
     from .config import SPACE_CHARS
-    return (f"t AS (SELECT id, translate(coalesce(comment_text, 'nan'), {_sql_str(SPACE_CHARS)}, "
-            f"{_sql_str(' ' * len(SPACE_CHARS))}) AS t FROM c)")
+    return (f"t AS (SELECT {keys}, translate(coalesce({text}, 'nan'), {_sql_str(SPACE_CHARS)}, "
+            f"{_sql_str(' ' * len(SPACE_CHARS))}) AS t FROM {src})")
 
 
 def text_coerce() -> str:
@@ -123,13 +123,14 @@ def clean_spaces() -> str:
     return f"WITH {comments_cte()}, {_cleaned_cte()} SELECT id, t AS comment_text FROM t"
 
 
-def _features_cte() -> str:
+def _features_cte(source: str | None = None, src: str = "c", keys: str = "id",
+                   text: str = "comment_text") -> str:
     def cnt(pattern: str) -> str:
         return f"length(regexp_replace(t, '[^{pattern}]', '', 'g'))"
 
-    return f"""{comments_cte()}, {_cleaned_cte()},
-w AS (SELECT id, t, regexp_extract_all(t, '[^{WS_RE2}]+') AS ws FROM t),
-f AS (SELECT id,
+    return f"""{source or comments_cte()}, {_cleaned_cte(src, keys, text)},
+w AS (SELECT {keys}, t, regexp_extract_all(t, '[^{WS_RE2}]+') AS ws FROM t),
+f AS (SELECT {keys},
   CAST(length(t) AS INTEGER) AS total_length,
   CAST({cnt(r'\p{Lu}')} AS INTEGER) AS capitals,
   CASE WHEN length(t) = 0 THEN 0.0 ELSE {cnt(r'\p{Lu}')} / length(t) END AS caps_vs_length,
@@ -557,6 +558,31 @@ f AS (SELECT CAST(f AS INTEGER) AS fold, CAST((n - f + 4) // 5 AS BIGINT) AS n_r
 SELECT fold, n_rows, CAST(2106 + sum(fold) OVER (ORDER BY fold) AS BIGINT) AS seed FROM f"""
 
 
+def bias_metrics_labels() -> str:
+    src = f"""{comments_cte()},
+cl AS (SELECT c.* EXCLUDE (target), CAST(l.toxic AS DOUBLE) AS target FROM c JOIN labels l ON l.doc_id = c.id)"""
+    return f"""WITH {_auc_ctes(src, "cl")}
+SELECT subgroup, CAST(subgroup_size AS BIGINT) AS subgroup_size,
+       round(subgroup_auc, {R}) AS subgroup_auc, round(bpsn_auc, {R}) AS bpsn_auc,
+       round(bnsp_auc, {R}) AS bnsp_auc
+FROM bias"""
+
+
+def conversation_features() -> str:
+    cols = ", ".join(f"round({c}, {R}) AS {c}" if c in ("caps_vs_length", "words_vs_unique") else c
+                     for c in FEATURE_COLUMNS)
+    src = "cv AS (SELECT conv_id, turn, text FROM conversations)"
+    return f"WITH {_features_cte(src, 'cv', 'conv_id, turn', 'text')} SELECT conv_id, turn, {cols} FROM f"
+
+
+def alignment_check() -> str:
+    return f"""WITH {comments_cte()},
+k AS (SELECT c.id AS a, l.doc_id AS b FROM c FULL OUTER JOIN labels l ON l.doc_id = c.id)
+SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NULL) AS left_only,
+       count(*) FILTER (WHERE a IS NULL AND b IS NOT NULL) AS right_only,
+       count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS matched FROM k"""
+
+
 ORACLES = {
     "bias_metrics": bias_metrics,
     "final_metric": final_metric,
@@ -611,6 +637,9 @@ ORACLES = {
     "scan_comments": scan_comments,
     "dense_head_batch_udf": dense_head,
     "fold_seeds": fold_seeds,
+    "bias_metrics_labels": bias_metrics_labels,
+    "conversation_features": conversation_features,
+    "alignment_check": alignment_check,
     "stream_meta_features": meta_features,
 }
 

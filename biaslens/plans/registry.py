@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import DEFAULT
+from ..config import DEFAULT, BiasConfig
 from ..functions import nn
 from ..functions import text as tx
 from ..operators import auc as auc_ops
@@ -25,7 +25,7 @@ from ..operators import order
 from ..operators import runlog as rl
 from ..session import cut_lineage
 from ..sources import io
-from ..sources.tables import comments, read_table
+from ..sources.tables import comments, read_table, spread
 from ..streaming import features as sf
 from . import score, train
 
@@ -568,3 +568,29 @@ def fold_seeds(spark: SparkSession, root: str) -> DataFrame:
     folds = order.assign_folds(comments(spark, root), "id", N_FOLDS, FOLD_SEED)
     per_fold = folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"))
     return per_fold.select("fold", "n_rows", rl.accumulating_seeds(per_fold, "fold", FOLD_SEED).alias("seed"))
+
+
+
+# --- the real labels and the second text table -------------------------------
+
+@register
+def bias_metrics_labels(spark: SparkSession, root: str) -> DataFrame:
+    """The bias table against the real 0/1 ``labels.toxic`` (inner join on id)."""
+    lab = read_table(spark, root, "labels").select(F.col("doc_id").alias("id"),
+                                                   F.col("toxic").cast("double").alias("target"))
+    c = comments(spark, root).drop("target").join(lab, "id")
+    return rounded(auc_ops.bias_metrics(c, DEFAULT))
+
+
+@register
+def conversation_features(spark: SparkSession, root: str) -> DataFrame:
+    """Row-level meta features of the conversation turns (key conv_id, turn)."""
+    conv = spread(read_table(spark, root, "conversations"), "conv_id")
+    cfg = BiasConfig(text_column="text")
+    return rounded(feat.meta_features(conv, cfg, keep=["conv_id", "turn"]))
+
+
+@register
+def alignment_check(spark: SparkSession, root: str) -> DataFrame:
+    """Key alignment of the comment table and the label table."""
+    return feat.alignment(comments(spark, root), read_table(spark, root, "labels"), "id", "doc_id")
