@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RUN_SWEEP
-from .order import BUCKET, prefix_max, prefix_sums, quantile_bucket, row_numbers
+from .order import BUCKET, DEFAULT_ROWS_PER_BUCKET, prefix_max, prefix_sums, quantile_bucket, row_numbers
 
 
 def _order_key(df: DataFrame, ts: str) -> DataFrame:
@@ -32,10 +32,11 @@ def _order_key(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn("_ok", key.cast("double"))
 
 
-def number_steps(log: DataFrame, run: str, order: list[str], out: str = "step") -> DataFrame:
+def number_steps(log: DataFrame, run: str, order: list[str], out: str = "step",
+                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """1-based step number per run in ``order`` (+ ``{out}_count``)."""
     keyed = _order_key(log, order[0])
-    keyed, nb = quantile_bucket(keyed, "_ok")
+    keyed, nb = quantile_bucket(keyed, "_ok", rows_per_bucket)
     res = row_numbers(keyed, [run], ["_ok", *order], out=out, n_buckets_bound=nb)
     return res.drop("_ok", BUCKET)
 
@@ -47,11 +48,12 @@ def weighted_average(log: DataFrame, keys: list[str], value: str, n: str) -> Dat
         F.sum(n).cast("long").alias("count"))
 
 
-def running_average(log: DataFrame, run: str, order: list[str], value: str, n: str) -> DataFrame:
+def running_average(log: DataFrame, run: str, order: list[str], value: str, n: str,
+                    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Meter average after each update: running sum(value*n) / running sum(n)."""
     keyed = _order_key(log.withColumn("_vn", F.col(value) * F.col(n)).withColumn("_n", F.col(n).cast("double")),
                        order[0])
-    keyed, nb = quantile_bucket(keyed, "_ok")
+    keyed, nb = quantile_bucket(keyed, "_ok", rows_per_bucket)
     s = prefix_sums(keyed, [run], ["_ok", *order], ["_vn", "_n"], n_buckets_bound=nb)
     # null while no weight has been seen (0/0)
     avg = F.try_divide(F.col("_vn_before") + F.col("_vn"), F.col("_n_before") + F.col("_n"))
@@ -59,11 +61,12 @@ def running_average(log: DataFrame, run: str, order: list[str], value: str, n: s
                                                  "_vn_total", "_n_total")
 
 
-def running_best(log: DataFrame, run: str, order: list[str], score: str, start: float = 0.0) -> DataFrame:
+def running_best(log: DataFrame, run: str, order: list[str], score: str, start: float = 0.0,
+                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Flag strict improvements over the best score so far (best starts at
     ``start``), and the best score after each step."""
     keyed = _order_key(log, order[0])
-    keyed, nb = quantile_bucket(keyed, "_ok")
+    keyed, nb = quantile_bucket(keyed, "_ok", rows_per_bucket)
     p = prefix_max(keyed, [run], ["_ok", *order], score, n_buckets_bound=nb)
     best_before = F.greatest(F.lit(start), F.coalesce(F.col(f"{score}_prev_max"), F.lit(start)))
     return (p.withColumn("improved", F.col(score) > best_before)
@@ -78,9 +81,10 @@ def best_epoch(metrics: DataFrame, run: str, epoch: str, score: str) -> DataFram
         run, F.col(f"_b.{epoch}").alias("best_epoch"), F.col(f"_b.{score}").alias("best_score"))
 
 
-def retention(manifest: DataFrame, run: str, order: list[str], keep_last: int = 3) -> DataFrame:
+def retention(manifest: DataFrame, run: str, order: list[str], keep_last: int = 3,
+              rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Keep the newest ``keep_last`` entries per run; the rest are evicted."""
-    numbered = number_steps(manifest, run, order, out="_rn")
+    numbered = number_steps(manifest, run, order, out="_rn", rows_per_bucket=rows_per_bucket)
     return (numbered.withColumn("keep", (F.col("_rn_count") - F.col("_rn")) < keep_last)
                     .drop("_rn", "_rn_count"))
 
@@ -113,7 +117,7 @@ def ema_chunk(decay: float) -> int:
 
 
 def ema(log: DataFrame, run: str, order: list[str], value: str, decay: float = 0.98,
-        chunk: int | None = None) -> DataFrame:
+        chunk: int | None = None, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Exponential moving average ``l = decay*l + (1-decay)*x`` per run, where
     ``l`` restarts at ``x`` while it is 0 (so leading zero losses keep it 0
     and the first non-zero value starts it).
@@ -128,7 +132,7 @@ def ema(log: DataFrame, run: str, order: list[str], value: str, decay: float = 0
         raise ValueError("decay must lie in (0, 1)")
     chunk = chunk or ema_chunk(decay)
     a = 1.0 - decay
-    steps = number_steps(log, run, order, out="_t")
+    steps = number_steps(log, run, order, out="_t", rows_per_bucket=rows_per_bucket)
     first_nz = (steps.where(F.col(value) != 0).groupBy(run)
                      .agg(F.min_by(F.struct(F.col("_t").alias("j"), F.col(value).alias("xj")), F.col("_t")).alias("_f"))
                      .select(run, "_f.j", "_f.xj"))

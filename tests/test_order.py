@@ -69,10 +69,11 @@ def _log(spark, n_users=4, n=3000, seed=5, zeros_first=True):
 import pytest
 
 
-@pytest.mark.parametrize("decay", [0.98, 0.5])
-def test_ema_equals_recurrence(spark, decay):
+@pytest.mark.parametrize("decay,rpb", [(0.98, 200_000), (0.5, 200_000), (0.98, 97)])
+def test_ema_equals_recurrence(spark, decay, rpb):
     rows, df = _log(spark)
-    got = {r["event_id"]: r["ema"] for r in rl.ema(df, "user_id", ["ts", "event_id"], "value", decay).collect()}
+    got = {r["event_id"]: r["ema"] for r in
+           rl.ema(df, "user_id", ["ts", "event_id"], "value", decay, rows_per_bucket=rpb).collect()}
     by_user = {}
     for r in sorted(rows, key=lambda r: (r[1], r[0])):
         by_user.setdefault(r[2], []).append(r)
@@ -84,12 +85,16 @@ def test_ema_equals_recurrence(spark, decay):
             assert abs(got[r[0]] - lossf) < 1e-9 * max(1.0, abs(lossf))
 
 
-def test_running_meters(spark):
+@pytest.mark.parametrize("rpb", [200_000, 61])
+def test_running_meters(spark, rpb):
+    """A run with 60% of the rows; rpb=61 splits it over ~50 time buckets."""
     rows, df = _log(spark, zeros_first=False)
     avg = {r["event_id"]: r["running_avg"] for r in
-           rl.running_average(df, "user_id", ["ts", "event_id"], "value", "k").collect()}
+           rl.running_average(df, "user_id", ["ts", "event_id"], "value", "k", rows_per_bucket=rpb).collect()}
     best = {r["event_id"]: (r["improved"], r["best_so_far"]) for r in
-            rl.running_best(df, "user_id", ["ts", "event_id"], "value").collect()}
+            rl.running_best(df, "user_id", ["ts", "event_id"], "value", rows_per_bucket=rpb).collect()}
+    kept = {r["event_id"]: r["keep"] for r in
+            rl.retention(df, "user_id", ["ts", "event_id"], 3, rows_per_bucket=rpb).collect()}
     by_user = {}
     for r in sorted(rows, key=lambda r: (r[1], r[0])):
         by_user.setdefault(r[2], []).append(r)
@@ -104,3 +109,4 @@ def test_running_meters(spark):
             imp = r[3] > b
             b = max(b, r[3])
             assert best[r[0]] == (imp, b)
+        assert [kept[r[0]] for r in rs] == [False] * max(0, len(rs) - 3) + [True] * min(3, len(rs))
