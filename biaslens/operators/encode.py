@@ -59,11 +59,22 @@ def keep_head_tail(tokens: Column, m: int) -> Column:
                   F.concat(F.slice(tokens, 1, head), F.slice(tokens, -tail, tail))).otherwise(tokens)
 
 
-def lookup_ids(df: DataFrame, key: str, kept: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
+BROADCAST_VOCAB_ROWS = 2_000_000
+
+
+def lookup_ids(df: DataFrame, key: str, kept: str, vocab: DataFrame, out: str = "ids",
+               vocab_rows: int | None = None) -> DataFrame:
     """Replace the token array ``kept`` by vocabulary ids (unknown -> UNK),
-    keeping positions. Comments without tokens get an empty array."""
+    keeping positions. Comments without tokens get an empty array.
+
+    The vocabulary is broadcast when its row count (given, or counted: a
+    vocabulary table is small) is within ``BROADCAST_VOCAB_ROWS``; a larger
+    one is shuffle-joined, and AQE's skew join splits the hot tokens."""
     exploded = df.select(key, F.posexplode_outer(kept).alias("pos", "token"))
-    v = F.broadcast(vocab.select("token", "token_id"))
+    v = vocab.select("token", "token_id")
+    n = vocab_rows if vocab_rows is not None else v.count()
+    if n <= BROADCAST_VOCAB_ROWS:
+        v = F.broadcast(v)
     looked = exploded.join(v, "token", "left")
     entry = F.when(F.col("pos").isNotNull(),
                    F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
@@ -89,14 +100,14 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "id", text: str = "commen
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str = "id", tokens: str = "tokens",
-                  max_len: int = 220, mode: str = "head") -> DataFrame:
+                  max_len: int = 220, mode: str = "head", vocab_rows: int | None = None) -> DataFrame:
     """``encode`` for an already tokenised column (tokenise once, then build
     the vocabulary and encode from the same materialised table)."""
     m = max_len - 2
     toks = F.col(tokens)
     kept = keep_head_tail(toks, m) if mode == "head_tail" else keep_head(toks, m)
     base = df.select(key, kept.alias("_kept"))
-    ids = lookup_ids(base, key, "_kept", vocab, "_ids")
+    ids = lookup_ids(base, key, "_kept", vocab, "_ids", vocab_rows)
     n = F.size("_ids")
     if mode == "plain":
         seq = F.concat(F.col("_ids"), _zeros(F.lit(m) - n))

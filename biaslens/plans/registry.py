@@ -180,7 +180,9 @@ def _encoded(spark: SparkSession, root: str, mode: str = "head") -> DataFrame:
     """Tokenise once (materialised), build the vocabulary and encode from it."""
     toks = _tokens(spark, root)
     vocab_t = enc.build_vocab(toks, size=VOCAB_SIZE)
-    return enc.encode_tokens(toks, vocab_t, "id", "tokens", DEFAULT.max_sequence_length, mode)
+    # built with a cap: its size bound is known without counting
+    return enc.encode_tokens(toks, vocab_t, "id", "tokens", DEFAULT.max_sequence_length, mode,
+                             vocab_rows=VOCAB_SIZE)
 
 
 @register

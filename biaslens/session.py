@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files go away with the frames that use them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

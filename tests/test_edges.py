@@ -166,3 +166,14 @@ def test_independent_of_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
+
+
+def test_large_vocabulary_shuffle_join_same_ids(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b c a"), (2, "c zz"), (3, "")], "id long, comment_text string")
+    toks = df.select("id", enc.tokenize("comment_text").alias("tokens"))
+    vocab = enc.build_vocab(toks, size=2)
+    a = sorted(enc.encode_tokens(toks, vocab, max_len=8).collect())
+    monkeypatch.setattr(enc, "BROADCAST_VOCAB_ROWS", 0)
+    b = sorted(enc.encode_tokens(toks, vocab, max_len=8).collect())
+    assert a == b
+    assert a[0]["token_ids"] == [2, 4, 1, 5, 4, 3, 0, 0]   # a -> 4, c -> 5, b unknown
