@@ -21,6 +21,21 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
+               min_partitions: int = 200) -> dict:
+    """Settings sized from the input volume (e.g. 100 TB -> ~400k initial
+    shuffle partitions, which AQE coalesces to ~target-sized ones): scan
+    splits and shuffle partitions of about ``target_partition_bytes``."""
+    n = max(min_partitions, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+    }
+
+
 def build_session(master: str | None = None, app: str = "biaslens",
                   shuffle_partitions: int | None = None,
                   conf: dict | None = None) -> SparkSession:
