@@ -22,11 +22,13 @@ DEFAULT_CONF = {
 
 
 def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
-               min_partitions: int = 200) -> dict:
-    """Settings sized from the input volume (e.g. 100 TB -> ~400k initial
-    shuffle partitions, which AQE coalesces to ~target-sized ones): scan
-    splits and shuffle partitions of about ``target_partition_bytes``."""
-    n = max(min_partitions, -(-int(input_bytes) // target_partition_bytes))
+               min_partitions: int = 200, max_partitions: int = 100_000) -> dict:
+    """Settings sized from the input volume: scan splits of about
+    ``target_partition_bytes`` and as many initial shuffle partitions, capped
+    at ``max_partitions`` (100 TB -> 100k, ~12 waves on 8,000 slots; the
+    shuffled data here is much smaller than the input after projection and
+    map-side combine) and coalesced by AQE."""
+    n = min(max_partitions, max(min_partitions, -(-int(input_bytes) // target_partition_bytes)))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(n),
