@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -550,7 +551,7 @@ def training_table(spark: SparkSession, root: str) -> DataFrame:
     t = train.training_table(c)
     j = e.join(t, "id")
     return rounded(j.select("id", F.size(F.filter("token_ids", lambda x: x != 0)).alias("n_ids"),
-                            F.element_at(train.vector_to_array("features"), 1).alias("total_length_scaled"),
+                            F.element_at(vector_to_array("features"), 1).alias("total_length_scaled"),
                             "y", "weight"))
 
 
