@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, OVERALL, BiasConfig
 from ..functions.targets import to_bool
 from ..session import cut_lineage
-from .order import BUCKET, DEFAULT_ROWS_PER_BUCKET, prefix_sums, quantile_bucket
+from .order import BUCKET, DEFAULT_ROWS_PER_BUCKET, join_on, prefix_sums, quantile_bucket
 
 
 def binarize(df: DataFrame, cols, threshold: float = 0.5) -> DataFrame:
@@ -78,7 +78,7 @@ def bias_metrics(df: DataFrame, cfg: BiasConfig = DEFAULT, label: str | None = N
         F.col("pos_before").alias("a_pos_before"), F.col("neg_before").alias("a_neg_before"),
         F.col("pos_total").alias("a_pos_total"), F.col("neg_total").alias("a_neg_total"))
     sub = sums.where(F.col("grp") != OVERALL)
-    j = sub.join(overall, on=[*by, "score"], how="inner")
+    j = join_on(sub, overall, [*by, "score"])
 
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     a_pos, a_neg = F.col("a_pos").cast("double"), F.col("a_neg").cast("double")

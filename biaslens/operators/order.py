@@ -60,6 +60,19 @@ def quantile_bucket(df: DataFrame, order_col: str, rows_per_bucket: int = DEFAUL
     return b.transform(df), len(splits) - 1
 
 
+def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``cols`` that also matches null keys (``<=>``): a null
+    run or group key is a group like any other, its rows are not lost."""
+    if not cols:
+        raise ValueError("join_on needs at least one key")
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
+    cond = None
+    for c in cols:
+        e = left[c].eqNullSafe(r[f"_r_{c}"])
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in cols])
+
+
 def hash_bucket(hash_col: str | Column, bits: int = 10) -> Column:
     """Bucket from the high bits of a 64-bit hash (monotone in the hash)."""
     return F.shiftright(_col(hash_col), 64 - bits).cast("double")
@@ -86,7 +99,7 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list, values: list[str],
     if (n_buckets_bound is not None and n_groups_bound is not None
             and n_buckets_bound * n_groups_bound <= BROADCAST_OFFSET_ROWS):
         offsets = F.broadcast(offsets)
-    joined = df.join(offsets, on=[*keys, bucket], how="inner")
+    joined = join_on(df, offsets, [*keys, bucket])
     in_bucket = (Window.partitionBy(*keys, bucket).orderBy(*[_col(o) for o in order])
                  .rowsBetween(Window.unboundedPreceding, -1))
     return joined.select(
@@ -120,7 +133,8 @@ def global_positions(df: DataFrame, id_col: str, seed: int | None = None, bits:
     bucket spreads rows evenly over 2**bits window tasks.
     """
     if seed is None:
-        keyed = df.withColumn("_h", F.col(id_col).cast("long"))
+        # null ids sort first, as in an ascending window
+        keyed = df.withColumn("_h", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2 ** 63))))
         keyed, nb = quantile_bucket(keyed, "_h")
     else:
         keyed = hash_order(df, id_col, seed).withColumn(BUCKET, hash_bucket("_h", bits))
@@ -242,7 +256,7 @@ def prefix_max(df: DataFrame, keys: list[str], order: list, value: str,
     if (n_buckets_bound is not None and n_groups_bound is not None
             and n_buckets_bound * n_groups_bound <= BROADCAST_OFFSET_ROWS):
         offsets = F.broadcast(offsets)
-    joined = df.join(offsets, on=[*keys, bucket], how="inner")
+    joined = join_on(df, offsets, [*keys, bucket])
     in_bucket = (Window.partitionBy(*keys, bucket).orderBy(*[_col(o) for o in order])
                  .rowsBetween(Window.unboundedPreceding, -1))
     local = F.max(value).over(in_bucket)

@@ -29,7 +29,8 @@ def _order_key(df: DataFrame, ts: str) -> DataFrame:
         key = F.unix_micros(F.col(ts))
     else:
         key = F.col(ts)
-    return df.withColumn("_ok", key.cast("double"))
+    # null order keys sort first, as in an ascending window
+    return df.withColumn("_ok", F.coalesce(key.cast("double"), F.lit(float("-inf"))))
 
 
 def number_steps(log: DataFrame, run: str, order: list[str], out: str = "step",

@@ -110,3 +110,13 @@ def test_running_meters(spark, rpb):
             b = max(b, r[3])
             assert best[r[0]] == (imp, b)
         assert [kept[r[0]] for r in rs] == [False] * max(0, len(rs) - 3) + [True] * min(3, len(rs))
+
+
+def test_null_run_keys_are_kept(spark):
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=i), None if i % 3 == 0 else 1, float(i), 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double, k int")
+    out = rl.running_average(df, "user_id", ["ts", "event_id"], "value", "k", rows_per_bucket=7).collect()
+    assert len(out) == 30
+    nulls = sorted((r["event_id"], r["running_avg"]) for r in out if r["user_id"] is None)
+    vals = [float(i) for i in range(0, 30, 3)]
+    assert [a for _, a in nulls] == [sum(vals[:j + 1]) / (j + 1) for j in range(len(vals))]
