@@ -73,6 +73,26 @@ def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inne
     return left.join(r, cond, how).drop(*[f"_r_{c}" for c in cols])
 
 
+def range_bucket(df: DataFrame, sort_cols: list, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+                 max_buckets: int = MAX_BUCKETS, out: str = BUCKET,
+                 n_rows: int | None = None) -> tuple[DataFrame, int]:
+    """Add ``out``: a bucket non-decreasing in the lexicographic order of
+    ``sort_cols`` (group keys first, then the order columns).
+
+    Spark's range partitioning samples the full sort key, so even one order
+    value holding a third of a group's rows is split over several buckets
+    (a quantile of the first column alone cannot split ties). The partition
+    id is materialised in the shared checkpoint folder right away, so it is
+    fixed data afterwards, not a property of a recomputation.
+    """
+    n = df.count() if n_rows is None else n_rows
+    n_buckets = int(min(max_buckets, max(1, math.ceil(n / max(1, rows_per_bucket)))))
+    if n_buckets <= 1:
+        return df.withColumn(out, F.lit(0.0)), 1
+    ranged = df.repartitionByRange(n_buckets, *[_col(c) for c in sort_cols])
+    return cut_lineage(ranged.withColumn(out, F.spark_partition_id().cast("double"))), n_buckets
+
+
 def hash_bucket(hash_col: str | Column, bits: int = 10) -> Column:
     """Bucket from the high bits of a 64-bit hash (monotone in the hash)."""
     return F.shiftright(_col(hash_col), 64 - bits).cast("double")

@@ -2,9 +2,10 @@
 retention, every-k-th selection, accumulation groups, keyed losses.
 
 A log table has one row per step: (run, step order columns, value[, n]).
-Ordered operators number the steps per run with the bucketed prefix sums
-of ``order``, so a run that holds most of the log is still split over many
-tasks; nothing collects a run's whole history into one row.
+Ordered operators number the steps per run with bucketed prefix sums; the
+buckets are range partitions of (run, order...), so a run that holds most
+of the log, or a timestamp shared by many of its rows, is still split over
+many tasks; nothing collects a run's whole history into one row.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RUN_SWEEP
-from .order import BUCKET, DEFAULT_ROWS_PER_BUCKET, prefix_max, prefix_sums, quantile_bucket, row_numbers
+from .order import BUCKET, DEFAULT_ROWS_PER_BUCKET, prefix_max, prefix_sums, range_bucket, row_numbers
 
 
 def _order_key(df: DataFrame, ts: str) -> DataFrame:
@@ -37,7 +38,7 @@ def number_steps(log: DataFrame, run: str, order: list[str], out: str = "step",
                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """1-based step number per run in ``order`` (+ ``{out}_count``)."""
     keyed = _order_key(log, order[0])
-    keyed, nb = quantile_bucket(keyed, "_ok", rows_per_bucket)
+    keyed, nb = range_bucket(keyed, [run, "_ok", *order], rows_per_bucket)
     res = row_numbers(keyed, [run], ["_ok", *order], out=out, n_buckets_bound=nb)
     return res.drop("_ok", BUCKET)
 
@@ -54,7 +55,7 @@ def running_average(log: DataFrame, run: str, order: list[str], value: str, n: s
     """Meter average after each update: running sum(value*n) / running sum(n)."""
     keyed = _order_key(log.withColumn("_vn", F.col(value) * F.col(n)).withColumn("_n", F.col(n).cast("double")),
                        order[0])
-    keyed, nb = quantile_bucket(keyed, "_ok", rows_per_bucket)
+    keyed, nb = range_bucket(keyed, [run, "_ok", *order], rows_per_bucket)
     s = prefix_sums(keyed, [run], ["_ok", *order], ["_vn", "_n"], n_buckets_bound=nb)
     # null while no weight has been seen (0/0)
     avg = F.try_divide(F.col("_vn_before") + F.col("_vn"), F.col("_n_before") + F.col("_n"))
@@ -67,7 +68,7 @@ def running_best(log: DataFrame, run: str, order: list[str], score: str, start:
     """Flag strict improvements over the best score so far (best starts at
     ``start``), and the best score after each step."""
     keyed = _order_key(log, order[0])
-    keyed, nb = quantile_bucket(keyed, "_ok", rows_per_bucket)
+    keyed, nb = range_bucket(keyed, [run, "_ok", *order], rows_per_bucket)
     p = prefix_max(keyed, [run], ["_ok", *order], score, n_buckets_bound=nb)
     best_before = F.greatest(F.lit(start), F.coalesce(F.col(f"{score}_prev_max"), F.lit(start)))
     return (p.withColumn("improved", F.col(score) > best_before)

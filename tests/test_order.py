@@ -120,3 +120,17 @@ def test_null_run_keys_are_kept(spark):
     nulls = sorted((r["event_id"], r["running_avg"]) for r in out if r["user_id"] is None)
     vals = [float(i) for i in range(0, 30, 3)]
     assert [a for _, a in nulls] == [sum(vals[:j + 1]) / (j + 1) for j in range(len(vals))]
+
+
+def test_hot_timestamp_is_split(spark):
+    """One timestamp holds 40% of one run's rows: buckets still split it."""
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, t0 if i % 5 < 2 else t0 + timedelta(seconds=i), 7, float(i % 11), 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double, k int")
+    from biaslens.operators.order import range_bucket
+    keyed, nb = range_bucket(df, ["user_id", "ts", "event_id"], rows_per_bucket=100)
+    per = {r["_bucket"]: r["count"] for r in keyed.groupBy("_bucket").count().collect()}
+    assert nb == 20 and max(per.values()) < 300          # the 800 tied rows span several buckets
+    steps = {r["event_id"]: r["step"] for r in rl.number_steps(df, "user_id", ["ts", "event_id"], rows_per_bucket=100).collect()}
+    expected = {e: i + 1 for i, (e, *_rest) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert steps == expected
