@@ -109,9 +109,9 @@ class HeadModel:
         self.intercept = float(intercept)
 
     def margin(self, features_col: str = "features"):
+        """``x . w + b`` unrolled over the (fixed, small) feature width."""
         x = vector_to_array(features_col)
-        w = F.array(*[F.lit(c) for c in self.coefficients])
-        dot = F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        dot = sum((F.element_at(x, i + 1) * F.lit(c) for i, c in enumerate(self.coefficients)), F.lit(0.0))
         return dot + F.lit(self.intercept)
 
 
