@@ -459,7 +459,7 @@ def train_binary(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def train_aux(spark: SparkSession, root: str) -> DataFrame:
-    table, _ = train.split_and_train(comments(spark, root))
+    table = train.split_table(comments(spark, root))
     heads = train.fit_aux(table.where(F.col("split") == "train"))
     out = None
     for name, m in heads.items():

@@ -37,6 +37,22 @@ def training_table(comments: DataFrame, cfg: BiasConfig = DEFAULT, train_ids: Da
     return vecs.join(t, cfg.id_column)
 
 
+# Solver input rows per partition. L-BFGS runs one or two stages per
+# iteration over every partition of its input, so a design split finer than
+# the data needs pays task overhead on every iteration; a large table keeps
+# its partitioning (coalesce never raises the count, and never shuffles).
+SOLVER_ROWS_PER_PARTITION = 500_000
+
+
+def solver_input(design: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """``design`` coalesced to about ``SOLVER_ROWS_PER_PARTITION`` rows per
+    partition (one counting job when ``n_rows`` is not given)."""
+    n = design.count() if n_rows is None else n_rows
+    want = max(1, -(-n // SOLVER_ROWS_PER_PARTITION))
+    have = design.rdd.getNumPartitions()
+    return design.coalesce(want) if want < have else design
+
+
 def _lr(max_iter: int, reg: float) -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol="label", weightCol="w",
                               standardization=False, maxIter=max_iter, regParam=reg,
@@ -46,18 +62,33 @@ def _lr(max_iter: int, reg: float) -> LogisticRegression:
 def fit_binary(train: DataFrame, max_iter: int = 50, reg: float = 0.0) -> LogisticRegressionModel:
     """Weighted logistic head on the hard target (weights = sample weights)."""
     data = train.select("features", F.col("y").cast("double").alias("label"), F.col("weight").alias("w"))
-    return _lr(max_iter, reg).fit(data)
+    return _lr(max_iter, reg).fit(solver_input(data))
 
 
 def soft_rows(train: DataFrame, target: str) -> DataFrame:
     """Soft label p as two weighted hard rows: (1, p) and (0, 1 - p); the
     weighted log-loss of these equals the BCE against p."""
-    p = F.col(target).cast("double")
-    pairs = F.array(F.struct(F.lit(1.0).alias("label"), p.alias("w")),
-                    F.struct(F.lit(0.0).alias("label"), (F.lit(1.0) - p).alias("w")))
-    return (train.where(p.isNotNull() & ~F.isnan(p))
-                 .select("features", F.explode(pairs).alias("_r"))
-                 .select("features", "_r.label", "_r.w").where(F.col("w") > 0))
+    return soft_rows_by_block(train, [(F.lit(0), target)]).drop("_b")
+
+
+def soft_rows_by_block(df: DataFrame, blocks: list, out: str = "_b") -> DataFrame:
+    """Soft-label rows of several heads in one pass over ``df``.
+
+    ``blocks`` lists (block id column, soft target column); each input row
+    becomes up to two weighted hard rows per pair: (1, p) and (0, 1 - p),
+    tagged with the block id. Null / NaN targets and zero weights are
+    dropped. One scan and one explode replace a union of one branch per head.
+    """
+    entries = []
+    for b, target in blocks:
+        p = F.col(target).cast("double")
+        ok = p.isNotNull() & ~F.isnan(p)
+        for label, w in ((1.0, p), (0.0, F.lit(1.0) - p)):
+            entries.append(F.when(ok & (w > 0), F.struct(b.cast("int").alias(out), F.lit(label).alias("label"),
+                                                            w.alias("w"))))
+    return (df.select("features", F.explode(F.array(*entries)).alias("_r"))
+              .where(F.col("_r").isNotNull())
+              .select("features", f"_r.{out}", "_r.label", "_r.w"))
 
 
 def block_design(df: DataFrame, block: str, n_blocks: int, features: str = "features",
@@ -78,7 +109,7 @@ def block_design(df: DataFrame, block: str, n_blocks: int, features: str = "feat
 def _joint_fit(design: DataFrame, max_iter: int, reg: float):
     lr = LogisticRegression(featuresCol="design", labelCol="label", weightCol="w", standardization=False,
                             maxIter=max_iter, regParam=reg, fitIntercept=False, family="binomial")
-    return lr.fit(design.select("design", "label", "w")).coefficients.toArray()
+    return lr.fit(solver_input(design.select("design", "label", "w"))).coefficients.toArray()
 
 
 def fit_aux(train: DataFrame, cfg: BiasConfig = DEFAULT, max_iter: int = 100,
@@ -93,10 +124,7 @@ def fit_aux(train: DataFrame, cfg: BiasConfig = DEFAULT, max_iter: int = 100,
     """
     heads = list(cfg.aux_columns)
     d = len(FEATURE_COLUMNS) + 1
-    stacked = None
-    for h, a in enumerate(heads):
-        rows = soft_rows(train, f"aux_{a}").withColumn("head", F.lit(h))
-        stacked = rows if stacked is None else stacked.unionByName(rows)
+    stacked = soft_rows_by_block(train, [(F.lit(h), f"aux_{a}") for h, a in enumerate(heads)], "head")
     joint = _joint_fit(block_design(stacked, "head", len(heads)), max_iter, reg)
     return {a: HeadModel(joint[h * d:(h + 1) * d - 1], joint[(h + 1) * d - 1]) for h, a in enumerate(heads)}
 
@@ -137,14 +165,20 @@ def score(model: LogisticRegressionModel, table: DataFrame, id_col: str = "id",
     return out.select(*cols)
 
 
-def split_and_train(comments: DataFrame, cfg: BiasConfig = DEFAULT):
-    """Seeded exact split, scaler fitted on train rows, binary head fitted.
-    Returns (table with split column, model)."""
+def split_table(comments: DataFrame, cfg: BiasConfig = DEFAULT) -> DataFrame:
+    """Training table with a ``split`` column (seeded exact split; the scaler
+    is fitted on the train rows only)."""
     split = order.split_train_valid(comments.select(cfg.id_column), cfg.id_column, cfg.seed,
                                     cfg.train_percent, cfg.valid_percent).select(cfg.id_column, "split")
     train_ids = split.where(F.col("split") == "train").select(cfg.id_column)
     # Materialised once: every solver iteration reads it.
-    table = cut_lineage(training_table(comments, cfg, train_ids).join(split, cfg.id_column))
+    return cut_lineage(training_table(comments, cfg, train_ids).join(split, cfg.id_column))
+
+
+def split_and_train(comments: DataFrame, cfg: BiasConfig = DEFAULT):
+    """Seeded exact split, scaler fitted on train rows, binary head fitted.
+    Returns (table with split column, model)."""
+    table = split_table(comments, cfg)
     model = fit_binary(table.where(F.col("split") == "train"))
     return table, model
 
@@ -195,16 +229,10 @@ def out_of_fold_aux(table: DataFrame, n_folds: int, cfg: BiasConfig = DEFAULT, m
     heads = list(cfg.aux_columns)
     d = len(FEATURE_COLUMNS) + 1
     others = F.array_remove(F.sequence(F.lit(0), F.lit(n_folds - 1)), F.col("fold"))
-    stacked = None
-    for h, a in enumerate(heads):
-        base = table.select("features", "fold", f"aux_{a}").withColumn("_k", F.explode(others))
-        p = F.col(f"aux_{a}").cast("double")
-        pairs = F.array(F.struct(F.lit(1.0).alias("label"), p.alias("w")),
-                        F.struct(F.lit(0.0).alias("label"), (F.lit(1.0) - p).alias("w")))
-        rows = (base.where(p.isNotNull() & ~F.isnan(p))
-                    .select("features", (F.col("_k") * len(heads) + h).alias("_b"), F.explode(pairs).alias("_r"))
-                    .select("features", "_b", "_r.label", "_r.w").where(F.col("w") > 0))
-        stacked = rows if stacked is None else stacked.unionByName(rows)
+    # each row trains the heads of every fold but its own: explode the other
+    # folds, then every head's soft rows in one pass
+    base = table.select("features", *[f"aux_{a}" for a in heads], F.explode(others).alias("_k"))
+    stacked = soft_rows_by_block(base, [(F.col("_k") * len(heads) + h, f"aux_{a}") for h, a in enumerate(heads)])
     joint = _joint_fit(block_design(stacked, "_b", n_folds * len(heads)), max_iter, 0.0)
     arr = None
     for k in range(n_folds):

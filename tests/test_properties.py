@@ -70,3 +70,31 @@ def test_joint_block_fit_equals_separate_fits(spark):
         sep = list(m.coefficients.toArray()[:2]) + [m.intercept]
         got = list(joint[b * d:b * d + 2]) + [joint[(b + 1) * d - 1]]
         assert got == pytest.approx(sep, abs=1e-3)
+
+
+def test_soft_rows_by_block_matches_per_head_expansion(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql import types as T
+    vals = [(0, 0.3, None), (1, 1.0, 0.0), (2, float("nan"), 0.25), (3, 0.0, 1.0)]
+    df = spark.createDataFrame([(i, Vectors.dense([float(i)]), a, b) for i, a, b in vals],
+                               T.StructType([T.StructField("id", T.IntegerType()),
+                                             T.StructField("features", VectorUDT()),
+                                             T.StructField("a", T.DoubleType()),
+                                             T.StructField("b", T.DoubleType())]))
+    got = sorted((int(r.features[0]), r._b, r.label, r.w) for r in
+                 train.soft_rows_by_block(df, [(F.lit(0), "a"), (F.lit(1), "b")]).collect())
+    want = []
+    for i, *ps in vals:
+        for blk, p in enumerate(ps):
+            if p is None or p != p:
+                continue
+            want += [(i, blk, lab, w) for lab, w in ((1.0, p), (0.0, 1.0 - p)) if w > 0]
+    assert got == sorted(want)
+    single = sorted((int(r.features[0]), r.label, r.w) for r in train.soft_rows(df, "a").collect())
+    assert single == sorted((i, lab, w) for i, _, lab, w in want if _ == 0)
+
+
+def test_solver_input_never_raises_partition_count(spark):
+    df = spark.range(1000).repartition(6)
+    assert train.solver_input(df).rdd.getNumPartitions() == 1
+    assert train.solver_input(df, n_rows=10 ** 9).rdd.getNumPartitions() == 6
