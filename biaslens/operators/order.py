@@ -108,6 +108,15 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list, values: list[str],
     The offsets table is broadcast only when groups x buckets is known to be
     small; otherwise it is joined with a shuffle.
     """
+    if n_buckets_bound == 1:
+        # One bucket: the whole frame is at most rows_per_bucket rows, so a
+        # window per group needs no offsets table (and no join on a constant).
+        group = Window.partitionBy(*keys)
+        before = group.orderBy(*[_col(o) for o in order]).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(
+            *[F.col(c) for c in df.columns],
+            *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_before") for v in values],
+            *[F.sum(v).over(group).alias(f"{v}_total") for v in values])
     totals = df.groupBy(*keys, bucket).agg(*[F.sum(v).alias(f"_bt_{v}") for v in values])
     over_buckets = Window.partitionBy(*keys).orderBy(bucket)
     offsets = totals.select(
@@ -146,7 +155,7 @@ def hash_order(df: DataFrame, id_col: str, seed: int, out: str = "_h") -> DataFr
 
 
 def global_positions(df: DataFrame, id_col: str, seed: int | None = None, bits: int = 10,
-                     out: str = "position") -> DataFrame:
+                     out: str = "position", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """1-based position of each row in a seeded permutation (or in id order).
 
     With a seed the order is ``xxhash64(id, seed)``: uniform, so the hash
@@ -155,7 +164,7 @@ def global_positions(df: DataFrame, id_col: str, seed: int | None = None, bits:
     if seed is None:
         # null ids sort first, as in an ascending window
         keyed = df.withColumn("_h", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2 ** 63))))
-        keyed, nb = quantile_bucket(keyed, "_h")
+        keyed, nb = quantile_bucket(keyed, "_h", rows_per_bucket)
     else:
         keyed = hash_order(df, id_col, seed).withColumn(BUCKET, hash_bucket("_h", bits))
         nb = 2 ** bits
@@ -183,10 +192,11 @@ def split_train_valid(df: DataFrame, id_col: str, seed: int, train_percent: floa
     return pos.withColumn("split", split)
 
 
-def fixed_batches(df: DataFrame, id_col: str, batch_size: int, seed: int | None = None) -> DataFrame:
+def fixed_batches(df: DataFrame, id_col: str, batch_size: int, seed: int | None = None,
+                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Batches of ``batch_size`` consecutive rows (id order, or shuffled by seed);
     the last batch may be short."""
-    pos = global_positions(df, id_col, seed)
+    pos = global_positions(df, id_col, seed, rows_per_bucket=rows_per_bucket)
     return (pos.withColumn("batch", F.floor((F.col("position") - 1) / batch_size).cast("long"))
                .drop("position_count"))
 
@@ -270,6 +280,11 @@ def prefix_max(df: DataFrame, keys: list[str], order: list, value: str,
     """Running maximum of ``value`` over strictly earlier rows (``{v}_prev_max``,
     null for the first row of a group), with the same bucket scheme as
     ``prefix_sums``."""
+    if n_buckets_bound == 1:
+        # one bucket (at most rows_per_bucket rows): a window per group
+        before = (Window.partitionBy(*keys).orderBy(*[_col(o) for o in order])
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        return df.select(*[F.col(c) for c in df.columns], F.max(value).over(before).alias(f"{value}_prev_max"))
     totals = df.groupBy(*keys, bucket).agg(F.max(value).alias("_bm"))
     w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, bucket, F.max("_bm").over(w).alias("_off_max"))
