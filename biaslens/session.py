@@ -16,8 +16,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # checkpoint files go away with the frames that use them
+    # checkpoint files go away with the frames that use them, and are
+    # compressed (the token table is as large as the text)
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.checkpoint.compress": "true",
 }
 
 
