@@ -61,15 +61,25 @@ def binarized(df: DataFrame, cfg: BiasConfig = DEFAULT, cols=None) -> DataFrame:
     return df.select(cfg.id_column, *[tg.to_bool(c, cfg.threshold).alias(c) for c in cols])
 
 
+def target_columns(cfg: BiasConfig = DEFAULT) -> dict:
+    """``{name: Column}``: hard target ``y``, sample ``weight`` and the soft
+    auxiliary targets ``aux_*`` of one row."""
+    cols = {"y": tg.hard_target(cfg.toxicity_column, cfg.threshold),
+            "weight": tg.sample_weight(cfg.toxicity_column, cfg.identity_columns, cfg.threshold,
+                                       cfg.strict_background)}
+    cols.update({f"aux_{c}": F.col(c).cast("double") for c in cfg.aux_columns})
+    return cols
+
+
+def target_sources(cfg: BiasConfig = DEFAULT) -> list[str]:
+    """Input columns that ``target_columns`` reads."""
+    return list(dict.fromkeys([cfg.toxicity_column, *cfg.identity_columns, *cfg.aux_columns]))
+
+
 def targets(df: DataFrame, cfg: BiasConfig = DEFAULT) -> DataFrame:
     """(id, y, weight, aux targets...): hard target, sample weight and the
     soft auxiliary targets, keyed by id."""
-    return df.select(
-        cfg.id_column,
-        tg.hard_target(cfg.toxicity_column, cfg.threshold).alias("y"),
-        tg.sample_weight(cfg.toxicity_column, cfg.identity_columns, cfg.threshold,
-                         cfg.strict_background).alias("weight"),
-        *[F.col(c).cast("double").alias(f"aux_{c}") for c in cfg.aux_columns])
+    return df.select(cfg.id_column, *[c.alias(n) for n, c in target_columns(cfg).items()])
 
 
 def loss_weight(weights: DataFrame, col: str = "weight") -> DataFrame:

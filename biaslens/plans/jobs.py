@@ -72,11 +72,12 @@ def train_job(spark, features: str, targets: str, out: str) -> None:
     from ..operators import order
     x = spark.read.parquet(features)
     t = spark.read.parquet(targets)
-    table = VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol="features",
-                            handleInvalid="keep").transform(x).select("id", "features").join(t, "id")
-    split = order.split_train_valid(table.select("id"), "id", DEFAULT.seed, DEFAULT.train_percent,
-                                    DEFAULT.valid_percent).select("id", "split")
-    table = table.join(split, "id")
+    # Two artefacts, aligned by key. The split's window then carries the
+    # joined columns (no second join on id); each stage is materialised once.
+    table = cut_lineage(VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol="features",
+                                        handleInvalid="keep").transform(x).select("id", "features").join(t, "id"))
+    table = cut_lineage(order.split_train_valid(table, "id", DEFAULT.seed, DEFAULT.train_percent,
+                                                DEFAULT.valid_percent).drop("position", "position_count"))
     model = tr.fit_binary(table.where(F.col("split") == "train"))
     io.write_artefact(tr.coefficients(model, spark), os.path.join(out, "coefficients"))
     scored = tr.score(model, table.where(F.col("split") == "valid"))

@@ -21,20 +21,29 @@ from ..operators import order
 from ..session import cut_lineage
 
 
-def training_table(comments: DataFrame, cfg: BiasConfig = DEFAULT, train_ids: DataFrame | None = None) -> DataFrame:
-    """(id, features vector, y, weight, aux_* soft targets).
-
-    The scaler is fitted on ``train_ids`` rows only (all rows when None) and
-    applied to every row; features, targets and weights are joined on id.
-    """
-    # The text pass runs once: fit and transform both read the materialised features.
-    mf = cut_lineage(feat.meta_features(comments, cfg))
-    fit_on = mf if train_ids is None else mf.join(train_ids, cfg.id_column, "left_semi")
-    scaled = feat.scale_apply(mf, feat.scale_fit(fit_on), dtype="double")
+def feature_table(comments: DataFrame, cfg: BiasConfig = DEFAULT, keep=()) -> DataFrame:
+    """(id, *keep, 11 meta features, y, weight, aux_*): text features and
+    targets of each comment row in ONE projection (no self-join on id)."""
+    cols = list(dict.fromkeys([cfg.id_column, *keep, *feat.target_sources(cfg)]))
+    return feat.meta_features(comments, cfg, keep=cols).withColumns(feat.target_columns(cfg))
+
+
+def assemble_table(features: DataFrame, cfg: BiasConfig = DEFAULT, fit_on=None, keep=()) -> DataFrame:
+    """(id, *keep, features vector, y, weight, aux_*) from a materialised
+    ``feature_table``: the scaler is fitted on the rows where ``fit_on``
+    holds (all rows when None) and applied to every row."""
+    fit_rows = features if fit_on is None else features.where(fit_on)
+    scaled = feat.scale_apply(features, feat.scale_fit(fit_rows), dtype="double")
     vecs = VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol="features",
-                           handleInvalid="keep").transform(scaled).select(cfg.id_column, "features")
-    t = feat.targets(comments, cfg)
-    return vecs.join(t, cfg.id_column)
+                           handleInvalid="keep").transform(scaled)
+    return vecs.select(cfg.id_column, *keep, "features", *feat.target_columns(cfg))
+
+
+def training_table(comments: DataFrame, cfg: BiasConfig = DEFAULT) -> DataFrame:
+    """(id, features vector, y, weight, aux_* soft targets), scaler fitted on
+    every row. The text pass runs once: fit and transform both read the
+    materialised feature table."""
+    return assemble_table(cut_lineage(feature_table(comments, cfg)), cfg)
 
 
 # Solver input rows per partition. L-BFGS runs one or two stages per
@@ -167,12 +176,17 @@ def score(model: LogisticRegressionModel, table: DataFrame, id_col: str = "id",
 
 def split_table(comments: DataFrame, cfg: BiasConfig = DEFAULT) -> DataFrame:
     """Training table with a ``split`` column (seeded exact split; the scaler
-    is fitted on the train rows only)."""
-    split = order.split_train_valid(comments.select(cfg.id_column), cfg.id_column, cfg.seed,
-                                    cfg.train_percent, cfg.valid_percent).select(cfg.id_column, "split")
-    train_ids = split.where(F.col("split") == "train").select(cfg.id_column)
-    # Materialised once: every solver iteration reads it.
-    return cut_lineage(training_table(comments, cfg, train_ids).join(split, cfg.id_column))
+    is fitted on the train rows only).
+
+    The split's ordered window runs over the narrow feature table and carries
+    its columns, so features, targets and split need no join on id.
+    """
+    # Materialised once each: the text pass feeds the split's two branches,
+    # and the split feeds the scaler fit, its apply and every solver pass.
+    features = cut_lineage(feature_table(comments, cfg))
+    split = order.split_train_valid(features, cfg.id_column, cfg.seed, cfg.train_percent,
+                                    cfg.valid_percent).drop("position", "position_count")
+    return assemble_table(cut_lineage(split), cfg, F.col("split") == "train", keep=["split"])
 
 
 def split_and_train(comments: DataFrame, cfg: BiasConfig = DEFAULT):
