@@ -485,17 +485,14 @@ def submission(spark: SparkSession, root: str) -> DataFrame:
 @register
 def oof_union(spark: SparkSession, root: str) -> DataFrame:
     c = comments(spark, root)
-    folds = order.assign_folds(c, "id", N_FOLDS, FOLD_SEED)
-    oof, _, _ = train.out_of_fold(c, folds, N_FOLDS)
+    oof, _, _ = train.out_of_fold(c, None, N_FOLDS, seed=FOLD_SEED)
     return rounded(oof.select("id", "fold", "logit", "prediction"), 6)
 
 
 @register
 def oof_aux(spark: SparkSession, root: str) -> DataFrame:
     """Out-of-fold auxiliary logits (six heads per fold)."""
-    c = comments(spark, root)
-    folds = order.assign_folds(c, "id", N_FOLDS, FOLD_SEED)
-    table = cut_lineage(train.training_table(c).join(folds, "id"))
+    table = train.fold_table(comments(spark, root), N_FOLDS, FOLD_SEED)
     return rounded(train.out_of_fold_aux(table, N_FOLDS), 6)
 
 
@@ -503,8 +500,7 @@ def oof_aux(spark: SparkSession, root: str) -> DataFrame:
 def submission_folds(spark: SparkSession, root: str) -> DataFrame:
     """Every fold model scores the whole table: (fold, id, prediction)."""
     c = comments(spark, root)
-    folds = order.assign_folds(c, "id", N_FOLDS, FOLD_SEED)
-    _, models, table = train.out_of_fold(c, folds, N_FOLDS)
+    _, models, table = train.out_of_fold(c, None, N_FOLDS, seed=FOLD_SEED)
     return rounded(train.score_all_folds(table, models), 6)
 
 

@@ -213,11 +213,31 @@ def fit_binary_folds(table: DataFrame, n_folds: int, fold: str = "fold", max_ite
     return {k: HeadModel(joint[k * d:(k + 1) * d - 1], joint[(k + 1) * d - 1]) for k in range(n_folds)}
 
 
-def out_of_fold(comments: DataFrame, folds: DataFrame, n_folds: int, cfg: BiasConfig = DEFAULT):
+def fold_table(comments: DataFrame, n_folds: int, seed: int, cfg: BiasConfig = DEFAULT) -> DataFrame:
+    """Training table with a ``fold`` column: the folds of
+    ``order.assign_folds`` (same seed, same rows), numbered over the narrow
+    feature table so its columns ride along (no join on id)."""
+    features = cut_lineage(feature_table(comments, cfg))
+    pos = order.global_positions(features, cfg.id_column, seed)
+    folded = pos.withColumn("fold", F.pmod(F.col("position") - 1, F.lit(n_folds)).cast("int")) \
+                .drop("position", "position_count")
+    # the numbered table feeds the scaler fit, its apply and every solver pass
+    return assemble_table(cut_lineage(folded), cfg, keep=["fold"])
+
+
+def out_of_fold(comments: DataFrame, folds: DataFrame | None, n_folds: int, cfg: BiasConfig = DEFAULT,
+                seed: int | None = None):
     """Fit the k fold models jointly, score every row with its own fold's
-    model in one pass. Returns (OOF (id, fold, logit, prediction), models,
-    training table)."""
-    table = cut_lineage(training_table(comments, cfg).join(folds, cfg.id_column))
+    model in one pass. ``folds`` is an (id, fold) table (e.g. read from
+    disk, aligned by a join on id), or None to number folds with ``seed``
+    in place (``fold_table``). Returns (OOF (id, fold, logit, prediction),
+    models, training table)."""
+    if folds is None:
+        if seed is None:
+            raise ValueError("out_of_fold needs a folds table or a seed")
+        table = fold_table(comments, n_folds, seed, cfg)
+    else:
+        table = cut_lineage(training_table(comments, cfg).join(folds, cfg.id_column))
     models = fit_binary_folds(table, n_folds)
     margin = None
     for k, m in models.items():
