@@ -5,9 +5,9 @@ to printable characters, and every way to cut a token into two tokens is a
 merge, ordered by the token's rank, so that the lowest-ranked token is made
 first. A pre-token that is itself in the vocabulary is one token.
 
-Arrow batches are worked off in chunks: the distinct pre-tokens of a chunk that
-the worker does not hold yet are encoded by one library call, and a text's ids
-(and character offsets) are those of its pre-tokens in turn. No shuffle.
+Arrow batches are worked off in chunks: parts of texts that the worker does not
+hold yet are split into pre-tokens and merged by the library, and a text's ids
+are those of its parts in turn. No shuffle.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from . import bytelevel as bl
 from .common import whole, workers_can_import
 
-KEPT_PIECES = 150_000
+KEPT_PARTS = 300_000
 
 _workers: dict = {}
 
@@ -55,48 +55,52 @@ def library_model(ranks: dict[bytes, int]) -> Tokenizer:
 
 
 class Encoder:
-    """Encodes texts into ids and character offsets; one per Python worker."""
+    """Encodes texts into ids and character offsets; one per Python worker.
+    Holds the ids of space-started parts of texts; emptied when full."""
 
-    def __init__(self, tokenizer_json: str, odd: str, offsets: bool = False):
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+    def __init__(self, tokenizer_json: str, odd: str):
+        self.model = Tokenizer.from_str(tokenizer_json).model
         self.pieces = bl.Pieces(odd)
-        self.offsets = offsets
-        self.ids: dict[str, tuple] = {}
-        self.spans: dict[str, tuple] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.ids))
-        if len(self.ids) + len(new) > KEPT_PIECES:
-            self.ids, self.spans, new = {}, {}, list(pieces)
-        encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
-        for piece, e in zip(new, encode(new, add_special_tokens=False)):
-            self.ids[piece] = tuple(e.ids)
-            if self.offsets:
-                self.spans[piece] = tuple(e.offsets)
+        self.known: dict[str, tuple | None] = {}
+
+    def _plain(self, text: str) -> tuple:
+        return tuple(t.id for p in self.pieces(text) for t in self.model.tokenize(bl.mapped(p)))
+
+    def _text(self, text: str, head: str, rest: list[str]) -> Iterable[int]:
+        if rest and (not head or head[-1].isspace()):
+            return self._plain(text)
+        try:
+            return [*self._plain(head), *chain.from_iterable(map(self.known.__getitem__, rest))]
+        except TypeError:  # a part that can't be split alone
+            return self._plain(text)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for part in bl.chunks(texts):
-            split = [self.pieces(t) for t in part]
-            self._learn(set(chain.from_iterable(split)))
-            ids = self.ids.__getitem__
-            for pieces in split:
-                yield np.fromiter(chain.from_iterable(map(ids, pieces)), dtype=np.int32)
-
-    def encode_with_offsets(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, (n, 2) character spans); the tokens of a character that is cut
-        over several tokens all span that character."""
-        if not self.offsets:
-            raise ValueError("built without offsets")
-        for part in bl.chunks(texts):
-            split = [self.pieces(t) for t in part]
-            self._learn(set(chain.from_iterable(split)))
-            for pieces in split:
-                at, spans = 0, []
-                for p in pieces:
-                    spans += [(at + a, at + b) for a, b in self.spans[p]]
-                    at += len(p)
-                ids = np.fromiter(chain.from_iterable(map(self.ids.__getitem__, pieces)), dtype=np.int32)
-                yield ids, np.array(spans, dtype=np.int32).reshape(-1, 2)
+            if len(self.known) > KEPT_PARTS:
+                self.known = {}
+            split = [(t, *bl.units(t)) for t in part]
+            for u in set(chain.from_iterable(rest for _, _, rest in split)).difference(self.known):
+                self.known[u] = self._plain(" " + u) if bl.standalone(u) else None
+            for s in split:
+                yield np.array(self._text(*s), dtype=np.int32)
+
+    def encode_with_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, (n, 2) character spans). A token's printable characters are its
+        bytes, so spans are counted in bytes and mapped to characters; all
+        tokens of a character that is cut over several tokens span it."""
+        ids, sizes = [], []
+        for p in self.pieces(text):
+            for t in self.model.tokenize(bl.mapped(p)):
+                ids.append(t.id)
+                sizes.append(len(t.value))
+        raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+        character = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
+        ends = np.cumsum(np.array(sizes, dtype=np.int64))
+        spans = np.empty((len(ids), 2), dtype=np.int32)
+        if ids:
+            spans[:, 0] = character[np.concatenate([[0], ends[:-1]])]
+            spans[:, 1] = character[ends - 1] + 1
+        return np.array(ids, dtype=np.int32), spans
 
 
 class Decoder:
@@ -149,14 +153,14 @@ class Codec:
 
     def encode_with_offsets(self, text: str | Column) -> Column:
         """struct<ids, starts, ends>: ids and the characters that each covers."""
-        shared, key = self._model, ("spans", self.path)
+        shared, key = self._model, ("ids", self.path)
         kind = "ids array<int>, starts array<int>, ends array<int>"
 
         @F.pandas_udf(kind)
         def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            encoder = _workers.get(key) or _workers.setdefault(key, Encoder(*shared.value, True))
+            encoder = _workers.get(key) or _workers.setdefault(key, Encoder(*shared.value))
             for texts in batches:
-                rows = [(i, s[:, 0], s[:, 1]) for i, s in encoder.encode_with_offsets(texts.tolist())]
+                rows = [(i, s[:, 0], s[:, 1]) for i, s in map(encoder.encode_with_offsets, texts)]
                 yield pd.DataFrame(rows, columns=["ids", "starts", "ends"])
 
         return spans(whole(text))

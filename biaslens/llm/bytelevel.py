@@ -8,6 +8,7 @@ tokenizer library itself, which is exact and slow.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -38,11 +39,22 @@ def odd_characters() -> str:
     return "".join(odd)
 
 
+def ranges(characters: str) -> str:
+    """Sorted characters as ranges of a character class."""
+    runs: list[list[int]] = []
+    for code in map(ord, characters):
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
 class Pieces:
     """Splits texts into pre-tokens as the tokenizer library does."""
 
     def __init__(self, odd: str):
-        self._odd = regex.compile("[" + regex.escape(odd, special_only=False) + "]") if odd else None
+        self._odd = re.compile("[" + ranges(odd) + "]") if odd else None
         self._split = library_splitter()
 
     def __call__(self, text: str) -> list[str]:
@@ -71,6 +83,29 @@ def character_bytes() -> dict[str, int]:
     return {c: b for b, c in enumerate(byte_characters())}
 
 
+@lru_cache(maxsize=1)
+def _mapping() -> dict[int, str]:
+    return dict(enumerate(byte_characters()))
+
+
+def mapped(piece: str) -> str:
+    """A pre-token with each UTF-8 byte as its printable character."""
+    return piece.encode("utf-8").decode("latin-1").translate(_mapping())
+
+
+def units(text: str) -> tuple[str, list[str]]:
+    """(head, rest): the text cut before each space. A space between two other
+    characters that are no white space always starts a pre-token, so such parts
+    can be split alone; ``rest`` holds them without their space."""
+    head, *rest = text.split(" ")
+    return head, rest
+
+
+def standalone(unit: str) -> bool:
+    """Whether " " + unit can be split alone, and the unit after it too."""
+    return bool(unit) and not unit[0].isspace() and not unit[-1].isspace()
+
+
 def chunks(texts, size: int = 1 << 18):
     """Lists of texts of about ``size`` characters together (a longer text alone)."""
     part, n = [], 0

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import uuid
 
+# one thread per task: Spark spreads the work, the tokenizer library must not
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

@@ -2,8 +2,8 @@
 
 Offline, each vocabulary string is put to the tokenizer: those that form one
 pre-token and encode alone as one token are whole tokens. In a text such
-pre-tokens count one each; only the others are merged, once per distinct
-pre-token of a chunk and kept in a bounded table per Python worker.
+pre-tokens count one each; only the others are merged, and their counts are
+kept in a bounded table per Python worker.
 
 No shuffle; each Arrow batch is worked off in chunks of texts, so memory does
 not follow the batch.
@@ -24,6 +24,7 @@ from . import bytelevel as bl
 from .common import replaced, whole, workers_can_import
 
 MERGED_ENTRIES = 200_000
+UNIT_ENTRIES = 400_000
 
 _workers: dict = {}
 
@@ -45,35 +46,60 @@ def whole_tokens(tokenizer: Tokenizer, pieces: bl.Pieces) -> list[str]:
 
 
 class Counter:
-    """Counts tokens of texts; built once per Python worker."""
+    """Counts tokens of texts; built once per Python worker.
+
+    Two tables of token counts: of pre-tokens (whole tokens, which stay, and
+    merged ones) and of space-started parts of texts, so that a frequent part
+    costs one look-up. Both are emptied when full; results don't depend on it.
+    """
 
     def __init__(self, tokenizer_json: str, shortcut: list[str], odd: str):
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model = tokenizer.model
         self.pieces = bl.Pieces(odd)
         # special strings are cut out of a text before anything else, one token each
-        self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()),
-                              key=len, reverse=True)
+        special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()),
+                         key=len, reverse=True)
+        self.special = bl.regex.compile("|".join(map(bl.regex.escape, special))) if special else None
+        self.marks = special
         self.shortcut = dict.fromkeys(shortcut, 1)
         self.known = dict(self.shortcut)
-
-    def _parts(self, text: str) -> tuple[list[str], int]:
-        if not any(s in text for s in self.special):
-            return self.pieces(text), 0
-        cut = bl.regex.split("|".join(map(bl.regex.escape, self.special)), text)
-        return list(chain.from_iterable(map(self.pieces, cut))), len(cut) - 1
+        self.units: dict[str, int | None] = {}
+
+    def _piece(self, piece: str) -> int:
+        n = self.known.get(piece)
+        if n is None:
+            n = self.known[piece] = len(self.model.tokenize(bl.mapped(piece)))
+        return n
+
+    def _plain(self, text: str) -> int:
+        return sum(map(self._piece, self.pieces(text)))
+
+    def _learn(self, new: set[str]) -> None:
+        for u in new:
+            self.units[u] = self._plain(" " + u) if bl.standalone(u) else None
+
+    def _count(self, text: str, head: str, rest: list[str]) -> int:
+        if any(m in text for m in self.marks):
+            parts = self.special.split(text)
+            return sum(map(self._plain, parts)) + len(parts) - 1
+        if rest and (not head or head[-1].isspace()):
+            return self._plain(text)
+        try:
+            return self._plain(head) + sum(map(self.units.__getitem__, rest))
+        except TypeError:  # a part that can't be split alone
+            return self._plain(text)
 
     def __call__(self, texts: list[str]) -> list[int]:
         out: list[int] = []
         for part in bl.chunks(texts):
-            split = [self._parts(t) for t in part]
-            merge = list(set(chain.from_iterable(p for p, _ in split)).difference(self.known))
-            if len(self.known) + len(merge) > len(self.shortcut) + MERGED_ENTRIES:
+            if len(self.known) > len(self.shortcut) + MERGED_ENTRIES:
                 self.known = dict(self.shortcut)
-                merge = list(set(chain.from_iterable(p for p, _ in split)).difference(self.known))
-            for piece, e in zip(merge, self.tokenizer.encode_batch_fast(merge, add_special_tokens=False)):
-                self.known[piece] = len(e)
-            count = self.known.__getitem__
-            out += [sum(map(count, p)) + n for p, n in split]
+            if len(self.units) > UNIT_ENTRIES:
+                self.units = {}
+            split = [(t, *bl.units(t)) for t in part]
+            self._learn(set(chain.from_iterable(rest for _, _, rest in split)).difference(self.units))
+            out += [self._count(*s) for s in split]
         return out
 
 
