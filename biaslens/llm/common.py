@@ -27,9 +27,10 @@ def whole(text: str | Column) -> Column:
 
 
 def words(text: str | Column) -> Column:
-    """Array of the words of a text (null: none)."""
-    parts = F.split(whole(text), SPACE)
-    return F.filter(parts, lambda w: w != "")
+    """Array of the words of a text (null: none). Trimmed first, so that the
+    split leaves no empty parts."""
+    inner = F.btrim(whole(text), F.lit(SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
 
 
 def workers_can_import(spark: SparkSession) -> None:

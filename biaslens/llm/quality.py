@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, replaced, whole, words
+from .common import SPACE, SPACES, WORD, whole, words
 
 SYMBOLS = "#*$%&|<>"
 # Phrases of page furniture; a line that holds one and is short is boilerplate.
@@ -38,13 +38,16 @@ class LineRules:
     max_repeat_percent: int = 50
 
 
+# Marks without which no symbol, doubled-mark or separator rule can fail.
+ANY_MARK = r"[#*$%&|<>»›•·]|::|[!?]{2}|[.]{4}"
 CLOSED = r"""[.!?:;…。！？]["'”’»)\]]*[\x20\x09-\x0D]*$"""
 DOUBLED = r"[!?]{2,}|[.]{4,}"
-SEPARATOR = r"(?:^|[\x20\x09-\x0D])(?:[|>»›•·/\\-]|::)(?=$|[\x20\x09-\x0D])"
+SEPARATOR = r"(?:^|[\x20\x09-\x0D])(?:[|>»›•·]|::)(?=$|[\x20\x09-\x0D])"
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD))
+def word_count(line: Column) -> Column:
+    """Words of a line that has at least one."""
+    return F.size(F.split(F.btrim(line, F.lit(SPACES)), SPACE))
 
 
 def symbol_count(text: Column) -> Column:
@@ -52,17 +55,16 @@ def symbol_count(text: Column) -> Column:
 
 
 def line_fails(line: Column, rules: LineRules) -> Column:
-    """Whether a line with at least one word fails a rule."""
-    n = word_count(line)
-    phrase = F.lit(False)
-    low = F.lower(line)
-    for p in BOILERPLATE:
-        phrase = phrase | low.contains(p)
-    return ((symbol_count(line) > rules.max_symbol_share * n)
+    """Whether a line with at least one word fails a rule. Cheap tests come
+    first: the counting patterns run only on lines with such a mark."""
+    phrases = "(?i)" + "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE)
+    return _let(word_count(line), lambda n: (
+        (line.rlike(ANY_MARK)
+         & ((symbol_count(line) > rules.max_symbol_share * n)
             | (F.regexp_count(line, F.lit(DOUBLED)) > rules.max_doubled_share * n)
-            | ((n <= rules.unfinished_words) & ~line.rlike(CLOSED))
-            | (F.regexp_count(line, F.lit(SEPARATOR)) > rules.max_separator_share * n)
-            | ((n <= rules.boilerplate_words) & phrase))
+            | (F.regexp_count(line, F.lit(SEPARATOR)) > rules.max_separator_share * n)))
+        | ((n <= rules.unfinished_words) & ~line.rlike(CLOSED))
+        | ((n <= rules.boilerplate_words) & line.rlike(phrases))))
 
 
 def repeated_window_words(w: Column) -> Column:
@@ -71,9 +73,10 @@ def repeated_window_words(w: Column) -> Column:
     equal to a neighbour are kept; each covers as many new words as its
     distance from the one before, three at most."""
     n = F.size(w)
-    pairs = F.array_sort(F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i"))))
+    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+
+    def ordered(h: Column) -> Column:
+        return F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
     def positions(p: Column) -> Column:
         m = F.size(p)
@@ -87,7 +90,9 @@ def repeated_window_words(w: Column) -> Column:
             lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).alias("n"), i.alias("last")),
             lambda s: s["n"])
 
-    return F.when(n < 4, F.lit(0)).otherwise(_let(pairs, lambda p: _let(positions(p), covered)))
+    return F.when(n < 4, F.lit(0)).otherwise(_let(hashes, lambda h: F.when(
+        F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
+        _let(ordered(h), lambda p: _let(positions(p), covered)))))
 
 
 def _let(value: Column, body) -> Column:
@@ -117,8 +122,8 @@ def quality(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -
     counted = cut.select(
         "*",
         F.size(w).cast("long").alias("n_words"),
-        F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
-        symbol_count(t).cast("long").alias("n_symbols"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.when(t.rlike(f"[{SYMBOLS}]"), symbol_count(t)).otherwise(0).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         repeated_window_words(w).cast("long").alias("n_repeat_words"),
         bad.alias("_bad"))
@@ -148,5 +153,8 @@ def kept_documents(df: DataFrame, text: str = "text", n_chars: str = "n_chars",
     if n_chars in columns:
         new[n_chars] = F.when(F.col("n_lost") > 0, F.length("clean_text")).otherwise(
             F.col("_row").getField(n_chars)).cast(df.schema[n_chars].dataType)
-    return judged.where("kept").select(
+    # through a generator: the optimizer would copy the whole verdict into a
+    # filter on ``kept`` itself and compute it twice
+    verdict = judged.select("*", F.explode(F.array("kept")).alias("_keep"))
+    return verdict.where("_keep").select(
         *[new.get(c, F.col("_row").getField(c)).alias(c) for c in columns])
