@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import codecs
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -28,7 +30,8 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from . import bytelevel as bl
 from .common import whole, workers_can_import
 
-KEPT_PARTS = 300_000
+KEPT_PARTS = 250_000
+KEPT_PIECES = 100_000
 
 _workers: dict = {}
 
@@ -56,21 +59,34 @@ def library_model(ranks: dict[bytes, int]) -> Tokenizer:
 
 class Encoder:
     """Encodes texts into ids and character offsets; one per Python worker.
-    Holds the ids of space-started parts of texts; emptied when full."""
 
-    def __init__(self, tokenizer_json: str, odd: str):
+    Holds the ids (as packed int32) of merged pre-tokens and of space-started
+    parts of texts, so that a frequent part costs one look-up. Both tables are
+    emptied when full; results don't depend on it.
+    """
+
+    def __init__(self, tokenizer_json: str, odd: str, ranks: dict[bytes, int]):
         self.model = Tokenizer.from_str(tokenizer_json).model
         self.pieces = bl.Pieces(odd)
-        self.known: dict[str, tuple | None] = {}
+        self.whole = {t: r.to_bytes(4, sys.byteorder) for t, r in ranks.items()}
+        self.merged: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        raw = piece.encode("utf-8")
+        ids = self.whole.get(raw) or self.merged.get(raw)
+        if ids is None:
+            ids = self.merged[raw] = array("i", [t.id for t in self.model.tokenize(bl.mapped(piece))]).tobytes()
+        return ids
 
-    def _plain(self, text: str) -> tuple:
-        return tuple(t.id for p in self.pieces(text) for t in self.model.tokenize(bl.mapped(p)))
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self._piece, self.pieces(text)))
 
-    def _text(self, text: str, head: str, rest: list[str]) -> Iterable[int]:
+    def _text(self, text: str, head: str, rest: list[str]) -> bytes:
         if rest and (not head or head[-1].isspace()):
             return self._plain(text)
         try:
-            return [*self._plain(head), *chain.from_iterable(map(self.known.__getitem__, rest))]
+            return self._plain(head) + b"".join(map(self.known.__getitem__, rest))
         except TypeError:  # a part that can't be split alone
             return self._plain(text)
 
@@ -78,11 +94,13 @@ class Encoder:
         for part in bl.chunks(texts):
             if len(self.known) > KEPT_PARTS:
                 self.known = {}
+            if len(self.merged) > KEPT_PIECES:
+                self.merged = {}
             split = [(t, *bl.units(t)) for t in part]
             for u in set(chain.from_iterable(rest for _, _, rest in split)).difference(self.known):
                 self.known[u] = self._plain(" " + u) if bl.standalone(u) else None
             for s in split:
-                yield np.array(self._text(*s), dtype=np.int32)
+                yield np.frombuffer(self._text(*s), dtype=np.int32)
 
     def encode_with_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids, (n, 2) character spans). A token's printable characters are its
@@ -107,7 +125,9 @@ class Decoder:
     """Reverses the byte table: ids -> bytes -> text."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.table = {r: t for t, r in ranks.items()}
+        self.table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, r in ranks.items():
+            self.table[r] = token
 
     def bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
@@ -140,11 +160,11 @@ class Codec:
 
     def encode(self, text: str | Column) -> Column:
         """array<int> of ids of the whole text (null: empty)."""
-        shared, key = self._model, ("ids", self.path)
+        shared, ranks, key = self._model, self._ranks, ("ids", self.path)
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            encoder = _workers.get(key) or _workers.setdefault(key, Encoder(*shared.value))
+            encoder = _workers.get(key) or _workers.setdefault(key, Encoder(*shared.value, ranks.value))
             for texts in batches:
                 found = list(encoder.encode(texts.to_pylist()))
                 yield _lists(found)
@@ -153,12 +173,12 @@ class Codec:
 
     def encode_with_offsets(self, text: str | Column) -> Column:
         """struct<ids, starts, ends>: ids and the characters that each covers."""
-        shared, key = self._model, ("ids", self.path)
+        shared, ranks, key = self._model, self._ranks, ("ids", self.path)
         kind = "ids array<int>, starts array<int>, ends array<int>"
 
         @F.pandas_udf(kind)
         def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            encoder = _workers.get(key) or _workers.setdefault(key, Encoder(*shared.value))
+            encoder = _workers.get(key) or _workers.setdefault(key, Encoder(*shared.value, ranks.value))
             for texts in batches:
                 rows = [(i, s[:, 0], s[:, 1]) for i, s in map(encoder.encode_with_offsets, texts)]
                 yield pd.DataFrame(rows, columns=["ids", "starts", "ends"])
@@ -166,16 +186,19 @@ class Codec:
         return spans(whole(text))
 
     def decode(self, ids: str | Column) -> Column:
-        """Bytes of the ids (null: none). ``decode(..).cast("string")`` is the text."""
+        """Bytes of the ids (null: no bytes). ``decode(..).cast("string")`` is the text."""
         shared, key = self._ranks, ("bytes", self.path)
 
         @F.arrow_udf(T.BinaryType())
         def whole_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             decoder = _workers.get(key) or _workers.setdefault(key, Decoder(shared.value))
             for lists in batches:
-                yield pa.array([decoder.bytes(x.as_py() or ()) for x in lists], type=pa.binary())
+                ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+                yield pa.array([decoder.bytes(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])],
+                               type=pa.binary())
 
-        return whole_bytes(F.col(ids) if isinstance(ids, str) else ids)
+        ids = F.col(ids) if isinstance(ids, str) else ids
+        return whole_bytes(F.coalesce(ids, F.array().cast("array<int>")))
 
 
 def _lists(found: list[np.ndarray]) -> pa.Array:

@@ -2,4 +2,72 @@
 
 from __future__ import annotations
 
+from .mixing import MIN_WEIGHT
+from .quality import ANY_MARK, BOILERPLATE, CLOSED, DOUBLED, SYMBOLS, LineRules
+
 SQL: dict[str, str] = {}
+
+_TEXT = "coalesce(text, '')"
+_WORDS = rf"list_filter(regexp_split_to_array({_TEXT}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_R = LineRules()
+_PHRASES = "(?i)" + "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE)
+_LONE = r"[|>»›•·]|::"
+SQL["op2_quality_rules"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TEXT} AS t, {_WORDS} AS w FROM documents),
+w3 AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+       FROM d, unnest(range(1, greatest(len(w) - 1, 1))) AS u(i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM w3) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY r),
+lines AS (SELECT r, l, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
+                 list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw
+          FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
+judged AS (SELECT r, l, n,
+      (regexp_matches(l, {_quoted(ANY_MARK)})
+       AND (length(l) - length(regexp_replace(l, '[{SYMBOLS}]', '', 'g')) > {_R.max_symbol_share} * n
+            OR len(regexp_extract_all(l, {_quoted(DOUBLED)})) > {_R.max_doubled_share} * n
+            OR len(list_filter(lw, lambda x: regexp_full_match(x, {_quoted(_LONE)}))) > {_R.max_separator_share} * n))
+      OR (n <= {_R.unfinished_words} AND NOT regexp_matches(l, {_quoted(CLOSED)}))
+      OR (n <= {_R.boilerplate_words} AND regexp_matches(l, {_quoted(_PHRASES)})) AS fails
+   FROM lines WHERE n > 0),
+per AS (SELECT r, count(*) - count(DISTINCT l) AS dup, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost
+        FROM judged GROUP BY r),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             (length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols,
+             coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+             coalesce(lost, 0) AS lost
+      FROM d LEFT JOIN rep USING (r) LEFT JOIN per USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeat_percent} * n_words AS base_failed,
+       NOT (n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeat_percent} * n_words)
+       AND lost <= {_R.max_lost_share} * n_words AS kept
+FROM f
+"""
+
+SQL["op5_mixing"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, {_TEXT} AS t, {_WORDS} AS w FROM documents),
+f AS (SELECT r, doc_id, source, len(w)::BIGINT AS size,
+             md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || t) AS tie,
+             greatest({MIN_WEIGHT}::DOUBLE, 1 - (length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')))::DOUBLE
+                      / greatest(length(array_to_string(w, '')), 1)::DOUBLE) AS q FROM d),
+k AS (SELECT *, -ln((('0x' || substr(tie, 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) / q AS key FROM f),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rk,
+              1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS total, 2.0::DOUBLE * source_size AS cap FROM s),
+s2 AS (SELECT *, ([3, 1, 2])[((rk - 1) % 3 + 1)::INT]::DOUBLE AS wt FROM s1),
+s3 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / wt, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(wt) OVER (ORDER BY cap / wt, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM s2),
+s4 AS (SELECT source, source_size, least(cap, max(lvl) OVER () * wt) AS target FROM s3),
+s5 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM s4),
+run AS (SELECT k.doc_id, k.size, s5.*, coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, tie
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM k JOIN s5 ON k.source IS NOT DISTINCT FROM s5.source)
+SELECT doc_id, size, source_size, target,
+       (size * (epochs + CASE WHEN before + size / 2.0::DOUBLE <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM run
+"""
