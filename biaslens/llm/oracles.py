@@ -71,3 +71,16 @@ SELECT doc_id, size, source_size, target,
        (size * (epochs + CASE WHEN before + size / 2.0::DOUBLE <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM run
 """
+
+SQL["op10_substrings"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS x
+      FROM d, unnest(range(1, greatest(len(w) - 33, 1))) AS u(i)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY x) AS n FROM s) WHERE n > 1),
+gone AS (SELECT DISTINCT r, i + k AS p FROM again, unnest(range(0, 35)) AS o(k)),
+words AS (SELECT r, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(p)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
