@@ -27,15 +27,15 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import Marks, bits_for, marks_of
 from .common import whole, workers_can_import, written
 from .wordhash import WordHashes, runs
 
-BLOCK_BITS = 17
-MAX_BITMAP_BITS = 27          # 16 MB
 HOT_SHARE = 1000              # hot: more than 1/1000 of all super-k-mers ...
 HOT_LEAST = 50_000            # ... and more than this many
 
@@ -70,38 +70,13 @@ def _minimiser_counts(docs: DataFrame, window: int, minimiser: int) -> DataFrame
     return docs.select("_text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _bitmap(repeated: DataFrame, bits: int) -> dict[int, bytes]:
-    """Blocks of the bitmap of the top ``bits`` bits of the repeated minimisers."""
-    block = min(BLOCK_BITS, bits)
-
-    def pack(table: pa.Table) -> pa.Table:
-        marks = np.zeros(1 << block, dtype=np.uint8)
-        marks[table.column("offset").to_numpy()] = 1
-        return pa.table({"block": table.column("block")[:1], "marks": pa.array([np.packbits(marks).tobytes()])})
-
-    cell = F.shiftrightunsigned("h", 64 - bits)
-    cells = repeated.select(
-        F.shiftrightunsigned(cell, block).alias("block"),
-        cell.bitwiseAND((1 << block) - 1).alias("offset")).distinct()
-    rows = cells.groupBy("block").applyInArrow(pack, "block long, marks binary").collect()
-    return {r["block"]: bytes(r["marks"]) for r in rows}
-
-
 def _strings(docs: DataFrame, window: int, minimiser: int, bits: int, blocks: dict, hot: list[int]) -> DataFrame:
     """(h, _key, start, packed): the super-k-mers that may hold repeated windows."""
-    shared = docs.sparkSession.sparkContext.broadcast((blocks, np.array(sorted(hot), dtype=np.uint64)))
-    block = min(BLOCK_BITS, bits)
+    shared = docs.sparkSession.sparkContext.broadcast((blocks, bits, np.array(sorted(hot), dtype=np.uint64)))
 
     def travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, hot = shared.value
-        marks = {b: np.unpackbits(np.frombuffer(m, dtype=np.uint8)) for b, m in blocks.items()}
-        none = np.zeros(1 << block, dtype=np.uint8)
-
-        def marked(h: np.ndarray) -> np.ndarray:
-            cell = h >> np.uint64(64 - bits)
-            home, offset = (cell >> np.uint64(block)).astype(np.int64), (cell & np.uint64((1 << block) - 1)).astype(np.int64)
-            return np.array([marks.get(b, none)[o] for b, o in zip(home.tolist(), offset.tolist())], dtype=bool)
-
+        blocks, bits, hot = shared.value
+        marked = Marks(blocks, bits)
         for batch in batches:
             out: list[tuple] = []
             for key, text in zip(batch.column("_key"), batch.column("_text")):
@@ -128,7 +103,6 @@ def _strings(docs: DataFrame, window: int, minimiser: int, bits: int, blocks: di
 
 
 def _home(packed: bytes) -> int:
-    import xxhash
     return int(np.uint64(xxhash.xxh3_64_intdigest(packed)).view(np.int64))
 
 
@@ -191,11 +165,11 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = df.select(document_key(doc_id, text).alias("_key"), whole(text).cast("binary").alias("_text"))
     repeated = written(_minimiser_counts(docs, window, minimiser).where("n > 1"), "minimisers")
     size, total = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = min(MAX_BITMAP_BITS, max(BLOCK_BITS, (16 * size).bit_length()))
+    bits = bits_for(size)
     # at most HOT_SHARE minimisers can have more than 1 / HOT_SHARE of the total
     hot = [int(np.int64(r["h"]).view(np.uint64)) for r in
            repeated.where(F.col("n") > max(hot_least, total // HOT_SHARE)).select("h").collect()]
-    strings = written(_strings(docs, window, minimiser, bits, _bitmap(repeated, bits), hot), "super-kmers")
+    strings = written(_strings(docs, window, minimiser, bits, marks_of(repeated, "h", bits), hot), "super-kmers")
     found = _repeated(strings, window)
     spans = strings.join(found, "packed").select(
         "_key", (F.col("start") + F.col("lo")).alias("from"),
