@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, quality, substrings, tokens
+from . import bpe, jaccard, mixing, quality, substrings, tokens, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -61,6 +61,12 @@ def op8_ngram_jaccard(spark: SparkSession, root: str) -> DataFrame:
     return jaccard.similar_documents(docs, k=4, percent=85)
 
 
+@register
+def op9_embedding_neardup(spark: SparkSession, root: str) -> DataFrame:
+    vecs = table(spark, root, "embeddings").select("vec_id", "embedding")
+    return vectors.near_duplicates(vecs)
+
+
 @register
 def op10_substrings(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
