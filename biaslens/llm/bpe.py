@@ -17,7 +17,6 @@ import codecs
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from . import bytelevel as bl
 from .common import whole, workers_can_import
 
-KEPT_PARTS = 250_000
+KEPT_PARTS = 350_000
 KEPT_PIECES = 100_000
 
 _workers: dict = {}
@@ -70,7 +69,7 @@ class Encoder:
         self.pieces = bl.Pieces(odd)
         self.whole = {t: r.to_bytes(4, sys.byteorder) for t, r in ranks.items()}
         self.merged: dict[bytes, bytes] = {}
-        self.known: dict[str, bytes | None] = {}
+        self.known = bl.Parts(self._plain)
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8")
@@ -82,7 +81,8 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.pieces(text)))
 
-    def _text(self, text: str, head: str, rest: list[str]) -> bytes:
+    def _text(self, text: str) -> bytes:
+        head, rest = bl.units(text)
         if rest and (not head or head[-1].isspace()):
             return self._plain(text)
         try:
@@ -93,14 +93,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for part in bl.chunks(texts):
             if len(self.known) > KEPT_PARTS:
-                self.known = {}
+                self.known.clear()
             if len(self.merged) > KEPT_PIECES:
-                self.merged = {}
-            split = [(t, *bl.units(t)) for t in part]
-            for u in set(chain.from_iterable(rest for _, _, rest in split)).difference(self.known):
-                self.known[u] = self._plain(" " + u) if bl.standalone(u) else None
-            for s in split:
-                yield np.frombuffer(self._text(*s), dtype=np.int32)
+                self.merged.clear()
+            for t in part:
+                yield np.frombuffer(self._text(t), dtype=np.int32)
 
     def encode_with_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids, (n, 2) character spans). A token's printable characters are its

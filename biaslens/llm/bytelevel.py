@@ -106,6 +106,18 @@ def standalone(unit: str) -> bool:
     return bool(unit) and not unit[0].isspace() and not unit[-1].isspace()
 
 
+class Parts(dict):
+    """space-started part -> ``value(" " + part)``, None if it can't be split alone."""
+
+    def __init__(self, value):
+        super().__init__()
+        self._value = value
+
+    def __missing__(self, unit: str):
+        found = self[unit] = self._value(" " + unit) if standalone(unit) else None
+        return found
+
+
 def chunks(texts, size: int = 1 << 18):
     """Lists of texts of about ``size`` characters together (a longer text alone)."""
     part, n = [], 0

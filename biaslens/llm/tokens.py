@@ -12,7 +12,6 @@ not follow the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,7 +63,7 @@ class Counter:
         self.marks = special
         self.shortcut = dict.fromkeys(shortcut, 1)
         self.known = dict(self.shortcut)
-        self.units: dict[str, int | None] = {}
+        self.units = bl.Parts(self._plain)
 
     def _piece(self, piece: str) -> int:
         n = self.known.get(piece)
@@ -75,14 +74,11 @@ class Counter:
     def _plain(self, text: str) -> int:
         return sum(map(self._piece, self.pieces(text)))
 
-    def _learn(self, new: set[str]) -> None:
-        for u in new:
-            self.units[u] = self._plain(" " + u) if bl.standalone(u) else None
-
-    def _count(self, text: str, head: str, rest: list[str]) -> int:
+    def _count(self, text: str) -> int:
         if any(m in text for m in self.marks):
             parts = self.special.split(text)
             return sum(map(self._plain, parts)) + len(parts) - 1
+        head, rest = bl.units(text)
         if rest and (not head or head[-1].isspace()):
             return self._plain(text)
         try:
@@ -96,10 +92,8 @@ class Counter:
             if len(self.known) > len(self.shortcut) + MERGED_ENTRIES:
                 self.known = dict(self.shortcut)
             if len(self.units) > UNIT_ENTRIES:
-                self.units = {}
-            split = [(t, *bl.units(t)) for t in part]
-            self._learn(set(chain.from_iterable(rest for _, _, rest in split)).difference(self.units))
-            out += [self._count(*s) for s in split]
+                self.units.clear()
+            out += map(self._count, part)
         return out
 
 
