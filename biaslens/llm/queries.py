@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, quality, substrings, tokens, vectors
+from . import bpe, jaccard, mixing, quality, substrings, tokens, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,6 +38,18 @@ def op2_quality_rules(spark: SparkSession, root: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@register
+def op4_warc(spark: SparkSession, root: str) -> DataFrame:
+    pages = table(spark, root, "pages").select("page_id", "url", "html")
+    back = warc.archived(pages)
+    is_response = F.col("record_type") == "response"
+    return back.select(
+        F.when(F.col("record_id") != "", F.col("record_id").cast("long")).alias("page_id"),
+        F.when(is_response, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
+        F.when(is_response, warc.base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 @register
 def op5_mixing(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text", "source")
