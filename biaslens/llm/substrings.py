@@ -22,6 +22,7 @@ equal ones counted, word by word, not by hash.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .bitmap import Marks, bits_for, marks_of
 from .common import whole, workers_can_import, written
-from .wordhash import WordHashes, runs
+from .wordhash import WordHashes, remixed, runs
 
 HOT_SHARE = 1000              # hot: more than 1/1000 of all super-k-mers ...
 HOT_LEAST = 50_000            # ... and more than this many
@@ -43,7 +44,8 @@ _hashes = WordHashes()
 
 
 def super_kmers(words: list[bytes], window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser hash, first window, last window) of each super-k-mer."""
+    """(minimiser, first window, last window) of each super-k-mer; a minimiser
+    stands for the hash of its words."""
     if len(words) < window:
         none = np.empty(0, dtype=np.int64)
         return none.astype(np.uint64), none, none
@@ -56,7 +58,7 @@ def super_kmers(words: list[bytes], window: int, minimiser: int) -> tuple[np.nda
     at += np.arange(len(at))
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:] - 1, [len(at) - 1]])
-    return h[at[first]], first, last
+    return remixed(h[at[first]]), first, last
 
 
 def _minimiser_counts(docs: DataFrame, window: int, minimiser: int) -> DataFrame:
@@ -71,7 +73,8 @@ def _minimiser_counts(docs: DataFrame, window: int, minimiser: int) -> DataFrame
 
 
 def _strings(docs: DataFrame, window: int, minimiser: int, bits: int, blocks: dict, hot: list[int]) -> DataFrame:
-    """(h, _key, start, packed): the super-k-mers that may hold repeated windows."""
+    """(h, _key, start, digest, packed): the super-k-mers that may hold repeated
+    windows; the digest of the packed string names it afterwards."""
     shared = docs.sparkSession.sparkContext.broadcast((blocks, bits, np.array(sorted(hot), dtype=np.uint64)))
 
     def travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,12 +97,14 @@ def _strings(docs: DataFrame, window: int, minimiser: int, bits: int, blocks: di
                             out.append((_home(packed), key, w, packed))
                     else:
                         out.append((int(h[i].view(np.int64)), key, a, b" ".join(words[a:b + window])))
+            h, keys, starts, packed = zip(*out) if out else [[]] * 4
+            digests = [hashlib.blake2b(p, digest_size=16).digest() for p in packed]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=t) for c, t in zip(zip(*out) if out else [[]] * 4,
-                                                     (pa.int64(), pa.binary(), pa.int32(), pa.binary()))],
-                names=["h", "_key", "start", "packed"])
+                [pa.array(h, pa.int64()), pa.array(keys, pa.binary()), pa.array(starts, pa.int32()),
+                 pa.array(digests, pa.binary()), pa.array(packed, pa.binary())],
+                names=["h", "_key", "start", "digest", "packed"])
 
-    return docs.mapInArrow(travel, "h long, _key binary, start int, packed binary")
+    return docs.mapInArrow(travel, "h long, _key binary, start int, digest binary, packed binary")
 
 
 def _home(packed: bytes) -> int:
@@ -113,10 +118,10 @@ def _windows(packed: bytes, window: int) -> list[bytes]:
 
 
 def _repeated(strings: DataFrame, window: int) -> DataFrame:
-    """(packed, lo, hi): runs of repeated windows inside each distinct string.
+    """(digest, lo, hi): runs of repeated windows inside each distinct string.
     A bucket's strings come one after the other (sorted by bucket), so a task
     holds one bucket at a time, of distinct strings."""
-    merged = strings.groupBy("h", "packed").agg(F.count(F.lit(1)).alias("n"))
+    merged = strings.groupBy("h", "digest", "packed").agg(F.count(F.lit(1)).alias("n"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
@@ -124,15 +129,16 @@ def _repeated(strings: DataFrame, window: int) -> DataFrame:
         for _, bucket in groupby(rows, key=lambda r: r[0]):
             bucket = list(bucket)
             if len(bucket) == 1:  # windows of one string differ
-                if bucket[0][2] > 1:
-                    out.append((bucket[0][1], 0, len(_windows(bucket[0][1], window)) - 1))
+                _, digest, packed, n = bucket[0]
+                if n > 1:
+                    out.append((digest, 0, len(_windows(packed, window)) - 1))
             else:
-                found = sorted((w, s, i) for s, (_, packed, _) in enumerate(bucket)
+                found = sorted((w, s, i) for s, (_, _, packed, _) in enumerate(bucket)
                                for i, w in enumerate(_windows(packed, window)))
                 again: dict[int, list[int]] = {}
                 for _, same in groupby(found, key=lambda r: r[0]):
                     same = list(same)
-                    if len(same) > 1 or bucket[same[0][1]][2] > 1:
+                    if len(same) > 1 or bucket[same[0][1]][3] > 1:
                         for _, s, i in same:
                             again.setdefault(s, []).append(i)
                 for s, at in again.items():
@@ -147,13 +153,13 @@ def _repeated(strings: DataFrame, window: int) -> DataFrame:
             yield _runs_batch(out)
 
     placed = merged.repartition("h").sortWithinPartitions("h")
-    return placed.select("h", "packed", "n").mapInArrow(count, "packed binary, lo int, hi int")
+    return placed.select("h", "digest", "packed", "n").mapInArrow(count, "digest binary, lo int, hi int")
 
 
 def _runs_batch(rows: list[tuple]) -> pa.RecordBatch:
-    packed, lo, hi = zip(*rows)
-    return pa.record_batch([pa.array(packed, type=pa.binary()), pa.array(lo, type=pa.int32()),
-                            pa.array(hi, type=pa.int32())], names=["packed", "lo", "hi"])
+    digests, lo, hi = zip(*rows)
+    return pa.record_batch([pa.array(digests, type=pa.binary()), pa.array(lo, type=pa.int32()),
+                            pa.array(hi, type=pa.int32())], names=["digest", "lo", "hi"])
 
 
 def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35,
@@ -171,7 +177,7 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
            repeated.where(F.col("n") > max(hot_least, total // HOT_SHARE)).select("h").collect()]
     strings = written(_strings(docs, window, minimiser, bits, marks_of(repeated, "h", bits), hot), "super-kmers")
     found = _repeated(strings, window)
-    spans = strings.join(found, "packed").select(
+    spans = strings.select("_key", "start", "digest").join(found, "digest").select(
         "_key", (F.col("start") + F.col("lo")).alias("from"),
         (F.col("start") + F.col("hi") + window).alias("to")).distinct()
     return spans.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))

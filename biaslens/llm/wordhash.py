@@ -37,3 +37,9 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     h *= FINAL
     h ^= h >> np.uint64(29)
     return h
+
+
+def remixed(h: np.ndarray) -> np.ndarray:
+    """One-to-one: spreads hashes that were picked for being small."""
+    h = h * FINAL
+    return (h ^ (h >> np.uint64(31))) * MULTIPLIER
