@@ -267,11 +267,11 @@ def _searched(lists: DataFrame, percent: int) -> DataFrame:
 
 def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links) of documents (_id, _text, _th): rows (_id, n,
-    digest), classes (node, digest), links (a, b) between classes, enough for
+    digest, th), classes (node, digest), links (a, b) between classes, enough for
     the components of all links."""
     scanned = written(_sets(docs, k), "shingles")
     levels = _frequency_classes(scanned.where("block is not null").select("block", "counts"))
-    rows = scanned.where("block is null").select("_id", "n", "digest")
+    rows = scanned.where("block is null").select("_id", "n", "digest", "th")
     one = _prefixes(docs, k, percent, levels).groupBy("digest").agg(
         F.first("n").alias("n"), F.min("th").alias("th"), F.first("prefix").alias("prefix"))
     classes = written(one.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -310,6 +310,23 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     return rows, classes, links.union(_verified(more, sets, percent))
 
 
+def _grouped(df: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+    """(_id, n, digest, th, component, component_id) of every row: component
+    names the group, component_id is its smallest id."""
+    workers_can_import(df.sparkSession)
+    body = whole(F.col(f"`{text}`"))
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), body.cast("binary").alias("_text"),
+                     F.xxhash64(body).alias("_th"))
+    rows, classes, links = linked_classes(docs, k, percent)
+    parts = connected_components(links).withColumnRenamed("id", "node")
+    named = classes.select("node", "digest").join(parts, "node", "left").select(
+        "digest", F.coalesce("component", "node").alias("component"))
+    lowest = rows.where("digest is not null").groupBy("digest").agg(F.min("_id").alias("low")).join(named, "digest")
+    ids = lowest.join(lowest.groupBy("component").agg(F.min("low").alias("component_id")), "component").select(
+        "digest", "component", "component_id")
+    return rows.join(ids, "digest", "left")
+
+
 def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5,
                       percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
@@ -322,28 +339,30 @@ def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the smallest id of its component, null if none has one. Rows with equal ids
     but other texts are rows of their own.
     """
-    spark = df.sparkSession
-    workers_can_import(spark)
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), whole(F.col(f"`{text}`")).cast("binary").alias("_text"),
-                     F.xxhash64(whole(F.col(f"`{text}`"))).alias("_th"))
-    rows, classes, links = linked_classes(docs, k, percent)
-    components = connected_components(links)
-    named = classes.select("node", "digest").join(components.select(F.col("id").alias("node"), "component"), "node", "left")
-    named = named.select("digest", F.coalesce("component", "node").alias("component"))
-    lowest = rows.where("digest is not null").groupBy("digest").agg(F.min("_id").alias("low")).join(named, "digest")
-    ids = lowest.join(lowest.groupBy("component").agg(F.min("low").alias("component_id")), "component").select(
-        "digest", "component_id")
-    return rows.join(ids, "digest", "left").select(
+    return _grouped(df, doc_id, text, k, percent).select(
         F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"),
         F.when(F.col("digest").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5,
+                    percent: int = 80) -> DataFrame:
     """One document of each group of similar ones, in the columns of ``df``: the
-    one with the smallest id. Documents without words, and those whose whole
-    component has no id, stay. Of rows that repeat the smallest id (one group,
-    one id) the one with the smallest text stays."""
-    groups = similar_documents(df, doc_id, text, **settings)
-    lost = written(groups.where(F.col("component_id") < F.col(doc_id)).select(
-        F.col(doc_id).alias("_gone")).distinct(), "copies")
-    return df.join(lost, df[doc_id] == lost["_gone"], "left_anti")
+    one with the smallest id (null last, ties by a hash of the text; of rows
+    equal in both any one). Documents without words all stay.
+
+    Only ids and text hashes of the documents that go are joined to ``df``.
+    """
+    grouped = _grouped(df, doc_id, text, k, percent).where("component is not null")
+    rank = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("i"), F.col("th").alias("t"))
+    first = grouped.groupBy("component").agg(F.min(rank).alias("_first"))
+    places = grouped.join(first, "component").groupBy("_id", "th").agg(
+        F.first(rank == F.col("_first")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    moved = written(places.where("not stays or n > 1").select(
+        F.col("_id").alias("_gone"), F.col("th").alias("_hash"), "stays"), "copies")
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+                    F.col(f"`{doc_id}`").cast("long").alias("_id"), F.xxhash64(whole(F.col(f"`{text}`"))).alias("_th"))
+    met = row.join(moved, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_th") == F.col("_hash")), "left")
+    alone = met.where("stays is null").select("_row.*")
+    # rows equal in id and text, of which one stays: few, so they are shuffled
+    repeated = met.where("stays").dropDuplicates(["_id", "_th"]).select("_row.*")
+    return alone.unionByName(repeated)

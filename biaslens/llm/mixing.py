@@ -134,12 +134,14 @@ def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
 
-def mixture(df: DataFrame, **settings) -> DataFrame:
+def mixture(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+            **settings) -> DataFrame:
     """The mixed documents themselves, each as often as it is taken, in the
     columns of ``df``. Documents without words are left out (they add nothing
     to any target). Columns named like a result column of ``mixed`` survive."""
     columns = df.columns
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
-    chosen = mixed(df.select("*", row), keep=("_row",), **settings)
+    inner = df.select(row, *[F.col(f"`{c}`").alias(a) for c, a in ((doc_id, "_id"), (text, "_text"), (source, "_from"))])
+    chosen = mixed(inner, "_id", "_text", "_from", keep=("_row",), **settings)
     return chosen.where(F.col("copies") > 0).select(
         "_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
