@@ -4,8 +4,8 @@ Shingles are 64-bit hashes in one global order: rarer first, by a sketch of
 fixed size over all documents, then by hash. Any such order is exact; this one
 puts shingles that many documents share behind the prefixes.
 
-Two sets that link share the first ``occurrences`` of their common shingles
-inside the prefixes of both (``prefix_length``). So per prefix shingle the
+Two sets that link share at least ``least_met`` of their common shingles inside
+the prefixes of both (``prefix_length``). So per prefix shingle the
 documents that have it form an inverted list, and a document's partners are
 those that occur in enough of its lists.
 
@@ -37,20 +37,19 @@ from pyspark.sql import functions as F
 from .bitmap import Marks, bits_for, marks_of
 from .common import whole, workers_can_import, written
 from .graph import connected_components
-from .wordhash import WordHashes, runs
+from .wordhash import runs, word_hashes
 
 SKETCH_BITS = 22          # 4 M counters; 4 MB as classes of frequency
 SKETCH_BLOCK = 1 << 16
 LIST_PART = 1024          # longer inverted lists are dealt over several groups
 
-_hashes = WordHashes()
 
-
-def shingle_set(text: bytes, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; A-Z lowered; a text of
-    fewer words is one shingle, one without words has none."""
-    words = text.lower().split()
-    return np.unique(runs(_hashes.of(words), min(k, len(words)))) if words else np.empty(0, np.uint64)
+def shingle_sets(texts, k: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the k-word shingles of each text; A-Z lowered;
+    a text of fewer words is one shingle, one without words has none."""
+    for h in word_hashes(t.as_py().lower() for t in texts):
+        found = np.sort(runs(h, min(k, len(h)))) if len(h) else h
+        yield found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -63,6 +62,18 @@ def occurrences(n: int) -> int:
     return 1 + n // 50
 
 
+def least_common(n: int, m: int, percent: int) -> int:
+    """Common shingles that sets of n and m need to link."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def least_met(n: int, m: int, percent: int) -> int:
+    """Common shingles that linking sets of n and m share inside both prefixes:
+    the i-th common one is at place n - common + i or before in the first."""
+    common = least_common(n, m, percent)
+    return min(prefix_length(n, percent) - n, prefix_length(m, percent) - m) + common
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - least_overlap(n, percent) + occurrences(n)
 
@@ -77,8 +88,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                             ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             sizes, digests = [], []
-            for t in batch.column("_text"):
-                s = shingle_set(t.as_py(), k)
+            for s in shingle_sets(batch.column("_text"), k):
                 np.add.at(counts, (s & mask).astype(np.int64), 1)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -133,8 +143,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Data
         mask = np.uint64(len(shared.value) - 1)
         for batch in batches:
             rows = []
-            for t, th in zip(batch.column("_text"), batch.column("_th").to_pylist()):
-                s = shingle_set(t.as_py(), k)
+            for s, th in zip(shingle_sets(batch.column("_text"), k), batch.column("_th").to_pylist()):
                 if len(s):
                     level = shared.value[s & mask]
                     order = np.argsort(level, kind="stable")  # s is sorted already
@@ -159,12 +168,9 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         marked, seen = Marks(*shared.value), set()
         for batch in batches:
             th = batch.column("_th").to_numpy().view(np.uint64)
-            out = []
-            for i in np.flatnonzero(marked(th)).tolist():
-                if int(th[i]) not in seen:  # copies of one text
-                    seen.add(int(th[i]))
-                    s = shingle_set(batch.column("_text")[i].as_py(), k)
-                    out.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s.tobytes()))
+            go = [i for i in np.flatnonzero(marked(th)).tolist() if not (int(th[i]) in seen or seen.add(int(th[i])))]
+            out = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s.tobytes())
+                   for s in shingle_sets(batch.column("_text").take(pa.array(go, pa.int64())), k)]
             yield pa.record_batch([pa.array([o[j] for o in out], pa.binary()) for j in (0, 1)],
                                   names=["digest", "members"])
 
@@ -238,33 +244,73 @@ def _searched(lists: DataFrame, percent: int) -> DataFrame:
     ends = lists.groupBy("token").agg(F.min("rank").alias("_low"), F.max("rank").alias("_high")).where("_low < _high")
     open_lists = lists.join(ends, "token")
     entries = open_lists.where("rank > _low").select(
-        "token", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"), F.struct("node", "n", "rank").alias("e"))
-    inverted = entries.groupBy("token", "part").agg(F.sort_array(F.collect_list("e")).alias("list"))
-    queries = open_lists.where("rank < _high").select("token", F.col("node").alias("a"), F.col("n").alias("_n"),
-                                                      F.col("rank").alias("_rank"))
-
-    def place(rank: dict) -> tuple[int, int]:
-        return rank["size"], rank["component"]
+        "token", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"),
+        F.struct("node", "n", F.col("rank.size").alias("size"), F.col("rank.component").alias("component")).alias("e"))
+    inverted = entries.groupBy("token", "part").agg(F.sort_array(F.collect_list("e")).alias("l")).select(
+        "token", "part", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("node", "n", "size", "component")])
+    queries = open_lists.where("rank < _high").select(
+        "token", F.col("node").alias("a"), F.col("n").alias("_n"), F.col("rank.size").alias("_size"),
+        F.col("rank.component").alias("_component"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ("a", "part", "_n", "_rank", "list")
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in columns)))
-        for (a, _), group in groupby(rows, key=lambda r: r[:2]):
+        for (a, _), group in groupby(_rows(batches), key=lambda r: r[0]):
             group = list(group)
-            n, rank = group[0][2], place(group[0][3])
-            sizes = {e["node"]: e["n"] for g in group for e in g[4]
-                     if place(e["rank"]) > rank and 100 * min(n, e["n"]) >= percent * max(n, e["n"])}
-            found = [[e["node"] for e in g[4] if e["node"] in sizes] for g in group]
-            need = occurrences(least_overlap(n, percent))
-            hits = [b for b, c in divide_skip([f for f in found if f], need) if c >= occurrences(min(n, sizes[b]))]
+            n, size, component = group[0][1]
+            found, sizes = [], set()
+            for _, _, (node, m, s, c) in group:
+                keep = ((s > size) | ((s == size) & (c > component))) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+                if keep.any():
+                    found.append((node[keep], m[keep]))
+                    sizes.update(np.unique(m[keep]).tolist())
+            if not found:
+                continue
+            met = {m: least_met(n, m, percent) for m in sizes}
+            need = min(met.values())
+            if len(found) < need:
+                continue
+            hits = list(divide_skip([f[0].tolist() for f in found], need))
             if hits:
+                size_of = dict(zip(np.concatenate([f[0] for f in found]).tolist(), np.concatenate([f[1] for f in found]).tolist()))
+                hits = [b for b, count in hits if count >= met[size_of[b]]]
                 yield pa.record_batch([pa.array([a] * len(hits), pa.int64()), pa.array(hits, pa.int64())],
                                       names=["a", "b"])
 
-    grouped = queries.join(inverted, "token").select("a", "part", "_n", "_rank", "list")
+    grouped = queries.join(inverted, "token").drop("token")
     return grouped.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(search, "a long, b long")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """((a, part), (n, size, component) of a, arrays of its list) row by row."""
+    for batch in batches:
+        keys = list(zip(batch.column("a").to_pylist(), batch.column("part").to_pylist()))
+        own = list(zip(*(batch.column(c).to_pylist() for c in ("_n", "_size", "_component"))))
+        lists = [batch.column(f"l_{c}") for c in ("node", "n", "size", "component")]
+        values = [x.values.to_numpy() for x in lists]
+        ends = lists[0].offsets.to_numpy()
+        for i, key in enumerate(keys):
+            yield key, own[i], tuple(v[ends[i]:ends[i + 1]] for v in values)
+
+
+def _postings(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(node, n, token) of the prefix shingles that may be in ``shared``; a
+    bitmap keeps the others, by far the most, from travelling."""
+    bits = bits_for(shared.count())
+    known = classes.sparkSession.sparkContext.broadcast((marks_of(shared, "token", bits), bits))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = Marks(*known.value)
+        for batch in batches:
+            lists = batch.column("prefix")
+            token = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            go = np.flatnonzero(marked(token.view(np.uint64)))
+            at = pa.array(row[go])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("n").take(at), pa.array(token[go])],
+                                             names=["node", "n", "token"])
+
+    return classes.select("node", "n", "prefix").mapInArrow(pick, "node long, n long, token long")
+
+
 def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links) of documents (_id, _text, _th): rows (_id, n,
     digest, th), classes (node, digest), links (a, b) between classes, enough for
@@ -276,9 +322,9 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
         F.first("n").alias("n"), F.min("th").alias("th"), F.first("prefix").alias("prefix"))
     classes = written(one.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    postings = classes.select("node", "n", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    met = written(postings.join(shared, "token"), "postings")
+    tokens = classes.select(F.explode("prefix").alias("token"))
+    shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "tokens")
+    met = written(_postings(classes, shared).join(shared, "token"), "postings")
     needed = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 50)
     enough = met.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= needed).select("node")
     lists = written(met.join(enough, "node"), "lists")

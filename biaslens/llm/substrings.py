@@ -35,21 +35,20 @@ from pyspark.sql import functions as F
 
 from .bitmap import Marks, bits_for, marks_of
 from .common import whole, workers_can_import, written
-from .wordhash import WordHashes, remixed, runs
+from .wordhash import remixed, runs, word_hashes
 
 HOT_SHARE = 1000              # hot: more than 1/1000 of all super-k-mers ...
 HOT_LEAST = 50_000            # ... and more than this many
 
-_hashes = WordHashes()
 
-
-def super_kmers(words: list[bytes], window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, first window, last window) of each super-k-mer; a minimiser
+def super_kmers(words: np.ndarray, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, first window, last window) of each super-k-mer of a text's word
+    hashes; a minimiser
     stands for the hash of its words."""
     if len(words) < window:
         none = np.empty(0, dtype=np.int64)
         return none.astype(np.uint64), none, none
-    h = runs(_hashes.of(words), minimiser)
+    h = runs(words, minimiser)
     span = window - minimiser + 1
     at = np.empty(len(words) - window + 1, dtype=np.int64)
     for lo in range(0, len(at), 1 << 16):  # bounded memory for very long texts
@@ -64,7 +63,7 @@ def super_kmers(words: list[bytes], window: int, minimiser: int) -> tuple[np.nda
 def _minimiser_counts(docs: DataFrame, window: int, minimiser: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [super_kmers(t.as_py().split(), window, minimiser)[0] for t in batch.column("_text")]
+            found = [super_kmers(w, window, minimiser)[0] for w in word_hashes(t.as_py() for t in batch.column("_text"))]
             h, n = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
             yield pa.record_batch([pa.array(np.asarray(h, np.uint64).view(np.int64)),
                                    pa.array(np.asarray(n, np.int64))], names=["h", "n"])
@@ -82,13 +81,13 @@ def _strings(docs: DataFrame, window: int, minimiser: int, bits: int, blocks: di
         marked = Marks(blocks, bits)
         for batch in batches:
             out: list[tuple] = []
-            for key, text in zip(batch.column("_key"), batch.column("_text")):
-                words = text.as_py().split()
-                h, first, last = super_kmers(words, window, minimiser)
-                if not len(h):
+            hashes = word_hashes(t.as_py() for t in batch.column("_text"))
+            for key, text, hashed in zip(batch.column("_key"), batch.column("_text"), hashes):
+                h, first, last = super_kmers(hashed, window, minimiser)
+                go = np.flatnonzero(marked(h))
+                if not len(go):
                     continue
-                go, key = np.flatnonzero(marked(h)), key.as_py()
-                is_hot = np.isin(h, hot)
+                key, words, is_hot = key.as_py(), text.as_py().split(), np.isin(h, hot)
                 for i in go.tolist():
                     a, b = int(first[i]), int(last[i])
                     if is_hot[i]:
