@@ -57,11 +57,6 @@ def count_substring(c, pattern: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(pattern), F.lit("")))) / len(pattern)).cast("int")
 
 
-def capitals(c) -> Column:
-    c = _c(c)
-    return F.length(F.regexp_replace(c, f"[^{UPPERCASE}]", "")).cast("int")
-
-
 def counted_chars(c) -> Column:
     """The text reduced to the characters the counters look at (uppercase
     letters and ``!?.,;:*&$%``): one regex pass over the long text, then every

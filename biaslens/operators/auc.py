@@ -1,20 +1,19 @@
 """ROC AUC, subgroup / BPSN / BNSP AUCs and the final bias metric in one pass.
 
-For every subgroup g the three AUCs only need, at each distinct score s that
-occurs in g: g's positive / negative counts at s and below s, and the same
-counts over all rows. So:
-
-1. keep (score, y, flags); explode each row into ``__all__`` plus the
-   subgroups it belongs to (about 1.2 rows per row, not 10);
-2. ``groupBy(group, score)`` -> (pos, neg): map-side combine collapses hot
-   scores before the shuffle;
-3. bucketed prefix sums per group (``order.prefix_sums``) give the counts
+For every subgroup g the three AUCs only need, at each distinct score s: g's
+positive / negative counts at s and below s, and the same counts over all
+rows. So:
+
+1. one ``groupBy(score)`` counts positives and negatives of all rows and of
+   every subgroup as columns (map-side combine collapses hot scores);
+2. one chain of bucketed prefix sums (``order.prefix_sums``) gives all counts
    below s without a single-task window;
-4. each subgroup row is joined on ``score`` with the ``__all__`` row, then one
-   ``groupBy(group)`` sums the Mann-Whitney numerators of the 28 AUCs.
+3. one aggregate sums the Mann-Whitney numerators of all AUCs from those rows,
+   with no explode and no self-join.
 
 Ties count one half, as in the rank formulation of ROC AUC. A single-class
-set gives null (not 0).
+set gives null (not 0), and so does a set that holds a null score; sizes count
+all members.
 """
 
 from __future__ import annotations
@@ -25,31 +24,22 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, OVERALL, BiasConfig
 from ..functions.targets import to_bool
 from ..session import cut_lineage
-from .order import BUCKET, DEFAULT_ROWS_PER_BUCKET, join_on, prefix_sums, quantile_bucket
-
-
-def binarize(df: DataFrame, cols, threshold: float = 0.5) -> DataFrame:
-    """Copy of ``df`` with ``cols`` turned into booleans (null, NaN -> false)."""
-    return df.withColumns({c: to_bool(c, threshold) for c in cols})
+from .features import aligned
+from .order import DEFAULT_ROWS_PER_BUCKET, prefix_sums, range_bucket
 
 
 def score_counts(df: DataFrame, label: str, score: str, subgroups, threshold: float = 0.5,
                  by=()) -> DataFrame:
-    """(by..., group, score, pos, neg): label counts per distinct score, per
-    subgroup and for the pseudo-group ``__all__``. Rows with a null score are
-    ignored."""
-    tags = F.array(F.lit(OVERALL), *[F.when(to_bool(g, threshold), F.lit(g)) for g in subgroups])
-    y = to_bool(label, threshold).cast("long")
-    slim = (df.where(F.col(score).isNotNull())
-              .select(*by, F.col(score).cast("double").alias("score"), y.alias("y"),
-                      F.explode(tags).alias("grp"))
-              .where(F.col("grp").isNotNull()))
-    return (slim.groupBy(*by, "grp", "score")
-                .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
-
-
-def _ratio(num, den):
-    return F.when(den > 0, num / den)
+    """(by..., score, p, n, p0, n0, p1, n1, ...): positives and negatives per
+    distinct score (null too), over all rows and of each subgroup in turn."""
+    flags = [to_bool(g, threshold) for g in subgroups]
+    slim = df.select(*by, F.col(score).cast("double").alias("score"), to_bool(label, threshold).alias("_y"),
+                     *[f.alias(f"_f{i}") for i, f in enumerate(flags)])
+    y = F.col("_y")
+    counts = [F.count_if(y).alias("p"), F.count_if(~y).alias("n")]
+    for i in range(len(flags)):
+        counts += [F.count_if(y & F.col(f"_f{i}")).alias(f"p{i}"), F.count_if(~y & F.col(f"_f{i}")).alias(f"n{i}")]
+    return slim.groupBy(*by, "score").agg(*counts)
 
 
 def bias_metrics(df: DataFrame, cfg: BiasConfig = DEFAULT, label: str | None = None,
@@ -59,69 +49,52 @@ def bias_metrics(df: DataFrame, cfg: BiasConfig = DEFAULT, label: str | None = N
     bnsp_auc) plus one ``__all__`` row whose ``subgroup_auc`` is the overall
     AUC. Identity and label columns may be fractions (binarised at the
     threshold) or booleans. ``by`` columns (run, epoch, fold...) evaluate
-    many prediction sets in the same pass, one table per ``by`` value."""
+    many prediction sets in the same pass, one table per ``by`` value; each
+    table has a row for every subgroup, members or not (size 0, null AUCs)."""
     label = label or cfg.toxicity_column
     score = score or cfg.score_column
-    subgroups = list(subgroups or cfg.identity_columns)
+    subgroups = list(subgroups if subgroups is not None else cfg.identity_columns)
     by = list(by)
-    counts = score_counts(df, label, score, subgroups, cfg.threshold, by)
-    # The counts feed four branches (quantiles, totals, windows, join):
-    # materialise them once in the shared checkpoint folder.
-    counts = cut_lineage(counts)
-    bucketed, n_buckets = quantile_bucket(counts, "score", rows_per_bucket)
-    sums = prefix_sums(bucketed, [*by, "grp"], ["score"], ["pos", "neg"], BUCKET,
-                       n_buckets_bound=n_buckets,
-                       n_groups_bound=None if by else len(subgroups) + 1).drop(BUCKET)
-
-    overall = sums.where(F.col("grp") == OVERALL).select(
-        *by, "score", F.col("pos").alias("a_pos"), F.col("neg").alias("a_neg"),
-        F.col("pos_before").alias("a_pos_before"), F.col("neg_before").alias("a_neg_before"),
-        F.col("pos_total").alias("a_pos_total"), F.col("neg_total").alias("a_neg_total"))
-    sub = sums.where(F.col("grp") != OVERALL)
-    j = join_on(sub, overall, [*by, "score"])
-
-    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    a_pos, a_neg = F.col("a_pos").cast("double"), F.col("a_neg").cast("double")
-    # Subgroup AUC: subgroup positives against subgroup negatives.
-    num_sub = pos * (F.col("neg_before") + neg / 2)
-    # BPSN: background positives (all - g) against subgroup negatives, summed
-    # over the subgroup negatives at s: positives above s plus half the ties.
-    bg_pos_above = ((F.col("a_pos_total") - F.col("a_pos_before") - F.col("a_pos"))
-                    - (F.col("pos_total") - F.col("pos_before") - F.col("pos")))
-    num_bpsn = neg * (bg_pos_above + (a_pos - pos) / 2)
-    # BNSP: subgroup positives against background negatives below s plus ties.
-    bg_neg_below = F.col("a_neg_before") - F.col("neg_before")
-    num_bnsp = pos * (bg_neg_below + (a_neg - neg) / 2)
-
-    per_sub = j.groupBy(*by, F.col("grp").alias("subgroup")).agg(
-        F.sum(num_sub).alias("num_sub"), F.sum(num_bpsn).alias("num_bpsn"),
-        F.sum(num_bnsp).alias("num_bnsp"),
-        F.first("pos_total").alias("p_g"), F.first("neg_total").alias("n_g"),
-        F.first("a_pos_total").alias("p_all"), F.first("a_neg_total").alias("n_all"))
-    p_g, n_g = F.col("p_g").cast("double"), F.col("n_g").cast("double")
-    p_all, n_all = F.col("p_all").cast("double"), F.col("n_all").cast("double")
-    sub_table = per_sub.select(
-        *by, "subgroup", (F.col("p_g") + F.col("n_g")).cast("long").alias("subgroup_size"),
-        _ratio(F.col("num_sub"), p_g * n_g).alias("subgroup_auc"),
-        _ratio(F.col("num_bpsn"), (p_all - p_g) * n_g).alias("bpsn_auc"),
-        _ratio(F.col("num_bnsp"), p_g * (n_all - n_g)).alias("bnsp_auc"))
-
-    a = overall.groupBy(*by).agg(
-        F.sum(F.col("a_pos").cast("double") * (F.col("a_neg_before") + a_neg / 2)).alias("num"),
-        F.first("a_pos_total").alias("p"), F.first("a_neg_total").alias("n"))
-    overall_row = a.select(
-        *by, F.lit(OVERALL).alias("subgroup"), (F.col("p") + F.col("n")).cast("long").alias("subgroup_size"),
-        _ratio(F.col("num"), F.col("p").cast("double") * F.col("n").cast("double")).alias("subgroup_auc"),
-        F.lit(None).cast("double").alias("bpsn_auc"), F.lit(None).cast("double").alias("bnsp_auc"))
-
-    if not by:
-        # Subgroups with no member at all still get a row (size 0, null AUCs).
-        names = df.sparkSession.createDataFrame([(g,) for g in subgroups], "subgroup string")
-        sub_table = (F.broadcast(names).join(sub_table, "subgroup", "left")
-                     .select("subgroup", F.coalesce("subgroup_size", F.lit(0)).cast("long").alias("subgroup_size"),
-                             "subgroup_auc", "bpsn_auc", "bnsp_auc"))
-    return (sub_table.unionByName(overall_row)
-                     .orderBy(*by, F.asc_nulls_last("subgroup_auc"), "subgroup"))
+    names = ["", *map(str, range(len(subgroups)))]
+    columns = [f"{c}{i}" for i in names for c in "pn"]
+    # The counts feed the sizing, the totals and the window: written once.
+    counts = cut_lineage(score_counts(df, label, score, subgroups, cfg.threshold, by))
+    real = counts.where(F.col("score").isNotNull())
+    sums = prefix_sums(range_bucket(real, [*by, "score"], rows_per_bucket), by, ["score"], columns)
+    d = {c: F.col(c).cast("double") for c in columns}
+    below = {c: F.col(f"{c}_before") for c in columns}
+    terms = [F.sum(d["p"] * (below["n"] + d["n"] / 2)).alias("num")]
+    for i in names[1:]:
+        p, n = d[f"p{i}"], d[f"n{i}"]
+        # background positives (all - g) above s, plus ties, per subgroup negative
+        above = ((F.col("p_total") - below["p"] - F.col("p"))
+                 - (F.col(f"p{i}_total") - below[f"p{i}"] - F.col(f"p{i}")))
+        terms += [F.sum(p * (below[f"n{i}"] + n / 2)).alias(f"sub{i}"),
+                  F.sum(n * (above + (d["p"] - p) / 2)).alias(f"bpsn{i}"),
+                  F.sum(p * (below["n"] - below[f"n{i}"] + (d["n"] - n) / 2)).alias(f"bnsp{i}")]
+    scored = sums.groupBy(*by).agg(*terms, *[F.sum(c).alias(f"{c}_real") for c in columns])
+    missing = counts.where(F.col("score").isNull()).groupBy(*by).agg(*[F.sum(c).alias(f"{c}_null") for c in columns])
+    both = scored.unionByName(missing, allowMissingColumns=True)
+    wide = both.groupBy(*by).agg(*[F.sum(c).alias(c) for c in both.columns if c not in by])
+    t = {f"{c}_{k}": F.coalesce(f"{c}_{k}", F.lit(0)).cast("double") for c in columns for k in ("real", "null")}
+    t |= {f"{c}_all": t[f"{c}_real"] + t[f"{c}_null"] for c in columns}
+
+    def auc_of(numerator, pos, neg, missing):
+        return F.when((pos * neg > 0) & (missing == 0), F.col(numerator) / (pos * neg))
+
+    def row(name, size, sub, bpsn=None, bnsp=None):
+        none = F.lit(None).cast("double")
+        return F.struct(F.lit(name).alias("subgroup"), size.cast("long").alias("subgroup_size"), sub.alias("subgroup_auc"),
+                        (none if bpsn is None else bpsn).alias("bpsn_auc"), (none if bnsp is None else bnsp).alias("bnsp_auc"))
+
+    table = [row(OVERALL, t["p_all"] + t["n_all"],
+                 auc_of("num", t["p_all"], t["n_all"], t["p_null"] + t["n_null"]))]
+    for i, g in zip(names[1:], subgroups):
+        p, n, p0, n0 = t[f"p{i}_all"], t[f"n{i}_all"], t[f"p{i}_null"], t[f"n{i}_null"]
+        table.append(row(g, p + n, auc_of(f"sub{i}", p, n, p0 + n0),
+                         auc_of(f"bpsn{i}", t["p_all"] - p, n, n0 + t["p_null"] - p0),
+                         auc_of(f"bnsp{i}", p, t["n_all"] - n, p0 + t["n_null"] - n0)))
+    return wide.select(*by, F.inline(F.array(*table))).orderBy(*by, F.asc_nulls_last("subgroup_auc"), "subgroup")
 
 
 def power_mean_col(c, p: float):
@@ -174,9 +147,10 @@ def auc(df: DataFrame, label: str, score: str, threshold: float = 0.5,
 def scoring_valid(predictions: DataFrame, identities: DataFrame, cfg: BiasConfig = DEFAULT,
                   score: str = "prediction", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET):
     """Validation score: predictions ``(id, score)`` joined on ``id`` with the
-    identity/target table, then bias table and final metric.
+    identity/target table, then bias table and final metric. An id that only
+    one side has is an error, as unequal lengths are in the modelled code.
     Returns (bias_table, final_row)."""
-    frame = identities.select(cfg.id_column, cfg.toxicity_column, *cfg.identity_columns).join(
-        predictions.select(cfg.id_column, F.col(score).alias("_score")), cfg.id_column)
+    frame = aligned(identities.select(cfg.id_column, cfg.toxicity_column, *cfg.identity_columns),
+                    predictions.select(cfg.id_column, F.col(score).alias("_score")), cfg.id_column)
     bias = bias_metrics(frame, cfg, score="_score", rows_per_bucket=rows_per_bucket)
     return bias, final_metric(bias, cfg)

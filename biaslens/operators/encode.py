@@ -5,19 +5,23 @@ lower-cased runs of letters / marks / digits / underscore, and every other
 non-blank character as a token of its own. The vocabulary is a table
 (token, token_id, n); ids 0..3 are reserved (pad, unknown, start, end).
 
-Scale notes: the vocabulary is capped at ``size`` rows (its own parameter),
-so it is broadcast with a known bound. Sequences are cut to the kept
-positions *before* exploding, so the regroup shuffle carries at most
-``max_len`` entries per comment whatever the text length.
+Scale notes: the vocabulary holds every token unless the caller passes a
+``size``; its ids come from bucketed row numbers. It is joined as Spark sees
+fit (broadcast only within its byte threshold; else a shuffle join, whose hot
+tokens AQE splits). Sequences are cut to the kept positions *before*
+exploding, so the regroup shuffle carries at most ``max_len`` entries per
+comment whatever the text length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CLS_ID, PAD_ID, SEP_ID, UNK_ID
 from ..functions.text import coerce_text
+from ..session import cut_lineage
+from .order import DEFAULT_ROWS_PER_BUCKET, range_bucket, row_numbers
 
 _WS = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 TOKEN_PATTERN = rf"[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_{_WS}]"
@@ -32,19 +36,24 @@ def tokenize(c, lower: bool = True) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), 0)
 
 
-def build_vocab(tokens: DataFrame, col: str = "tokens", size: int = 30000) -> DataFrame:
-    """(token, token_id, n): the ``size`` most frequent tokens, ranked by
-    (count desc, token asc); ids start after the reserved ones.
+def build_vocab(tokens: DataFrame, col="tokens", size: int | None = None,
+                rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+    """(token, token_id, n): every token (or the ``size`` most frequent ones),
+    numbered by (count desc, token asc) after the reserved ids.
 
     ``groupBy(token)`` combines map-side, so a token that is a third of all
-    tokens is one row per task before the shuffle; the top-k is a bounded
-    ``TakeOrderedAndProject`` and the numbering runs over ``size`` rows only.
+    tokens is one row per task before the shuffle. The numbering runs over
+    range buckets of the counts.
     """
-    counts = (tokens.select(F.explode(col).alias("token"))
-                    .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token")))
-    return top.select("token", (rank + (RESERVED - 1)).cast("int").alias("token_id"), "n")
+    # outer: an inner explode would get a filter that tokenises a second time
+    counts = (tokens.select(F.explode_outer(F.col(col) if isinstance(col, str) else col).alias("token"))
+                    .where(F.col("token").isNotNull())
+                    .groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("_neg", -F.col("n")))
+    if size is not None:
+        counts = counts.orderBy("_neg", "token").limit(size)
+    bucketed = range_bucket(cut_lineage(counts), ["_neg", "token"], rows_per_bucket)
+    numbered = row_numbers(bucketed, [], ["_neg", "token"], out="_rank")
+    return numbered.select("token", (F.col("_rank") + (RESERVED - 1)).cast("int").alias("token_id"), "n")
 
 
 def keep_head(tokens: Column, m: int) -> Column:
@@ -59,22 +68,11 @@ def keep_head_tail(tokens: Column, m: int) -> Column:
                   F.concat(F.slice(tokens, 1, head), F.slice(tokens, -tail, tail))).otherwise(tokens)
 
 
-BROADCAST_VOCAB_ROWS = 2_000_000
-
-
-def lookup_ids(df: DataFrame, key: str, kept: str, vocab: DataFrame, out: str = "ids",
-               vocab_rows: int | None = None) -> DataFrame:
+def lookup_ids(df: DataFrame, key: str, kept: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
     """Replace the token array ``kept`` by vocabulary ids (unknown -> UNK),
-    keeping positions. Comments without tokens get an empty array.
-
-    The vocabulary is broadcast when its row count (given, or counted: a
-    vocabulary table is small) is within ``BROADCAST_VOCAB_ROWS``; a larger
-    one is shuffle-joined, and AQE's skew join splits the hot tokens."""
+    keeping positions. Comments without tokens get an empty array."""
     exploded = df.select(key, F.posexplode_outer(kept).alias("pos", "token"))
     v = vocab.select("token", "token_id")
-    n = vocab_rows if vocab_rows is not None else v.count()
-    if n <= BROADCAST_VOCAB_ROWS:
-        v = F.broadcast(v)
     looked = exploded.join(v, "token", "left")
     entry = F.when(F.col("pos").isNotNull(),
                    F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
@@ -100,14 +98,13 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "id", text: str = "commen
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str = "id", tokens: str = "tokens",
-                  max_len: int = 220, mode: str = "head", vocab_rows: int | None = None) -> DataFrame:
-    """``encode`` for an already tokenised column (tokenise once, then build
-    the vocabulary and encode from the same materialised table)."""
+                  max_len: int = 220, mode: str = "head") -> DataFrame:
+    """``encode`` for an already tokenised column."""
     m = max_len - 2
     toks = F.col(tokens)
     kept = keep_head_tail(toks, m) if mode == "head_tail" else keep_head(toks, m)
     base = df.select(key, kept.alias("_kept"))
-    ids = lookup_ids(base, key, "_kept", vocab, "_ids", vocab_rows)
+    ids = lookup_ids(base, key, "_kept", vocab, "_ids")
     n = F.size("_ids")
     if mode == "plain":
         seq = F.concat(F.col("_ids"), _zeros(F.lit(m) - n))

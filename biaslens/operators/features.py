@@ -98,3 +98,18 @@ def alignment(left: DataFrame, right: DataFrame, left_key: str, right_key: str |
     return j.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNull()).alias("left_only"),
                  F.count_if(F.col("_a").isNull() & F.col("_b").isNotNull()).alias("right_only"),
                  F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("matched"))
+
+
+def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of two keyed artefacts side by side. A key that one side lacks
+    fails the job: nothing is dropped in silence. A null key matches a null
+    key; each side's keys are expected to be unique."""
+    a = left.withColumn("_in_left", F.lit(True))
+    b = right.withColumnRenamed(key, "_right_key").withColumn("_in_right", F.lit(True))
+    j = a.join(b, a[key].eqNullSafe(b["_right_key"]), "full_outer")
+    ok = F.col("_in_left").isNotNull() & F.col("_in_right").isNotNull()
+    wrong = F.raise_error(F.concat(F.lit(f"{key} without a partner: "),
+                                   F.coalesce(F.col(key).cast("string"), F.col("_right_key").cast("string"), F.lit("null"))))
+    # in a filter, so that no column pruning can leave the check out
+    whole = j.where(F.when(ok, F.lit(True)).otherwise(wrong.cast("boolean")))
+    return whole.drop("_in_left", "_in_right", "_right_key")

@@ -10,21 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, BiasConfig
 from ..functions import nn
 
 
-def linear_outputs(comments: DataFrame, cfg: BiasConfig = DEFAULT) -> DataFrame:
-    """Deterministic stand-in model output derived from a comment table:
-    binary logit ``8*(score - 0.5)``, aux logits ``4*(aux - 0.5)``."""
-    l0 = (F.col(cfg.score_column) - F.lit(0.5)) * F.lit(8.0)
-    aux = [(F.coalesce(F.col(c), F.lit(0.5)) - F.lit(0.5)) * F.lit(4.0) for c in cfg.aux_columns]
-    return comments.select(cfg.id_column, F.array(l0, *aux).alias("logits"))
-
-
 def batch_losses(frame: DataFrame, batch: str = "batch", logits: str = "logits", y: str = "y",
                  weight: str = "weight", aux_targets: str = "aux_targets",
-                 loss_weight: float | None = None, n_aux: int | None = 6,
+                 loss_weight=None, n_aux: int | None = 6,
                  criterion=None) -> DataFrame:
     """Per batch: ``bin = mean(w * bce(logit_0, y))``, ``aux = mean over the
     n x 6 aux cells of bce``; loss = ``0.5*bin + 0.5*aux`` or, with
@@ -32,7 +23,7 @@ def batch_losses(frame: DataFrame, batch: str = "batch", logits: str = "logits",
 
     ``criterion(output_bin, target_bin, weight_bin, output_aux, target_aux)``
     may replace the per-row terms: it returns (binary term, summed aux term)
-    as Columns."""
+    as Columns. ``loss_weight`` is a number or the name of a constant column."""
     if criterion is None:
         b = nn.bce_with_logits(nn.binary_logit(logits), F.col(y)) * F.col(weight)
         a = nn.bce_sum(nn.aux_logits(logits), F.col(aux_targets), n_aux)
@@ -42,26 +33,30 @@ def batch_losses(frame: DataFrame, batch: str = "batch", logits: str = "logits",
     n_aux = F.size(F.col(aux_targets))
     per = frame.groupBy(batch).agg(F.avg(b).alias("bin_loss"),
                                    (F.sum(a) / F.sum(n_aux)).alias("aux_loss"),
-                                   F.count(F.lit(1)).alias("n_rows"))
+                                   F.count(F.lit(1)).alias("n_rows"),
+                                   F.avg(hits(logits, y)).alias("accuracy"),
+                                   *([F.first(loss_weight).alias("_lw")] if isinstance(loss_weight, str) else []))
     if loss_weight is None:
         loss = F.lit(0.5) * F.col("bin_loss") + F.lit(0.5) * F.col("aux_loss")
     else:
-        loss = F.lit(float(loss_weight)) * F.col("bin_loss") + F.col("aux_loss")
-    return per.withColumn("loss", loss)
+        factor = F.col("_lw") if isinstance(loss_weight, str) else F.lit(float(loss_weight))
+        loss = factor * F.col("bin_loss") + F.col("aux_loss")
+    return per.withColumn("loss", loss).drop("_lw")
+
+
+def hits(logits: str = "logits", y: str = "y"):
+    """1 where ``(sigmoid(logit_0) > .5) == (y > .5)``, else 0."""
+    return ((nn.sigmoid(nn.binary_logit(logits)) > 0.5) == (F.col(y) > 0.5)).cast("double")
 
 
 def batch_accuracy(frame: DataFrame, batch: str = "batch", logits: str = "logits", y: str = "y") -> DataFrame:
-    """Per batch: share of rows with ``(sigmoid(logit_0) > .5) == (y > .5)``."""
-    hit = ((nn.sigmoid(nn.binary_logit(logits)) > 0.5) == (F.col(y) > 0.5)).cast("double")
-    return frame.groupBy(batch).agg(F.avg(hit).alias("accuracy"))
+    """Per batch: share of rows on the right side of one half."""
+    return frame.groupBy(batch).agg(F.avg(hits(logits, y)).alias("accuracy"))
 
 
-def epoch_summary(losses: DataFrame, accuracy: DataFrame, batch: str = "batch",
-                  accumulation_steps: int = 1) -> DataFrame:
+def epoch_summary(losses: DataFrame, accumulation_steps: int = 1) -> DataFrame:
     """Epoch loss and accuracy as means of per-batch means (the last, short
-    batch weighs as much as a full one); the loss is reported divided by the
-    accumulation steps. One row per epoch; batches number at most
-    rows / batch_size."""
-    j = losses.select(batch, "loss").join(accuracy, batch)
-    return j.agg((F.avg("loss") / F.lit(float(accumulation_steps))).alias("epoch_loss"),
-                 F.avg("accuracy").alias("epoch_accuracy"))
+    batch weighs as much as a full one) of ``batch_losses(..)``; the loss is
+    reported divided by the accumulation steps. One row per epoch."""
+    return losses.agg((F.avg("loss") / F.lit(float(accumulation_steps))).alias("epoch_loss"),
+                      F.avg("accuracy").alias("epoch_accuracy"))

@@ -5,7 +5,8 @@ and ``partitionBy(group)`` moves a hot group into one task. All ordered
 operators here use the same two-level scheme instead:
 
 1. a *bucket* column that is a non-decreasing function of the order key
-   (quantile cut points from ``approxQuantile`` + ``Bucketizer``, or hash bits);
+   (range partitions of the full sort key, or hash bits), sized from the row
+   count; every input, small or large, takes this path;
 2. per-(group, bucket) totals -> exclusive running sum over buckets; this
    table has at most groups x buckets rows and is joined back;
 3. a window partitioned by (group, bucket) for the in-bucket running sum.
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,38 +26,15 @@ from ..session import cut_lineage
 
 BUCKET = "_bucket"
 DEFAULT_ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 100_000
-# Offsets tables at most this many rows are broadcast; larger ones shuffle.
-BROADCAST_OFFSET_ROWS = 1_000_000
+MIN_BUCKETS = 8
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
+def bucket_count(n_rows: int, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> int:
+    return max(MIN_BUCKETS, math.ceil(n_rows / max(1, rows_per_bucket)))
 
-def quantile_bucket(df: DataFrame, order_col: str, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                    max_buckets: int = MAX_BUCKETS, relative_error: float | None = None,
-                    out: str = BUCKET, n_rows: int | None = None) -> tuple[DataFrame, int]:
-    """Add ``out``: a bucket index non-decreasing in the numeric ``order_col``.
 
-    Cut points are approximate quantiles, so buckets hold similar row counts
-    whatever the value distribution. Only ``n_buckets - 1`` cut points reach
-    the driver (bounded by ``max_buckets``). Returns (frame, n_buckets).
-    """
-    n = df.count() if n_rows is None else n_rows
-    n_buckets = int(min(max_buckets, max(1, math.ceil(n / max(1, rows_per_bucket)))))
-    if n_buckets <= 1:
-        return df.withColumn(out, F.lit(0.0)), 1
-    err = relative_error if relative_error is not None else 1.0 / (4 * n_buckets)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.approxQuantile(order_col, probs, err)
-    inner = sorted({float(c) for c in cuts if c is not None and not math.isnan(c) and not math.isinf(c)})
-    splits = [float("-inf")] + inner + [float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(out, F.lit(0.0)), 1
-    # NaN sorts above every number in Spark; "keep" puts it in the last bucket.
-    b = Bucketizer(splits=splits, inputCol=order_col, outputCol=out, handleInvalid="keep")
-    return b.transform(df), len(splits) - 1
+def _col(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
 def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
@@ -74,8 +51,7 @@ def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inne
 
 
 def range_bucket(df: DataFrame, sort_cols: list, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                 max_buckets: int = MAX_BUCKETS, out: str = BUCKET,
-                 n_rows: int | None = None) -> tuple[DataFrame, int]:
+                 out: str = BUCKET, n_rows: int | None = None) -> DataFrame:
     """Add ``out``: a bucket non-decreasing in the lexicographic order of
     ``sort_cols`` (group keys first, then the order columns).
 
@@ -83,40 +59,31 @@ def range_bucket(df: DataFrame, sort_cols: list, rows_per_bucket: int = DEFAULT_
     value holding a third of a group's rows is split over several buckets
     (a quantile of the first column alone cannot split ties). The partition
     id is materialised in the shared checkpoint folder right away, so it is
-    fixed data afterwards, not a property of a recomputation.
+    fixed data afterwards, not a property of a recomputation. Callers pass
+    only the columns that the ordered step needs.
     """
     n = df.count() if n_rows is None else n_rows
-    n_buckets = int(min(max_buckets, max(1, math.ceil(n / max(1, rows_per_bucket)))))
-    if n_buckets <= 1:
-        return df.withColumn(out, F.lit(0.0)), 1
-    ranged = df.repartitionByRange(n_buckets, *[_col(c) for c in sort_cols])
-    return cut_lineage(ranged.withColumn(out, F.spark_partition_id().cast("double"))), n_buckets
+    ranged = df.repartitionByRange(bucket_count(n, rows_per_bucket), *[_col(c) for c in sort_cols])
+    return cut_lineage(ranged.withColumn(out, F.spark_partition_id()))
+
+
+HASH_BITS = 60
 
 
-def hash_bucket(hash_col: str | Column, bits: int = 10) -> Column:
-    """Bucket from the high bits of a 64-bit hash (monotone in the hash)."""
-    return F.shiftright(_col(hash_col), 64 - bits).cast("double")
+def hash_bucket(hash_col: str | Column, bits: int) -> Column:
+    """Bucket from the high bits of a 60-bit hash (monotone in the hash)."""
+    return F.shiftright(_col(hash_col), HASH_BITS - bits)
 
 
 def prefix_sums(df: DataFrame, keys: list[str], order: list, values: list[str],
-                bucket: str = BUCKET, n_buckets_bound: int | None = None,
-                n_groups_bound: int | None = None) -> DataFrame:
+                bucket: str = BUCKET) -> DataFrame:
     """Exclusive running sums of ``values`` per ``keys`` in ``order``.
 
     ``df`` must carry ``bucket``, non-decreasing in ``order`` within a group.
     Adds ``{v}_before`` (sum over earlier rows) and ``{v}_total`` (group sum).
-    The offsets table is broadcast only when groups x buckets is known to be
-    small; otherwise it is joined with a shuffle.
+    The offsets table (a row per group and bucket) is joined as Spark sees
+    fit: broadcast only within its byte threshold.
     """
-    if n_buckets_bound == 1:
-        # One bucket: the whole frame is at most rows_per_bucket rows, so a
-        # window per group needs no offsets table (and no join on a constant).
-        group = Window.partitionBy(*keys)
-        before = group.orderBy(*[_col(o) for o in order]).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select(
-            *[F.col(c) for c in df.columns],
-            *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_before") for v in values],
-            *[F.sum(v).over(group).alias(f"{v}_total") for v in values])
     totals = df.groupBy(*keys, bucket).agg(*[F.sum(v).alias(f"_bt_{v}") for v in values])
     over_buckets = Window.partitionBy(*keys).orderBy(bucket)
     offsets = totals.select(
@@ -125,9 +92,6 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list, values: list[str],
             over_buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_off_{v}")
           for v in values],
         *[F.sum(f"_bt_{v}").over(Window.partitionBy(*keys)).alias(f"{v}_total") for v in values])
-    if (n_buckets_bound is not None and n_groups_bound is not None
-            and n_buckets_bound * n_groups_bound <= BROADCAST_OFFSET_ROWS):
-        offsets = F.broadcast(offsets)
     joined = join_on(df, offsets, [*keys, bucket])
     in_bucket = (Window.partitionBy(*keys, bucket).orderBy(*[_col(o) for o in order])
                  .rowsBetween(Window.unboundedPreceding, -1))
@@ -139,37 +103,38 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list, values: list[str],
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list, out: str = "row_number",
-                bucket: str = BUCKET, n_buckets_bound: int | None = None,
-                n_groups_bound: int | None = None) -> DataFrame:
+                bucket: str = BUCKET) -> DataFrame:
     """1-based row number per ``keys`` in ``order`` (ties broken by ``order``)."""
     ones = df.withColumn("_one", F.lit(1).cast("long"))
-    res = prefix_sums(ones, keys, order, ["_one"], bucket, n_buckets_bound, n_groups_bound)
+    res = prefix_sums(ones, keys, order, ["_one"], bucket)
     return (res.withColumn(out, F.col("_one_before") + 1)
                .withColumn(f"{out}_count", F.col("_one_total"))
                .drop("_one", "_one_before", "_one_total"))
 
 
-def hash_order(df: DataFrame, id_col: str, seed: int, out: str = "_h") -> DataFrame:
-    """Seeded pseudo-random order key: ``xxhash64(id, seed)``."""
-    return df.withColumn(out, F.xxhash64(F.col(id_col), F.lit(seed).cast("long")))
+def seeded_hash(id_col: str, seed: int) -> Column:
+    """Pseudo-random order key: the first 60 bits of ``md5("{seed}-{id}")``
+    (null id: empty), which any SQL engine can compute."""
+    text = F.concat(F.lit(f"{seed}-"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def global_positions(df: DataFrame, id_col: str, seed: int | None = None, bits: int = 10,
-                     out: str = "position", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
-    """1-based position of each row in a seeded permutation (or in id order).
+def global_positions(df: DataFrame, id_col: str, seed: int | None = None, out: str = "position",
+                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, n_rows: int | None = None) -> DataFrame:
+    """1-based position of each row in a seeded permutation (or in id order,
+    null ids first).
 
-    With a seed the order is ``xxhash64(id, seed)``: uniform, so the hash
-    bucket spreads rows evenly over 2**bits window tasks.
+    With a seed the order is ``seeded_hash``: uniform, so its high bits spread
+    rows evenly over as many buckets as the row count asks for.
     """
+    n = df.count() if n_rows is None else n_rows
     if seed is None:
-        # null ids sort first, as in an ascending window
         keyed = df.withColumn("_h", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2 ** 63))))
-        keyed, nb = quantile_bucket(keyed, "_h", rows_per_bucket)
+        keyed = range_bucket(keyed, ["_h"], rows_per_bucket, n_rows=n)
     else:
-        keyed = hash_order(df, id_col, seed).withColumn(BUCKET, hash_bucket("_h", bits))
-        nb = 2 ** bits
-    res = row_numbers(keyed, [], ["_h", id_col], out=out, n_buckets_bound=nb, n_groups_bound=1)
-    return res.drop("_h", BUCKET)
+        bits = (bucket_count(n, rows_per_bucket) - 1).bit_length()
+        keyed = df.withColumn("_h", seeded_hash(id_col, seed)).withColumn(BUCKET, hash_bucket("_h", bits))
+    return row_numbers(keyed, [], ["_h", id_col], out=out).drop("_h", BUCKET)
 
 
 def split_train_valid(df: DataFrame, id_col: str, seed: int, train_percent: float,
@@ -214,6 +179,18 @@ def fold_rows(df: DataFrame, folds: DataFrame, fold: int, id_col: str = "id"):
     return df.join(valid_ids, id_col, "left_anti"), df.join(valid_ids, id_col, "left_semi")
 
 
+def fold_row_counts(df: DataFrame, folds: DataFrame, n_folds: int, id_col: str = "id") -> DataFrame:
+    """(fold, n_train, n_valid) of every fold in one join: a fold's valid rows
+    are those it lists, its train rows all others (rows without a fold too)."""
+    per = join_on(df.select(id_col), folds.select(id_col, "fold"), [id_col], "left").groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"))
+    wide = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), *[
+        F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("n"))), F.lit(0)).alias(f"v{k}") for k in range(n_folds)])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("fold"), (F.col("total") - F.col(f"v{k}")).cast("long").alias("n_train"),
+                 F.col(f"v{k}").cast("long").alias("n_valid")) for k in range(n_folds)])))
+
+
 def length_batches(df: DataFrame, id_col: str, zeros_col: str, batch_size: int,
                    seed: int | None = None, bucket_width: int = 128, drop_last: bool = False) -> DataFrame:
     """Length-matched batches (id, batch, length_bucket).
@@ -233,18 +210,16 @@ def length_batches(df: DataFrame, id_col: str, zeros_col: str, batch_size: int,
     pos = cut_lineage(global_positions(cut_lineage(df.select(id_col, zeros_col)), id_col, seed))
     lb = F.floor(F.col(zeros_col) / bucket_width).cast("int")
     rows = pos.withColumn("length_bucket", lb)
-    rows, nb = quantile_bucket(rows, "position", n_rows=None)
-    numbered = row_numbers(rows, ["length_bucket"], ["position"], out="rn",
-                           n_buckets_bound=nb, n_groups_bound=None).drop(BUCKET)
+    numbered = row_numbers(range_bucket(rows, ["length_bucket", "position"]), ["length_bucket"], ["position"],
+                           out="rn").drop(BUCKET)
     full_n = F.floor(F.col("rn_count") / batch_size) * batch_size
     tagged = cut_lineage(numbered.withColumn("is_full", F.col("rn") <= full_n).withColumn(
         "chunk", F.floor((F.col("rn") - 1) / batch_size).cast("long")))
 
     full = tagged.where("is_full")
     chunks = full.groupBy("length_bucket", "chunk").agg(F.max("position").alias("last_pos"))
-    n_full = chunks.count()  # a scalar; also sizes the buckets below
-    chunks, nbc = quantile_bucket(chunks, "last_pos", n_rows=n_full)
-    chunks = row_numbers(chunks, [], ["last_pos"], out="emit", n_buckets_bound=nbc, n_groups_bound=1)
+    n_full = chunks.count()  # a scalar; also sizes the buckets
+    chunks = row_numbers(range_bucket(chunks, ["last_pos"], n_rows=n_full), [], ["last_pos"], out="emit")
     full_batches = full.join(chunks.select("length_bucket", "chunk", "emit"), ["length_bucket", "chunk"])
     full_out = full_batches.select(id_col, (F.col("emit") - 1).alias("batch"), "length_bucket")
 
@@ -274,23 +249,13 @@ def trim_batches(df: DataFrame, ids_col: str, batch_col: str = "batch", min_len:
     ).withColumn("batch_max_len", F.col("_m")).drop("_m")
 
 
-def prefix_max(df: DataFrame, keys: list[str], order: list, value: str,
-               bucket: str = BUCKET, n_buckets_bound: int | None = None,
-               n_groups_bound: int | None = None) -> DataFrame:
+def prefix_max(df: DataFrame, keys: list[str], order: list, value: str, bucket: str = BUCKET) -> DataFrame:
     """Running maximum of ``value`` over strictly earlier rows (``{v}_prev_max``,
     null for the first row of a group), with the same bucket scheme as
     ``prefix_sums``."""
-    if n_buckets_bound == 1:
-        # one bucket (at most rows_per_bucket rows): a window per group
-        before = (Window.partitionBy(*keys).orderBy(*[_col(o) for o in order])
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        return df.select(*[F.col(c) for c in df.columns], F.max(value).over(before).alias(f"{value}_prev_max"))
     totals = df.groupBy(*keys, bucket).agg(F.max(value).alias("_bm"))
     w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, bucket, F.max("_bm").over(w).alias("_off_max"))
-    if (n_buckets_bound is not None and n_groups_bound is not None
-            and n_buckets_bound * n_groups_bound <= BROADCAST_OFFSET_ROWS):
-        offsets = F.broadcast(offsets)
     joined = join_on(df, offsets, [*keys, bucket])
     in_bucket = (Window.partitionBy(*keys, bucket).orderBy(*[_col(o) for o in order])
                  .rowsBetween(Window.unboundedPreceding, -1))

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RUN_SWEEP
-from .order import BUCKET, DEFAULT_ROWS_PER_BUCKET, prefix_max, prefix_sums, range_bucket, row_numbers
+from ..session import cut_lineage
+from .order import BUCKET, DEFAULT_ROWS_PER_BUCKET, join_on, prefix_max, prefix_sums, range_bucket, row_numbers
 
 
 def _order_key(df: DataFrame, ts: str) -> DataFrame:
@@ -38,8 +39,8 @@ def number_steps(log: DataFrame, run: str, order: list[str], out: str = "step",
                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """1-based step number per run in ``order`` (+ ``{out}_count``)."""
     keyed = _order_key(log, order[0])
-    keyed, nb = range_bucket(keyed, [run, "_ok", *order], rows_per_bucket)
-    res = row_numbers(keyed, [run], ["_ok", *order], out=out, n_buckets_bound=nb)
+    keyed = range_bucket(keyed, [run, "_ok", *order], rows_per_bucket)
+    res = row_numbers(keyed, [run], ["_ok", *order], out=out)
     return res.drop("_ok", BUCKET)
 
 
@@ -55,8 +56,8 @@ def running_average(log: DataFrame, run: str, order: list[str], value: str, n: s
     """Meter average after each update: running sum(value*n) / running sum(n)."""
     keyed = _order_key(log.withColumn("_vn", F.col(value) * F.col(n)).withColumn("_n", F.col(n).cast("double")),
                        order[0])
-    keyed, nb = range_bucket(keyed, [run, "_ok", *order], rows_per_bucket)
-    s = prefix_sums(keyed, [run], ["_ok", *order], ["_vn", "_n"], n_buckets_bound=nb)
+    keyed = range_bucket(keyed, [run, "_ok", *order], rows_per_bucket)
+    s = prefix_sums(keyed, [run], ["_ok", *order], ["_vn", "_n"])
     # null while no weight has been seen (0/0)
     avg = F.try_divide(F.col("_vn_before") + F.col("_vn"), F.col("_n_before") + F.col("_n"))
     return s.withColumn("running_avg", avg).drop("_ok", BUCKET, "_vn", "_n", "_vn_before", "_n_before",
@@ -68,8 +69,8 @@ def running_best(log: DataFrame, run: str, order: list[str], score: str, start:
     """Flag strict improvements over the best score so far (best starts at
     ``start``), and the best score after each step."""
     keyed = _order_key(log, order[0])
-    keyed, nb = range_bucket(keyed, [run, "_ok", *order], rows_per_bucket)
-    p = prefix_max(keyed, [run], ["_ok", *order], score, n_buckets_bound=nb)
+    keyed = range_bucket(keyed, [run, "_ok", *order], rows_per_bucket)
+    p = prefix_max(keyed, [run], ["_ok", *order], score)
     best_before = F.greatest(F.lit(start), F.coalesce(F.col(f"{score}_prev_max"), F.lit(start)))
     return (p.withColumn("improved", F.col(score) > best_before)
              .withColumn("best_so_far", F.greatest(best_before, F.col(score)))
@@ -111,52 +112,56 @@ def keyed_mean_loss(log: DataFrame, keys: list[str], loss_key: str, value: str)
                                       F.count(F.lit(1)).alias("n_losses"))
 
 
-def ema_chunk(decay: float) -> int:
-    """Chunk length for ``ema``: three chunks of decay reach 1e-17 (below
-    double precision), and ``decay**-chunk`` stays far from overflow."""
-    rate = -math.log(decay)
-    return int(min(max(1024, math.ceil(13.1 / rate)), math.floor(600.0 / rate)))
+def ema_chunk(decay: float, longest: int = 1024) -> int:
+    """Steps a chunk may hold so that ``decay**-chunk`` stays far from overflow."""
+    return max(2, int(min(longest, math.floor(138.0 / -math.log(decay)))))
+
+
+def _decayed_sums(rows: DataFrame, run: str, decay: float, chunk: int | None = None) -> DataFrame:
+    """``y_i = decay * y_(i-1) + x_i`` per run over (run, _i from 0, _x): adds ``_y``.
+
+    Sums inside chunks of consecutive steps use ``decay**-q``, q below the
+    chunk length; the carry into a chunk is the same recurrence over the ends
+    of the chunks before, with decay ``decay**chunk``, until one chunk holds
+    every run. Nothing is cut off, and no run meets in one task.
+    """
+    if decay < 1e-140:  # its square is no number above zero: nothing to carry
+        prev = Window.partitionBy(run).orderBy("_i")
+        return rows.withColumn("_y", F.col("_x") + F.lit(decay) * F.coalesce(F.lag("_x").over(prev), F.lit(0.0)))
+    chunk = chunk or ema_chunk(decay)
+    c = F.floor(F.col("_i") / chunk).cast("long")
+    cut = rows.withColumn("_c", c).withColumn("_q", (F.col("_i") - F.col("_c") * chunk).cast("double"))
+    w = Window.partitionBy(run, "_c").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)
+    scaled = F.sum(F.col("_x") * F.pow(F.lit(decay), -F.col("_q"))).over(w)
+    cut = cut.withColumn("_s", F.pow(F.lit(decay), F.col("_q")) * scaled)
+    if (rows.agg(F.max("_i")).first()[0] or 0) < chunk:
+        return cut.withColumn("_y", F.col("_s")).drop("_c", "_q", "_s")
+    ends = cut_lineage(cut.groupBy(run, F.col("_c").alias("_i")).agg(F.max_by("_s", "_q").alias("_x")))
+    carry = _decayed_sums(ends, run, decay ** chunk).select(
+        run, (F.col("_i") + 1).alias("_c"), F.col("_y").alias("_p"))
+    joined = join_on(cut, carry, [run, "_c"], "left")
+    before = F.pow(F.lit(decay), F.col("_q") + 1) * F.coalesce("_p", F.lit(0.0))
+    return joined.withColumn("_y", F.col("_s") + before).drop("_c", "_q", "_s", "_p")
 
 
 def ema(log: DataFrame, run: str, order: list[str], value: str, decay: float = 0.98,
         chunk: int | None = None, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Exponential moving average ``l = decay*l + (1-decay)*x`` per run, where
     ``l`` restarts at ``x`` while it is 0 (so leading zero losses keep it 0
-    and the first non-zero value starts it).
-
-    Closed form over chunks of ``chunk`` consecutive steps: in-chunk sums use
-    ``decay**-q`` with q < chunk (no overflow), and the carry from earlier
-    chunks comes from the previous three chunk totals via equi-joins on
-    (run, chunk); older chunks weigh ``decay**(3*chunk)``, below double
-    precision. No run is gathered into one task or one row.
+    and the first non-zero value starts it). A null run is a run like any
+    other. See ``_decayed_sums`` for the chunks.
     """
     if not 0.0 < decay < 1.0:
         raise ValueError("decay must lie in (0, 1)")
-    chunk = chunk or ema_chunk(decay)
-    a = 1.0 - decay
     steps = number_steps(log, run, order, out="_t", rows_per_bucket=rows_per_bucket)
     first_nz = (steps.where(F.col(value) != 0).groupBy(run)
                      .agg(F.min_by(F.struct(F.col("_t").alias("j"), F.col(value).alias("xj")), F.col("_t")).alias("_f"))
                      .select(run, "_f.j", "_f.xj"))
-    q = F.pmod(F.col("_t") - 1, F.lit(chunk))
-    c = F.floor((F.col("_t") - 1) / chunk).cast("long")
-    rows = steps.withColumn("_q", q).withColumn("_c", c).withColumn(
-        "_xs", F.col(value).cast("double") * F.pow(F.lit(decay), -F.col("_q").cast("double")))
-    w = Window.partitionBy(run, "_c").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_s", F.pow(F.lit(decay), F.col("_q").cast("double")) * F.sum("_xs").over(w))
-    ends = rows.groupBy(run, "_c").agg(F.max_by("_s", "_q").alias("_e"))
-    dc = decay ** chunk
-    carry = ends.select(run, (F.col("_c") + 1).alias("_c"), F.col("_e").alias("_e1"))
-    for lag in (2, 3):
-        carry = carry.join(ends.select(run, (F.col("_c") + lag).alias("_c"), F.col("_e").alias(f"_e{lag}")),
-                           [run, "_c"], "left")
-    carry = carry.select(run, "_c", (F.col("_e1") + dc * F.coalesce("_e2", F.lit(0.0))
-                                     + dc * dc * F.coalesce("_e3", F.lit(0.0))).alias("_p"))
-    joined = rows.join(carry, [run, "_c"], "left").join(first_nz, run, "left")
-    w_t = F.col("_s") + F.pow(F.lit(decay), F.col("_q").cast("double") + 1) * F.coalesce("_p", F.lit(0.0))
+    rows = steps.withColumn("_i", F.col("_t") - 1).withColumn("_x", F.col(value).cast("double"))
+    joined = join_on(_decayed_sums(cut_lineage(rows), run, decay, chunk), first_nz, [run], "left")
     start = F.pow(F.lit(decay), (F.col("_t") - F.col("j") + 1).cast("double")) * F.col("xj")
     value_ema = F.when(F.col("j").isNull() | (F.col("_t") < F.col("j")), F.lit(0.0)) \
-                 .otherwise(start + F.lit(a) * w_t)
+                 .otherwise(start + F.lit(1.0 - decay) * F.col("_y"))
     return joined.select(*log.columns, F.col("_t").alias("step"), value_ema.alias("ema"))
 
 
@@ -167,6 +172,13 @@ def optimisation_steps(n_rows, batch_size, accumulation_steps, epochs) -> Column
     return (F.ceil(c(n_rows).cast("double") / c(batch_size) / c(accumulation_steps)) * c(epochs)).cast("long")
 
 
+def optimisation_steps_truncated(n_rows, batch_size, accumulation_steps, epochs) -> Column:
+    """The older form ``int(epochs * n / batch_size / accumulation_steps)``."""
+    def c(x):
+        return F.col(x) if isinstance(x, str) else F.lit(x)
+    return F.floor(c(epochs) * c(n_rows).cast("double") / c(batch_size) / c(accumulation_steps)).cast("long")
+
+
 def run_key(model, depth, batch_size, accum, seed, maxlen) -> Column:
     """Run name ``{model}_{depth}layers_{bs}bs_{accum}accum_{seed}seed_{maxlen}``."""
     return F.format_string("%s_%dlayers_%dbs_%daccum_%dseed_%d", F.col(model), F.col(depth),

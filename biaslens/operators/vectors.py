@@ -28,6 +28,14 @@ def pool(df: DataFrame, keys: list[str], vec: str, how: str = "mean", out: str |
               .select(*keys, vector_to_array(F.col(f"_s.{how}")).alias(out)))
 
 
+def pool_mean_max(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
+    """(keys, mean_pool, max_pool) in one pass."""
+    v = array_to_vector(F.col(vec).cast("array<double>"))
+    summary = Summarizer.metrics("mean", "max").summary(v)
+    return df.groupBy(*keys).agg(summary.alias("_s")).select(
+        *keys, vector_to_array(F.col("_s.mean")).alias("mean_pool"), vector_to_array(F.col("_s.max")).alias("max_pool"))
+
+
 def pool_last_k(df: DataFrame, keys: list[str], order: str, vec: str, k: int = 4,
                 out: str = "last_k_mean") -> DataFrame:
     """Mean of the ``k`` vectors with the highest ``order`` per group."""

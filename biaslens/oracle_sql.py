@@ -7,7 +7,7 @@ cannot pass both. DuckDB lambdas are written ``lambda x: ...``.
 
 from __future__ import annotations
 
-from .config import AUX_COLUMNS, FEATURE_COLUMNS, IDENTITY_COLUMNS, RUN_SWEEP
+from .config import AUX_COLUMNS, DEFAULT, FEATURE_COLUMNS, IDENTITY_COLUMNS, RUN_SWEEP
 from .sources.tables import comments_sql
 
 R = 9  # decimals every floating result is rounded to, on both sides
@@ -23,36 +23,38 @@ def comments_cte() -> str:
     return f"c AS ({comments_sql('documents')})"
 
 
-def _auc_ctes(source: str | None = None, src: str = "c", target: str = "target") -> str:
+def _auc_ctes(source: str | None = None, src: str = "c", target: str = "target",
+              score: str = "prediction", by: str = "0") -> str:
+    """bias(e, subgroup, ...) by average ranks; ``e`` is the ``by`` value. A set
+    with a missing score has no AUC."""
     flags = ", ".join(f"{_bool(g)} AS {g}" for g in IDENTITY_COLUMNS)
     return f"""{source or comments_cte()},
-v AS (SELECT id, prediction AS score, {_bool(target)} AS y, {flags}
-      FROM {src} WHERE prediction IS NOT NULL),
+v AS (SELECT {by} AS e, {score} AS score, {_bool(target)} AS y, {flags} FROM {src}),
 u AS (UNPIVOT v ON {ID_LIST} INTO NAME subgroup VALUE f),
 ex AS (
-  SELECT subgroup, 'sub' AS kind, score, y FROM u WHERE f
-  UNION ALL SELECT subgroup, 'bpsn', score, y FROM u WHERE (f AND NOT y) OR (NOT f AND y)
-  UNION ALL SELECT subgroup, 'bnsp', score, y FROM u WHERE (f AND y) OR (NOT f AND NOT y)
-  UNION ALL SELECT '__all__', 'sub', score, y FROM v),
-r AS (SELECT subgroup, kind, y,
-        rank() OVER (PARTITION BY subgroup, kind ORDER BY score)
-        + (count(*) OVER (PARTITION BY subgroup, kind, score) - 1) / 2.0 AS rk
+  SELECT e, subgroup, 'sub' AS kind, score, y FROM u WHERE f
+  UNION ALL SELECT e, subgroup, 'bpsn', score, y FROM u WHERE (f AND NOT y) OR (NOT f AND y)
+  UNION ALL SELECT e, subgroup, 'bnsp', score, y FROM u WHERE (f AND y) OR (NOT f AND NOT y)
+  UNION ALL SELECT e, '__all__', 'sub', score, y FROM v),
+r AS (SELECT e, subgroup, kind, y, score,
+        rank() OVER (PARTITION BY e, subgroup, kind ORDER BY score)
+        + (count(*) OVER (PARTITION BY e, subgroup, kind, score) - 1) / 2.0 AS rk
       FROM ex),
-a AS (SELECT subgroup, kind,
+a AS (SELECT e, subgroup, kind, count(*) - count(score) AS missing,
         sum(CASE WHEN y THEN 1 ELSE 0 END) AS p, sum(CASE WHEN y THEN 0 ELSE 1 END) AS n,
         sum(CASE WHEN y THEN rk ELSE 0 END) AS rs
-      FROM r GROUP BY subgroup, kind),
-auc AS (SELECT subgroup, kind,
-          CASE WHEN p > 0 AND n > 0 THEN (rs - p * (p + 1) / 2.0) / (p * n) END AS auc
+      FROM r GROUP BY e, subgroup, kind),
+auc AS (SELECT e, subgroup, kind,
+          CASE WHEN p > 0 AND n > 0 AND missing = 0 THEN (rs - p * (p + 1) / 2.0) / (p * n) END AS auc
         FROM a),
-sizes AS (SELECT subgroup, count(*) FILTER (WHERE f) AS subgroup_size FROM u GROUP BY subgroup
-          UNION ALL SELECT '__all__', count(*) FROM v),
-bias AS (SELECT s.subgroup, s.subgroup_size,
+sizes AS (SELECT e, subgroup, count(*) FILTER (WHERE f) AS subgroup_size FROM u GROUP BY e, subgroup
+          UNION ALL SELECT e, '__all__', count(*) FROM v GROUP BY e),
+bias AS (SELECT s.e, s.subgroup, s.subgroup_size,
            max(CASE WHEN kind = 'sub' THEN auc END) AS subgroup_auc,
            max(CASE WHEN kind = 'bpsn' THEN auc END) AS bpsn_auc,
            max(CASE WHEN kind = 'bnsp' THEN auc END) AS bnsp_auc
-         FROM sizes s LEFT JOIN auc USING (subgroup)
-         GROUP BY s.subgroup, s.subgroup_size)"""
+         FROM sizes s LEFT JOIN auc USING (e, subgroup)
+         GROUP BY s.e, s.subgroup, s.subgroup_size)"""
 
 
 def bias_metrics() -> str:
@@ -183,9 +185,12 @@ def _nz(c: str) -> str:
 
 
 def _targets_cte() -> str:
+    return f"{comments_cte()},\n{_targets_only()}"
+
+
+def _targets_only() -> str:
     ids = ", ".join(_nz(g) for g in IDENTITY_COLUMNS)
-    return f"""{comments_cte()},
-tt AS (SELECT id, target, {", ".join(AUX_COLUMNS[1:])},
+    return f"""tt AS (SELECT id, target, {", ".join(AUX_COLUMNS[1:])},
    len(list_filter([{ids}], lambda x: x >= 0.5)) AS n_ge,
    len(list_filter([{ids}], lambda x: x < 0.5)) AS n_lt,
    (target IS NOT NULL AND NOT isnan(target) AND target >= 0.5) AS tox,
@@ -213,7 +218,6 @@ def loss_weight() -> str:
 _WS_CHARS = (r"\t\n\x{0b}\x{0c}\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
              r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 TOKEN_RE2 = rf"[\pL\pM\pN_]+|[^\pL\pM\pN_{_WS_CHARS}]"
-VOCAB_SIZE = 5000
 MAX_LEN = 220
 
 
@@ -222,7 +226,7 @@ def _tok_ctes() -> str:
 tk AS (SELECT id, regexp_extract_all(lower(coalesce(comment_text, 'nan')), '{TOKEN_RE2}') AS toks FROM c),
 cnt AS (SELECT tok, count(*) AS n FROM (SELECT unnest(toks) AS tok FROM tk) GROUP BY tok),
 voc AS (SELECT tok, CAST(3 + row_number() OVER (ORDER BY n DESC, tok) AS INTEGER) AS tid, n
-        FROM cnt ORDER BY n DESC, tok LIMIT {VOCAB_SIZE})"""
+        FROM cnt)"""
 
 
 def tokens() -> str:
@@ -419,7 +423,8 @@ sweep(run, model, depth, maxlen, batch_size, accumulation_steps, seed) AS (VALUE
 n AS (SELECT CAST(floor(count(*) * CAST(0.7 AS DOUBLE)) AS BIGINT) AS n_train FROM c)
 SELECT run, printf('%s_%dlayers_%dbs_%daccum_%dseed_%d', model, depth, batch_size, accumulation_steps, seed, maxlen)
          AS run_key, n_train,
-       CAST(ceil(n_train / batch_size / accumulation_steps) * 2 AS BIGINT) AS optimisation_steps
+       CAST(ceil(n_train / batch_size / accumulation_steps) * 2 AS BIGINT) AS optimisation_steps,
+       CAST(floor(2.0::DOUBLE * n_train / batch_size / accumulation_steps) AS BIGINT) AS optimisation_steps_truncated
 FROM sweep, n"""
 
 
@@ -509,37 +514,83 @@ def dense_head() -> str:
 
 
 def epoch_metrics() -> str:
-    flags = ", ".join(f"{_bool(g)} AS {g}" for g in IDENTITY_COLUMNS)
     pm = lambda c: f"CASE WHEN count({c}) = count(*) THEN pow(avg(pow({c}, -5.0)), -0.2) END"
-    return f"""WITH {comments_cte()},
+    src = f"""{comments_cte()},
 pe AS (SELECT *, 0 AS epoch, prediction AS score FROM c
-       UNION ALL SELECT *, 1 AS epoch, (prediction + target) / 2 AS score FROM c),
-v AS (SELECT epoch, score, {_bool('target')} AS y, {flags} FROM pe WHERE score IS NOT NULL),
-u AS (UNPIVOT v ON {ID_LIST} INTO NAME subgroup VALUE f),
-ex AS (
-  SELECT epoch, subgroup, 'sub' AS kind, score, y FROM u WHERE f
-  UNION ALL SELECT epoch, subgroup, 'bpsn', score, y FROM u WHERE (f AND NOT y) OR (NOT f AND y)
-  UNION ALL SELECT epoch, subgroup, 'bnsp', score, y FROM u WHERE (f AND y) OR (NOT f AND NOT y)
-  UNION ALL SELECT epoch, '__all__', 'sub', score, y FROM v),
-r AS (SELECT epoch, subgroup, kind, y,
-        rank() OVER (PARTITION BY epoch, subgroup, kind ORDER BY score)
-        + (count(*) OVER (PARTITION BY epoch, subgroup, kind, score) - 1) / 2.0 AS rk FROM ex),
-a AS (SELECT epoch, subgroup, kind, sum(CASE WHEN y THEN 1 ELSE 0 END) AS p,
-        sum(CASE WHEN y THEN 0 ELSE 1 END) AS n, sum(CASE WHEN y THEN rk ELSE 0 END) AS rs
-      FROM r GROUP BY 1, 2, 3),
-auc AS (SELECT epoch, subgroup, kind,
-          CASE WHEN p > 0 AND n > 0 THEN (rs - p * (p + 1) / 2.0) / (p * n) END AS auc FROM a),
-b AS (SELECT epoch, subgroup, max(CASE WHEN kind = 'sub' THEN auc END) AS s,
-        max(CASE WHEN kind = 'bpsn' THEN auc END) AS bp, max(CASE WHEN kind = 'bnsp' THEN auc END) AS bn
-      FROM auc GROUP BY 1, 2),
-m AS (SELECT epoch, {pm('s')} AS pm_sub, {pm('bp')} AS pm_bpsn, {pm('bn')} AS pm_bnsp
-      FROM b WHERE subgroup <> '__all__' GROUP BY epoch),
-o AS (SELECT epoch, s AS overall_auc FROM b WHERE subgroup = '__all__')
-SELECT epoch, round(overall_auc, {R}) AS overall_auc, round(pm_sub, {R}) AS power_mean_subgroup_auc,
+       UNION ALL SELECT *, 1 AS epoch, (prediction + target) / 2 AS score FROM c)"""
+    return f"""WITH {_auc_ctes(src, "pe", score="score", by="epoch")},
+m AS (SELECT e, {pm('subgroup_auc')} AS pm_sub, {pm('bpsn_auc')} AS pm_bpsn, {pm('bnsp_auc')} AS pm_bnsp
+      FROM bias WHERE subgroup <> '__all__' GROUP BY e),
+o AS (SELECT e, subgroup_auc AS overall_auc FROM bias WHERE subgroup = '__all__')
+SELECT e AS epoch, round(overall_auc, {R}) AS overall_auc, round(pm_sub, {R}) AS power_mean_subgroup_auc,
   round(pm_bpsn, {R}) AS power_mean_bpsn_auc, round(pm_bnsp, {R}) AS power_mean_bnsp_auc,
   round((pm_sub + pm_bpsn + pm_bnsp) / 3, {R}) AS bias_score,
   round(0.25 * overall_auc + 0.75 * (pm_sub + pm_bpsn + pm_bnsp) / 3, {R}) AS final_metric
-FROM m JOIN o USING (epoch)"""
+FROM m JOIN o USING (e)"""
+
+
+def epoch_bias_gaps() -> str:
+    first, second = IDENTITY_COLUMNS[:2]
+    src = f"""{comments_cte()},
+pe AS (SELECT *, 1 AS epoch, prediction AS score FROM c WHERE NOT coalesce({first} >= 0.5, false)
+       UNION ALL SELECT *, 2, CASE WHEN {second} IS NULL OR id % 3 <> 0 THEN prediction END FROM c)"""
+    return f"""WITH {_auc_ctes(src, "pe", score="score", by="epoch")}
+SELECT e AS epoch, subgroup, CAST(subgroup_size AS BIGINT) AS subgroup_size,
+       round(subgroup_auc, {R}) AS subgroup_auc, round(bpsn_auc, {R}) AS bpsn_auc, round(bnsp_auc, {R}) AS bnsp_auc
+FROM bias"""
+
+
+def _positions(seed: int) -> str:
+    """A seeded permutation: rows by the first 60 bits of md5, then id."""
+    return f"""{comments_cte()},
+h AS (SELECT id, ('0x' || substr(md5('{seed}-' || id::VARCHAR), 1, 15))::BIGINT AS h FROM c),
+p AS (SELECT id, row_number() OVER (ORDER BY h, id) AS position, count(*) OVER () AS n FROM h)"""
+
+
+SEED, FOLD_SEED = DEFAULT.seed, 2106
+
+
+def split_train_valid() -> str:
+    return f"""WITH {_positions(SEED)}
+SELECT id, position, CASE WHEN position <= floor(n * CAST(0.7 AS DOUBLE)) THEN 'train'
+  WHEN position > n - floor(n * CAST(0.05 AS DOUBLE)) THEN 'valid' ELSE 'unused' END AS split FROM p"""
+
+
+def fold_members() -> str:
+    return f"WITH {_positions(FOLD_SEED)} SELECT id, CAST((position - 1) % 5 AS INTEGER) AS fold FROM p"
+
+
+def shuffled_batches() -> str:
+    return f"WITH {_positions(SEED)} SELECT id, position, (position - 1) // 32 AS batch FROM p"
+
+
+def training_table() -> str:
+    m = MAX_LEN - 2
+    return f"""WITH {_features_cte()}, {_stats_cte()},
+tk AS (SELECT id, least(len(regexp_extract_all(lower(coalesce(comment_text, 'nan')), '{TOKEN_RE2}')), {m}) + 2 AS n_ids FROM c),
+{_targets_only()}
+SELECT f.id, CAST(n_ids AS INTEGER) AS n_ids, y, round(weight, {R}) AS weight,
+       round((total_length - mean) / CASE WHEN std_pop = 0 THEN 1 ELSE std_pop END, {R}) AS total_length_scaled
+FROM f JOIN tk USING (id) JOIN tw USING (id) JOIN (SELECT * FROM st WHERE feature = 'total_length') ON true"""
+
+
+def score_given() -> str:
+    terms = " + ".join(f"({0.05 * (i + 1) * (-1) ** i!r}) * {c}" for i, c in enumerate(FEATURE_COLUMNS))
+    scaled = ", ".join(
+        f"max(CASE WHEN feature = '{c}' THEN (v - mean) / CASE WHEN std_pop = 0 THEN 1 ELSE std_pop END END) AS {c}"
+        for c in FEATURE_COLUMNS)
+    return f"""WITH {_features_cte()}, {_stats_cte()},
+long AS (UNPIVOT (SELECT id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURE_COLUMNS)} FROM f)
+         ON {", ".join(FEATURE_COLUMNS)} INTO NAME feature VALUE v),
+x AS (SELECT id, {scaled} FROM long JOIN st USING (feature) GROUP BY id),
+z AS (SELECT id, {terms} - 0.25 AS logit FROM x)
+SELECT id, round(logit, 6) AS logit, round(1 / (1 + exp(-logit)), 6) AS prediction FROM z"""
+
+
+def fit_residuals() -> str:
+    """The score equations of a fit are zero, whatever the data."""
+    names = ", ".join(f"('{c}')" for c in (*FEATURE_COLUMNS, "intercept"))
+    return f"SELECT term, CAST(0.0 AS DOUBLE) AS residual FROM (VALUES {names}) t(term)"
 
 
 def scan_comments() -> str:
@@ -611,6 +662,14 @@ ORACLES = {
     "fold_sizes": fold_sizes,
     "fold_rows": fold_rows,
     "fixed_batches": fixed_batches,
+    "split_train_valid": split_train_valid,
+    "fold_members": fold_members,
+    "shuffled_batches": shuffled_batches,
+    "training_table": training_table,
+    "score_given": score_given,
+    "fit_residuals": fit_residuals,
+    "scoring_valid": final_metric,
+    "epoch_bias_gaps": epoch_bias_gaps,
     "length_batches": length_batches,
     "trim_batches": trim_batches,
     "weighted_avg": weighted_avg,

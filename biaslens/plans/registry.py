@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +25,7 @@ from ..operators import order
 from ..operators import runlog as rl
 from ..session import cut_lineage
 from ..sources import io
-from ..sources.tables import comments, read_table, spread
+from ..sources.tables import comments, linear_logits, read_table, spread
 from ..streaming import features as sf
 from . import score, train
 
@@ -154,17 +153,12 @@ def loss_weight(spark: SparkSession, root: str) -> DataFrame:
 
 # --- sequence encoding ------------------------------------------------------
 
-VOCAB_SIZE = 5000
-
-
-def _tokens(spark: SparkSession, root: str) -> DataFrame:
-    """(id, tokens), materialised: the tokenizer runs once even though the
-    explode's inferred ``size(tokens) > 0`` filter is pushed below it."""
-    return cut_lineage(comments(spark, root).select("id", enc.tokenize("comment_text").alias("tokens")))
+def _token_rows(spark: SparkSession, root: str) -> DataFrame:
+    return comments(spark, root).select("id", enc.tokenize("comment_text").alias("tokens"))
 
 
 def _vocab(spark: SparkSession, root: str) -> DataFrame:
-    return enc.build_vocab(_tokens(spark, root), size=VOCAB_SIZE)
+    return enc.build_vocab(comments(spark, root), enc.tokenize("comment_text"))
 
 
 @register
@@ -178,12 +172,10 @@ def vocab(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _encoded(spark: SparkSession, root: str, mode: str = "head") -> DataFrame:
-    """Tokenise once (materialised), build the vocabulary and encode from it."""
-    toks = _tokens(spark, root)
-    vocab_t = enc.build_vocab(toks, size=VOCAB_SIZE)
-    # built with a cap: its size bound is known without counting
-    return enc.encode_tokens(toks, vocab_t, "id", "tokens", DEFAULT.max_sequence_length, mode,
-                             vocab_rows=VOCAB_SIZE)
+    """Count tokens in one scan, encode from a second one that keeps only the
+    first positions: no token table as large as the text is written."""
+    return enc.encode_tokens(_token_rows(spark, root), cut_lineage(_vocab(spark, root)), "id", "tokens",
+                             DEFAULT.max_sequence_length, mode)
 
 
 @register
@@ -242,18 +234,18 @@ def fold_sizes(spark: SparkSession, root: str) -> DataFrame:
 @register
 def fold_rows(spark: SparkSession, root: str) -> DataFrame:
     c = comments(spark, root).select("id")
-    folds = order.assign_folds(c, "id", N_FOLDS, FOLD_SEED)
-    parts = []
-    for k in range(N_FOLDS):
-        tr, va = order.fold_rows(c, folds, k)
-        both = (tr.select(F.lit(1).alias("t"), F.lit(0).alias("v"))
-                  .unionByName(va.select(F.lit(0).alias("t"), F.lit(1).alias("v"))))
-        parts.append(both.agg(F.lit(k).alias("fold"), F.sum("t").cast("long").alias("n_train"),
-                              F.sum("v").cast("long").alias("n_valid")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return order.fold_row_counts(c, cut_lineage(order.assign_folds(c, "id", N_FOLDS, FOLD_SEED)), N_FOLDS)
+
+
+@register
+def fold_members(spark: SparkSession, root: str) -> DataFrame:
+    return order.assign_folds(comments(spark, root).select("id"), "id", N_FOLDS, FOLD_SEED)
+
+
+@register
+def shuffled_batches(spark: SparkSession, root: str) -> DataFrame:
+    c = comments(spark, root).select("id")
+    return order.fixed_batches(c, "id", DEFAULT.batch_size, seed=DEFAULT.seed).select("id", "position", "batch")
 
 
 @register
@@ -270,10 +262,8 @@ def length_batches(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def trim_batches(spark: SparkSession, root: str) -> DataFrame:
-    c = comments(spark, root)
-    e = _encoded(spark, root)
-    b = order.fixed_batches(c.select("id"), "id", DEFAULT.batch_size).select("id", "batch")
-    return order.trim_batches(e.join(b, "id"), "token_ids")
+    b = order.fixed_batches(_encoded(spark, root), "id", DEFAULT.batch_size).drop("position")
+    return order.trim_batches(b, "token_ids")
 
 
 # --- training-log operators on the events table ----------------------------
@@ -296,13 +286,14 @@ def weighted_avg(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def running_avg(spark: SparkSession, root: str) -> DataFrame:
-    r = rl.running_average(_log(spark, root), "user_id", STEP_ORDER, "value", "k")
+    log = _log(spark, root).select("user_id", *STEP_ORDER, "value", "k")
+    r = rl.running_average(log, "user_id", STEP_ORDER, "value", "k")
     return rounded(r.select("event_id", "user_id", "running_avg"))
 
 
 @register
 def running_best(spark: SparkSession, root: str) -> DataFrame:
-    r = rl.running_best(_log(spark, root), "user_id", STEP_ORDER, "value")
+    r = rl.running_best(_log(spark, root).select("user_id", *STEP_ORDER, "value"), "user_id", STEP_ORDER, "value")
     return rounded(r.select("event_id", "user_id", "improved", "best_so_far"))
 
 
@@ -317,19 +308,19 @@ def best_epoch(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def retention(spark: SparkSession, root: str) -> DataFrame:
-    return rl.retention(_log(spark, root), "user_id", STEP_ORDER, keep_last=3).select(
+    return rl.retention(_log(spark, root).select("user_id", *STEP_ORDER), "user_id", STEP_ORDER, keep_last=3).select(
         "event_id", "user_id", "keep")
 
 
 @register
 def every_kth(spark: SparkSession, root: str) -> DataFrame:
-    steps = rl.number_steps(_log(spark, root), "user_id", STEP_ORDER)
+    steps = rl.number_steps(_log(spark, root).select("user_id", *STEP_ORDER), "user_id", STEP_ORDER)
     return rl.every_kth(steps, "step", 10).select("event_id", "user_id", "step")
 
 
 @register
 def accum_groups(spark: SparkSession, root: str) -> DataFrame:
-    steps = rl.number_steps(_log(spark, root), "user_id", STEP_ORDER)
+    steps = rl.number_steps(_log(spark, root).select("user_id", *STEP_ORDER, "value"), "user_id", STEP_ORDER)
     return rounded(rl.accumulation_groups(steps, "user_id", "step", "value", DEFAULT.accumulation_steps))
 
 
@@ -340,7 +331,7 @@ def mean_loss(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def loss_ema(spark: SparkSession, root: str) -> DataFrame:
-    e = rl.ema(_log(spark, root), "user_id", STEP_ORDER, "value")
+    e = rl.ema(_log(spark, root).select("user_id", *STEP_ORDER, "value"), "user_id", STEP_ORDER, "value")
     return rounded(e.select("event_id", "user_id", "step", "ema"))
 
 
@@ -354,32 +345,40 @@ def run_steps(spark: SparkSession, root: str) -> DataFrame:
         "run", rl.run_key("model", "depth", "batch_size", "accumulation_steps", "seed", "maxlen").alias("run_key"),
         F.lit(n_train).cast("long").alias("n_train"),
         rl.optimisation_steps(F.lit(n_train), F.col("batch_size"), F.col("accumulation_steps"),
-                              DEFAULT.epochs).alias("optimisation_steps"))
+                              DEFAULT.epochs).alias("optimisation_steps"),
+        rl.optimisation_steps_truncated(F.lit(n_train), F.col("batch_size"), F.col("accumulation_steps"),
+                                        F.lit(DEFAULT.epochs)).alias("optimisation_steps_truncated"))
 
 
 # --- model outputs, losses --------------------------------------------------
 
 def _scored(spark: SparkSession, root: str) -> DataFrame:
-    """comments + targets + stand-in logits + batch (id order), keyed by id."""
-    c = comments(spark, root)
-    t = feat.targets(c).select("id", F.col("y").cast("double").alias("y"), "weight",
-                               F.array(*[f"aux_{a}" for a in DEFAULT.aux_columns]).alias("aux_targets"))
-    out = loss_ops.linear_outputs(c)
-    b = order.fixed_batches(c.select("id"), "id", DEFAULT.batch_size).select("id", "batch")
-    return out.join(t, "id").join(b, "id")
+    """comments + targets + stand-in logits + batch (id order): one projection
+    that the batch numbering carries, no join on id."""
+    rows = comments(spark, root).withColumns({**feat.target_columns(DEFAULT), "logits": linear_logits()}).select(
+        "id", "logits", F.col("y").cast("double").alias("y"), "weight",
+        F.array(*[f"aux_{a}" for a in DEFAULT.aux_columns]).alias("aux_targets"))
+    return order.fixed_batches(rows, "id", DEFAULT.batch_size)
+
+
+def _scored_with_loss_weight(spark: SparkSession, root: str) -> DataFrame:
+    """With the loss weight ``1 / mean(weight)`` of the whole table on every row."""
+    rows = _scored(spark, root)
+    one = feat.loss_weight(feat.targets(comments(spark, root)))
+    return rows.join(F.broadcast(one))  # an aggregate without keys: exactly one row
 
 
 @register
 def sigmoid_scores(spark: SparkSession, root: str) -> DataFrame:
-    out = loss_ops.linear_outputs(comments(spark, root))
-    return rounded(out.select("id", nn.sigmoid(nn.binary_logit("logits")).alias("prediction")))
+    c = comments(spark, root).withColumn("logits", linear_logits())
+    return rounded(c.select("id", nn.sigmoid(nn.binary_logit("logits")).alias("prediction")))
 
 
 @register
 def split_logits(spark: SparkSession, root: str) -> DataFrame:
-    out = loss_ops.linear_outputs(comments(spark, root))
-    return rounded(out.select("id", nn.binary_logit("logits").alias("binary_logit"),
-                              nn.aux_logits("logits").alias("aux_logits")))
+    c = comments(spark, root).withColumn("logits", linear_logits())
+    return rounded(c.select("id", nn.binary_logit("logits").alias("binary_logit"),
+                            nn.aux_logits("logits").alias("aux_logits")))
 
 
 @register
@@ -387,25 +386,18 @@ def weighted_loss(spark: SparkSession, root: str) -> DataFrame:
     return rounded(loss_ops.batch_losses(_scored(spark, root)).select("batch", "n_rows", "loss"))
 
 
-def _loss_weight_value(spark: SparkSession, root: str) -> float:
-    """The scalar loss weight ``1 / mean(weight)`` (one aggregate row)."""
-    return float(feat.loss_weight(feat.targets(comments(spark, root))).first()[0])
-
-
 @register
 def weighted_loss_scaled(spark: SparkSession, root: str) -> DataFrame:
-    lw = _loss_weight_value(spark, root)
-    return rounded(loss_ops.batch_losses(_scored(spark, root), loss_weight=lw).select("batch", "loss"))
+    rows = _scored_with_loss_weight(spark, root)
+    return rounded(loss_ops.batch_losses(rows, loss_weight="loss_weight").select("batch", "loss"))
 
 
 @register
 def epoch_accuracy(spark: SparkSession, root: str) -> DataFrame:
     """Epoch loss (scaled criterion with the data's loss weight, divided by
     the accumulation steps) and accuracy, as means of per-batch means."""
-    s = _scored(spark, root)
-    losses = loss_ops.batch_losses(s, loss_weight=_loss_weight_value(spark, root))
-    return rounded(loss_ops.epoch_summary(losses, loss_ops.batch_accuracy(s),
-                                          accumulation_steps=DEFAULT.accumulation_steps))
+    losses = loss_ops.batch_losses(_scored_with_loss_weight(spark, root), loss_weight="loss_weight")
+    return rounded(loss_ops.epoch_summary(losses, accumulation_steps=DEFAULT.accumulation_steps))
 
 
 # --- vectors on the embeddings table ----------------------------------------
@@ -432,8 +424,8 @@ def pool_last_k(spark: SparkSession, root: str) -> DataFrame:
 @register
 def assemble(spark: SparkSession, root: str) -> DataFrame:
     e = _emb(spark, root)
-    pooled = vec.pool(e, ["label"], "embedding", "mean").join(vec.pool(e, ["label"], "embedding", "max"), "label")
-    return rounded(e.join(pooled, "label").select(
+    # a few rows a label; a label that holds most vectors is split by the skew join
+    return rounded(e.join(vec.pool_mean_max(e, ["label"], "embedding"), "label").select(
         "vec_id", vec.assemble(F.col("embedding").cast("array<double>"), "mean_pool", "max_pool",
                                vec.as_array("label")).alias("features")))
 
@@ -449,7 +441,7 @@ def dense_head(spark: SparkSession, root: str) -> DataFrame:
     return rounded(e.select("vec_id", vec.dense("embedding", w, b, relu=True).alias("hidden")))
 
 
-# --- Spark ML jobs (fits are iterative: rows-only checks) -------------------
+# --- fitted heads --------------------------------------------------------------
 
 @register
 def train_binary(spark: SparkSession, root: str) -> DataFrame:
@@ -468,12 +460,30 @@ def train_aux(spark: SparkSession, root: str) -> DataFrame:
     return rounded(out, 6)
 
 
+@register
+def fit_residuals(spark: SparkSession, root: str) -> DataFrame:
+    """The weighted score equations at the binary fit: zero, as the optimum asks."""
+    table, model = train.split_and_train(comments(spark, root))
+    return rounded(train.score_equations(model, table.where(F.col("split") == "train")), 8)
+
+
+def _given_head() -> train.Head:
+    """Fixed coefficients, so that scores can be checked value by value."""
+    return train.Head([0.05 * (i + 1) * (-1) ** i for i in range(train.WIDTH)], -0.25)
+
+
 @register
 def score_table(spark: SparkSession, root: str) -> DataFrame:
     table, model = train.split_and_train(comments(spark, root))
     return rounded(train.score(model, table), 6)
 
 
+@register
+def score_given(spark: SparkSession, root: str) -> DataFrame:
+    """Batch scoring with given coefficients over features scaled on all rows."""
+    return rounded(train.score(_given_head(), train.training_table(comments(spark, root))), 6)
+
+
 @register
 def submission(spark: SparkSession, root: str) -> DataFrame:
     """Predictions for the rows outside the training split, keyed by id."""
@@ -482,29 +492,27 @@ def submission(spark: SparkSession, root: str) -> DataFrame:
     return rounded(train.score(model, test).select("id", "prediction"), 6)
 
 
+def _folds(spark: SparkSession, root: str) -> DataFrame:
+    return order.assign_folds(comments(spark, root).select("id"), "id", N_FOLDS, FOLD_SEED)
+
+
 @register
 def oof_union(spark: SparkSession, root: str) -> DataFrame:
-    c = comments(spark, root)
-    folds = order.assign_folds(c, "id", N_FOLDS, FOLD_SEED)
-    oof, _, _ = train.out_of_fold(c, folds, N_FOLDS)
+    oof, _, _ = train.out_of_fold(comments(spark, root), _folds(spark, root), N_FOLDS)
     return rounded(oof.select("id", "fold", "logit", "prediction"), 6)
 
 
 @register
 def oof_aux(spark: SparkSession, root: str) -> DataFrame:
     """Out-of-fold auxiliary logits (six heads per fold)."""
-    c = comments(spark, root)
-    folds = order.assign_folds(c, "id", N_FOLDS, FOLD_SEED)
-    table = cut_lineage(train.training_table(c).join(folds, "id"))
+    table = train.fold_table(comments(spark, root), _folds(spark, root))
     return rounded(train.out_of_fold_aux(table, N_FOLDS), 6)
 
 
 @register
 def submission_folds(spark: SparkSession, root: str) -> DataFrame:
     """Every fold model scores the whole table: (fold, id, prediction)."""
-    c = comments(spark, root)
-    folds = order.assign_folds(c, "id", N_FOLDS, FOLD_SEED)
-    _, models, table = train.out_of_fold(c, folds, N_FOLDS)
+    _, models, table = train.out_of_fold(comments(spark, root), _folds(spark, root), N_FOLDS)
     return rounded(train.score_all_folds(table, models), 6)
 
 
@@ -521,14 +529,37 @@ def epoch_metrics(spark: SparkSession, root: str) -> DataFrame:
     return rounded(auc_ops.final_metric(bias, DEFAULT, by=["epoch"]))
 
 
+@register
+def epoch_bias_gaps(spark: SparkSession, root: str) -> DataFrame:
+    """Bias tables of two epochs: in epoch 1 nobody of the first subgroup was
+    scored (its rows are left out), in epoch 2 some members have no score."""
+    c = comments(spark, root)
+    first, second = DEFAULT.identity_columns[:2]
+    per_epoch = c.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("epoch")).where(
+        (F.col("epoch") == 2) | ~F.coalesce(F.col(first) >= 0.5, F.lit(False))).withColumn(
+        "score", F.when((F.col("epoch") == 1) | F.col(second).isNull() | (F.col("id") % 3 != 0), F.col("prediction")))
+    return rounded(auc_ops.bias_metrics(per_epoch, DEFAULT, score="score", by=["epoch"]))
+
+
+@register
+def scoring_valid(spark: SparkSession, root: str) -> DataFrame:
+    """Predictions and labels as two artefacts, aligned by id, then scored."""
+    c = comments(spark, root)
+    _, final = auc_ops.scoring_valid(c.select("id", "prediction"), c, DEFAULT)
+    return rounded(final)
+
+
 # --- sources, sinks, streaming ----------------------------------------------
 
 @register
 def scan_comments(spark: SparkSession, root: str) -> DataFrame:
-    """Comment table written as CSV (quoted, escaped, multi-line) and scanned
-    back with the missing-value rules of the modelled reader."""
+    """Comment table written as CSV (quoted, escaped, multi-line; columns in
+    another order, one more in front) and scanned back by name with the
+    missing-value rules of the modelled reader."""
     path = io.scratch_path(spark, "comments-csv")
-    io.write_comments_csv(comments(spark, root), path)
+    c = comments(spark, root)
+    shuffled = [*reversed(DEFAULT.identity_columns), "prediction", "comment_text", *DEFAULT.aux_columns, "id"]
+    io.write_comments_csv(c.select(F.lit("extra, cell").alias("note"), *shuffled), path)
     back = io.read_comments_csv(spark, path)
     return rounded(back.select("id", "comment_text", "target", *DEFAULT.identity_columns))
 
@@ -546,13 +577,9 @@ def stream_meta_features(spark: SparkSession, root: str) -> DataFrame:
 def training_table(spark: SparkSession, root: str) -> DataFrame:
     """Keyed alignment of encoded sequences, scaled features and targets
     (equi-joins on id; the modelled code zips arrays by position)."""
-    c = comments(spark, root)
-    e = _encoded(spark, root)
-    t = train.training_table(c)
-    j = e.join(t, "id")
+    j = feat.aligned(_encoded(spark, root), train.training_table(comments(spark, root)), "id")
     return rounded(j.select("id", F.size(F.filter("token_ids", lambda x: x != 0)).alias("n_ids"),
-                            F.element_at(vector_to_array("features"), 1).alias("total_length_scaled"),
-                            "y", "weight"))
+                            F.element_at("features", 1).alias("total_length_scaled"), "y", "weight"))
 
 
 @register

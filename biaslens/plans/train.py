@@ -1,4 +1,4 @@
-"""Training, scoring and out-of-fold jobs on Spark ML.
+"""Training, scoring and out-of-fold jobs.
 
 The transformer encoder of the modelled pipeline is not rebuilt; the heads
 above it are: a weighted binary logistic head on the hard target and six
@@ -8,9 +8,6 @@ artefact is keyed by ``id`` and aligned by equi-joins, never by row order.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import Interaction, OneHotEncoder, VectorAssembler, VectorSizeHint
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +16,8 @@ from ..functions import nn
 from ..operators import features as feat
 from ..operators import order
 from ..session import cut_lineage
+from . import irls
+from .irls import Head
 
 
 def feature_table(comments: DataFrame, cfg: BiasConfig = DEFAULT, keep=()) -> DataFrame:
@@ -29,149 +28,65 @@ def feature_table(comments: DataFrame, cfg: BiasConfig = DEFAULT, keep=()) -> Da
 
 
 def assemble_table(features: DataFrame, cfg: BiasConfig = DEFAULT, fit_on=None, keep=()) -> DataFrame:
-    """(id, *keep, features vector, y, weight, aux_*) from a materialised
+    """(id, *keep, features array<double>, y, weight, aux_*) from a materialised
     ``feature_table``: the scaler is fitted on the rows where ``fit_on``
     holds (all rows when None) and applied to every row."""
     fit_rows = features if fit_on is None else features.where(fit_on)
     scaled = feat.scale_apply(features, feat.scale_fit(fit_rows), dtype="double")
-    vecs = VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol="features",
-                           handleInvalid="keep").transform(scaled)
-    return vecs.select(cfg.id_column, *keep, "features", *feat.target_columns(cfg))
+    return scaled.select(cfg.id_column, *keep, F.array(*FEATURE_COLUMNS).alias("features"), *feat.target_columns(cfg))
 
 
 def training_table(comments: DataFrame, cfg: BiasConfig = DEFAULT) -> DataFrame:
-    """(id, features vector, y, weight, aux_* soft targets), scaler fitted on
+    """(id, features, y, weight, aux_* soft targets), scaler fitted on
     every row. The text pass runs once: fit and transform both read the
     materialised feature table."""
     return assemble_table(cut_lineage(feature_table(comments, cfg)), cfg)
 
 
-# Solver input rows per partition. L-BFGS runs one or two stages per
-# iteration over every partition of its input, so a design split finer than
-# the data needs pays task overhead on every iteration; a large table keeps
-# its partitioning (coalesce never raises the count, and never shuffles).
-SOLVER_ROWS_PER_PARTITION = 500_000
+WIDTH = len(FEATURE_COLUMNS)
 
 
-def solver_input(design: DataFrame, n_rows: int | None = None) -> DataFrame:
-    """``design`` coalesced to about ``SOLVER_ROWS_PER_PARTITION`` rows per
-    partition (one counting job when ``n_rows`` is not given)."""
-    n = design.count() if n_rows is None else n_rows
-    want = max(1, -(-n // SOLVER_ROWS_PER_PARTITION))
-    have = design.rdd.getNumPartitions()
-    return design.coalesce(want) if want < have else design
-
-
-def _lr(max_iter: int, reg: float) -> LogisticRegression:
-    return LogisticRegression(featuresCol="features", labelCol="label", weightCol="w",
-                              standardization=False, maxIter=max_iter, regParam=reg,
-                              family="binomial")
-
-
-def fit_binary(train: DataFrame, max_iter: int = 50, reg: float = 0.0) -> LogisticRegressionModel:
+def fit_binary(train: DataFrame) -> Head:
     """Weighted logistic head on the hard target (weights = sample weights)."""
-    data = train.select("features", F.col("y").cast("double").alias("label"), F.col("weight").alias("w"))
-    return _lr(max_iter, reg).fit(solver_input(data))
-
-
-def soft_rows(train: DataFrame, target: str) -> DataFrame:
-    """Soft label p as two weighted hard rows: (1, p) and (0, 1 - p); the
-    weighted log-loss of these equals the BCE against p."""
-    return soft_rows_by_block(train, [(F.lit(0), target)]).drop("_b")
-
-
-def soft_rows_by_block(df: DataFrame, blocks: list, out: str = "_b") -> DataFrame:
-    """Soft-label rows of several heads in one pass over ``df``.
-
-    ``blocks`` lists (block id column, soft target column); each input row
-    becomes up to two weighted hard rows per pair: (1, p) and (0, 1 - p),
-    tagged with the block id. Null / NaN targets and zero weights are
-    dropped. One scan and one explode replace a union of one branch per head.
-    """
-    entries = []
-    for b, target in blocks:
-        p = F.col(target).cast("double")
-        ok = p.isNotNull() & ~F.isnan(p)
-        for label, w in ((1.0, p), (0.0, F.lit(1.0) - p)):
-            entries.append(F.when(ok & (w > 0), F.struct(b.cast("int").alias(out), F.lit(label).alias("label"),
-                                                            w.alias("w"))))
-    return (df.select("features", F.explode(F.array(*entries)).alias("_r"))
-              .where(F.col("_r").isNotNull())
-              .select("features", f"_r.{out}", "_r.label", "_r.w"))
-
-
-def block_design(df: DataFrame, block: str, n_blocks: int, features: str = "features",
-                 out: str = "design") -> DataFrame:
-    """Sparse block-diagonal design: row in block b gets ``[features, 1]`` in
-    columns ``b*(d+1) .. b*(d+1)+d`` and zeros elsewhere (one-hot(block) x
-    features via ``Interaction``; only the row's own block is stored)."""
-    spark = df.sparkSession
-    ohe = OneHotEncoder(inputCols=[block], outputCols=["_oh"], dropLast=False).fit(
-        spark.range(n_blocks).select(F.col("id").cast("int").alias(block)))
-    sized = VectorSizeHint(inputCol=features, size=len(FEATURE_COLUMNS), handleInvalid="error").transform(df)
-    with_one = VectorAssembler(inputCols=[features, "_one"], outputCol="_xb").transform(
-        sized.withColumn("_one", F.lit(1.0)))
-    return Interaction(inputCols=["_oh", "_xb"], outputCol=out).transform(
-        ohe.transform(with_one.withColumn(block, F.col(block).cast("int"))))
-
-
-def _joint_fit(design: DataFrame, max_iter: int, reg: float):
-    lr = LogisticRegression(featuresCol="design", labelCol="label", weightCol="w", standardization=False,
-                            maxIter=max_iter, regParam=reg, fitIntercept=False, family="binomial")
-    return lr.fit(solver_input(design.select("design", "label", "w"))).coefficients.toArray()
-
-
-def fit_aux(train: DataFrame, cfg: BiasConfig = DEFAULT, max_iter: int = 100,
-            reg: float = 0.0) -> dict[str, "HeadModel"]:
-    """All auxiliary heads in ONE distributed fit.
-
-    Head h's soft rows carry its features (plus a 1 for its own intercept) in
-    block h of a sparse block-diagonal design; with no penalty the log-loss
-    splits into independent per-head terms, so the joint optimum is each
-    head's own fit. Sparse blocks keep the work per pass equal to the
-    separate fits, with one solver run instead of one per head.
-    """
-    heads = list(cfg.aux_columns)
-    d = len(FEATURE_COLUMNS) + 1
-    stacked = soft_rows_by_block(train, [(F.lit(h), f"aux_{a}") for h, a in enumerate(heads)], "head")
-    joint = _joint_fit(block_design(stacked, "head", len(heads)), max_iter, reg)
-    return {a: HeadModel(joint[h * d:(h + 1) * d - 1], joint[(h + 1) * d - 1]) for h, a in enumerate(heads)}
-
-
-class HeadModel:
-    """Coefficients of one logistic head (the transform is a native dot product)."""
+    return irls.fit(train, [irls.Model("binary", "y", "weight")], WIDTH)["binary"]
 
-    def __init__(self, coefficients, intercept):
-        self.coefficients = [float(c) for c in coefficients]
-        self.intercept = float(intercept)
 
-    def margin(self, features_col: str = "features"):
-        """``x . w + b`` unrolled over the (fixed, small) feature width."""
-        x = vector_to_array(features_col)
-        dot = sum((F.element_at(x, i + 1) * F.lit(c) for i, c in enumerate(self.coefficients)), F.lit(0.0))
-        return dot + F.lit(self.intercept)
+def fit_aux(train: DataFrame, cfg: BiasConfig = DEFAULT) -> dict[str, Head]:
+    """The auxiliary heads on their soft targets, all in the same passes."""
+    return irls.fit(train, [irls.Model(a, f"aux_{a}") for a in cfg.aux_columns], WIDTH)
 
 
-def coefficients(model: LogisticRegressionModel, spark, head: str = "binary") -> DataFrame:
+def coefficients(model: Head, spark, head: str = "binary") -> DataFrame:
     """(head, term, coefficient) with the intercept as term ``intercept``."""
-    coefs = model.coefficients
-    coefs = coefs.toArray() if hasattr(coefs, "toArray") else coefs
-    rows = [(head, f, float(c)) for f, c in zip(FEATURE_COLUMNS, coefs)]
-    rows.append((head, "intercept", float(model.intercept)))
+    rows = [(head, f, c) for f, c in zip(FEATURE_COLUMNS, model.coefficients)]
+    rows.append((head, "intercept", model.intercept))
     return spark.createDataFrame(rows, "head string, term string, coefficient double")
 
 
-def score(model: LogisticRegressionModel, table: DataFrame, id_col: str = "id",
-          aux: dict | None = None) -> DataFrame:
+def head_from(coefs: DataFrame, head: str = "binary") -> Head:
+    """A head from its coefficient table (at most 12 rows)."""
+    by_term = {r["term"]: r["coefficient"] for r in coefs.where(F.col("head") == head).collect()}
+    return Head([by_term[f] for f in FEATURE_COLUMNS], by_term["intercept"])
+
+
+def score(model: Head, table: DataFrame, id_col: str = "id", aux: dict | None = None) -> DataFrame:
     """(id, logit, prediction[, aux_logits]): raw margin, sigmoid of it, and
     the raw margins of the auxiliary heads (sigmoid on the binary head only)."""
-    scored = model.transform(table.select(id_col, "features"))
-    logit = vector_to_array("rawPrediction")[1]
-    out = scored.select(id_col, "features", logit.alias("logit"))
-    cols = [id_col, "logit", nn.sigmoid("logit").alias("prediction")]
+    cols = [id_col, model.margin().alias("logit"), nn.sigmoid(model.margin()).alias("prediction")]
     if aux:
-        cols.append(F.array(*[m.margin("features") for m in aux.values()]).alias("aux_logits"))
-    return out.select(*cols)
+        cols.append(F.array(*[m.margin() for m in aux.values()]).alias("aux_logits"))
+    return table.select(*cols)
+
+
+def score_equations(model: Head, table: DataFrame, label: str = "y", weight: str | None = "weight") -> DataFrame:
+    """(term, residual): the weighted score equations ``sum w (y - p) x`` per
+    total weight, which vanish at the fit."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    r = w * (F.col(label).cast("double") - nn.sigmoid(model.margin()))
+    terms = [(f, F.col("features")[i]) for i, f in enumerate(FEATURE_COLUMNS)] + [("intercept", F.lit(1.0))]
+    sums = table.agg(F.sum(w).alias("_w"), *[F.sum(r * x).alias(t) for t, x in terms])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), (F.col(t) / F.col("_w")).alias("residual"))
+                                          for t, _ in terms])))
 
 
 def split_table(comments: DataFrame, cfg: BiasConfig = DEFAULT) -> DataFrame:
@@ -197,61 +112,48 @@ def split_and_train(comments: DataFrame, cfg: BiasConfig = DEFAULT):
     return table, model
 
 
-def fit_binary_folds(table: DataFrame, n_folds: int, fold: str = "fold", max_iter: int = 100,
-                     reg: float = 0.0) -> dict[int, HeadModel]:
-    """The k fold models (each trained on the other folds) in ONE fit.
+def fit_binary_folds(table: DataFrame, n_folds: int, fold: str = "fold") -> dict[int, Head]:
+    """The k fold models, each trained on the other folds, in the same passes."""
+    models = [irls.Model(str(k), "y", "weight", k) for k in range(n_folds)]
+    return {int(k): h for k, h in irls.fit(table, models, WIDTH, fold=fold).items()}
 
-    Every row is copied into the training block of each fold but its own
-    (k - 1 copies), in a sparse block-diagonal design; the weighted log-loss
-    separates by block, so the joint optimum is each fold model's own.
-    """
-    d = len(FEATURE_COLUMNS) + 1
-    others = F.array_remove(F.sequence(F.lit(0), F.lit(n_folds - 1)), F.col(fold))
-    rows = table.select("features", F.col("y").cast("double").alias("label"), F.col("weight").alias("w"),
-                        F.explode(others).alias("_k"))
-    joint = _joint_fit(block_design(rows, "_k", n_folds), max_iter, reg)
-    return {k: HeadModel(joint[k * d:(k + 1) * d - 1], joint[(k + 1) * d - 1]) for k in range(n_folds)}
+
+def fold_table(comments: DataFrame, folds: DataFrame, cfg: BiasConfig = DEFAULT) -> DataFrame:
+    """Training table with the fold of every row; a row without a fold, or a
+    fold row without a comment, fails the job."""
+    return cut_lineage(feat.aligned(training_table(comments, cfg), folds, cfg.id_column))
+
+
+def own_fold(margins: dict, fold: str = "fold"):
+    """The entry of the row's own fold."""
+    out = None
+    for k, m in sorted(margins.items()):
+        out = F.when(F.col(fold) == k, m) if out is None else out.when(F.col(fold) == k, m)
+    return out
 
 
 def out_of_fold(comments: DataFrame, folds: DataFrame, n_folds: int, cfg: BiasConfig = DEFAULT):
-    """Fit the k fold models jointly, score every row with its own fold's
-    model in one pass. Returns (OOF (id, fold, logit, prediction), models,
-    training table)."""
-    table = cut_lineage(training_table(comments, cfg).join(folds, cfg.id_column))
+    """Fit the k fold models, score every row with its own fold's model in one
+    pass. Returns (OOF (id, fold, logit, prediction), models, training table)."""
+    table = fold_table(comments, folds, cfg)
     models = fit_binary_folds(table, n_folds)
-    margin = None
-    for k, m in models.items():
-        margin = (F.when(F.col("fold") == k, m.margin()) if margin is None
-                  else margin.when(F.col("fold") == k, m.margin()))
-    oof = table.select(cfg.id_column, "fold", margin.alias("logit")).withColumn(
-        "prediction", nn.sigmoid("logit"))
-    return oof, models, table
+    oof = table.select(cfg.id_column, "fold", own_fold({k: m.margin() for k, m in models.items()}).alias("logit"))
+    return oof.withColumn("prediction", nn.sigmoid("logit")), models, table
 
 
-def score_all_folds(table: DataFrame, models: dict[int, HeadModel], id_col: str = "id") -> DataFrame:
+def score_all_folds(table: DataFrame, models: dict[int, Head], id_col: str = "id") -> DataFrame:
     """(fold, id, prediction): every fold model scores every row, in one pass."""
     margins = F.array(*[models[k].margin() for k in sorted(models)])
     return table.select(id_col, F.posexplode(margins).alias("fold", "logit")).select(
         "fold", id_col, nn.sigmoid("logit").alias("prediction"))
 
 
-def out_of_fold_aux(table: DataFrame, n_folds: int, cfg: BiasConfig = DEFAULT, max_iter: int = 100) -> DataFrame:
+def out_of_fold_aux(table: DataFrame, n_folds: int, cfg: BiasConfig = DEFAULT) -> DataFrame:
     """(id, fold, aux_logits): for every fold, the six auxiliary heads trained
     on the other folds score the held-out fold (raw logits, as the modelled
-    OOF files keep them). All folds x heads are ONE sparse block fit (block =
-    fold * heads + head), then one scoring pass."""
+    OOF files keep them). All folds x heads share the passes of one fit."""
     heads = list(cfg.aux_columns)
-    d = len(FEATURE_COLUMNS) + 1
-    others = F.array_remove(F.sequence(F.lit(0), F.lit(n_folds - 1)), F.col("fold"))
-    # each row trains the heads of every fold but its own: explode the other
-    # folds, then every head's soft rows in one pass
-    base = table.select("features", *[f"aux_{a}" for a in heads], F.explode(others).alias("_k"))
-    stacked = soft_rows_by_block(base, [(F.col("_k") * len(heads) + h, f"aux_{a}") for h, a in enumerate(heads)])
-    joint = _joint_fit(block_design(stacked, "_b", n_folds * len(heads)), max_iter, 0.0)
-    arr = None
-    for k in range(n_folds):
-        ms = [HeadModel(joint[b * d:(b + 1) * d - 1], joint[(b + 1) * d - 1])
-              for b in range(k * len(heads), (k + 1) * len(heads))]
-        a_k = F.array(*[m.margin() for m in ms])
-        arr = F.when(F.col("fold") == k, a_k) if arr is None else arr.when(F.col("fold") == k, a_k)
-    return table.select(cfg.id_column, "fold", arr.alias("aux_logits"))
+    fitted = irls.fit(table, [irls.Model(f"{k}/{a}", f"aux_{a}", None, k) for k in range(n_folds) for a in heads],
+                      WIDTH, fold="fold")
+    arrays = {k: F.array(*[fitted[f"{k}/{a}"].margin() for a in heads]) for k in range(n_folds)}
+    return table.select(cfg.id_column, "fold", own_fold(arrays).alias("aux_logits"))

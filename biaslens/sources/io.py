@@ -32,27 +32,50 @@ def comment_schema(columns=COMMENT_COLUMNS) -> T.StructType:
     return T.StructType(fields)
 
 
-def read_comments_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Scan a comment CSV with pandas' missing-value rules.
+def _raw_csv(spark: SparkSession, path: str, mode: str) -> DataFrame:
+    return (spark.read.option("header", True).option("multiLine", True)
+            .option("escape", '"').option("quote", '"').option("mode", mode)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .csv(path))
+
+
+def read_comments_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                      strict: bool = True) -> DataFrame:
+    """Scan a comment CSV by its header names, with pandas' missing-value rules.
 
     Quoted newlines (``multiLine``) and doubled quotes (``escape='"'``) are
     read as text; every NA token becomes null *before* typing, so a text
-    cell ``NA`` is missing (as pandas has it) and numeric cells never fail to
-    parse. Only the named columns are read.
+    cell ``NA`` is missing (as pandas has it). Columns are found by name in
+    whatever order the file has them; others are ignored, a missing one is an
+    error. A row with too many or too few cells and a number that is none fail
+    the job; with ``strict=False`` they become nulls, and ``bad_cells`` counts
+    them.
+
+    A multi-line CSV file is one task, whatever its size: split large files,
+    or convert them to Parquet once.
     """
     schema = schema or comment_schema()
-    raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("escape", '"').option("quote", '"').option("mode", "PERMISSIVE")
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .schema(T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields]))
-           .csv(path))
+    raw = _raw_csv(spark, path, "FAILFAST" if strict else "PERMISSIVE")
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
     cols = []
     for f in schema.fields:
-        c = F.when(F.col(f.name).isin(*NA_TOKENS), F.lit(None)).otherwise(F.col(f.name))
-        cols.append((c if isinstance(f.dataType, T.StringType) else c.try_cast(f.dataType)).alias(f.name))
+        c = F.when(~F.col(f"`{f.name}`").isin(*NA_TOKENS), F.col(f"`{f.name}`"))
+        typed = c if isinstance(f.dataType, T.StringType) else c.cast(f.dataType) if strict else c.try_cast(f.dataType)
+        cols.append(typed.alias(f.name))
     return raw.select(*cols)
 
 
+def bad_cells(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """One row: per typed column, the cells that are neither missing nor of its type."""
+    schema = schema or comment_schema()
+    raw = _raw_csv(spark, path, "PERMISSIVE")
+    return raw.agg(*[F.count_if(~F.col(f"`{f.name}`").isin(*NA_TOKENS) & F.col(f"`{f.name}`").try_cast(f.dataType).isNull())
+                     .alias(f.name) for f in schema.fields
+                     if f.name in raw.columns and not isinstance(f.dataType, T.StringType)])
+
+
 def write_comments_csv(df: DataFrame, path: str) -> None:
     # The CSV writer trims blanks by default; comments keep them.
     (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quote", '"')

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..config import AUX_COLUMNS, IDENTITY_COLUMNS
+from ..config import AUX_COLUMNS, DEFAULT, IDENTITY_COLUMNS, BiasConfig
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -21,11 +22,8 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     cluster can run at once (e.g. one large row group), so text work is not
     single-threaded. A large table already has more splits and is returned
     unchanged (no shuffle). Hash partitioning keeps retries deterministic."""
-    try:
-        n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()   # planning only, no job
-    except Exception:  # noqa: BLE001 - sessions without an RDD view keep the scan as is
-        return df
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()   # planning only, no job
     return df.repartition(n, key) if splits < n else df
 
 
@@ -67,3 +65,10 @@ def comments(spark: SparkSession, root: str) -> DataFrame:
     """The labelled comment table derived from ``documents`` (column-pruned lazily)."""
     docs = spread(read_table(spark, root, "documents").select("doc_id", "text"), "doc_id")
     return spark.sql(comments_sql("{documents}"), documents=docs)
+
+
+def linear_logits(cfg: BiasConfig = DEFAULT):
+    """Stand-in model output of a derived comment row: binary logit
+    ``8*(score - 0.5)``, aux logits ``4*(aux - 0.5)``."""
+    first = (F.col(cfg.score_column) - F.lit(0.5)) * F.lit(8.0)
+    return F.array(first, *[(F.coalesce(F.col(c), F.lit(0.5)) - F.lit(0.5)) * F.lit(4.0) for c in cfg.aux_columns])

@@ -168,12 +168,85 @@ def test_independent_of_shuffle_partitions(spark):
     assert a == b
 
 
-def test_large_vocabulary_shuffle_join_same_ids(spark, monkeypatch):
+def test_whole_vocabulary_and_shuffle_join(spark):
     df = spark.createDataFrame([(1, "a b c a"), (2, "c zz"), (3, "")], "id long, comment_text string")
     toks = df.select("id", enc.tokenize("comment_text").alias("tokens"))
+    assert {r.token: r.token_id for r in enc.build_vocab(toks).collect()} == {"a": 4, "c": 5, "b": 6, "zz": 7}
     vocab = enc.build_vocab(toks, size=2)
     a = sorted(enc.encode_tokens(toks, vocab, max_len=8).collect())
-    monkeypatch.setattr(enc, "BROADCAST_VOCAB_ROWS", 0)
-    b = sorted(enc.encode_tokens(toks, vocab, max_len=8).collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = sorted(enc.encode_tokens(toks, vocab, max_len=8).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert a == b
     assert a[0]["token_ids"] == [2, 4, 1, 5, 4, 3, 0, 0]   # a -> 4, c -> 5, b unknown
+
+
+def test_csv_columns_by_name_and_bad_cells(spark, tmp_path):
+    from biaslens.sources import io
+    sch = io.comment_schema(("id", "comment_text", "target"))
+    good = tmp_path / "good.csv"
+    good.write_text("x,target,comment_text,id\n9,0.5,hi,1\n8,NA,there,2\n")
+    rows = sorted(tuple(r) for r in io.read_comments_csv(spark, str(good), sch).collect())
+    assert rows == [(1, "hi", 0.5), (2, "there", None)]
+    with pytest.raises(ValueError, match="no column severe_toxicity"):
+        io.read_comments_csv(spark, str(good), io.comment_schema(("id", "severe_toxicity")))
+    bad = tmp_path / "bad.csv"
+    bad.write_text("id,target,comment_text\nx3,abc,t\n4,0.1,u\n")
+    with pytest.raises(Exception):
+        io.read_comments_csv(spark, str(bad), sch).collect()
+    assert sorted((tuple(r) for r in io.read_comments_csv(spark, str(bad), sch, strict=False).collect()), key=repr) == [
+        (4, "u", 0.1), (None, "t", None)]
+    assert io.bad_cells(spark, str(bad), sch).first().asDict() == {"id": 1, "target": 1}
+    ragged = tmp_path / "ragged.csv"
+    ragged.write_text("id,target,comment_text\n1,0.1,a,b\n")
+    with pytest.raises(Exception):
+        io.read_comments_csv(spark, str(ragged), sch).collect()
+
+
+def test_null_scores_leave_their_sets_without_auc(spark):
+    ids = {g: None for g in IDENTITY_COLUMNS}
+    rows = [_row(i, float(i % 2), i / 20, {**ids, "male": 1.0 if i < 8 else None, "female": 1.0 if i >= 8 else None})
+            for i in range(20)]
+    df = table(spark, rows).withColumn("prediction", F.when(F.col("id") != 3, F.col("prediction")))
+    b = {r["subgroup"]: r for r in auc.bias_metrics(df).collect()}
+    assert b["male"]["subgroup_size"] == 8 and b["__all__"]["subgroup_size"] == 20
+    assert b["male"]["subgroup_auc"] is None and b["__all__"]["subgroup_auc"] is None
+    # row 3 is a positive of "male": in no set of "female" but its BPSN background
+    assert b["female"]["subgroup_auc"] is not None and b["female"]["bpsn_auc"] is None
+    assert b["female"]["bnsp_auc"] is not None and b["male"]["bpsn_auc"] is not None
+
+
+def test_empty_subgroup_with_by_equals_without(spark):
+    rows = [_row(i, float(i % 3 == 0), i / 30, {**{g: float(i % 2) for g in IDENTITY_COLUMNS}, "male": float(i % 2) if i >= 15 else None})
+            for i in range(30)]
+    df = table(spark, rows).withColumn("epoch", (F.col("id") >= 15).cast("int"))
+    together = auc.bias_metrics(df, by=["epoch"])
+    for e in (0, 1):
+        apart = sorted((tuple(r) for r in auc.bias_metrics(df.where(F.col("epoch") == e)).collect()), key=repr)
+        assert sorted((tuple(r)[1:] for r in together.where(F.col("epoch") == e).collect()), key=repr) == apart
+    final = {r.epoch: r.final_metric for r in auc.final_metric(together, by=["epoch"]).collect()}
+    assert final[0] is None and final[1] is not None
+
+
+def test_alignment_fails_on_lone_ids(spark):
+    from biaslens.operators import features as feat
+    a = spark.createDataFrame([(1, "x"), (None, "n")], "id long, l string")
+    b = spark.createDataFrame([(1, "y"), (None, "m")], "id long, r string")
+    assert sorted((tuple(r) for r in feat.aligned(a, b, "id").collect()), key=repr) == [(1, "x", "y"), (None, "n", "m")]
+    for other in ([(1, "y")], [(1, "y"), (None, "m"), (2, "z")]):
+        with pytest.raises(Exception, match="without a partner"):
+            feat.aligned(a, spark.createDataFrame(other, "id long, r string"), "id").collect()
+
+
+def test_given_criterion_replaces_the_loss(spark):
+    from biaslens.operators import loss
+    df = spark.createDataFrame([(0, [0.5, 1.0], 1.0, 2.0, [0.25])], "batch int, logits array<double>, y double, weight double, "
+                               "aux_targets array<double>")
+    def squares(ob, tb, w, oa, ta):
+        return w * (ob - tb) * (ob - tb), F.aggregate(F.zip_with(oa, ta, lambda x, t: (x - t) * (x - t)), F.lit(0.0), lambda s, x: s + x)
+    r = loss.batch_losses(df, criterion=squares).first()
+    x0, x1 = r["bin_loss"], r["aux_loss"]
+    assert r["loss"] == pytest.approx(0.5 * x0 + 0.5 * x1) and x1 >= 0 and x0 >= 0

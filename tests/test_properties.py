@@ -1,16 +1,18 @@
-"""Property tests: AUC against pairwise brute force on random tables, and the
-joint block fit against separate fits on a well-conditioned problem."""
+"""Property tests: AUC against pairwise brute force on random tables, and fits
+against a NumPy Newton iteration."""
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import functions as F
 
+from biaslens.config import DEFAULT
 from biaslens.operators import auc
-from biaslens.plans import train
+from biaslens.plans import irls, train
+from biaslens.sources.tables import comments
+from conftest import SF001
 
 
 def brute(ys, ss):
@@ -45,56 +47,54 @@ def test_auc_brute_force(spark, rows, rpb):
     assert (got_bp is None and exp_bp is None) or got_bp == pytest.approx(exp_bp, abs=1e-12)
 
 
-def test_joint_block_fit_equals_separate_fits(spark):
-    rnd = random.Random(1)
-    rows = []
-    for i in range(3000):
-        x1, x2 = rnd.gauss(0, 1), rnd.gauss(0, 1)
-        b = i % 3
-        z = [0.5 + x1 - x2, -1.0 + 2 * x2, 0.3 * x1][b]
-        p = 1 / (1 + 2.718281828 ** -z)
-        rows.append((b, x1, x2, 1.0 if rnd.random() < p else 0.0, 0.5 + rnd.random()))
-    df = spark.createDataFrame(rows, "blk int, x1 double, x2 double, label double, w double")
-    # the design helper expects the meta-feature width: pad with zero columns
-    from biaslens.config import FEATURE_COLUMNS
-    extra = {f"z{j}": F.lit(0.0) for j in range(len(FEATURE_COLUMNS) - 2)}
-    df = df.withColumns(extra)
-    df = VectorAssembler(inputCols=["x1", "x2", *extra], outputCol="features").transform(df)
-    joint = train._joint_fit(train.block_design(df, "blk", 3), 200, 0.0)
-    d = len(FEATURE_COLUMNS) + 1
-    from pyspark.ml.classification import LogisticRegression
-    for b in range(3):
-        part = df.where(F.col("blk") == b)
-        m = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", standardization=False,
-                               maxIter=200, tol=1e-10).fit(part)
-        sep = list(m.coefficients.toArray()[:2]) + [m.intercept]
-        got = list(joint[b * d:b * d + 2]) + [joint[(b + 1) * d - 1]]
-        assert got == pytest.approx(sep, abs=1e-3)
-
-
-def test_soft_rows_by_block_matches_per_head_expansion(spark):
-    from pyspark.ml.linalg import Vectors, VectorUDT
-    from pyspark.sql import types as T
-    vals = [(0, 0.3, None), (1, 1.0, 0.0), (2, float("nan"), 0.25), (3, 0.0, 1.0)]
-    df = spark.createDataFrame([(i, Vectors.dense([float(i)]), a, b) for i, a, b in vals],
-                               T.StructType([T.StructField("id", T.IntegerType()),
-                                             T.StructField("features", VectorUDT()),
-                                             T.StructField("a", T.DoubleType()),
-                                             T.StructField("b", T.DoubleType())]))
-    got = sorted((int(r.features[0]), r._b, r.label, r.w) for r in
-                 train.soft_rows_by_block(df, [(F.lit(0), "a"), (F.lit(1), "b")]).collect())
-    want = []
-    for i, *ps in vals:
-        for blk, p in enumerate(ps):
-            if p is None or p != p:
-                continue
-            want += [(i, blk, lab, w) for lab, w in ((1.0, p), (0.0, 1.0 - p)) if w > 0]
-    assert got == sorted(want)
-    single = sorted((int(r.features[0]), r.label, r.w) for r in train.soft_rows(df, "a").collect())
-    assert single == sorted((i, lab, w) for i, _, lab, w in want if _ == 0)
-
-
-def test_solver_input_never_raises_partition_count(spark):
-    df = spark.range(1000).repartition(6)
-    assert train.solver_input(df).rdd.getNumPartitions() == 1
-    assert train.solver_input(df, n_rows=10 ** 9).rdd.getNumPartitions() == 6
+def newton(x, y, w):
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    b = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ b))
+        step = np.linalg.lstsq((x * (w * p * (1 - p))[:, None]).T @ x, x.T @ (w * (y - p)), rcond=1e-13)[0]
+        b = b + step
+        if np.abs(step).max() < 1e-12:
+            break
+    return b
+
+
+def test_fits_equal_newton_on_the_real_features(spark):
+    """The binary head, an aux head and every fold model, to 1e-6."""
+    from biaslens.operators import order
+    c = comments(spark, SF001)
+    table = train.fold_table(c, order.assign_folds(c.select("id"), "id", 3, 7)).cache()
+    rows = table.collect()
+    x, y = np.array([r.features for r in rows]), np.array([float(r.y) for r in rows])
+    w, fold = np.array([r.weight for r in rows]), np.array([r.fold for r in rows])
+    near = lambda head, want: np.abs(np.array([*head.coefficients, head.intercept]) - want).max() < 1e-6 * (1 + np.abs(want).max())
+    assert near(train.fit_binary(table), newton(x, y, w))
+    aux = np.array([r.aux_obscene for r in rows])
+    assert near(train.fit_aux(table)["obscene"], newton(x, aux, np.ones(len(y))))
+    for k, head in train.fit_binary_folds(table, 3).items():
+        use = fold != k
+        assert near(head, newton(x[use], y[use], w[use]))
+    logits = {r.id: r.aux_logits for r in train.out_of_fold_aux(table, 3).collect()}
+    at = DEFAULT.aux_columns.index("obscene")
+    for k in range(3):
+        b = newton(x[fold != k], aux[fold != k], np.ones((fold != k).sum()))
+        for r in [r for r in rows if r.fold == k][:20]:
+            assert logits[r.id][at] == pytest.approx(np.dot(r.features, b[:-1]) + b[-1], abs=1e-5)
+
+
+def test_null_labels_are_left_out_and_counted(spark):
+    rnd = random.Random(3)
+    rows = [(i, [rnd.gauss(0, 1), rnd.gauss(0, 1)], rnd.choice([None, float("nan"), 0.2, 0.9, 0.5])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, p double")
+    head = irls.fit(df, [irls.Model("p", "p")], 2)["p"]
+    use = [(f, p) for _, f, p in rows if p is not None and p == p]
+    want = newton(np.array([f for f, _ in use]), np.array([p for _, p in use]), np.ones(len(use)))
+    assert head.n_rows == len(use) and [*head.coefficients, head.intercept] == pytest.approx(want, abs=1e-8)
+
+
+def test_a_fit_without_an_optimum_raises(spark):
+    df = spark.createDataFrame([(i, [float(i)], float(i > 5)) for i in range(12)], "id long, features array<double>, y double")
+    with pytest.raises(irls.NotConverged):
+        irls.fit(df, [irls.Model("y", "y")], 1, max_iter=12)
+    with pytest.raises(irls.NotConverged, match="no rows"):
+        irls.fit(df.where("id < 0"), [irls.Model("y", "y")], 1)
