@@ -65,7 +65,14 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch_path = path
+    return back
+
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes the files of a ``written`` table that nothing reads any more."""
+    delete(df.sparkSession, df._scratch_path)
 
 
 def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -17,7 +17,8 @@ those that occur in enough of its lists.
 4. Lists whose classes are all in one component are done. For the others each
    class searches the lists of its shingles for classes of other components
    (DivideSkip: short lists are merged by a heap that skips, long ones are
-   probed by bisection), and whatever occurs often enough is compared exactly.
+   probed by bisection). What occurs often enough is compared exactly: first
+   the likeliest partner in each component, in the last round all that are left.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import Marks, bits_for, marks_of
-from .common import whole, workers_can_import, written
+from .common import drop_written, whole, workers_can_import, written
 from .graph import connected_components
 from .wordhash import runs, word_hashes
 
@@ -101,7 +102,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             if part.any():
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64())]
-                    + [pa.array([b], pa.int32()), pa.array([part.astype(np.uint32).tobytes()], pa.binary())],
+                    + [pa.array([b], pa.int32()), pa.array([np.minimum(part, 0xFFFF).astype(np.uint16).tobytes()], pa.binary())],
                     schema=schema)
 
     return docs.mapInArrow(scan, "_id long, n long, digest binary, th long, block int, counts binary")
@@ -124,7 +125,7 @@ def _frequency_classes(sketch: DataFrame) -> np.ndarray:
                     if total is not None:
                         yield done()
                     total, at = np.zeros(SKETCH_BLOCK, dtype=np.uint64), b
-                total += np.frombuffer(c.as_py(), dtype=np.uint32)
+                total += np.frombuffer(c.as_py(), dtype=np.uint16)
         if total is not None:
             yield done()
 
@@ -235,9 +236,10 @@ def divide_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (short[i][at[i]], i))
 
 
-def _searched(lists: DataFrame, percent: int) -> DataFrame:
+def _searched(lists: DataFrame, percent: int, first: bool) -> DataFrame:
     """Candidate pairs (a, b) of ``lists`` (token, node, n, rank): partners in
-    components of higher rank that occur in enough lists of a class."""
+    components of higher rank that occur in enough lists of a class; with
+    ``first`` only the one that occurs most often of each component."""
     spark = lists.sparkSession
     longest = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
     parts = max(1, -(-longest // LIST_PART))
@@ -256,12 +258,14 @@ def _searched(lists: DataFrame, percent: int) -> DataFrame:
         for (a, _), group in groupby(_rows(batches), key=lambda r: r[0]):
             group = list(group)
             n, size, component = group[0][1]
-            found, sizes = [], set()
+            found, sizes, home = [], set(), {}
             for _, _, (node, m, s, c) in group:
                 keep = ((s > size) | ((s == size) & (c > component))) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
                 if keep.any():
                     found.append((node[keep], m[keep]))
                     sizes.update(np.unique(m[keep]).tolist())
+                    if first:
+                        home.update(zip(node[keep].tolist(), c[keep].tolist()))
             if not found:
                 continue
             met = {m: least_met(n, m, percent) for m in sizes}
@@ -271,7 +275,14 @@ def _searched(lists: DataFrame, percent: int) -> DataFrame:
             hits = list(divide_skip([f[0].tolist() for f in found], need))
             if hits:
                 size_of = dict(zip(np.concatenate([f[0] for f in found]).tolist(), np.concatenate([f[1] for f in found]).tolist()))
-                hits = [b for b, count in hits if count >= met[size_of[b]]]
+                hits = [(b, count) for b, count in hits if count >= met[size_of[b]]]
+                if first:
+                    most: dict = {}
+                    for b, count in hits:
+                        if most.get(home[b], (0, 0))[1] < count:
+                            most[home[b]] = (b, count)
+                    hits = list(most.values())
+                hits = [b for b, _ in hits]
                 yield pa.record_batch([pa.array([a] * len(hits), pa.int64()), pa.array(hits, pa.int64())],
                                       names=["a", "b"])
 
@@ -317,14 +328,17 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     the components of all links."""
     scanned = written(_sets(docs, k), "shingles")
     levels = _frequency_classes(scanned.where("block is not null").select("block", "counts"))
-    rows = scanned.where("block is null").select("_id", "n", "digest", "th")
+    rows = written(scanned.where("block is null").select("_id", "n", "digest", "th"), "documents")
+    drop_written(scanned)
     one = _prefixes(docs, k, percent, levels).groupBy("digest").agg(
         F.first("n").alias("n"), F.min("th").alias("th"), F.first("prefix").alias("prefix"))
-    classes = written(one.withColumn("node", F.monotonically_increasing_id()), "classes")
+    prefixes = written(one.withColumn("node", F.monotonically_increasing_id()), "prefixes")
+    classes = written(prefixes.drop("prefix"), "classes")
 
-    tokens = classes.select(F.explode("prefix").alias("token"))
+    tokens = prefixes.select(F.explode("prefix").alias("token"))
     shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "tokens")
-    met = written(_postings(classes, shared).join(shared, "token"), "postings")
+    met = written(_postings(prefixes, shared).join(shared, "token"), "postings")
+    drop_written(prefixes)
     needed = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 50)
     enough = met.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= needed).select("node")
     lists = written(met.join(enough, "node"), "lists")
@@ -345,15 +359,23 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
         found = _verified(pairs, sets, percent)
         links = found if links is None else links.union(found)
 
+    # the likeliest partner in each other component first: most components join
+    # there, and members of one component need no comparing
+    for first in (True, False):
+        more = written(_searched(_placed(lists, links), percent, first).distinct(), "pairs")
+        links = links.union(_verified(more, sets, percent))
+    return rows, classes, links
+
+
+def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """``lists`` with the rank of each class's component: its size, then its name."""
     grouped = connected_components(links)
     sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     ranked = grouped.join(sizes, "component").select(
         F.col("id").alias("node"), F.struct("size", "component").alias("rank"))
     alone = F.struct(F.lit(1).cast("long").alias("size"), F.col("node").alias("component"))
-    placed = written(lists.join(ranked, "node", "left").select(
+    return written(lists.join(ranked, "node", "left").select(
         "token", "node", "n", F.coalesce("rank", alone).alias("rank")), "placed")
-    more = written(_searched(placed, percent).distinct(), "pairs")
-    return rows, classes, links.union(_verified(more, sets, percent))
 
 
 def _grouped(df: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
