@@ -64,15 +64,18 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     later uses read fixed files, also after executors were lost."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back
 
 
 def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a ``written`` table that nothing reads any more."""
+    """Deletes the files of a ``written`` table that nothing reads any more, and
+    lets Spark's cleaner find the shuffles that led to it (it acts when the
+    driver collects garbage)."""
     delete(df.sparkSession, df._scratch_path)
+    df.sparkSession._jvm.System.gc()
 
 
 def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

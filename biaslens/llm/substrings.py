@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import Marks, bits_for, marks_of
-from .common import whole, workers_can_import, written
+from .common import drop_written, whole, workers_can_import, written
 from .wordhash import remixed, runs, word_hashes
 
 HOT_SHARE = 1000              # hot: more than 1/1000 of all super-k-mers ...
@@ -175,11 +175,15 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hot = [int(np.int64(r["h"]).view(np.uint64)) for r in
            repeated.where(F.col("n") > max(hot_least, total // HOT_SHARE)).select("h").collect()]
     strings = written(_strings(docs, window, minimiser, bits, marks_of(repeated, "h", bits), hot), "super-kmers")
+    drop_written(repeated)
     found = _repeated(strings, window)
     spans = strings.select("_key", "start", "digest").join(found, "digest").select(
         "_key", (F.col("start") + F.col("lo")).alias("from"),
         (F.col("start") + F.col("hi") + window).alias("to")).distinct()
-    return spans.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
+    covered = written(spans.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans")),
+                      "spans")
+    drop_written(strings)
+    return covered
 
 
 def document_key(doc_id: str, text: str):
@@ -200,10 +204,17 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     are replaced, all others kept.
     """
     results = ("n_words", "n_removed", "kept_text")
-    rest = [c for c in df.columns if c.lower() not in results]
+    rest = [F.col("_row").getField(c).alias(c) for c in df.columns if c.lower() not in results]
+    return _cleaned(df, doc_id, text, window, minimiser, hot_least).select(*rest, "_out.*")
+
+
+def _cleaned(df: DataFrame, doc_id: str, text: str, window: int = 35, minimiser: int = 8,
+             hot_least: int = HOT_LEAST) -> DataFrame:
+    """(_row, _out): the whole row, and its counts and kept text. The text
+    travels once, inside the row."""
     spans = repeated_passages(df, doc_id, text, window, minimiser, hot_least)
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"),
-                    document_key(doc_id, text).alias("_key"), whole(F.col(f"`{text}`")).cast("binary").alias("_text"))
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+                    document_key(doc_id, text).alias("_key"))
 
     @F.arrow_udf("n_words long, n_removed long, kept_text string")
     def remove(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -211,20 +222,19 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             out = []
             for t, s in zip(text, spans):
                 words, s = t.as_py().split(), s.as_py()
+                kept = words
                 if s:
                     keep = np.ones(len(words), dtype=bool)
                     for span in s:
                         keep[span["from"]:span["to"]] = False
                     kept = [w for w, k in zip(words, keep.tolist()) if k]
-                else:
-                    kept = words
                 out.append({"n_words": len(words), "n_removed": len(words) - len(kept),
                             "kept_text": b" ".join(kept).decode("utf-8", errors="replace")})
             yield pa.array(out, type=pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()),
                                                 ("kept_text", pa.string())]))
 
-    cleaned = row.join(spans, "_key", "left").select("_row", remove("_text", "spans").alias("_out"))
-    return cleaned.select("_row.*", "_out.*")
+    body = whole(F.col("_row").getField(text)).cast("binary")
+    return row.join(spans, "_key", "left").select("_row", remove(body, F.col("spans")).alias("_out"))
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars",
@@ -232,12 +242,10 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_ch
     """The documents in the columns of ``df``, repeated words removed. A text
     without repeats stays as it is, white space included; one that loses all
     its words becomes empty. ``n_chars`` (if there) counts the new text."""
-    columns = df.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
-    done = without_repeats(df.select(row, F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_t")),
-                           "_id", "_t", **settings)
-    new = {text: F.when(F.col("n_removed") == 0, F.col("_row").getField(text)).otherwise(F.col("kept_text"))}
-    if n_chars in columns:
-        new[n_chars] = F.when(F.col("n_removed") == 0, F.col("_row").getField(n_chars)).otherwise(
-            F.length("kept_text")).cast(df.schema[n_chars].dataType)
-    return done.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in columns])
+    done = _cleaned(df, doc_id, text, **settings)
+    same = F.col("_out.n_removed") == 0
+    new = {text: F.when(same, F.col("_row").getField(text)).otherwise(F.col("_out.kept_text"))}
+    if n_chars in df.columns:
+        new[n_chars] = F.when(same, F.col("_row").getField(n_chars)).otherwise(
+            F.length("_out.kept_text")).cast(df.schema[n_chars].dataType)
+    return done.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in df.columns])
