@@ -340,8 +340,10 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     met = written(_postings(prefixes, shared).join(shared, "token"), "postings")
     drop_written(prefixes)
     needed = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 50)
+    drop_written(shared)
     enough = met.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= needed).select("node")
     lists = written(met.join(enough, "node"), "lists")
+    drop_written(met)
 
     sets = _full_sets(docs, classes.select("node", "digest", "th").join(
         lists.select("node").distinct(), "node"), k)
@@ -362,8 +364,11 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     # the likeliest partner in each other component first: most components join
     # there, and members of one component need no comparing
     for first in (True, False):
-        more = written(_searched(_placed(lists, links), percent, first).distinct(), "pairs")
+        placed = _placed(lists, links)
+        more = written(_searched(placed, percent, first).distinct(), "pairs")
+        drop_written(placed)
         links = links.union(_verified(more, sets, percent))
+    drop_written(sets)
     return rows, classes, links
 
 
