@@ -142,7 +142,7 @@ class Trainer:
         self.rng = np.random.default_rng([s.seed, seed])
         self.cumulated = np.cumsum(model.frequency)
         self.log_noise = np.log(s.noise * model.frequency).astype(np.float32)
-        self.squares = [np.full_like(x, 1e-3) for x in (model.r, model.q, model.c, model.b)]
+        self.squares = [np.full_like(x, 1e-9) for x in (model.r, model.q, model.c, model.b)]
         self.tokens = 0
 
     def learn(self, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> None:
