@@ -71,6 +71,34 @@ def test_passes_grow_with_the_logarithm():
     assert 5 < few < many < 120
 
 
+def dense_rows(n=1500, dense=700, dim=24, seed=5):
+    """A group of distinct near copies (pairwise cosine above 0.95) among others."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim))
+    x[:dense] = rng.standard_normal(dim) + rng.standard_normal((dense, dim)) * 0.13
+    return x
+
+
+def test_partition_borders_change_nothing(spark):
+    x = dense_rows()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    degree = ((u @ u.T) >= 0.95).sum(axis=1) - 1
+    assert degree[:700].mean() > 600
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    results = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in ("1", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            results.append({r.vec_id: tuple(r) for r in vectors.near_duplicates(df.repartition(int(parts)), window=16).collect()})
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert results[0] == results[1]
+    assert sum(r[1] for r in results[0].values()) >= 0.999 * degree.sum()
+
+
 # --- chat ------------------------------------------------------------------
 
 @given(st.text(alphabet="<|\\>imend_startsep\n é", max_size=40))
