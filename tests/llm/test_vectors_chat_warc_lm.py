@@ -99,6 +99,41 @@ def test_partition_borders_change_nothing(spark):
     assert sum(r[1] for r in results[0].values()) >= 0.999 * degree.sum()
 
 
+def test_crowded_cone_gets_more_passes(frame):
+    """A third of the rows at pairwise cosine 0.87, in it 100 pairs at 0.952: too
+    few links for a search that widens only where blocks link."""
+    rng = np.random.default_rng(8)
+    n, cone, pairs, dim = 30000, 10000, 100, 64
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    e = rng.standard_normal((cone, dim))
+    e[:, 0] = 0
+    e = unit(e)
+    old, new = e[:2 * pairs:2], e[1:2 * pairs:2]
+    new = unit(new - (new * old).sum(axis=1, keepdims=True) * old)
+    e[1:2 * pairs:2] = 0.631 * old + math.sqrt(1 - 0.631 ** 2) * new
+    x = rng.standard_normal((n, dim))
+    x[:cone] = math.sqrt(0.13) * e
+    x[:cone, 0] = math.sqrt(0.87)
+    rows = vectors.near_duplicates(frame("vec_id long, embedding array<double>", [(i, v.tolist()) for i, v in enumerate(x)])).collect()
+    lowest = {r.vec_id: r.component_id for r in rows}
+    assert sum(lowest[i] == lowest[i + 1] for i in range(0, 2 * pairs, 2)) >= 0.997 * pairs
+
+
+def test_missing_a_partner_is_estimated_rightly():
+    rng = np.random.default_rng(2)
+    u = rng.standard_normal((20000, 24))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = rng.standard_normal(u.shape)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    v = 0.95 * u + math.sqrt(1 - 0.95 ** 2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    planes = vectors.hyperplanes(24, 0, 11)
+    same = ((u @ planes >= 0) == (v @ planes >= 0))[:, :7].all(axis=1).mean()
+    assert abs(1 - np.exp(vectors._missed(u, planes, np.full(len(u), 7), 0.95)).mean() - same) < 0.03
+
+
 # --- chat ------------------------------------------------------------------
 
 @given(st.text(alphabet="<|\\>imend_startsep\n é", max_size=40))
