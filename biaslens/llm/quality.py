@@ -23,6 +23,10 @@ BOILERPLATE = (
     "click here", "read more", "sign up", "sign in", "log in", "subscribe to", "share this",
     "powered by", "copyright ©", "(c) copyright", "skip to content", "back to top",
 )
+# Those of them, of two words each, that are everyday prose as well: they count
+# only where they make up more than half of the line's words.
+EVERYDAY_WORDS = 2
+EVERYDAY = ("click here", "read more", "sign up", "sign in", "log in", "subscribe to", "share this", "powered by")
 
 
 @dataclass(frozen=True)
@@ -50,6 +54,19 @@ def word_count(line: Column) -> Column:
     return F.size(F.split(F.btrim(line, F.lit(SPACES)), SPACE))
 
 
+def _whole_phrases(phrases: tuple[str, ...]) -> str:
+    """Any of the phrases, not as parts of longer words."""
+    def bordered(p: str) -> str:
+        left = r"(?<![\p{L}\p{N}_])" if p[0].isalnum() else ""
+        right = r"(?![\p{L}\p{N}_])" if p[-1].isalnum() else ""
+        return left + p.replace("(", r"\(").replace(")", r"\)") + right
+    return "(?i)" + "|".join(map(bordered, phrases))
+
+
+FURNITURE_PHRASES = _whole_phrases(tuple(p for p in BOILERPLATE if p not in EVERYDAY))
+EVERYDAY_PHRASES = _whole_phrases(EVERYDAY)
+
+
 def symbol_count(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
 
@@ -57,14 +74,14 @@ def symbol_count(text: Column) -> Column:
 def line_fails(line: Column, rules: LineRules) -> Column:
     """Whether a line with at least one word fails a rule. Cheap tests come
     first: the counting patterns run only on lines with such a mark."""
-    phrases = "(?i)" + "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE)
     return _let(word_count(line), lambda n: (
         (line.rlike(ANY_MARK)
          & ((symbol_count(line) > rules.max_symbol_share * n)
             | (F.regexp_count(line, F.lit(DOUBLED)) > rules.max_doubled_share * n)
             | (F.regexp_count(line, F.lit(SEPARATOR)) > rules.max_separator_share * n)))
         | ((n <= rules.unfinished_words) & ~line.rlike(CLOSED))
-        | ((n <= rules.boilerplate_words) & line.rlike(phrases))))
+        | ((n <= rules.boilerplate_words)
+           & (line.rlike(FURNITURE_PHRASES) | (2 * EVERYDAY_WORDS * F.regexp_count(line, F.lit(EVERYDAY_PHRASES)) > n)))))
 
 
 def repeated_window_words(w: Column) -> Column:

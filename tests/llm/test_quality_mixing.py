@@ -42,6 +42,21 @@ def test_counts_and_verdicts(frame):
         assert not rows[i].kept and not rows[i].base_failed
 
 
+CLEAN = ["They praised a new design in the city.", "He looked up the catalog in the library.", "The news had spread more quickly than that.",
+         "She read more books.", "Many readers subscribe to this view of history.", "The old mill was powered by water.",
+         "Every guest has to sign in at the desk.", "The terms of users differ from year to year.", "He wanted to share this thought with friends."]
+FURNITURE = ["All rights reserved.", "Sign in or sign up!", "Click here to read more.", "Read our Privacy Policy and the terms of use.",
+             "Copyright ©2020 by the owners of this page.", "(C) Copyright by the owners of this page.", "Powered by WordPress."]
+
+
+def test_phrases_in_clean_sentences(frame):
+    texts = ["\n".join([*CLEAN, PROSE]), "\n".join(CLEAN), "\n".join([PROSE, *FURNITURE])]
+    rows = {r.doc_id: r for r in quality.quality(frame("doc_id long, text string", list(enumerate(texts)))).collect()}
+    for i in (0, 1):
+        assert rows[i].n_lost == 0 and rows[i].kept and rows[i].clean_text == texts[i]
+    assert rows[2].clean_text == PROSE
+
+
 def test_random_repeats(frame):
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abcde") * rng.randint(1, 2) for _ in range(rng.randint(0, 120))) for _ in range(200)]
