@@ -111,3 +111,31 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLDED = f"translate({_TEXT}, '{_UPPER}', '{_LOWER}')"
+
+SQL["op12_exact_dedup"] = f"""
+WITH d AS (SELECT doc_id, {_FOLDED} AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
+FROM d JOIN g USING (t)
+"""
+
+_TERMS = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SQL["op13_ranked_search"] = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+d1 AS (SELECT doc_id, terms, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d1),
+tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf
+       FROM (SELECT doc_id, n, unnest(terms) AS term FROM d1) GROUP BY doc_id, n, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM tf, s GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+scored AS (SELECT item_id, doc_id,
+      sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+   FROM q JOIN w USING (term) JOIN tf USING (term), s GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+      FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""

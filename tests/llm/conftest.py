@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+from tables import DOCS
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 
@@ -14,9 +16,6 @@ def frame(spark):
     return make
 
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-
-
 @pytest.fixture(scope="session")
 def empty_docs(spark):
     return spark.createDataFrame([], DOCS)

@@ -5,7 +5,7 @@ import plain
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest import DOCS
+from tables import DOCS
 
 import corpus_pipeline
 from biaslens.llm import bpe, mixing, quality

@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import plain
 import pytest
-from conftest import DOCS
+from tables import DOCS
 from pyspark.sql import functions as F
 
 from biaslens.llm import mixing, quality

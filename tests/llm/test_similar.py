@@ -2,7 +2,7 @@ import random
 
 import plain
 import pytest
-from conftest import DOCS
+from tables import DOCS
 
 from biaslens.llm import jaccard, substrings
 from biaslens.llm.graph import connected_components
