@@ -157,7 +157,7 @@ def test_auc_matches_pairwise_brute_force_and_properties(spark):
 
 def test_independent_of_shuffle_partitions(spark):
     from biaslens.sources.tables import comments
-    from conftest import SF001
+    from paths import SF001
     c = comments(spark, SF001)
     a = sorted(auc.bias_metrics(c).collect())
     spark.conf.set("spark.sql.shuffle.partitions", "3")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from biaslens.operators import auc, features as feat
 from biaslens.sources.tables import comments
-from conftest import SF001, SF01
+from paths import SF001, SF01
 
 GOLD = {
     SF001: dict(rows=200, pos=50, hist={0.25: 47, 0.5: 22, 0.75: 131}, lw=1.6528925619834711,

@@ -12,7 +12,7 @@ from biaslens.plans import jobs
 from biaslens.sources import io
 from biaslens.sources.tables import comments
 from biaslens.streaming import features as sf
-from conftest import SF001
+from paths import SF001
 
 
 def test_job_verbs(spark, tmp_path):

@@ -3,7 +3,7 @@ the rest at least run."""
 
 import pytest
 
-from conftest import SF001
+from paths import SF001
 from oracle_check import compare
 
 SLOW = {"train_aux", "oof_union", "submission_folds", "oof_aux"}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from biaslens.operators import auc, features as feat
 from biaslens.sources.tables import comments, read_table
-from conftest import SF001
+from paths import SF001
 
 
 def plan(df):

@@ -12,7 +12,7 @@ from biaslens.config import DEFAULT
 from biaslens.operators import auc
 from biaslens.plans import irls, train
 from biaslens.sources.tables import comments
-from conftest import SF001
+from paths import SF001
 
 
 def brute(ys, ss):
