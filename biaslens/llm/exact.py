@@ -116,9 +116,9 @@ def _pairs(named: DataFrame) -> DataFrame:
 
 
 def _names(rows: DataFrame) -> DataFrame:
-    """(own, name): all items in sorted order, equal ones under one name. Range
-    partitions keep equal items together; a name is the number of its
-    partition, then its rank there (from 1, so 0 is no name)."""
+    """(own, name): the items of each range sorted, equal ones under one name.
+    Ranges keep equal items together; a name is the number of its range, then
+    its rank there (from 1, so 0 is no name)."""
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, last = TaskContext.get().partitionId() << 36, None
         for batch in batches:
@@ -130,8 +130,11 @@ def _names(rows: DataFrame) -> DataFrame:
                 names.append(name)
             yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(names, pa.int64())], names=["own", "name"])
 
+    # the ranges go by the start of an item and a hash, so that the sample which
+    # Spark draws for them holds no whole blocks
     items = rows.where("item is not null").select("own", "item")
-    return items.repartitionByRange("item").sortWithinPartitions("item").mapInArrow(rank, "own long, name long")
+    ranges = items.repartitionByRange(F.substring("item", 1, 16), F.xxhash64("item"))
+    return ranges.sortWithinPartitions("item").mapInArrow(rank, "own long, name long")
 
 
 def identities(docs: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -174,8 +177,8 @@ def exact_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("_id"),
                      whole(F.col(f"`{text}`")).cast("binary").alias("_text"))
     members = identities(docs, block)
-    groups = members.groupBy("round", "name").agg(
-        F.max(F.struct("doc_id", "row")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(members.groupBy("round", "name").agg(
+        F.max(F.struct("doc_id", "row")).alias("stays"), F.count(F.lit(1)).alias("group_size")), "groups")
     met = members.join(groups, ["round", "name"])
     return met.select(F.col("doc_id").alias(doc_id), F.col("stays.doc_id").alias("keep_id"), "group_size",
                       (F.col("row") == F.col("stays.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
