@@ -7,7 +7,9 @@ first. A pre-token that is itself in the vocabulary is one token.
 
 Arrow batches are worked off in chunks: parts of texts that the worker does not
 hold yet are split into pre-tokens and merged by the library, and a text's ids
-are those of its parts in turn. No shuffle.
+are those of its parts in turn. Ids, character offsets and decoded bytes come
+from one Python evaluation, chunk by chunk, so neither the tables that a worker
+holds nor what it sends back at once follows the batch. No shuffle.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from . import bytelevel as bl
 from .common import whole, workers_can_import
 
-KEPT_PARTS = 350_000
-KEPT_PIECES = 100_000
+KEPT_BYTES = 80 << 20   # parts and pre-tokens that a worker remembers, about
+ENTRY_BYTES = 220       # of a remembered entry besides its text and ids
 
 _workers: dict = {}
 
@@ -61,26 +63,36 @@ class Encoder:
 
     Holds the ids (as packed int32) of merged pre-tokens and of space-started
     parts of texts, so that a frequent part costs one look-up. Both tables are
-    emptied when full; results don't depend on it.
+    emptied when they hold ``KEPT_BYTES``; results don't depend on it.
     """
 
     def __init__(self, tokenizer_json: str, odd: str, ranks: dict[bytes, int]):
         self.model = Tokenizer.from_str(tokenizer_json).model
         self.pieces = bl.Pieces(odd)
         self.whole = {t: r.to_bytes(4, sys.byteorder) for t, r in ranks.items()}
+        self.sizes = np.zeros(max(ranks.values(), default=-1) + 1, dtype=np.int64)
+        for t, r in ranks.items():
+            self.sizes[r] = len(t)
         self.merged: dict[bytes, bytes] = {}
-        self.known = bl.Parts(self._plain)
+        self.known = bl.Parts(self._part)
+        self.held = 0
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8")
         ids = self.whole.get(raw) or self.merged.get(raw)
         if ids is None:
             ids = self.merged[raw] = array("i", [t.id for t in self.model.tokenize(bl.mapped(piece))]).tobytes()
+            self.held += len(raw) + len(ids) + ENTRY_BYTES
         return ids
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.pieces(text)))
 
+    def _part(self, text: str) -> bytes:
+        ids = self._plain(text)
+        self.held += 2 * len(text) + len(ids) + ENTRY_BYTES
+        return ids
+
     def _text(self, text: str) -> bytes:
         head, rest = bl.units(text)
         if rest and (not head or head[-1].isspace()):
@@ -92,30 +104,31 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for part in bl.chunks(texts):
-            if len(self.known) > KEPT_PARTS:
-                self.known.clear()
-            if len(self.merged) > KEPT_PIECES:
-                self.merged.clear()
             for t in part:
+                if self.held > KEPT_BYTES:
+                    self.known.clear()
+                    self.merged.clear()
+                    self.held = 0
                 yield np.frombuffer(self._text(t), dtype=np.int32)
 
-    def encode_with_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, (n, 2) character spans). A token's printable characters are its
-        bytes, so spans are counted in bytes and mapped to characters; all
-        tokens of a character that is cut over several tokens span it."""
-        ids, sizes = [], []
-        for p in self.pieces(text):
-            for t in self.model.tokenize(bl.mapped(p)):
-                ids.append(t.id)
-                sizes.append(len(t.value))
+    def spans(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """(n, 2) character spans of the ids of ``text``. A token's printable
+        characters are its bytes, so spans are counted in bytes and mapped to
+        characters; all tokens of a character that is cut over several tokens
+        span it."""
         raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
         character = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
-        ends = np.cumsum(np.array(sizes, dtype=np.int64))
+        ends = np.cumsum(self.sizes[ids])
         spans = np.empty((len(ids), 2), dtype=np.int32)
-        if ids:
+        if len(ids):
             spans[:, 0] = character[np.concatenate([[0], ends[:-1]])]
             spans[:, 1] = character[ends - 1] + 1
-        return np.array(ids, dtype=np.int32), spans
+        return spans
+
+    def encode_with_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, (n, 2) character spans)."""
+        (ids,) = self.encode([text])
+        return ids, self.spans(text, ids)
 
 
 class Decoder:
@@ -163,11 +176,37 @@ class Codec:
         def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = _workers.get(key) or _workers.setdefault(key, Encoder(*shared.value, ranks.value))
             for texts in batches:
-                found = list(encoder.encode(texts.to_pylist()))
-                yield _lists(found)
+                for chunk in bl.chunks(t.as_py() for t in texts):
+                    yield _lists(list(encoder.encode(chunk)))
+                if not len(texts):
+                    yield _lists([])
 
         return ids(whole(text))
 
+    def round_trip(self, text: str | Column, offsets: bool = False) -> Column:
+        """struct<ids, decoded[, starts, ends]> in one evaluation: the ids, the
+        bytes that they decode to, and the characters that each covers."""
+        shared, ranks, path = self._model, self._ranks, self.path
+        fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+        if offsets:
+            fields += [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("starts", "ends")]
+        names = [f.name for f in fields]
+
+        @F.arrow_udf(T.StructType(fields))
+        def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            encoder = _workers.get(("ids", path)) or _workers.setdefault(("ids", path), Encoder(*shared.value, ranks.value))
+            decoder = _workers.get(("bytes", path)) or _workers.setdefault(("bytes", path), Decoder(ranks.value))
+            for texts in batches:
+                for chunk in bl.chunks(t.as_py() for t in texts) if len(texts) else [[]]:
+                    found = list(encoder.encode(chunk))
+                    columns = [_lists(found), pa.array([decoder.bytes(i.tolist()) for i in found], pa.binary())]
+                    if offsets:
+                        spans = [encoder.spans(t, i) for t, i in zip(chunk, found)]
+                        columns += [_lists([s[:, k] for s in spans]) for k in (0, 1)]
+                    yield pa.StructArray.from_arrays(columns, names)
+
+        return coded(whole(text))
+
     def encode_with_offsets(self, text: str | Column) -> Column:
         """struct<ids, starts, ends>: ids and the characters that each covers."""
         shared, ranks, key = self._model, self._ranks, ("ids", self.path)
@@ -204,15 +243,22 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, type=pa.int32()))
 
 
-def encoded(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``df`` with ``ids`` (array<int>) and ``decoded`` (binary, from the ids).
+def encoded(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded",
+            offsets: tuple[str, str] | None = None) -> DataFrame:
+    """``df`` with ``ids`` (array<int>) and ``decoded`` (binary, from the ids);
+    with ``offsets``, two more columns of these names: the first character that
+    each token covers, and the one behind its last.
 
     One output row per input row, repeated rows included. Null or empty text:
-    no ids, no bytes. Input columns of these two names are replaced, all others
-    kept.
+    no ids, no bytes. A very long text is encoded whole. Input columns of the
+    new names (case ignored) are replaced, all others kept. An empty table
+    stays empty.
     """
     codec = Codec(df.sparkSession, ranks_path)
-    names = {ids.lower(), decoded.lower()}
-    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
-    return df.select(*keep, codec.encode(text).alias(ids)).select(
-        "*", codec.decode(ids).alias(decoded))
+    new = {"ids": ids, "decoded": decoded, **(dict(zip(("starts", "ends"), offsets)) if offsets else {})}
+    names = {n.lower() for n in new.values()}
+    keep = [c for c in df.columns if c.lower() not in names]
+    held = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)],
+                     codec.round_trip(F.col(f"`{text}`"), bool(offsets)).alias("_coded"))
+    return held.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)],
+                       *[F.col(f"_coded.{k}").alias(n) for k, n in new.items()])

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers
@@ -119,6 +120,38 @@ def test_encoded_rows(frame, reference):
         assert r.ids == reference.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
 
 
+def test_one_python_evaluation_gives_ids_bytes_and_offsets(frame, reference):
+    df = frame("doc_id long, text string, Starts string", ROWS)
+    out = bpe.encoded(df, RANKS, offsets=("starts", "ends"))
+    assert out.columns == ["doc_id", "text", "ids", "decoded", "starts", "ends"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    for r in out.collect():
+        raw = [reference.decode_single_token_bytes(i) for i in r.ids]
+        assert b"".join(raw) == bytes(r.decoded) == (r.text or "").encode()
+        assert all(t in r.text[a:b].encode() for t, a, b in zip(raw, r.starts, r.ends))
+
+
+def test_a_forgetful_encoder_gives_the_same(encoder, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 500)
+    for text, ids in zip(fuzz(300, 5), encoder.encode(fuzz(300, 5))):
+        assert list(ids) == reference.encode_ordinary(text)
+    assert encoder.held < 20_000
+
+
+def test_registered_queries_equal_the_libraries(spark, reference):
+    from biaslens.llm import queries
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    library = Tokenizer.from_file(VOCABULARY)
+    for r in queries.op1_token_counts(spark, "/root/testdata/sf0.001").collect():
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
+    for r in queries.op7_byte_bpe(spark, "/root/testdata/sf0.001").collect():
+        ids = reference.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_offsets_column_and_null_ids(spark, frame):
     codec = bpe.Codec(spark, RANKS)
     (row,) = frame("text string", [("héé",)]).select(codec.encode_with_offsets("text").alias("e")).collect()
