@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 
 @dataclass(frozen=True)
 class Model:
@@ -93,6 +95,7 @@ def fit(table: DataFrame, models: list[Model], width: int, features: str = "feat
         tolerance: float = 1e-10, max_iter: int = 60) -> dict[str, Head]:
     """Heads of all ``models`` over ``table`` (``features``: array<double> of
     ``width``). Steps that raise a model's loss are halved."""
+    ship_package(table.sparkSession)
     beta = {m.name: np.zeros(width + 1) for m in models}
     step = {m.name: np.zeros(width + 1) for m in models}
     best = {m.name: np.inf for m in models}

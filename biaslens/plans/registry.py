@@ -551,6 +551,9 @@ def scoring_valid(spark: SparkSession, root: str) -> DataFrame:
 
 # --- sources, sinks, streaming ----------------------------------------------
 
+CSV_RANGE = 1 << 20  # several ranges a file, whatever the size of the tables
+
+
 @register
 def scan_comments(spark: SparkSession, root: str) -> DataFrame:
     """Comment table written as CSV (quoted, escaped, multi-line; columns in
@@ -560,7 +563,7 @@ def scan_comments(spark: SparkSession, root: str) -> DataFrame:
     c = comments(spark, root)
     shuffled = [*reversed(DEFAULT.identity_columns), "prediction", "comment_text", *DEFAULT.aux_columns, "id"]
     io.write_comments_csv(c.select(F.lit("extra, cell").alias("note"), *shuffled), path)
-    back = io.read_comments_csv(spark, path)
+    back = io.read_comments_csv(spark, path, range_bytes=CSV_RANGE)
     return rounded(back.select("id", "comment_text", "target", *DEFAULT.identity_columns))
 
 

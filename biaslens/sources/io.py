@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..config import AUX_COLUMNS, IDENTITY_COLUMNS
 from ..session import ensure_checkpoint_dir
+from . import csv_ranges
 
 # The strings a default pandas CSV read turns into missing
 # values (the empty string first).
@@ -32,31 +33,23 @@ def comment_schema(columns=COMMENT_COLUMNS) -> T.StructType:
     return T.StructType(fields)
 
 
-def _raw_csv(spark: SparkSession, path: str, mode: str) -> DataFrame:
-    return (spark.read.option("header", True).option("multiLine", True)
-            .option("escape", '"').option("quote", '"').option("mode", mode)
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .csv(path))
-
-
 def read_comments_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                      strict: bool = True) -> DataFrame:
+                      strict: bool = True, range_bytes: int | None = None) -> DataFrame:
     """Scan a comment CSV by its header names, with pandas' missing-value rules.
 
-    Quoted newlines (``multiLine``) and doubled quotes (``escape='"'``) are
-    read as text; every NA token becomes null *before* typing, so a text
-    cell ``NA`` is missing (as pandas has it). Columns are found by name in
-    whatever order the file has them; others are ignored, a missing one is an
-    error. A row with too many or too few cells and a number that is none fail
-    the job; with ``strict=False`` they become nulls, and ``bad_cells`` counts
-    them.
+    Quoted line breaks and doubled quotes are read as text; every NA token
+    becomes null *before* typing, so a text cell ``NA`` is missing (as pandas
+    has it). Columns are found by name in whatever order each file has them;
+    others are ignored, a missing one is an error. A row with too many or too
+    few cells and a number that is none fail the job; with ``strict=False`` they
+    become nulls, and ``bad_cells`` counts them.
 
-    A multi-line CSV file is one task, whatever its size: split large files,
-    or convert them to Parquet once.
+    Large files are cut into byte ranges (``csv_ranges``), also inside quoted
+    cells, so one file keeps as many tasks busy as its size asks for.
     """
     schema = schema or comment_schema()
-    raw = _raw_csv(spark, path, "FAILFAST" if strict else "PERMISSIVE")
-    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    raw, header = csv_ranges.scan(spark, path, schema.fieldNames(), range_bytes, strict)
+    missing = [f.name for f in schema.fields if f.name not in header]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
     cols = []
@@ -70,10 +63,10 @@ def read_comments_csv(spark: SparkSession, path: str, schema: T.StructType | Non
 def bad_cells(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """One row: per typed column, the cells that are neither missing nor of its type."""
     schema = schema or comment_schema()
-    raw = _raw_csv(spark, path, "PERMISSIVE")
+    raw, header = csv_ranges.scan(spark, path, schema.fieldNames(), strict=False)
     return raw.agg(*[F.count_if(~F.col(f"`{f.name}`").isin(*NA_TOKENS) & F.col(f"`{f.name}`").try_cast(f.dataType).isNull())
                      .alias(f.name) for f in schema.fields
-                     if f.name in raw.columns and not isinstance(f.dataType, T.StringType)])
+                     if f.name in header and not isinstance(f.dataType, T.StringType)])
 
 
 def write_comments_csv(df: DataFrame, path: str) -> None:
