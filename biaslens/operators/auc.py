@@ -145,12 +145,12 @@ def auc(df: DataFrame, label: str, score: str, threshold: float = 0.5,
 
 
 def scoring_valid(predictions: DataFrame, identities: DataFrame, cfg: BiasConfig = DEFAULT,
-                  score: str = "prediction", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET):
+                  score: str = "prediction", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, null_keys: bool = True):
     """Validation score: predictions ``(id, score)`` joined on ``id`` with the
     identity/target table, then bias table and final metric. An id that only
     one side has is an error, as unequal lengths are in the modelled code.
     Returns (bias_table, final_row)."""
     frame = aligned(identities.select(cfg.id_column, cfg.toxicity_column, *cfg.identity_columns),
-                    predictions.select(cfg.id_column, F.col(score).alias("_score")), cfg.id_column)
+                    predictions.select(cfg.id_column, F.col(score).alias("_score")), cfg.id_column, null_keys)
     bias = bias_metrics(frame, cfg, score="_score", rows_per_bucket=rows_per_bucket)
     return bias, final_metric(bias, cfg)

@@ -6,11 +6,9 @@ non-blank character as a token of its own. The vocabulary is a table
 (token, token_id, n); ids 0..3 are reserved (pad, unknown, start, end).
 
 Scale notes: the vocabulary holds every token unless the caller passes a
-``size``; its ids come from bucketed row numbers. It is joined as Spark sees
-fit (broadcast only within its byte threshold; else a shuffle join, whose hot
-tokens AQE splits). Sequences are cut to the kept positions *before*
-exploding, so the regroup shuffle carries at most ``max_len`` entries per
-comment whatever the text length.
+``size``; its ids come from bucketed row numbers. Sequences are cut to the kept
+positions first, and looked up as ``lookup`` describes: frequent tokens in each
+task, each other token once per bundle of comments.
 """
 
 from __future__ import annotations
@@ -21,6 +19,7 @@ from pyspark.sql import functions as F
 from ..config import CLS_ID, PAD_ID, SEP_ID, UNK_ID
 from ..functions.text import coerce_text
 from ..session import cut_lineage
+from .lookup import lookup_ids
 from .order import DEFAULT_ROWS_PER_BUCKET, range_bucket, row_numbers
 
 _WS = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -68,20 +67,8 @@ def keep_head_tail(tokens: Column, m: int) -> Column:
                   F.concat(F.slice(tokens, 1, head), F.slice(tokens, -tail, tail))).otherwise(tokens)
 
 
-def lookup_ids(df: DataFrame, key: str, kept: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
-    """Replace the token array ``kept`` by vocabulary ids (unknown -> UNK),
-    keeping positions. Comments without tokens get an empty array."""
-    exploded = df.select(key, F.posexplode_outer(kept).alias("pos", "token"))
-    v = vocab.select("token", "token_id")
-    looked = exploded.join(v, "token", "left")
-    entry = F.when(F.col("pos").isNotNull(),
-                   F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
-    grouped = looked.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-    return grouped.select(key, F.col("_e.id").alias(out))
-
-
-def _zeros(n: Column) -> Column:
-    return F.array_repeat(F.lit(PAD_ID), F.greatest(n, F.lit(0)))
+def _zeros(n: Column, pad: int = PAD_ID) -> Column:
+    return F.array_repeat(F.lit(pad), F.greatest(n, F.lit(0)))
 
 
 def encode(df: DataFrame, vocab: DataFrame, key: str = "id", text: str = "comment_text",
@@ -103,17 +90,23 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str = "id", tokens: str
     m = max_len - 2
     toks = F.col(tokens)
     kept = keep_head_tail(toks, m) if mode == "head_tail" else keep_head(toks, m)
-    base = df.select(key, kept.alias("_kept"))
-    ids = lookup_ids(base, key, "_kept", vocab, "_ids")
+    ids = lookup_ids(df.select(key, kept.alias("_kept")), key, "_kept", vocab, "_ids")
+    return padded(ids, key, max_len, mode)
+
+
+def padded(df: DataFrame, key: str, max_len: int, mode: str, start: int = CLS_ID, end: int = SEP_ID,
+           pad: int = PAD_ID) -> DataFrame:
+    """(key, token_ids[, pad_mask]): the kept ids ``_ids`` in a layout of ``encode``."""
+    m = max_len - 2
     n = F.size("_ids")
     if mode == "plain":
-        seq = F.concat(F.col("_ids"), _zeros(F.lit(m) - n))
+        seq = F.concat(F.col("_ids"), _zeros(F.lit(m) - n, pad))
     else:
-        seq = F.concat(F.array(F.lit(CLS_ID)), F.col("_ids"), F.array(F.lit(SEP_ID)), _zeros(F.lit(m) - n))
+        seq = F.concat(F.array(F.lit(start)), F.col("_ids"), F.array(F.lit(end)), _zeros(F.lit(m) - n, pad))
     cols = [key, seq.alias("token_ids")]
     if mode == "head_tail":
         cols.append(F.concat(F.array_repeat(F.lit(0), n), F.array_repeat(F.lit(1), F.lit(m) - n)).alias("pad_mask"))
-    return ids.select(*cols)
+    return df.select(*cols)
 
 
 def attention_mask(ids) -> Column:

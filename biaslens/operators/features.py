@@ -100,13 +100,17 @@ def alignment(left: DataFrame, right: DataFrame, left_key: str, right_key: str |
                  F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("matched"))
 
 
-def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def aligned(left: DataFrame, right: DataFrame, key: str, null_keys: bool = True) -> DataFrame:
     """Rows of two keyed artefacts side by side. A key that one side lacks
     fails the job: nothing is dropped in silence. A null key matches a null
-    key; each side's keys are expected to be unique."""
+    key; each side's keys are expected to be unique.
+
+    Without ``null_keys`` a null key is one without a partner, and the join is
+    on the plain key, so bucketed artefacts meet where they lie."""
     a = left.withColumn("_in_left", F.lit(True))
     b = right.withColumnRenamed(key, "_right_key").withColumn("_in_right", F.lit(True))
-    j = a.join(b, a[key].eqNullSafe(b["_right_key"]), "full_outer")
+    same = a[key].eqNullSafe(b["_right_key"]) if null_keys else a[key] == b["_right_key"]
+    j = a.join(b, same, "full_outer")
     ok = F.col("_in_left").isNotNull() & F.col("_in_right").isNotNull()
     wrong = F.raise_error(F.concat(F.lit(f"{key} without a partner: "),
                                    F.coalesce(F.col(key).cast("string"), F.col("_right_key").cast("string"), F.lit("null"))))

@@ -44,6 +44,49 @@ def pool_last_k(df: DataFrame, keys: list[str], order: str, vec: str, k: int = 4
     return pool(top, keys, vec, "mean", out)
 
 
+def _masked(hidden: Column, mask: Column | None) -> Column:
+    """The vectors of a row's positions, without those that are null or whose
+    mask is not 1."""
+    if mask is None:
+        return F.filter(hidden, lambda v: v.isNotNull())
+    both = F.arrays_zip(hidden.alias("v"), mask.alias("m"))
+    return F.transform(F.filter(both, lambda p: p["v"].isNotNull() & (p["m"] == 1)), lambda p: p["v"])
+
+
+def _folded(rows: Column, merge) -> Column:
+    """One vector: ``merge`` of the rows' vectors, element by element."""
+    first = F.transform(F.element_at(rows, 1), lambda x: x.cast("double"))
+    return F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), first,
+                       lambda acc, v: F.zip_with(acc, v, lambda a, b: merge(a, b.cast("double"))))
+
+
+def pool_positions(hidden, mask=None, how: str = "mean", last: int | None = None) -> Column:
+    """array<double>: element-wise ``mean`` or ``max`` over the positions of one
+    row's ``array<array<float|double>>`` (a sequence of hidden vectors).
+
+    ``mask`` (1: a real position) leaves the others out; without it all count,
+    padding too, as the modelled heads have it. ``last`` keeps only the last so
+    many of what counts. A row without such a position gives null. One native
+    expression: nothing is exploded, grouped or shuffled.
+    """
+    rows = _masked(_c(hidden), None if mask is None else _c(mask))
+    if last is not None:
+        rows = F.slice(rows, F.greatest(F.size(rows) - last + 1, F.lit(1)), last)
+    if how == "max":
+        pooled = _folded(rows, lambda a, b: F.greatest(a, b))
+    elif how == "mean":
+        pooled = F.transform(_folded(rows, lambda a, b: a + b), lambda x: x / F.size(rows))
+    else:
+        raise ValueError(f"no such pooling: {how}")
+    return F.when(F.size(rows) > 0, pooled)
+
+
+def positions_of(vec, width: int) -> Column:
+    """A flat vector as array<array>: one entry of ``width`` numbers per position."""
+    vec = _c(vec)
+    return F.transform(F.sequence(F.lit(0), (F.size(vec) / width).cast("int") - 1), lambda i: F.slice(vec, i * width + 1, width))
+
+
 def assemble(*cols) -> Column:
     """Concatenate vectors / scalar columns into one ``array<double>``."""
     parts = []

@@ -271,6 +271,65 @@ def encode_plain() -> str:
 SELECT id, ids || {_zeros(f'{m} - len(ids)')} AS token_ids FROM enc"""
 
 
+def _word_list(text: str) -> str:
+    """Words of a text for the subword encoder: control characters go, accents
+    go, ideographs and punctuation stand apart."""
+    clean = rf"regexp_replace({text}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}\x{{FFFD}}]|\p{{Cf}}|\p{{Co}}', '', 'g')"
+    apart = r"([!-/:-@\[-`{-~]|\p{P}|[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}])"
+    spaced = rf"regexp_replace(strip_accents(lower({clean})), '{apart}', ' \1 ', 'g')"
+    return rf"list_filter(regexp_split_to_array({spaced}, '[\s\p{{Z}}]+'), lambda x: x <> '')"
+
+
+def _wordpiece(kept: str) -> str:
+    """enc(id, ids): greedy longest match by recursion over each distinct word."""
+    return f"""{comments_cte()},
+bw AS (SELECT DISTINCT unnest({_word_list("coalesce(text, 'nan')")}) AS w FROM benchmark),
+pieces AS (SELECT DISTINCT p FROM (
+   SELECT w AS p FROM bw UNION ALL SELECT left(w, 1) FROM bw UNION ALL SELECT left(w, 2) FROM bw
+   UNION ALL SELECT '##' || right(w, k::BIGINT) FROM bw, range(1, 5) t(k))),
+voc AS (SELECT p, CAST(3 + row_number() OVER (ORDER BY p) AS INTEGER) AS tid FROM pieces),
+docs AS (SELECT id, {_word_list("coalesce(comment_text, 'nan')")} AS ws FROM c),
+w AS (SELECT DISTINCT unnest(ws) AS w FROM docs),
+cut AS (SELECT w, s, l, CASE WHEN s = 1 THEN '' ELSE '##' END || substr(w, s, l) AS p
+        FROM w, range(1, 101) a(s), range(1, (SELECT max(length(p)) + 1 FROM voc)) b(l)
+        WHERE length(w) <= 100 AND s + l <= length(w) + 1),
+best AS (SELECT w, s, max(l) AS l, arg_max(tid, l) AS tid FROM cut JOIN voc USING (p) GROUP BY w, s),
+walk AS (SELECT w, 1 AS s, []::INTEGER[] AS ids FROM w
+         UNION ALL SELECT walk.w, walk.s + best.l, walk.ids || [best.tid] FROM walk JOIN best ON best.w = walk.w AND best.s = walk.s),
+whole AS (SELECT w, ids FROM walk WHERE s = length(w) + 1),
+wid AS (SELECT w.w, coalesce(whole.ids, [1]) AS ids FROM w LEFT JOIN whole USING (w)),
+ex AS (SELECT id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM docs),
+got AS (SELECT id, flatten(list(wid.ids ORDER BY pos)) AS toks FROM ex JOIN wid USING (w) GROUP BY id),
+every AS (SELECT docs.id, coalesce(got.toks, []::INTEGER[]) AS toks FROM docs LEFT JOIN got USING (id)),
+enc AS (SELECT id, {kept} AS ids FROM every)"""
+
+
+def encode_wordpiece() -> str:
+    m = MAX_LEN - 2
+    return f"""WITH RECURSIVE {_wordpiece(f'toks[1:{m}]')}
+SELECT id, [2] || ids || [3] || {_zeros(f'{m} - len(ids)')} AS token_ids FROM enc"""
+
+
+def encode_wordpiece_head_tail() -> str:
+    m = MAX_LEN - 2
+    h = m // 3
+    kept = f"CASE WHEN len(toks) > {m} THEN toks[1:{h}] || toks[len(toks) - {m - h} + 1:] ELSE toks END"
+    return f"""WITH RECURSIVE {_wordpiece(kept)}
+SELECT id, [2] || ids || [3] || {_zeros(f'{m} - len(ids)')} AS token_ids,
+       {_zeros('len(ids)', 0)} || {_zeros(f'{m} - len(ids)', 1)} AS pad_mask FROM enc"""
+
+
+def pool_positions() -> str:
+    """By an unnest of every position and element, grouped back per element."""
+    return f"""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+n AS (SELECT vec_id, i // 8 AS p, i % 8 AS d, x FROM x),
+g AS (SELECT vec_id, d, round(avg(x), {R}) AS a, round(max(x), {R}) AS b,
+   round(avg(x) FILTER (p <= vec_id % 8), {R}) AS am, round(max(x) FILTER (p <= vec_id % 8), {R}) AS bm,
+   round(avg(x) FILTER (p <= vec_id % 8 AND p > vec_id % 8 - 4), {R}) AS al FROM n GROUP BY vec_id, d)
+SELECT vec_id, list(a ORDER BY d) AS mean_all, list(b ORDER BY d) AS max_all, list(am ORDER BY d) AS mean_masked,
+       list(bm ORDER BY d) AS max_masked, list(al ORDER BY d) AS last_mean FROM g GROUP BY vec_id"""
+
+
 def attention_mask() -> str:
     m = MAX_LEN - 2
     return f"""WITH {_encoded(f'toks[1:{m}]')},
@@ -345,6 +404,15 @@ SELECT id, CAST(batch AS BIGINT) AS batch, CASE WHEN mx > 2 THEN s[1:mx] ELSE s
        CAST(mx AS INTEGER) AS batch_max_len FROM m"""
 
 
+def score_planned_batches() -> str:
+    return f"""WITH {_head_seq_cte()},
+b AS (SELECT id, s, (row_number() OVER (ORDER BY id) - 1) // 32 AS batch,
+             len(list_filter(s, lambda x: x <> 0)) AS nz FROM seq),
+m AS (SELECT *, max(nz) OVER (PARTITION BY batch) AS mx, count(*) OVER (PARTITION BY batch) AS n FROM b)
+SELECT id, CAST(batch AS BIGINT) AS batch,
+       round(list_sum(s)::DOUBLE / (n * CASE WHEN mx > 2 THEN mx ELSE len(s) END), {R}) AS prediction FROM m"""
+
+
 def _log_cte() -> str:
     return """lg AS (SELECT event_id, ts, user_id, event_type, value,
   CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
@@ -656,6 +724,9 @@ ORACLES = {
     "encode_head": encode_head,
     "encode_head_tail": encode_head_tail,
     "encode_plain": encode_plain,
+    "encode_wordpiece": encode_wordpiece,
+    "encode_wordpiece_head_tail": encode_wordpiece_head_tail,
+    "pool_positions": pool_positions,
     "attention_mask": attention_mask,
     "truncation_stats": truncation_stats,
     "split_sizes": split_sizes,
@@ -666,12 +737,15 @@ ORACLES = {
     "fold_members": fold_members,
     "shuffled_batches": shuffled_batches,
     "training_table": training_table,
+    "training_table_bucketed": training_table,
     "score_given": score_given,
     "fit_residuals": fit_residuals,
     "scoring_valid": final_metric,
+    "scoring_valid_bucketed": final_metric,
     "epoch_bias_gaps": epoch_bias_gaps,
     "length_batches": length_batches,
     "trim_batches": trim_batches,
+    "score_planned_batches": score_planned_batches,
     "weighted_avg": weighted_avg,
     "running_avg": running_avg,
     "running_best": running_best,

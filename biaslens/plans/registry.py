@@ -20,6 +20,7 @@ from ..operators import auc as auc_ops
 from ..operators import encode as enc
 from ..operators import features as feat
 from ..operators import loss as loss_ops
+from ..operators import subword
 from ..operators import vectors as vec
 from ..operators import order
 from ..operators import runlog as rl
@@ -193,6 +194,25 @@ def encode_plain(spark: SparkSession, root: str) -> DataFrame:
     return _encoded(spark, root, "plain")
 
 
+def _benchmark_vocabulary(spark: SparkSession, root: str) -> DataFrame:
+    """A finished vocabulary: the words of the benchmark items and their affixes."""
+    items = read_table(spark, root, "benchmark").select("text")
+    found = items.select(F.explode(subword.text_words(items, "text")).alias("word")).distinct()
+    return cut_lineage(subword.affix_vocabulary(found))
+
+
+@register
+def encode_wordpiece(spark: SparkSession, root: str) -> DataFrame:
+    c = comments(spark, root).select("id", "comment_text")
+    return subword.encode_wordpiece(c, _benchmark_vocabulary(spark, root), max_len=DEFAULT.max_sequence_length)
+
+
+@register
+def encode_wordpiece_head_tail(spark: SparkSession, root: str) -> DataFrame:
+    c = comments(spark, root).select("id", "comment_text")
+    return subword.encode_wordpiece(c, _benchmark_vocabulary(spark, root), max_len=DEFAULT.max_sequence_length, mode="head_tail")
+
+
 @register
 def attention_mask(spark: SparkSession, root: str) -> DataFrame:
     e = _encoded(spark, root)
@@ -262,8 +282,19 @@ def length_batches(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def trim_batches(spark: SparkSession, root: str) -> DataFrame:
-    b = order.fixed_batches(_encoded(spark, root), "id", DEFAULT.batch_size).drop("position")
-    return order.trim_batches(b, "token_ids")
+    return _trimmed(spark, root).drop("position")
+
+
+def _trimmed(spark: SparkSession, root: str) -> DataFrame:
+    """Only ids go through the numbering; the sequences meet their batch once."""
+    plan = order.fixed_batches(comments(spark, root).select("id"), "id", DEFAULT.batch_size)
+    return order.trim_batches(_encoded(spark, root).join(plan, "id"), "token_ids")
+
+
+@register
+def score_planned_batches(spark: SparkSession, root: str) -> DataFrame:
+    """A batch-dependent model over the planned, trimmed batches."""
+    return rounded(score.score_batches(_trimmed(spark, root), score.batch_share_model, ["token_ids"]))
 
 
 # --- training-log operators on the events table ----------------------------
@@ -421,6 +452,18 @@ def pool_last_k(spark: SparkSession, root: str) -> DataFrame:
     return rounded(vec.pool_last_k(_emb(spark, root), ["label"], "vec_id", "embedding", 4))
 
 
+@register
+def pool_positions(spark: SparkSession, root: str) -> DataFrame:
+    """Each vector read as a sequence of eight positions, of which the first
+    ``1 + vec_id mod 8`` are real."""
+    e = read_table(spark, root, "embeddings").select("vec_id", vec.positions_of("embedding", 8).alias("h"))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (i <= F.pmod("vec_id", F.lit(8))).cast("int"))
+    return rounded(e.withColumn("m", mask).select(
+        "vec_id", vec.pool_positions("h").alias("mean_all"), vec.pool_positions("h", how="max").alias("max_all"),
+        vec.pool_positions("h", "m").alias("mean_masked"), vec.pool_positions("h", "m", "max").alias("max_masked"),
+        vec.pool_positions("h", "m", last=4).alias("last_mean")))
+
+
 @register
 def assemble(spark: SparkSession, root: str) -> DataFrame:
     e = _emb(spark, root)
@@ -585,6 +628,34 @@ def training_table(spark: SparkSession, root: str) -> DataFrame:
                             F.element_at("features", 1).alias("total_length_scaled"), "y", "weight"))
 
 
+BUCKETS = 16
+
+
+def _artefact(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
+    path = io.scratch_path(spark, what)
+    return io.read_bucketed(spark, io.write_bucketed(df, path, "id", BUCKETS))
+
+
+@register
+def training_table_bucketed(spark: SparkSession, root: str) -> DataFrame:
+    """``training_table`` from bucketed artefacts: they meet without an exchange."""
+    sequences = _artefact(spark, _encoded(spark, root), "sequences")
+    table = _artefact(spark, train.training_table(comments(spark, root)), "training")
+    j = feat.aligned(sequences, table, "id", null_keys=False)
+    return rounded(j.select("id", F.size(F.filter("token_ids", lambda x: x != 0)).alias("n_ids"),
+                            F.element_at("features", 1).alias("total_length_scaled"), "y", "weight"))
+
+
+@register
+def scoring_valid_bucketed(spark: SparkSession, root: str) -> DataFrame:
+    """``scoring_valid`` from bucketed artefacts."""
+    c = comments(spark, root)
+    predictions = _artefact(spark, c.select("id", "prediction"), "predictions")
+    labels = _artefact(spark, c.select("id", "target", *DEFAULT.identity_columns), "labels")
+    _, final = auc_ops.scoring_valid(predictions, labels, DEFAULT, null_keys=False)
+    return rounded(final)
+
+
 @register
 def dense_head_batch_udf(spark: SparkSession, root: str) -> DataFrame:
     """The dense head through the user-model hook (Arrow batches of 32)."""
