@@ -18,7 +18,11 @@ those that occur in enough of its lists.
    class searches the lists of its shingles for classes of other components
    (DivideSkip: short lists are merged by a heap that skips, long ones are
    probed by bisection). What occurs often enough is compared exactly: first
-   the likeliest partner in each component, in the last round all that are left.
+   the likeliest partner of a class, then the likeliest in each component of
+   several, in the last round all that are left. There sets that differ in more
+   cells of a small table of parities than linking sets differ in members are
+   left out beforehand, so that the many pairs just below the threshold in a
+   group of near copies are neither sent on nor compared.
 """
 
 from __future__ import annotations
@@ -43,6 +47,7 @@ from .wordhash import runs, word_hashes
 SKETCH_BITS = 22          # 4 M counters; 4 MB as classes of frequency
 SKETCH_BLOCK = 1 << 16
 LIST_PART = 1024          # longer inverted lists are dealt over several groups
+PARITY = ("k0", "k1", "k2", "k3")  # 64 cells each
 
 
 def shingle_sets(texts, k: int) -> Iterator[np.ndarray]:
@@ -79,6 +84,22 @@ def prefix_length(n: int, percent: int) -> int:
     return n - least_overlap(n, percent) + occurrences(n)
 
 
+def parities(members: np.ndarray) -> np.ndarray:
+    """Of each cell, whether it holds an odd number of the set's members. The
+    cells in which two sets differ are at most their symmetric difference."""
+    odd = np.bincount((members & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(n: int, own: tuple, m: np.ndarray, theirs: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of sizes ``m`` with the parities ``theirs`` (a row each) can
+    link to a set of ``n`` with the parities ``own``: the others differ in more
+    cells than the symmetric difference of linking sets has members. Exact."""
+    apart = np.bitwise_count((theirs ^ np.array(own, dtype=np.int64)).view(np.uint64)).sum(axis=1)
+    common = -(-percent * (n + m) // (100 + percent))
+    return apart <= n + m - 2 * common
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     """Rows (_id, n, digest, th) of documents and rows (block, counts) of the
     sketch: how many documents have a shingle of each cell."""
@@ -137,7 +158,7 @@ def _frequency_classes(sketch: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(digest, n, th, prefix): the first shingles of each non-empty set."""
+    """(digest, n, th, prefix, parities): the first shingles of each non-empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,13 +170,15 @@ def _prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Data
                     level = shared.value[s & mask]
                     order = np.argsort(level, kind="stable")  # s is sorted already
                     rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), th,
-                                 s[order[:prefix_length(len(s), percent)]].view(np.int64)))
+                                 s[order[:prefix_length(len(s), percent)]].view(np.int64), *parities(s).tolist()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()),
                  pa.array([r[2] for r in rows], pa.int64()),
-                 pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["digest", "n", "th", "prefix"])
+                 pa.array([r[3] for r in rows], pa.list_(pa.int64())),
+                 *[pa.array([r[4 + i] for r in rows], pa.int64()) for i in range(len(PARITY))]],
+                names=["digest", "n", "th", "prefix", *PARITY])
 
-    return docs.mapInArrow(cut, "digest binary, n long, th long, prefix array<long>")
+    return docs.mapInArrow(cut, "digest binary, n long, th long, prefix array<long>, " + ", ".join(f"{k} long" for k in PARITY))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -236,35 +259,45 @@ def divide_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (short[i][at[i]], i))
 
 
-def _searched(lists: DataFrame, percent: int, first: bool) -> DataFrame:
+BEST, PER_COMPONENT, ALL = range(3)
+
+
+def _searched(lists: DataFrame, percent: int, which: int) -> DataFrame:
     """Candidate pairs (a, b) of ``lists`` (token, node, n, rank): partners in
-    components of higher rank that occur in enough lists of a class; with
-    ``first`` only the one that occurs most often of each component."""
+    components of higher rank that occur in enough lists of a class. ``BEST``:
+    of them the one that occurs most often; ``PER_COMPONENT``: that of each
+    component of several classes; ``ALL``: every one."""
     spark = lists.sparkSession
     longest = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
     parts = max(1, -(-longest // LIST_PART))
     ends = lists.groupBy("token").agg(F.min("rank").alias("_low"), F.max("rank").alias("_high")).where("_low < _high")
     open_lists = lists.join(ends, "token")
-    entries = open_lists.where("rank > _low").select(
+    # only the last round leaves nothing to a later one, and its lists are short enough
+    odd_cells = PARITY if which == ALL else ()
+    of_entry = ("node", "n", "size", "component", *odd_cells)
+    partners = "rank > _low and rank.size > 1" if which == PER_COMPONENT else "rank > _low"
+    entries = open_lists.where(partners).select(
         "token", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"),
-        F.struct("node", "n", F.col("rank.size").alias("size"), F.col("rank.component").alias("component")).alias("e"))
+        F.struct("node", "n", F.col("rank.size").alias("size"), F.col("rank.component").alias("component"), *odd_cells).alias("e"))
     inverted = entries.groupBy("token", "part").agg(F.sort_array(F.collect_list("e")).alias("l")).select(
-        "token", "part", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("node", "n", "size", "component")])
+        "token", "part", *[F.col(f"l.{c}").alias(f"l_{c}") for c in of_entry])
     queries = open_lists.where("rank < _high").select(
         "token", F.col("node").alias("a"), F.col("n").alias("_n"), F.col("rank.size").alias("_size"),
-        F.col("rank.component").alias("_component"))
+        F.col("rank.component").alias("_component"), *[F.col(k).alias(f"_{k}") for k in odd_cells])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (a, _), group in groupby(_rows(batches), key=lambda r: r[0]):
+        for (a, _), group in groupby(_rows(batches, of_entry), key=lambda r: r[0]):
             group = list(group)
-            n, size, component = group[0][1]
+            n, size, component, *own = group[0][1]
             found, sizes, home = [], set(), {}
-            for _, _, (node, m, s, c) in group:
+            for _, _, (node, m, s, c, *odd) in group:
                 keep = ((s > size) | ((s == size) & (c > component))) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+                if odd:
+                    keep[keep] = may_link(n, tuple(own), m[keep], np.stack([k[keep] for k in odd], axis=1), percent)
                 if keep.any():
                     found.append((node[keep], m[keep]))
                     sizes.update(np.unique(m[keep]).tolist())
-                    if first:
+                    if which == PER_COMPONENT:
                         home.update(zip(node[keep].tolist(), c[keep].tolist()))
             if not found:
                 continue
@@ -276,11 +309,11 @@ def _searched(lists: DataFrame, percent: int, first: bool) -> DataFrame:
             if hits:
                 size_of = dict(zip(np.concatenate([f[0] for f in found]).tolist(), np.concatenate([f[1] for f in found]).tolist()))
                 hits = [(b, count) for b, count in hits if count >= met[size_of[b]]]
-                if first:
+                if which != ALL:
                     most: dict = {}
                     for b, count in hits:
-                        if most.get(home[b], (0, 0))[1] < count:
-                            most[home[b]] = (b, count)
+                        if most.get(home.get(b), (0, 0))[1] < count:
+                            most[home.get(b)] = (b, count)
                     hits = list(most.values())
                 hits = [b for b, _ in hits]
                 yield pa.record_batch([pa.array([a] * len(hits), pa.int64()), pa.array(hits, pa.int64())],
@@ -290,12 +323,12 @@ def _searched(lists: DataFrame, percent: int, first: bool) -> DataFrame:
     return grouped.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(search, "a long, b long")
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """((a, part), (n, size, component) of a, arrays of its list) row by row."""
+def _rows(batches: Iterator[pa.RecordBatch], of_entry: tuple) -> Iterator[tuple]:
+    """((a, part), (n, size, component, parities) of a, arrays of its list) row by row."""
     for batch in batches:
         keys = list(zip(batch.column("a").to_pylist(), batch.column("part").to_pylist()))
-        own = list(zip(*(batch.column(c).to_pylist() for c in ("_n", "_size", "_component"))))
-        lists = [batch.column(f"l_{c}") for c in ("node", "n", "size", "component")]
+        own = list(zip(*(batch.column(f"_{c}").to_pylist() for c in of_entry[1:])))
+        lists = [batch.column(f"l_{c}") for c in of_entry]
         values = [x.values.to_numpy() for x in lists]
         ends = lists[0].offsets.to_numpy()
         for i, key in enumerate(keys):
@@ -331,8 +364,10 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     rows = written(scanned.where("block is null").select("_id", "n", "digest", "th"), "documents")
     drop_written(scanned)
     one = _prefixes(docs, k, percent, levels).groupBy("digest").agg(
-        F.first("n").alias("n"), F.min("th").alias("th"), F.first("prefix").alias("prefix"))
+        F.first("n").alias("n"), F.min("th").alias("th"), F.first("prefix").alias("prefix"),
+        *[F.first(k).alias(k) for k in PARITY])
     prefixes = written(one.withColumn("node", F.monotonically_increasing_id()), "prefixes")
+    rows.sparkSession._jvm.System.gc()  # as in drop_written: the shuffle of the prefixes is done with
     classes = written(prefixes.drop("prefix"), "classes")
 
     tokens = prefixes.select(F.explode("prefix").alias("token"))
@@ -361,26 +396,28 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
         found = _verified(pairs, sets, percent)
         links = found if links is None else links.union(found)
 
-    # the likeliest partner in each other component first: most components join
-    # there, and members of one component need no comparing
-    for first in (True, False):
-        placed = _placed(lists, links)
-        more = written(_searched(placed, percent, first).distinct(), "pairs")
+    # a class's likeliest partner first, then that in each larger component: most
+    # components join there, and members of one component need no comparing
+    for which in (BEST, PER_COMPONENT, ALL):
+        placed = _placed(lists, links, classes)
+        more = written(_searched(placed, percent, which).distinct(), "pairs")
         drop_written(placed)
         links = links.union(_verified(more, sets, percent))
     drop_written(sets)
     return rows, classes, links
 
 
-def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """``lists`` with the rank of each class's component: its size, then its name."""
+def _placed(lists: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """``lists`` with the rank of each class's component (its size, then its
+    name) and the class's parities."""
     grouped = connected_components(links)
     sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     ranked = grouped.join(sizes, "component").select(
         F.col("id").alias("node"), F.struct("size", "component").alias("rank"))
     alone = F.struct(F.lit(1).cast("long").alias("size"), F.col("node").alias("component"))
-    return written(lists.join(ranked, "node", "left").select(
-        "token", "node", "n", F.coalesce("rank", alone).alias("rank")), "placed")
+    known = classes.select("node", *PARITY).join(ranked, "node", "left").select(
+        "node", F.coalesce("rank", alone).alias("rank"), *PARITY)
+    return written(lists.join(known, "node").select("token", "node", "n", "rank", *PARITY), "placed")
 
 
 def _grouped(df: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import random
 
 import plain
@@ -129,3 +130,22 @@ def test_empty(empty_docs):
     assert jaccard.representatives(empty_docs).columns == empty_docs.columns
     assert substrings.without_repeats(empty_docs).count() == 0
     assert substrings.deduplicated(empty_docs).count() == 0
+
+
+def test_parities_never_part_sets_that_link():
+    rng = np.random.default_rng(3)
+    left_out = linked = 0
+    for _ in range(2000):
+        n = int(rng.integers(1, 400))
+        a = rng.integers(0, 2 ** 63, n).astype(np.uint64)
+        b = np.concatenate([a[rng.random(n) > rng.choice([0.01, 0.06, 0.12, 0.3])],
+                            rng.integers(0, 2 ** 63, int(rng.integers(0, 1 + n // 8))).astype(np.uint64)])
+        if not len(b):
+            continue
+        common = len(np.intersect1d(a, b))
+        links = 100 * common >= 85 * (len(a) + len(b) - common)
+        (may,) = jaccard.may_link(len(a), tuple(jaccard.parities(a)), np.array([len(b)]), jaccard.parities(b)[None, :], 85)
+        assert may or not links
+        linked += links
+        left_out += not may
+    assert linked > 300 and left_out > 600
