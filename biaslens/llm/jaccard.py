@@ -11,18 +11,18 @@ those that occur in enough of its lists.
 
 1. Equal sets become one class.
 2. Shingles found in one prefix only are dropped, then classes with too few.
-3. Each class is compared with the first class of each of its lists; links
-   found by exact comparison give components. Large groups of near copies join
-   here, without listing their pairs.
-4. Lists whose classes are all in one component are done. For the others each
-   class searches the lists of its shingles for classes of other components
-   (DivideSkip: short lists are merged by a heap that skips, long ones are
-   probed by bisection). What occurs often enough is compared exactly: first
-   the likeliest partner of a class, then the likeliest in each component of
-   several, in the last round all that are left. There sets that differ in more
-   cells of a small table of parities than linking sets differ in members are
-   left out beforehand, so that the many pairs just below the threshold in a
-   group of near copies are neither sent on nor compared.
+3. A class belongs to the family of its most frequent prefix shingle. It also
+   visits each family of a more frequent shingle in whose lists it occurs often
+   enough. Of two classes that share enough shingles one visits the other's
+   family, or both belong to it, so every link lies within a family.
+4. A family is cut into blocks of bounded size. A task holds one block with the
+   inverted lists of its prefixes; the classes that may link to it stream by,
+   once each, and search the lists (DivideSkip: short lists are merged by a heap
+   that skips, long ones are probed by bisection). What occurs often enough is
+   compared exactly, unless links found before already connect the two.
+
+A task reports the links that connect something new: at most one per class and
+block. So the rows written grow with the classes, not with the pairs of a group.
 """
 
 from __future__ import annotations
@@ -46,8 +46,10 @@ from .wordhash import runs, word_hashes
 
 SKETCH_BITS = 22          # 4 M counters; 4 MB as classes of frequency
 SKETCH_BLOCK = 1 << 16
-LIST_PART = 1024          # longer inverted lists are dealt over several groups
-PARITY = ("k0", "k1", "k2", "k3")  # 64 cells each
+BLOCK = 512               # classes of a block, on average
+BLOCK_MEMBERS = 1 << 20   # and members of their sets
+SLICE = 1 << 13           # classes that stream by a block in one group
+PARITY_CELLS = 256
 
 
 def shingle_sets(texts, k: int) -> Iterator[np.ndarray]:
@@ -87,7 +89,7 @@ def prefix_length(n: int, percent: int) -> int:
 def parities(members: np.ndarray) -> np.ndarray:
     """Of each cell, whether it holds an odd number of the set's members. The
     cells in which two sets differ are at most their symmetric difference."""
-    odd = np.bincount((members & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    odd = np.bincount((members & np.uint64(PARITY_CELLS - 1)).astype(np.int64), minlength=PARITY_CELLS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -158,7 +160,7 @@ def _frequency_classes(sketch: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(digest, n, th, prefix, parities): the first shingles of each non-empty set."""
+    """(digest, n, th, prefix): the first shingles of each non-empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,15 +172,14 @@ def _prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Data
                     level = shared.value[s & mask]
                     order = np.argsort(level, kind="stable")  # s is sorted already
                     rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), th,
-                                 s[order[:prefix_length(len(s), percent)]].view(np.int64), *parities(s).tolist()))
+                                 s[order[:prefix_length(len(s), percent)]].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()),
                  pa.array([r[2] for r in rows], pa.int64()),
-                 pa.array([r[3] for r in rows], pa.list_(pa.int64())),
-                 *[pa.array([r[4 + i] for r in rows], pa.int64()) for i in range(len(PARITY))]],
-                names=["digest", "n", "th", "prefix", *PARITY])
+                 pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
+                names=["digest", "n", "th", "prefix"])
 
-    return docs.mapInArrow(cut, "digest binary, n long, th long, prefix array<long>, " + ", ".join(f"{k} long" for k in PARITY))
+    return docs.mapInArrow(cut, "digest binary, n long, th long, prefix array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -203,26 +204,6 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         F.first("members").alias("members")), "shingle-sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose whole sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("_x"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("_y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("_x"), batch.column("_y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                merged = np.sort(np.concatenate([x, y]))
-                common = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(
-                pa.array(keep, pa.bool_()))
-
-    return written(both.select("a", "b", "_x", "_y").mapInArrow(compare, "a long, b long"), "links")
-
-
 def divide_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
     """(value, occurrences) of the values in at least ``need`` of the sorted lists."""
     lists = sorted(lists, key=len)
@@ -259,80 +240,131 @@ def divide_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (short[i][at[i]], i))
 
 
-BEST, PER_COMPONENT, ALL = range(3)
-
-
-def _searched(lists: DataFrame, percent: int, which: int) -> DataFrame:
-    """Candidate pairs (a, b) of ``lists`` (token, node, n, rank): partners in
-    components of higher rank that occur in enough lists of a class. ``BEST``:
-    of them the one that occurs most often; ``PER_COMPONENT``: that of each
-    component of several classes; ``ALL``: every one."""
-    spark = lists.sparkSession
-    longest = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    parts = max(1, -(-longest // LIST_PART))
-    ends = lists.groupBy("token").agg(F.min("rank").alias("_low"), F.max("rank").alias("_high")).where("_low < _high")
-    open_lists = lists.join(ends, "token")
-    # only the last round leaves nothing to a later one, and its lists are short enough
-    odd_cells = PARITY if which == ALL else ()
-    of_entry = ("node", "n", "size", "component", *odd_cells)
-    partners = "rank > _low and rank.size > 1" if which == PER_COMPONENT else "rank > _low"
-    entries = open_lists.where(partners).select(
-        "token", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"),
-        F.struct("node", "n", F.col("rank.size").alias("size"), F.col("rank.component").alias("component"), *odd_cells).alias("e"))
-    inverted = entries.groupBy("token", "part").agg(F.sort_array(F.collect_list("e")).alias("l")).select(
-        "token", "part", *[F.col(f"l.{c}").alias(f"l_{c}") for c in of_entry])
-    queries = open_lists.where("rank < _high").select(
-        "token", F.col("node").alias("a"), F.col("n").alias("_n"), F.col("rank.size").alias("_size"),
-        F.col("rank.component").alias("_component"), *[F.col(k).alias(f"_{k}") for k in odd_cells])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (a, _), group in groupby(_rows(batches, of_entry), key=lambda r: r[0]):
-            group = list(group)
-            n, size, component, *own = group[0][1]
-            found, sizes, home = [], set(), {}
-            for _, _, (node, m, s, c, *odd) in group:
-                keep = ((s > size) | ((s == size) & (c > component))) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
-                if odd:
-                    keep[keep] = may_link(n, tuple(own), m[keep], np.stack([k[keep] for k in odd], axis=1), percent)
-                if keep.any():
-                    found.append((node[keep], m[keep]))
-                    sizes.update(np.unique(m[keep]).tolist())
-                    if which == PER_COMPONENT:
-                        home.update(zip(node[keep].tolist(), c[keep].tolist()))
-            if not found:
+class Block:
+    """The classes of one block, searched by those that stream by."""
+
+    def __init__(self, nodes: list[int], tokens: list[np.ndarray], sets: list[np.ndarray], percent: int):
+        self.nodes, self.tokens, self.sets, self.percent = nodes, tokens, sets, percent
+        self.n = np.array([len(x) for x in sets], dtype=np.int64)
+        self.parities = np.array([parities(x) for x in sets])
+        self.group = np.arange(len(nodes))  # classes connected so far have one number
+        token = np.concatenate(tokens)
+        place = np.repeat(np.arange(len(nodes)), [len(t) for t in tokens])
+        order = np.lexsort((place, token))
+        self.place = place[order]
+        found, starts = np.unique(token[order], return_index=True)
+        self.spans = dict(zip(found.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(token)])))
+
+    def links(self, tokens: np.ndarray, members: np.ndarray, own: int | None = None) -> list[int]:
+        """Classes that the given one links to, one of each group; they are one
+        group from then on. ``own``: its place, if it is of this block; then
+        those before it have searched already."""
+        n, percent = len(members), self.percent
+        may = 100 * np.minimum(self.n, n) >= percent * np.maximum(self.n, n)
+        if own is not None:
+            may[:own + 1] = False
+            may &= self.group != self.group[own]
+        if may.any():
+            may[may] = may_link(n, tuple(parities(members)), self.n[may], self.parities[may], percent)
+        if not may.any():
+            return []
+        lists = []
+        for span in filter(None, map(self.spans.get, tokens.tolist())):
+            some = self.place[slice(*span)]
+            some = some[may[some]]
+            if len(some):
+                lists.append(some.tolist())
+        met = {m: least_met(n, m, percent) for m in np.unique(self.n[may]).tolist()}
+        need = min(met.values())
+        if len(lists) < need:
+            return []
+        hits = [(b, c) for b, c in divide_skip(lists, need) if c >= met[len(self.sets[b])]]
+        linked, group = [], None if own is None else self.group[own]
+        for b, _ in sorted(hits, key=lambda h: -h[1]):
+            if self.group[b] == group:
                 continue
-            met = {m: least_met(n, m, percent) for m in sizes}
-            need = min(met.values())
-            if len(found) < need:
-                continue
-            hits = list(divide_skip([f[0].tolist() for f in found], need))
-            if hits:
-                size_of = dict(zip(np.concatenate([f[0] for f in found]).tolist(), np.concatenate([f[1] for f in found]).tolist()))
-                hits = [(b, count) for b, count in hits if count >= met[size_of[b]]]
-                if which != ALL:
-                    most: dict = {}
-                    for b, count in hits:
-                        if most.get(home.get(b), (0, 0))[1] < count:
-                            most[home.get(b)] = (b, count)
-                    hits = list(most.values())
-                hits = [b for b, _ in hits]
-                yield pa.record_batch([pa.array([a] * len(hits), pa.int64()), pa.array(hits, pa.int64())],
-                                      names=["a", "b"])
-
-    grouped = queries.join(inverted, "token").drop("token")
-    return grouped.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(search, "a long, b long")
-
-
-def _rows(batches: Iterator[pa.RecordBatch], of_entry: tuple) -> Iterator[tuple]:
-    """((a, part), (n, size, component, parities) of a, arrays of its list) row by row."""
+            merged = np.sort(np.concatenate([members, self.sets[b]]))
+            common = int((merged[1:] == merged[:-1]).sum())
+            if 100 * common >= percent * (n + len(self.sets[b]) - common):
+                linked.append(b)
+                if group is None:
+                    group = self.group[b]
+                else:
+                    self.group[self.group == self.group[b]] = group
+        return linked
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """((family, block, slice), streams by, node, prefix shingles, members) row by row."""
     for batch in batches:
-        keys = list(zip(batch.column("a").to_pylist(), batch.column("part").to_pylist()))
-        own = list(zip(*(batch.column(f"_{c}").to_pylist() for c in of_entry[1:])))
-        lists = [batch.column(f"l_{c}") for c in of_entry]
-        values = [x.values.to_numpy() for x in lists]
-        ends = lists[0].offsets.to_numpy()
-        for i, key in enumerate(keys):
-            yield key, own[i], tuple(v[ends[i]:ends[i + 1]] for v in values)
+        key = list(zip(*(batch.column(c).to_pylist() for c in ("_c", "_token", "_block", "_slice"))))
+        streams, node = batch.column("_streams").to_pylist(), batch.column("node").to_pylist()
+        tokens, members = batch.column("tokens"), batch.column("members")
+        for i in range(batch.num_rows):
+            yield (key[i], streams[i], node[i], np.array(tokens[i].values.to_numpy()),
+                   np.frombuffer(members[i].as_py(), dtype=np.uint64))
+
+
+def _families(lists: DataFrame, needed) -> DataFrame:
+    """(family, node, home) of ``lists`` (token, node, n, c): the classes of each
+    family and those that visit it, of families with two or more."""
+    home = written(lists.groupBy("node", "n").agg(F.max(F.struct("c", "token")).alias("home")), "homes")
+    holds = lists.join(home.select("node", F.col("home").alias("family")), "node").select("token", "family").distinct()
+    # a partner shares at least ``needed`` shingles, so its family's lists hold as many
+    reached = lists.select("token", "node").join(holds, "token").groupBy("node", "family").agg(
+        F.count(F.lit(1)).alias("met")).join(home, "node")
+    return written(reached.where((F.col("met") >= needed) & (F.col("family") >= F.col("home"))).select(
+        "family", "node", "n", (F.col("family") == F.col("home")).alias("home")), "families")
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    """(_c, _token, _block, _slice, _streams, node): each class of a family in
+    its block; those of earlier blocks and the visitors stream by it, dealt over
+    slices if they are many."""
+    sizes = placed.groupBy("family").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("home").alias("homes"),
+        F.sum(F.when(F.col("home"), F.col("n"))).alias("members")).where("rows > 1").select(
+        "family", F.ceil(F.greatest(F.col("homes") / BLOCK, F.col("members") / BLOCK_MEMBERS)).alias("blocks"),
+        F.ceil(F.col("rows") / SLICE).alias("slices"))
+    at = placed.join(sizes, "family").withColumns({
+        "_at": F.pmod(F.xxhash64("node"), F.col("blocks")), "_by": F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices"))})
+
+    def target(block, slice_, streams: bool):
+        return F.struct(block.alias("block"), slice_.alias("slice"), F.lit(streams).alias("streams"))
+
+    held = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda k: target(F.col("_at"), k, False))
+    first = F.when(F.col("home"), F.col("_at") + 1).otherwise(F.lit(0).cast("long"))
+    passing = F.when(first < F.col("blocks"), F.transform(F.sequence(first, F.col("blocks") - 1),
+                                                          lambda b: target(b, F.col("_by"), True)))
+    none = F.array().cast("array<struct<block:bigint,slice:bigint,streams:boolean>>")
+    to = F.concat(F.when(F.col("home"), held).otherwise(none), F.coalesce(passing, none))
+    return at.select("family", "node", F.explode(to).alias("to")).select(
+        F.col("family.c").alias("_c"), F.col("family.token").alias("_token"), F.col("to.block").alias("_block"),
+        F.col("to.slice").alias("_slice"), F.col("to.streams").alias("_streams"), "node")
+
+
+def _searched(dealt: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within each block and with what streams by it."""
+    keys = ["_c", "_token", "_block", "_slice"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in groupby(_rows(batches), key=lambda r: r[0]):
+            found, block = [], None
+            for streams, rows in groupby(group, key=lambda r: r[1]):
+                if not streams:
+                    held = list(rows)
+                    block = Block([r[2] for r in held], [r[3] for r in held], [r[4] for r in held], percent)
+                    if key[-1] == 0:  # the other slices hold the same block
+                        for i, r in enumerate(held):
+                            found += [(r[2], block.nodes[b]) for b in block.links(r[3], r[4], i)]
+                elif block is not None:
+                    for r in rows:
+                        found += [(r[2], block.nodes[b]) for b in block.links(r[3], r[4])]
+            if found:
+                yield pa.record_batch([pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    grouped = dealt.join(bodies, "node").select(*keys, "_streams", "node", "tokens", "members")
+    return grouped.repartition(*keys).sortWithinPartitions(*keys, "_streams", "node").mapInArrow(search, "a long, b long")
 
 
 def _postings(classes: DataFrame, shared: DataFrame) -> DataFrame:
@@ -364,62 +396,34 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     rows = written(scanned.where("block is null").select("_id", "n", "digest", "th"), "documents")
     drop_written(scanned)
     one = _prefixes(docs, k, percent, levels).groupBy("digest").agg(
-        F.first("n").alias("n"), F.min("th").alias("th"), F.first("prefix").alias("prefix"),
-        *[F.first(k).alias(k) for k in PARITY])
+        F.first("n").alias("n"), F.min("th").alias("th"), F.first("prefix").alias("prefix"))
     prefixes = written(one.withColumn("node", F.monotonically_increasing_id()), "prefixes")
     rows.sparkSession._jvm.System.gc()  # as in drop_written: the shuffle of the prefixes is done with
     classes = written(prefixes.drop("prefix"), "classes")
 
     tokens = prefixes.select(F.explode("prefix").alias("token"))
-    shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "tokens")
+    shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "tokens")
     met = written(_postings(prefixes, shared).join(shared, "token"), "postings")
     drop_written(prefixes)
-    needed = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 50)
     drop_written(shared)
-    enough = met.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= needed).select("node")
-    lists = written(met.join(enough, "node"), "lists")
+    needed = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 50)
+    enough = met.groupBy("node", "n").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= needed).select("node")
+    lists = written(met.join(enough, "node").select("token", "node", "n", "c"), "lists")
     drop_written(met)
 
-    sets = _full_sets(docs, classes.select("node", "digest", "th").join(
-        lists.select("node").distinct(), "node"), k)
-    close = (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
-    links = None
-    for seed in (1, 2):
-        first = lists.groupBy("token").agg(
-            F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("p"), "node", "n")).alias("f")).select(
-            "token", F.col("f.node").alias("b"), F.col("f.n").alias("_n"))
-        pairs = lists.join(first, "token").where(close & (F.col("node") != F.col("b"))).select(
-            F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        if links is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = tried = written(pairs, "pairs")
-        found = _verified(pairs, sets, percent)
-        links = found if links is None else links.union(found)
-
-    # a class's likeliest partner first, then that in each larger component: most
-    # components join there, and members of one component need no comparing
-    for which in (BEST, PER_COMPONENT, ALL):
-        placed = _placed(lists, links, classes)
-        more = written(_searched(placed, percent, which).distinct(), "pairs")
-        drop_written(placed)
-        links = links.union(_verified(more, sets, percent))
-    drop_written(sets)
+    placed = _families(lists, needed)
+    dealt = written(_dealt(placed), "dealt")
+    drop_written(placed)
+    wanted = dealt.select("node").distinct()
+    sets = _full_sets(docs, classes.select("node", "digest", "th").join(wanted, "node"), k)
+    # a document's own shingles: as long as its text at most
+    own = lists.join(wanted, "node").groupBy("node").agg(F.collect_list("token").alias("tokens"))
+    links = written(_searched(dealt, sets.join(own, "node"), percent), "links")
+    for done in (lists, dealt, sets):
+        drop_written(done)
     return rows, classes, links
 
 
-def _placed(lists: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
-    """``lists`` with the rank of each class's component (its size, then its
-    name) and the class's parities."""
-    grouped = connected_components(links)
-    sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    ranked = grouped.join(sizes, "component").select(
-        F.col("id").alias("node"), F.struct("size", "component").alias("rank"))
-    alone = F.struct(F.lit(1).cast("long").alias("size"), F.col("node").alias("component"))
-    known = classes.select("node", *PARITY).join(ranked, "node", "left").select(
-        "node", F.coalesce("rank", alone).alias("rank"), *PARITY)
-    return written(lists.join(known, "node").select("token", "node", "n", "rank", *PARITY), "placed")
-
-
 def _grouped(df: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
     """(_id, n, digest, th, component, component_id) of every row: component
     names the group, component_id is its smallest id."""

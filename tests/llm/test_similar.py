@@ -42,8 +42,11 @@ def test_components_equal_all_pairs(frame, k, percent, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain.jaccard_components(docs, k, percent)
 
 
-def test_long_lists_in_parts(frame, monkeypatch):
-    monkeypatch.setattr(jaccard, "LIST_PART", 4)
+@pytest.mark.parametrize("block,members,slice_", [(4, 1 << 20, 8), (512, 300, 1), (1, 1 << 20, 1 << 13)])
+def test_families_in_blocks_and_slices(frame, monkeypatch, block, members, slice_):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(jaccard, "SLICE", slice_)
     docs = corpus(5, 40)
     rows = jaccard.similar_documents(frame("doc_id long, text string", list(docs.items())), k=3, percent=70).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain.jaccard_components(docs, 3, 70)
@@ -149,3 +152,29 @@ def test_parities_never_part_sets_that_link():
         linked += links
         left_out += not may
     assert linked > 300 and left_out > 600
+
+
+def test_rows_of_a_group_grow_with_its_size(frame, monkeypatch):
+    """Documents made of shared lines: classes dealt to blocks and links written
+    grow about as the group does, and components equal all pairs."""
+    monkeypatch.setattr(jaccard, "BLOCK", 1024)
+    plain_written, seen = jaccard.written, {}
+
+    def count(df, what="table"):
+        out = plain_written(df, what)
+        if what in ("dealt", "links"):
+            seen[what] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", count)
+    rng = random.Random(9)
+    lines = [" ".join(f"l{i}w{j}" for j in range(8)) for i in range(16)]
+    per_size = []
+    for n in (200, 400, 800):
+        docs = {i: "\n".join([*rng.sample(lines, 14), f"own{i} words{i} here{i}"] if i % 2 else
+                             [*lines[:13], " ".join(f"o{i}x{j}" for j in range(rng.randint(10, 30)))]) for i in range(n)}
+        rows = jaccard.similar_documents(frame("doc_id long, text string", list(docs.items())), k=4, percent=85).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain.jaccard_components(docs, 4, 85)
+        per_size.append(dict(seen))
+    for small, large in zip(per_size, per_size[1:]):
+        assert all(large[k] <= 2.3 * small[k] + 10 for k in small)
