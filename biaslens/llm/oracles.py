@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .common import LOWER, UPPER
 from .mixing import MIN_WEIGHT
-from .quality import ANY_MARK, BOILERPLATE, CLOSED, DOUBLED, SYMBOLS, LineRules
+from .quality import ANY_MARK, BOILERPLATE, CLOSED, DOUBLED, EVERYDAY, EVERYDAY_WORDS, SYMBOLS, LineRules
 
 SQL: dict[str, str] = {}
 
@@ -16,7 +17,21 @@ def _quoted(pattern: str) -> str:
 
 
 _R = LineRules()
-_PHRASES = "(?i)" + "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE)
+# Phrases as whole words. Other characters are doubled before the search, so that
+# phrases side by side do not share the one between them.
+_OUTSIDE = r"[^\p{L}\p{N}_]"
+_DOUBLED_GAPS = f"regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '({_OUTSIDE})', '\\1\\1', 'g')"
+
+
+def _bordered(phrases) -> str:
+    def one(p: str) -> str:
+        body = "".join(c if c.isalnum() else ("\\" + c if c in "()" else c) * 2 for c in p)
+        return (f"(?:^|{_OUTSIDE})" if p[0].isalnum() else "") + body + (f"(?:$|{_OUTSIDE})" if p[-1].isalnum() else "")
+    return _quoted("|".join(map(one, phrases)))
+
+
+_FURNITURE = f"regexp_matches(d, {_bordered(p for p in BOILERPLATE if p not in EVERYDAY)})"
+_SAID = f"len(regexp_extract_all(d, {_bordered(EVERYDAY)}))"
 _LONE = r"[|>»›•·]|::"
 SQL["op2_quality_rules"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TEXT} AS t, {_WORDS} AS w FROM documents),
@@ -25,7 +40,8 @@ w3 AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM w3) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY r),
 lines AS (SELECT r, l, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
-                 list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw
+                 list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw,
+                 {_DOUBLED_GAPS} AS d
           FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
 judged AS (SELECT r, l, n,
       (regexp_matches(l, {_quoted(ANY_MARK)})
@@ -33,7 +49,7 @@ judged AS (SELECT r, l, n,
             OR len(regexp_extract_all(l, {_quoted(DOUBLED)})) > {_R.max_doubled_share} * n
             OR len(list_filter(lw, lambda x: regexp_full_match(x, {_quoted(_LONE)}))) > {_R.max_separator_share} * n))
       OR (n <= {_R.unfinished_words} AND NOT regexp_matches(l, {_quoted(CLOSED)}))
-      OR (n <= {_R.boilerplate_words} AND regexp_matches(l, {_quoted(_PHRASES)})) AS fails
+      OR (n <= {_R.boilerplate_words} AND ({_FURNITURE} OR {2 * EVERYDAY_WORDS} * {_SAID} > n)) AS fails
    FROM lines WHERE n > 0),
 per AS (SELECT r, count(*) - count(DISTINCT l) AS dup, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost
         FROM judged GROUP BY r),
@@ -112,8 +128,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_FOLDED = f"translate({_TEXT}, '{_UPPER}', '{_LOWER}')"
+_FOLDED = f"translate({_TEXT}, '{UPPER}', '{LOWER}')"
 
 SQL["op12_exact_dedup"] = f"""
 WITH d AS (SELECT doc_id, {_FOLDED} AS t FROM documents),

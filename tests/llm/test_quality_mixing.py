@@ -57,6 +57,23 @@ def test_phrases_in_clean_sentences(frame):
     assert rows[2].clean_text == PROSE
 
 
+def test_sql_states_the_same_rule(frame):
+    import duckdb
+
+    from biaslens.llm.oracles import SQL
+    lines = [*CLEAN, *FURNITURE, "read more read more", "Read more, sign in; log in!", "re-read more of it (c) copyright x", "xread more",
+             "ALL RIGHTS RESERVED_ no", "copyright © y and so on and on.", "log in\tlog in now.", "spread more sign in there today."]
+    texts = ["\n".join([PROSE, *([line] * 30)]) for line in lines] + [None, "", PROSE]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = con.execute(SQL["op2_quality_rules"])
+    names = [c[0] for c in want.description]
+    got = quality.quality(frame("doc_id long, text string", list(enumerate(texts)))).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    assert len({r.kept for r in got}) == 2
+
+
 def test_random_repeats(frame):
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abcde") * rng.randint(1, 2) for _ in range(rng.randint(0, 120))) for _ in range(200)]
