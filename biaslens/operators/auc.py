@@ -54,11 +54,33 @@ def bias_metrics(df: DataFrame, cfg: BiasConfig = DEFAULT, label: str | None = N
     label = label or cfg.toxicity_column
     score = score or cfg.score_column
     subgroups = list(subgroups if subgroups is not None else cfg.identity_columns)
+    # The counts feed the sizing, the totals and the window: written once.
+    counts = cut_lineage(score_counts(df, label, score, subgroups, cfg.threshold, by))
+    return bias_from_counts(counts, subgroups, rows_per_bucket, by)
+
+
+def merged_counts(*tables: DataFrame, by=()) -> DataFrame:
+    """``score_counts`` tables of disjoint sets of predictions as one: equal
+    (by..., score) rows are added, null scores too. So the metrics of a run grow
+    by its new predictions alone, whose rows are read once.
+
+    The tables need the same subgroups in the same order; a table without rows
+    adds nothing. Predictions counted twice count twice."""
+    first, *rest = tables
+    for t in rest:
+        if t.columns != first.columns:
+            raise ValueError(f"count tables differ in columns: {first.columns} and {t.columns}")
+        first = first.union(t)
+    keys = [*by, "score"]
+    return first.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in first.columns if c not in keys])
+
+
+def bias_from_counts(counts: DataFrame, subgroups, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, by=()) -> DataFrame:
+    """The table of ``bias_metrics`` from its ``score_counts`` over
+    ``subgroups``. ``counts`` is read several times: hand over a written table."""
     by = list(by)
     names = ["", *map(str, range(len(subgroups)))]
     columns = [f"{c}{i}" for i in names for c in "pn"]
-    # The counts feed the sizing, the totals and the window: written once.
-    counts = cut_lineage(score_counts(df, label, score, subgroups, cfg.threshold, by))
     real = counts.where(F.col("score").isNotNull())
     sums = prefix_sums(range_bucket(real, [*by, "score"], rows_per_bucket), by, ["score"], columns)
     d = {c: F.col(c).cast("double") for c in columns}

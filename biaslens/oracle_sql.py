@@ -767,6 +767,7 @@ ORACLES = {
     "assemble": assemble,
     "dense_head": dense_head,
     "epoch_metrics": epoch_metrics,
+    "epoch_metrics_merged": epoch_metrics,
     "scan_comments": scan_comments,
     "dense_head_batch_udf": dense_head,
     "fold_seeds": fold_seeds,

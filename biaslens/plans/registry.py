@@ -559,16 +559,32 @@ def submission_folds(spark: SparkSession, root: str) -> DataFrame:
     return rounded(train.score_all_folds(table, models), 6)
 
 
+def _two_epochs(spark: SparkSession, root: str) -> DataFrame:
+    return comments(spark, root).select("*", F.explode(F.array(
+        F.struct(F.lit(0).alias("epoch"), F.col("prediction").alias("score")),
+        F.struct(F.lit(1).alias("epoch"), ((F.col("prediction") + F.col("target")) / 2).alias("score")))).alias("_e")
+    ).select("*", "_e.epoch", "_e.score").drop("_e")
+
+
 @register
 def epoch_metrics(spark: SparkSession, root: str) -> DataFrame:
     """Validation metric per epoch in one pass: each epoch's prediction set is
     a group key of the bias evaluation."""
-    c = comments(spark, root)
-    per_epoch = c.select("*", F.explode(F.array(
-        F.struct(F.lit(0).alias("epoch"), F.col("prediction").alias("score")),
-        F.struct(F.lit(1).alias("epoch"), ((F.col("prediction") + F.col("target")) / 2).alias("score")))).alias("_e")
-    ).select("*", "_e.epoch", "_e.score").drop("_e")
-    bias = auc_ops.bias_metrics(per_epoch, DEFAULT, score="score", by=["epoch"])
+    bias = auc_ops.bias_metrics(_two_epochs(spark, root), DEFAULT, score="score", by=["epoch"])
+    return rounded(auc_ops.final_metric(bias, DEFAULT, by=["epoch"]))
+
+
+@register
+def epoch_metrics_merged(spark: SparkSession, root: str) -> DataFrame:
+    """``epoch_metrics`` from a count table that grows by additions: predictions
+    arrive in three parts, each counted once and written under its own name."""
+    predictions, path = _two_epochs(spark, root), io.scratch_path(spark, "counts")
+    for part in range(3):
+        counts = auc_ops.score_counts(predictions.where(F.pmod("id", F.lit(3)) == part), DEFAULT.toxicity_column, "score",
+                                      DEFAULT.identity_columns, DEFAULT.threshold, ["epoch"])
+        io.write_artefact(counts.withColumn("addition", F.lit(part)), path, "addition")
+    counts = auc_ops.merged_counts(spark.read.parquet(path).drop("addition"), by=["epoch"])
+    bias = auc_ops.bias_from_counts(cut_lineage(counts), DEFAULT.identity_columns, by=["epoch"])
     return rounded(auc_ops.final_metric(bias, DEFAULT, by=["epoch"]))
 
 

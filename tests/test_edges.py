@@ -250,3 +250,23 @@ def test_given_criterion_replaces_the_loss(spark):
     r = loss.batch_losses(df, criterion=squares).first()
     x0, x1 = r["bin_loss"], r["aux_loss"]
     assert r["loss"] == pytest.approx(0.5 * x0 + 0.5 * x1) and x1 >= 0 and x0 >= 0
+
+
+def test_merged_counts_equal_one_count(spark):
+    """Null scores, scores met again, an addition without rows; columns must agree."""
+    rng = random.Random(6)
+    groups = IDENTITY_COLUMNS[:2]
+    rows = [(i % 2, rng.choice([0.0, 1.0]), rng.choice([None, 0.1, 0.2, 0.3, 0.4] if i % 2 else [0.1, 0.5]),
+             rng.choice([None, 0.0, 1.0]), rng.choice([0.0, 1.0])) for i in range(300)]
+    schema = "run int, target double, prediction double, " + ", ".join(f"{g} double" for g in groups)
+
+    def counts(part):
+        return auc.score_counts(spark.createDataFrame(part, schema), "target", "prediction", groups, by=["run"])
+
+    merged = auc.merged_counts(counts(rows[:90]), counts(rows[90:200]), counts([]), counts(rows[200:]), by=["run"])
+    cfg = BiasConfig(identity_columns=groups)
+    whole = auc.bias_metrics(spark.createDataFrame(rows, schema), cfg, label="target", score="prediction", by=["run"])
+    got = auc.bias_from_counts(merged, groups, by=["run"])
+    assert got.collect() == whole.collect() and whole.count() == 6
+    with pytest.raises(ValueError, match="differ"):
+        auc.merged_counts(counts(rows), auc.score_counts(spark.createDataFrame(rows, schema), "target", "prediction", groups[:1], by=["run"]))
