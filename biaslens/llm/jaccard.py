@@ -22,7 +22,8 @@ those that occur in enough of its lists.
    compared exactly, unless links found before already connect the two.
 
 A task reports the links that connect something new: at most one per class and
-block. So the rows written grow with the classes, not with the pairs of a group.
+block. A family of L classes is dealt in about L * L / (2 * BLOCK) rows once it
+is larger than a block; its pairs are compared in the tasks and never written.
 """
 
 from __future__ import annotations

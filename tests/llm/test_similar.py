@@ -156,8 +156,10 @@ def test_parities_never_part_sets_that_link():
 
 @pytest.mark.parametrize("edits", [(0, 2), (4, 7)])  # mostly links; mostly just too few in common
 def test_rows_of_a_group_grow_with_its_size(frame, monkeypatch, edits):
-    """Classes dealt to blocks and links written grow about as a group of
-    documents on shared lines does, and components equal all pairs."""
+    """Within a block, classes dealt and links written grow about as a group of
+    documents on shared lines does, and components equal all pairs. (A group of
+    several blocks is dealt once more per block.)"""
+    monkeypatch.setattr(jaccard, "BLOCK", 1024)
     plain_written, seen = jaccard.written, {}
 
     def count(df, what="table"):
