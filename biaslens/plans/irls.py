@@ -92,9 +92,17 @@ def _sums(table: DataFrame, models: list[Model], beta: dict[str, np.ndarray], fe
 
 
 def fit(table: DataFrame, models: list[Model], width: int, features: str = "features", fold: str | None = None,
-        tolerance: float = 1e-10, max_iter: int = 60) -> dict[str, Head]:
+        tolerance: float = 1e-10, max_iter: int = 60, penalty: float = 0.0, radius: float = np.inf) -> dict[str, Head]:
     """Heads of all ``models`` over ``table`` (``features``: array<double> of
-    ``width``). Steps that raise a model's loss are halved."""
+    ``width``). Steps that raise a model's loss are halved.
+
+    ``penalty`` p adds p / 2 times the squared coefficients (not the intercept)
+    to the loss, so labels that the features separate give finite heads: at the
+    end the gradient of each coefficient b is p * b. ``radius`` bounds the
+    length of a step (a trust region)."""
+    if penalty < 0 or not radius > 0:
+        raise ValueError("penalty is 0 or more, radius above 0")
+    shrink = np.append(np.full(width, float(penalty)), 0.0)
     ship_package(table.sparkSession)
     beta = {m.name: np.zeros(width + 1) for m in models}
     step = {m.name: np.zeros(width + 1) for m in models}
@@ -109,11 +117,16 @@ def fit(table: DataFrame, models: list[Model], width: int, features: str = "feat
             if m.name not in sums or sums[m.name][3] == 0:
                 raise NotConverged(f"{m.name}: no rows")
             gradient, hessian, loss, n = sums[m.name]
+            at = beta[m.name] + step[m.name]
+            gradient, hessian, loss = gradient - shrink * at, hessian + np.diag(shrink), loss + (shrink * at * at).sum() / 2
             if loss > best[m.name] * (1 + 1e-12) + 1e-12:
                 step[m.name] /= 2
                 continue
             beta[m.name], best[m.name] = beta[m.name] + step[m.name], loss
             step[m.name] = np.linalg.lstsq(hessian, gradient, rcond=1e-13)[0]
+            length = np.linalg.norm(step[m.name])
+            if length > radius:
+                step[m.name] *= radius / length
             if np.abs(step[m.name]).max() <= tolerance * (1 + np.abs(beta[m.name]).max()):
                 done[m.name] = Head(beta[m.name][:-1], beta[m.name][-1], n, iteration)
     left = [m.name for m in models if m.name not in done]

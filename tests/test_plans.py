@@ -89,3 +89,26 @@ def test_scans_and_joins(spark):
     encoded = plan(QUERIES["encode_head"](spark, SF001))
     # the text was read once, into bundles of ids; no position is exploded or joined alone
     assert encoded.count("FileScan") == 0 and "PythonUDF" not in encoded and "Generate" not in encoded
+
+
+def test_separable_labels_with_a_penalty(spark):
+    import numpy as np
+    import pytest
+
+    from biaslens.plans import irls
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 2))
+    x[:, 0] += np.where(x[:, 0] > 0, 0.5, -0.5)  # a gap between the classes
+    y = (x[:, 0] > 0).astype(float)
+    rows = [(a.tolist(), float(b), i % 3) for i, (a, b) in enumerate(zip(x, y))]
+    table = spark.createDataFrame(rows, "features array<double>, y double, fold int")
+    models = [irls.Model("all", "y"), irls.Model("without 2", "y", None, 2)]
+    heads = irls.fit(table, models, 2, fold="fold", penalty=0.5, radius=3.0)
+    for name, use in (("all", np.ones(300, bool)), ("without 2", np.arange(300) % 3 != 2)):
+        h = heads[name]
+        b = np.array(h.coefficients)
+        left = y[use] - 1 / (1 + np.exp(-(x[use] @ b + h.intercept)))
+        assert np.isfinite(b).all() and h.n_rows == use.sum()
+        assert x[use].T @ left == pytest.approx(0.5 * b, abs=1e-7) and left.sum() == pytest.approx(0, abs=1e-7)
+    with pytest.raises(ValueError, match="penalty"):
+        irls.fit(table, models, 2, fold="fold", penalty=-1.0)
