@@ -661,6 +661,11 @@ def fit_residuals() -> str:
     return f"SELECT term, CAST(0.0 AS DOUBLE) AS residual FROM (VALUES {names}) t(term)"
 
 
+def matrix_artefact() -> str:
+    return f"""select row_number() over (order by id) - 1 as position, id, cast(columns(* exclude (id)) as double)
+      from ({meta_features()})"""
+
+
 def scan_comments() -> str:
     from .sources.io import NA_TOKENS
     toks = ", ".join(_sql_str(t) for t in NA_TOKENS)
@@ -769,6 +774,7 @@ ORACLES = {
     "epoch_metrics": epoch_metrics,
     "epoch_metrics_merged": epoch_metrics,
     "scan_comments": scan_comments,
+    "matrix_artefact": matrix_artefact,
     "dense_head_batch_udf": dense_head,
     "fold_seeds": fold_seeds,
     "bias_metrics_labels": bias_metrics_labels,

@@ -25,7 +25,7 @@ from ..operators import vectors as vec
 from ..operators import order
 from ..operators import runlog as rl
 from ..session import cut_lineage
-from ..sources import io
+from ..sources import io, npy
 from ..sources.tables import comments, linear_logits, read_table, spread
 from ..streaming import features as sf
 from . import score, train
@@ -626,6 +626,20 @@ def scan_comments(spark: SparkSession, root: str) -> DataFrame:
     return rounded(back.select("id", "comment_text", "target", *DEFAULT.identity_columns))
 
 
+@register
+def matrix_artefact(spark: SparkSession, root: str) -> DataFrame:
+    """Ids and the feature matrix as array files in id order, scanned back side by side."""
+    features = feat.meta_features(comments(spark, root))
+    names = [c for c in features.columns if c != "id"]
+    rows = cut_lineage(order.global_positions(features, "id").select(
+        (F.col("position") - 1).alias("position"), "id", F.array(*[F.col(c).cast("double") for c in names]).alias("x")))
+    paths = {c: io.scratch_path(spark, f"matrix-{c}") for c in ("id", "x")}
+    for c, path in paths.items():
+        npy.write_array(rows, path, c)
+    back = npy.read_arrays(spark, paths)
+    return rounded(back.select("position", "id", *[F.col("x")[i].alias(c) for i, c in enumerate(names)]))
+
+
 @register
 def stream_meta_features(spark: SparkSession, root: str) -> DataFrame:
     """Meta features computed by a Structured Streaming job (file source,
