@@ -14,9 +14,11 @@ normalisers of all contexts are one matrix product,
     Z = (exp(S1) * exp(b)) exp(S2)'
 so normalised log-probabilities are look-ups.
 
-Counts are gathered from all training texts. Words beyond the ``head`` most
-frequent ones meet their counts in a shuffle join; no word there is frequent
-enough to make a hot key.
+Counts are gathered from all training texts. The words of the ``head`` (as many
+of the most frequent as fit, words of equal count together) reach the driver;
+the count they start at is found by narrowing a range of counts. The others
+meet their counts in a shuffle join; no word there is frequent enough to make a
+hot key.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from .common import whole, workers_can_import, written
 RARE, END, START, FIRST = 0, 1, 2, 3
 COUNTED = 400_000       # distinct words held before they are passed on
 BLOCK = 1 << 14         # parameters a row when they are averaged
+CUTS = 1000             # parts of a range of counts when the head is cut off
 
 _workers: dict = {}
 
@@ -77,6 +80,26 @@ def _counts(docs: DataFrame) -> DataFrame:
         F.sum("n").alias("n"))
 
 
+def _cut_off(counts: DataFrame, most: int) -> int:
+    """The smallest c such that at most ``most`` words occur c times or more. Each
+    round brings at most CUTS rows to the driver and reads one column."""
+    lo, hi, above = 1, 1 + (counts.agg(F.max("n")).first()[0] or 0), 0
+    while lo < hi:
+        step = -(-(hi - lo) // CUTS)
+        parts = counts.where(f"n >= {lo} and n < {hi}").groupBy(F.expr(f"(n - {lo}) div {step}").alias("part")).agg(
+            F.count(F.lit(1)).alias("words")).orderBy(F.desc("part")).collect()
+        for r in parts:
+            if above + r["words"] > most:
+                break
+            above += r["words"]
+        else:
+            return lo
+        lo, hi = lo + r["part"] * step, min(hi, lo + (r["part"] + 1) * step)
+        if step == 1:
+            return hi
+    return lo
+
+
 @dataclass
 class Model:
     """Parameters and class frequencies."""
@@ -305,7 +328,8 @@ def scored_documents(df: DataFrame, train: Column, doc_id: str = "doc_id", text:
     counts = written(_counts(docs), "word-counts")
     n_docs = docs.where("_train").count()
     n_words, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(settings.head).collect()  # bounded by ``head``
+    least = _cut_off(counts, settings.head)
+    top = sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))  # at most ``head``
     own = top[:settings.classes]
     index = {bytes(r["word"]): FIRST + i for i, r in enumerate(own)}
     head = {bytes(r["word"]): (FIRST + i if i < len(own) else RARE, math.log10(r["n"] + 1)) for i, r in enumerate(top)}
@@ -316,8 +340,7 @@ def scored_documents(df: DataFrame, train: Column, doc_id: str = "doc_id", text:
 
     total, distinct = n_words + n_docs, n_distinct + (n_docs > 0)
     rows = written(_scored(docs, head, model, n_docs).withColumn("_row", F.monotonically_increasing_id()), "scored")
-    least = top[-1]["n"] if len(top) == settings.head else 0
-    tail_counts = counts.where(F.col("n") <= least).select("word", "n")
+    tail_counts = counts.where(F.col("n") < least).select("word", "n")
     tail = rows.select("_row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select(
         "_row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
     met = tail.join(tail_counts, "word").groupBy("_row").agg(
