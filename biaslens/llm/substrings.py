@@ -13,9 +13,10 @@ equal ones counted, word by word, not by hash.
    minimiser is not marked stay at home. A wrong mark only lets a string
    travel, so the bitmap never changes the result.
 3. Equal strings are merged with their number first, so a group of copies
-   enters its bucket once. Minimisers that very many strings share (at most
-   1000 can be that frequent) are cut into single windows, which go to buckets
-   of their own hash.
+   enters its bucket once. Strings of a minimiser that more than ``hot_least``
+   of them share are cut into single windows, which go to buckets of their own
+   hash. That number is the same at every size, so a bucket is bounded; a sparse
+   bitmap names these minimisers, and a wrong mark only cuts more strings.
 4. Repeated windows go back to the documents that hold their string; covered
    words are removed.
 """
@@ -33,12 +34,12 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import Marks, bits_for, marks_of
+from .bitmap import BLOCK_BITS, MAX_BITS, Marks, bits_for, marks_of
 from .common import drop_written, whole, workers_can_import, written
 from .wordhash import remixed, runs, word_hashes
 
-HOT_SHARE = 1000              # hot: more than 1/1000 of all super-k-mers ...
-HOT_LEAST = 50_000            # ... and more than this many
+HOT_LEAST = 50_000            # a minimiser of more super-k-mers than this is hot
+SPARSE_BITS = 8               # doublings of the bitmap of hot ones: few wrong marks
 
 
 def super_kmers(words: np.ndarray, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,14 +72,15 @@ def _minimiser_counts(docs: DataFrame, window: int, minimiser: int) -> DataFrame
     return docs.select("_text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _strings(docs: DataFrame, window: int, minimiser: int, bits: int, blocks: dict, hot: list[int]) -> DataFrame:
+def _strings(docs: DataFrame, window: int, minimiser: int, bits: int, blocks: dict, hot_bits: int,
+             hot_blocks: dict) -> DataFrame:
     """(h, _key, start, digest, packed): the super-k-mers that may hold repeated
     windows; the digest of the packed string names it afterwards."""
-    shared = docs.sparkSession.sparkContext.broadcast((blocks, bits, np.array(sorted(hot), dtype=np.uint64)))
+    shared = docs.sparkSession.sparkContext.broadcast((blocks, bits, hot_blocks, hot_bits))
 
     def travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, bits, hot = shared.value
-        marked = Marks(blocks, bits)
+        blocks, bits, hot_blocks, hot_bits = shared.value
+        marked, hot = Marks(blocks, bits), Marks(hot_blocks, hot_bits)
         for batch in batches:
             out: list[tuple] = []
             hashes = word_hashes(t.as_py() for t in batch.column("_text"))
@@ -87,7 +89,7 @@ def _strings(docs: DataFrame, window: int, minimiser: int, bits: int, blocks: di
                 go = np.flatnonzero(marked(h))
                 if not len(go):
                     continue
-                key, words, is_hot = key.as_py(), text.as_py().split(), np.isin(h, hot)
+                key, words, is_hot = key.as_py(), text.as_py().split(), hot(h)
                 for i in go.tolist():
                     a, b = int(first[i]), int(last[i])
                     if is_hot[i]:
@@ -169,12 +171,12 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     workers_can_import(spark)
     docs = df.select(document_key(doc_id, text).alias("_key"), whole(text).cast("binary").alias("_text"))
     repeated = written(_minimiser_counts(docs, window, minimiser).where("n > 1"), "minimisers")
-    size, total = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = bits_for(size)
-    # at most HOT_SHARE minimisers can have more than 1 / HOT_SHARE of the total
-    hot = [int(np.int64(r["h"]).view(np.uint64)) for r in
-           repeated.where(F.col("n") > max(hot_least, total // HOT_SHARE)).select("h").collect()]
-    strings = written(_strings(docs, window, minimiser, bits, marks_of(repeated, "h", bits), hot), "super-kmers")
+    often = F.col("n") > hot_least
+    size, n_hot = repeated.agg(F.count(F.lit(1)), F.count_if(often)).first()
+    bits, hot_bits = bits_for(size), min(MAX_BITS, bits_for(n_hot) + SPARSE_BITS) if n_hot else BLOCK_BITS
+    hot_blocks = marks_of(repeated.where(often), "h", hot_bits) if n_hot else {}
+    strings = written(_strings(docs, window, minimiser, bits, marks_of(repeated, "h", bits), hot_bits, hot_blocks),
+                      "super-kmers")
     drop_written(repeated)
     found = _repeated(strings, window)
     spans = strings.select("_key", "start", "digest").join(found, "digest").select(
