@@ -629,7 +629,7 @@ def scan_comments(spark: SparkSession, root: str) -> DataFrame:
 @register
 def matrix_artefact(spark: SparkSession, root: str) -> DataFrame:
     """Ids and the feature matrix as array files in id order, scanned back side by side."""
-    features = feat.meta_features(comments(spark, root))
+    features = cut_lineage(feat.meta_features(comments(spark, root)))  # the numbering reads it twice
     names = [c for c in features.columns if c != "id"]
     rows = cut_lineage(order.global_positions(features, "id").select(
         (F.col("position") - 1).alias("position"), "id", F.array(*[F.col(c).cast("double") for c in names]).alias("x")))
