@@ -18,10 +18,13 @@ from ..sources.tables import comments_sql
 
 
 def document_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Stream of the ``documents`` parquet files of a data set folder."""
-    schema = spark.read.parquet(f"{root.rstrip('/')}/documents.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(root))
+    """Stream of the ``documents`` table of a data set folder, be it one Parquet
+    file or a folder of them."""
+    root = root.rstrip("/")
+    schema = spark.read.parquet(f"{root}/documents.parquet").schema
+    # a file source takes a single file only through a glob
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+            .parquet(f"{root}/documents.parque[t]"))
 
 
 def stream_meta_features(spark: SparkSession, root: str, out: str | None = None,

@@ -81,3 +81,13 @@ def test_stream_equals_batch(spark):
     streamed = sorted(spark.read.parquet(out).collect())
     batch = sorted(feat.meta_features(comments(spark, SF001)).collect())
     assert streamed == batch
+
+
+def test_stream_reads_a_table_of_many_files(spark, tmp_path):
+    rows = [(i, f"Word {i} :) !") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    q, out = sf.stream_meta_features(spark, str(tmp_path))
+    q.awaitTermination()
+    batch = sorted(feat.meta_features(comments(spark, str(tmp_path))).collect())
+    assert sorted(spark.read.parquet(out).collect()) == batch and len(batch) == 40
