@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -238,3 +239,10 @@ def test_scores_follow_the_planned_batches(spark):
     with pytest.raises(Exception, match="different lengths"):
         ragged = trimmed.withColumn("token_ids", F.slice("token_ids", 1, (F.col("id") % 3 + 1).cast("int")))
         score.score_batches(ragged, score.batch_share_model, ["token_ids"]).collect()
+
+
+def test_lookup_works_off_short_slices():
+    batch = pa.record_batch([pa.array(range(2 * lookup.SLICE_ROWS + 7))], names=["i"])
+    parts = list(lookup._slices(iter([batch, batch.slice(0, 0), batch.slice(3, 5)])))
+    assert [p.num_rows for p in parts] == [lookup.SLICE_ROWS, lookup.SLICE_ROWS, 7, 5]
+    assert [i for p in parts for i in p.column("i").to_pylist()] == [*range(batch.num_rows), 3, 4, 5, 6, 7]
