@@ -30,7 +30,7 @@ from .encode import padded
 from .order import range_bucket, row_numbers
 
 MAX_ENTRIES, MAX_CHARACTERS = 1_000_000, 16_000_000   # of a vocabulary that is sent to the tasks
-REMEMBERED = 200_000       # words that a worker remembers
+REMEMBERED = 65_536        # words that a worker remembers, none above LONGEST_WORD
 CHUNK = 1 << 20            # characters that are worked off together
 
 # Words of more characters are unknown; the mark of a
@@ -155,9 +155,11 @@ class Subwords:
         for w in words(text, self.lower):
             ids = self.known.get(w)
             if ids is None:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                ids = self.known[w] = self.word(w)
+                ids = self.word(w)
+                if len(w) <= LONGEST_WORD:
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
+                    self.known[w] = ids
             out += ids
             if enough is not None and len(out) >= enough:
                 break
@@ -178,6 +180,14 @@ def _chunks(column: pa.Array) -> Iterator[list[str]]:
     yield part
 
 
+def _parts(batches: Iterator[pa.Array]) -> Iterator[list[str]]:
+    """The texts of all batches in chunks; a batch that is done goes back to the system."""
+    for column in batches:
+        yield from _chunks(column)
+        del column
+        pa.default_memory_pool().release_unused()
+
+
 def bounded_vocabulary(vocab: DataFrame) -> dict[str, int]:
     """The vocabulary on the driver, once its size is known to be small."""
     n, size = vocab.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("token")), F.lit(0))).first()
@@ -205,16 +215,15 @@ def pieces(df: DataFrame, vocab: DataFrame, text: str = "comment_text", mode: st
         if subwords is None:
             _workers.clear()
             subwords = _workers[key] = Subwords(shared.value, lower)
-        for column in batches:
-            for part in _chunks(column):
-                out = []
-                for t in part:
-                    got = subwords.text(t, m if mode == "head" else None)
-                    if len(got) > m and mode != "all":
-                        got = got[:m] if mode == "head" else got[:head] + got[head - m:]
-                    out.append(got)
-                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-                yield pa.ListArray.from_arrays(pa.array(ends), pa.array([i for o in out for i in o], pa.int32()))
+        for part in _parts(batches):
+            out = []
+            for t in part:
+                got = subwords.text(t, m if mode == "head" else None)
+                if len(got) > m and mode != "all":
+                    got = got[:m] if mode == "head" else got[:head] + got[head - m:]
+                out.append(got)
+            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array([i for o in out for i in o], pa.int32()))
 
     return ids(coerce_text(text))
 
@@ -251,8 +260,7 @@ def text_words(df: DataFrame, text: str, lower: bool = True) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            for part in _chunks(column):
-                yield pa.array([words(t, lower) for t in part], pa.list_(pa.string()))
+        for part in _parts(batches):
+            yield pa.array([words(t, lower) for t in part], pa.list_(pa.string()))
 
     return cut(coerce_text(text))

@@ -246,3 +246,11 @@ def test_lookup_works_off_short_slices():
     parts = list(lookup._slices(iter([batch, batch.slice(0, 0), batch.slice(3, 5)])))
     assert [p.num_rows for p in parts] == [lookup.SLICE_ROWS, lookup.SLICE_ROWS, 7, 5]
     assert [i for p in parts for i in p.column("i").to_pylist()] == [*range(batch.num_rows), 3, 4, 5, 6, 7]
+
+
+def test_remembered_words_are_bounded_in_length(monkeypatch):
+    monkeypatch.setattr(subword, "REMEMBERED", 10)
+    subwords = subword.Subwords(VOCABULARY)
+    for i in range(30):
+        assert subwords.text("a" * (subword.LONGEST_WORD + 1 + i) + " ab" + "b" * i)[0] == VOCABULARY["[UNK]"]
+        assert len(subwords.known) <= 10 and max(map(len, subwords.known)) <= subword.LONGEST_WORD
