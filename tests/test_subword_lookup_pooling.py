@@ -254,3 +254,12 @@ def test_remembered_words_are_bounded_in_length(monkeypatch):
     for i in range(30):
         assert subwords.text("a" * (subword.LONGEST_WORD + 1 + i) + " ab" + "b" * i)[0] == VOCABULARY["[UNK]"]
         assert len(subwords.known) <= 10 and max(map(len, subwords.known)) <= subword.LONGEST_WORD
+
+
+def test_first_tokens_take_the_beginning_apart(spark):
+    texts = [None, "", "a", "ΑΣ.Β", "word " * 1000, "x" * 5000 + " y z", " " * 4000 + "a b c", "😀a " * 700, "ΑΣ" + "." * 90 + "Β c"]
+    texts += ["ab ΑΣ"[:i % 6] + "." * i + "Β " + "q'Σ' " * i for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, comment_text string")
+    for m in (1, 2, 3, 8, 218):
+        whole = df.select("id", F.slice(encode.tokenize("comment_text"), 1, m).alias("t"))
+        assert sorted(encode._first_tokens(df, "id", "comment_text", m).collect()) == sorted(whole.collect())
