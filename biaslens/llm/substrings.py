@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import BLOCK_BITS, MAX_BITS, Marks, bits_for, marks_of
@@ -236,7 +236,28 @@ def _cleaned(df: DataFrame, doc_id: str, text: str, window: int = 35, minimiser:
                                                 ("kept_text", pa.string())]))
 
     body = whole(F.col("_row").getField(text)).cast("binary")
-    return row.join(spans, "_key", "left").select("_row", remove(body, F.col("spans")).alias("_out"))
+    marked = _marked(spans, "_key")
+    met = row.where(marked).join(spans, "_key", "left")
+    alone = row.where(~marked).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    return met.unionByName(alone).select("_row", remove(body, F.col("spans")).alias("_out"))
+
+
+def _marked(keyed: DataFrame, key: str) -> Column:
+    """Whether a row's key may be one of ``keyed``, from a bitmap of bounded size:
+    the other rows need not travel to meet their partner. The first eight bytes
+    of a key stand for it; a wrong mark only lets a row travel."""
+    first = keyed.select(F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long").alias("h"))
+    bits = bits_for(first.count())
+    shared = keyed.sparkSession.sparkContext.broadcast((marks_of(first, "h", bits), bits))
+
+    @F.arrow_udf("boolean")
+    def among(keys: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        marks = Marks(*shared.value)
+        for part in keys:
+            h = np.frombuffer(b"".join(k[:8] for k in part.to_pylist()), dtype=">u8").astype(np.uint64)
+            yield pa.array(marks(h))
+
+    return among(F.col(key))
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars",

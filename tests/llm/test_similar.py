@@ -195,3 +195,11 @@ def test_shuffled_lines(frame):
                          [*lines[:15], " ".join(f"o{i}x{j}" for j in range(rng.randint(1, 30)))]) for i in range(300)}
     rows = jaccard.similar_documents(frame("doc_id long, text string", list(docs.items())), k=4, percent=85).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain.jaccard_components(docs, 4, 85)
+
+
+def test_rows_without_repeats_stay_at_home(spark):
+    keyed = spark.range(2000).selectExpr("id", "unhex(md5(cast(id as string))) as _key")
+    some = keyed.where("id % 10 = 0")
+    marked = {r.id for r in keyed.where(substrings._marked(some, "_key")).collect()}
+    assert {r.id for r in some.collect()} <= marked and len(marked) < 400
+    assert keyed.where(substrings._marked(some.where("id < 0"), "_key")).count() == 0
