@@ -6,9 +6,11 @@ never decides a result, whatever its size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 17
@@ -49,3 +51,18 @@ class Marks:
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         cell = hashes.astype(np.uint64, copy=False) >> np.uint64(64 - self.bits)
         return (self.cells[cell >> np.uint64(3)] >> (7 - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
+
+
+def among(hashes: DataFrame, column: str, key: str) -> Column:
+    """Whether a row's ``key`` (long, not null) may be one of the ``hashes``: rows
+    that are not among them need not travel to meet a partner."""
+    bits = bits_for(hashes.count())
+    shared = hashes.sparkSession.sparkContext.broadcast((marks_of(hashes, column, bits), bits))
+
+    @F.arrow_udf("boolean")
+    def found(keys: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        marks = Marks(*shared.value)
+        for part in keys:
+            yield pa.array(marks(part.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return found(F.col(key))

@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import Marks, bits_for, marks_of
-from .common import drop_written, whole, workers_can_import, written
+from .bitmap import Marks, among, bits_for, marks_of
+from .common import bounded_batches, drop_written, whole, workers_can_import, written
 from .graph import connected_components
 from .wordhash import runs, word_hashes
 
@@ -184,8 +184,9 @@ def _prefixes(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Data
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, members): whole sets of the ``wanted`` classes (node, digest, th),
-    recomputed from the texts. A bitmap of text hashes leaves the others out."""
+    """(digest, members): whole sets of the ``wanted`` classes (digest, th) and
+    few others, recomputed from the texts. A bitmap of text hashes leaves the
+    others out."""
     spark = docs.sparkSession
     bits = bits_for(wanted.count())
     shared = spark.sparkContext.broadcast((marks_of(wanted, "th", bits), bits))
@@ -200,9 +201,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.record_batch([pa.array([o[j] for o in out], pa.binary()) for j in (0, 1)],
                                   names=["digest", "members"])
 
-    built = docs.mapInArrow(build, "digest binary, members binary")
-    return written(built.join(wanted.select("digest", "node"), "digest").groupBy("node").agg(
-        F.first("members").alias("members")), "shingle-sets")
+    return docs.mapInArrow(build, "digest binary, members binary").groupBy("digest").agg(
+        F.first("members").alias("members"))
 
 
 def divide_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
@@ -345,7 +345,8 @@ def _dealt(placed: DataFrame) -> DataFrame:
 
 
 def _searched(dealt: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within each block and with what streams by it."""
+    """Links (a, b) within each block and with what streams by it. The ``bodies``
+    (digest, members) are shuffled on to the blocks from where they were grouped."""
     keys = ["_c", "_token", "_block", "_slice"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +365,7 @@ def _searched(dealt: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield pa.record_batch([pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
-    grouped = dealt.join(bodies, "node").select(*keys, "_streams", "node", "tokens", "members")
+    grouped = dealt.join(bodies, "digest").select(*keys, "_streams", "node", "tokens", "members")
     return grouped.repartition(*keys).sortWithinPartitions(*keys, "_streams", "node").mapInArrow(search, "a long, b long")
 
 
@@ -415,12 +416,11 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     placed = _families(lists, needed)
     dealt = written(_dealt(placed), "dealt")
     drop_written(placed)
-    wanted = dealt.select("node").distinct()
-    sets = _full_sets(docs, classes.select("node", "digest", "th").join(wanted, "node"), k)
+    wanted = written(classes.join(dealt.select("node").distinct(), "node").select("node", "digest", "th"), "wanted")
     # a document's own shingles: as long as its text at most
-    own = lists.join(wanted, "node").groupBy("node").agg(F.collect_list("token").alias("tokens"))
-    links = written(_searched(dealt, sets.join(own, "node"), percent), "links")
-    for done in (lists, dealt, sets):
+    own = lists.join(wanted, "node").groupBy("node", "digest").agg(F.collect_list("token").alias("tokens"))
+    links = written(_searched(dealt.join(own, "node"), _full_sets(docs, wanted, k), percent), "links")
+    for done in (lists, dealt, wanted):
         drop_written(done)
     return rows, classes, links
 
@@ -429,6 +429,7 @@ def _grouped(df: DataFrame, doc_id: str, text: str, k: int, percent: int) -> Dat
     """(_id, n, digest, th, component, component_id) of every row: component
     names the group, component_id is its smallest id."""
     workers_can_import(df.sparkSession)
+    bounded_batches(df.sparkSession)
     body = whole(F.col(f"`{text}`"))
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), body.cast("binary").alias("_text"),
                      F.xxhash64(body).alias("_th"))
@@ -465,7 +466,8 @@ def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     one with the smallest id (null last, ties by a hash of the text; of rows
     equal in both any one). Documents without words all stay.
 
-    Only ids and text hashes of the documents that go are joined to ``df``.
+    Only ids and text hashes of the documents that go are joined to ``df``, and
+    only with rows that a bitmap of them marks; the others stay where they are.
     """
     grouped = _grouped(df, doc_id, text, k, percent).where("component is not null")
     rank = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("i"), F.col("th").alias("t"))
@@ -476,8 +478,10 @@ def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
         F.col("_id").alias("_gone"), F.col("th").alias("_hash"), "stays"), "copies")
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
                     F.col(f"`{doc_id}`").cast("long").alias("_id"), F.xxhash64(whole(F.col(f"`{text}`"))).alias("_th"))
-    met = row.join(moved, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_th") == F.col("_hash")), "left")
-    alone = met.where("stays is null").select("_row.*")
+    row = row.withColumn("_place", F.xxhash64("_id", "_th"))
+    marked = among(moved.select(F.xxhash64("_gone", "_hash").alias("h")), "h", "_place")
+    met = row.where(marked).join(moved, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_th") == F.col("_hash")), "left")
+    alone = row.where(~marked).select("_row.*").unionByName(met.where("stays is null").select("_row.*"))
     # rows equal in id and text, of which one stays: few, so they are shuffled
     repeated = met.where("stays").dropDuplicates(["_id", "_th"]).select("_row.*")
     return alone.unionByName(repeated)

@@ -2,10 +2,12 @@ import numpy as np
 import random
 
 import plain
+import pyarrow as pa
 import pytest
 from tables import DOCS
 
 from biaslens.llm import jaccard, substrings
+from biaslens.llm.common import BATCH_BYTES, bounded_batches
 from biaslens.llm.graph import connected_components
 
 
@@ -203,3 +205,28 @@ def test_rows_without_repeats_stay_at_home(spark):
     marked = {r.id for r in keyed.where(substrings._marked(some, "_key")).collect()}
     assert {r.id for r in some.collect()} <= marked and len(marked) < 400
     assert keyed.where(substrings._marked(some.where("id < 0"), "_key")).count() == 0
+
+
+def test_arrow_batches_are_bounded_by_bytes(frame):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = frame("doc_id long, text string", [(i, "word " * 2000) for i in range(6000)])
+    for prepare in (lambda: jaccard.similar_documents(df.limit(2)),):
+        df.sparkSession.conf.unset(key)
+        prepare()
+        assert 0 < int(df.sparkSession.conf.get(key)) <= BATCH_BYTES
+    sizes = df.coalesce(1).select("text").mapInArrow(
+        lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+    assert max(r.n for r in sizes) < 2 * BATCH_BYTES
+    df.sparkSession.conf.set(key, "1000000")
+    bounded_batches(df.sparkSession)
+    assert df.sparkSession.conf.get(key) == "1000000"
+
+
+def test_only_marked_documents_travel(frame, spark):
+    """Of documents without a copy, no text is shuffled to find the copies."""
+    docs = {i: " ".join(f"d{i}x{j}" for j in range(30)) for i in range(3000)}
+    docs |= {5000 + i: docs[i] + " end" for i in range(10)}
+    out = jaccard.representatives(frame(DOCS, [(i, t, None, None, 1) for i, t in docs.items()]))
+    assert {r.doc_id for r in out.collect()} == set(range(3000))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("found(") >= 2  # the bitmap decides on both sides of the union
