@@ -24,6 +24,7 @@ equal ones counted, word by word, not by hash.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -35,11 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import BLOCK_BITS, MAX_BITS, Marks, bits_for, marks_of
-from .common import drop_written, whole, workers_can_import, written
+from .common import BATCH_BYTES, bounded_batches, drop_written, whole, workers_can_import, written
 from .wordhash import remixed, runs, word_hashes
 
 HOT_LEAST = 50_000            # a minimiser of more super-k-mers than this is hot
 SPARSE_BITS = 8               # doublings of the bitmap of hot ones: few wrong marks
+ROW_BYTES = 200               # of a string in a task besides its words
+WORDS = 200_000               # of the strings whose windows are compared at once; more if a bucket has more
 
 
 def super_kmers(words: np.ndarray, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,8 +84,18 @@ def _strings(docs: DataFrame, window: int, minimiser: int, bits: int, blocks: di
     def travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, bits, hot_blocks, hot_bits = shared.value
         marked, hot = Marks(blocks, bits), Marks(hot_blocks, hot_bits)
+        out: list[tuple] = []
+        size = 0
+
+        def strings() -> pa.RecordBatch:
+            h, keys, starts, packed = zip(*out) if out else [[]] * 4
+            digests = [hashlib.blake2b(p, digest_size=16).digest() for p in packed]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(h, pa.int64()), pa.array(keys, pa.binary()), pa.array(starts, pa.int32()),
+                 pa.array(digests, pa.binary()), pa.array(packed, pa.binary())],
+                names=["h", "_key", "start", "digest", "packed"])
+
         for batch in batches:
-            out: list[tuple] = []
             hashes = word_hashes(t.as_py() for t in batch.column("_text"))
             for key, text, hashed in zip(batch.column("_key"), batch.column("_text"), hashes):
                 h, first, last = super_kmers(hashed, window, minimiser)
@@ -96,14 +109,16 @@ def _strings(docs: DataFrame, window: int, minimiser: int, bits: int, blocks: di
                         for w in range(a, b + 1):
                             packed = b" ".join(words[w:w + window])
                             out.append((_home(packed), key, w, packed))
+                            size += len(packed) + ROW_BYTES
                     else:
-                        out.append((int(h[i].view(np.int64)), key, a, b" ".join(words[a:b + window])))
-            h, keys, starts, packed = zip(*out) if out else [[]] * 4
-            digests = [hashlib.blake2b(p, digest_size=16).digest() for p in packed]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(keys, pa.binary()), pa.array(starts, pa.int32()),
-                 pa.array(digests, pa.binary()), pa.array(packed, pa.binary())],
-                names=["h", "_key", "start", "digest", "packed"])
+                        packed = b" ".join(words[a:b + window])
+                        out.append((int(h[i].view(np.int64)), key, a, packed))
+                        size += len(packed) + ROW_BYTES
+                    if size > BATCH_BYTES:  # strings overlap: many times the text, if hot
+                        yield strings()
+                        out.clear()
+                        size = 0
+        yield strings()
 
     return docs.mapInArrow(travel, "h long, _key binary, start int, digest binary, packed binary")
 
@@ -112,63 +127,91 @@ def _home(packed: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(packed)).view(np.int64))
 
 
-def _windows(packed: bytes, window: int) -> list[bytes]:
-    """The windows of a packed string, in order."""
-    cuts = [-1, *(i for i, c in enumerate(packed) if c == 32), len(packed)]
-    return [packed[cuts[i] + 1:cuts[i + window]] for i in range(len(cuts) - window)]
+class _Numbers(dict):
+    """A number for each distinct word."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def repeated_windows(strings: list[bytes], times: list[int], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first, last) of the runs of windows that occur again in the packed
+    strings; string i occurs ``times[i]`` times.
+
+    Words become numbers, and runs of 2, 4, 8 ... words get the rank of their two
+    halves, so windows are equal exactly if their ranks are; a few arrays as long
+    as the words take the place of the windows themselves.
+    """
+    number, ids, ends = _Numbers(), array("q"), []
+    for s in strings:
+        ids.extend(map(number.__getitem__, s.split()))
+        ends.append(len(ids))
+    ends = np.array(ends, dtype=np.int64)
+    starts = np.concatenate([[0], ends[:-1]])
+    rank, length = np.frombuffer(ids, dtype=np.int64), 1
+    while length < window:
+        step = min(length, window - length)
+        pairs = rank[:-step] * (len(rank) + 1) + rank[step:]
+        rank, length = np.unique(pairs, return_inverse=True)[1], length + step
+    # windows that start in one string and end in the next don't count
+    owner = np.repeat(np.arange(len(strings)), ends - starts - window + 1)
+    at = np.arange(len(rank))
+    inside = np.ones(len(rank) + window - 1, dtype=bool)
+    for back in range(1, window):
+        inside[ends - back] = False
+    at = at[inside[:len(rank)]]
+    found = rank[at]
+    again = (np.bincount(found)[found] > 1) | (np.array(times)[owner] > 1)
+    at, owner = at[again], owner[again]
+    if not len(at):
+        return at, at, at
+    cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(owner) > 0))
+    first, last = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(at) - 1]])
+    return owner[first], at[first] - starts[owner[first]], at[last] - starts[owner[last]]
 
 
 def _repeated(strings: DataFrame, window: int) -> DataFrame:
     """(digest, lo, hi): runs of repeated windows inside each distinct string.
     A bucket's strings come one after the other (sorted by bucket), so a task
-    holds one bucket at a time, of distinct strings."""
+    holds one large bucket at a time, of distinct strings, or some small ones
+    together: equal windows lie in one bucket, so that finds the same."""
     merged = strings.groupBy("h", "digest", "packed").agg(F.count(F.lit(1)).alias("n"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        out: list[tuple] = []
+        held: list[tuple] = []
+        size = 0
         for _, bucket in groupby(rows, key=lambda r: r[0]):
-            bucket = list(bucket)
-            if len(bucket) == 1:  # windows of one string differ
-                _, digest, packed, n = bucket[0]
-                if n > 1:
-                    out.append((digest, 0, len(_windows(packed, window)) - 1))
-            else:
-                found = sorted((w, s, i) for s, (_, _, packed, _) in enumerate(bucket)
-                               for i, w in enumerate(_windows(packed, window)))
-                again: dict[int, list[int]] = {}
-                for _, same in groupby(found, key=lambda r: r[0]):
-                    same = list(same)
-                    if len(same) > 1 or bucket[same[0][1]][3] > 1:
-                        for _, s, i in same:
-                            again.setdefault(s, []).append(i)
-                for s, at in again.items():
-                    at = np.array(sorted(at))
-                    cut = np.flatnonzero(np.diff(at) > 1)
-                    for lo, hi in zip(at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]):
-                        out.append((bucket[s][1], int(lo), int(hi)))
-            if len(out) >= 5000:
-                yield _runs_batch(out)
-                out = []
-        if out:
-            yield _runs_batch(out)
+            for row in bucket:
+                held.append(row)
+                size += row[2].count(b" ") + 1
+            if size > WORDS:
+                yield from runs_of(held)
+                held, size = [], 0
+        if held:
+            yield from runs_of(held)
+
+    def runs_of(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        _, digests, packed, n = zip(*held)
+        string, lo, hi = repeated_windows(packed, n, window)
+        for part in range(0, len(string), 5000):
+            some = slice(part, part + 5000)
+            yield pa.record_batch([pa.array([digests[i] for i in string[some].tolist()], pa.binary()),
+                                   pa.array(lo[some], pa.int32()), pa.array(hi[some], pa.int32())],
+                                  names=["digest", "lo", "hi"])
 
     placed = merged.repartition("h").sortWithinPartitions("h")
     return placed.select("h", "digest", "packed", "n").mapInArrow(count, "digest binary, lo int, hi int")
 
 
-def _runs_batch(rows: list[tuple]) -> pa.RecordBatch:
-    digests, lo, hi = zip(*rows)
-    return pa.record_batch([pa.array(digests, type=pa.binary()), pa.array(lo, type=pa.int32()),
-                            pa.array(hi, type=pa.int32())], names=["digest", "lo", "hi"])
-
-
 def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35,
                       minimiser: int = 8, hot_least: int = HOT_LEAST) -> DataFrame:
     """(_key, spans): word spans [from, to) of each document that lie in a window
     found elsewhere too. ``_key`` identifies id and text (``document_key``)."""
     spark = df.sparkSession
     workers_can_import(spark)
+    bounded_batches(spark)
     docs = df.select(document_key(doc_id, text).alias("_key"), whole(text).cast("binary").alias("_text"))
     repeated = written(_minimiser_counts(docs, window, minimiser).where("n > 1"), "minimisers")
     often = F.col("n") > hot_least

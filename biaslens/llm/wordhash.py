@@ -13,7 +13,7 @@ import numpy as np
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FINAL = np.uint64(0xC2B2AE3D27D4EB4F)
 BASE = 0xD6E8FEB86659FD93        # odd, so it has an inverse modulo 2^64
-BUFFER = 1 << 20
+BUFFER = 1 << 18        # bounds a worker's tables (8 MB) and temporary arrays
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -1,5 +1,7 @@
 import numpy as np
 import random
+import tracemalloc
+from collections import Counter
 
 import plain
 import pyarrow as pa
@@ -207,10 +209,49 @@ def test_rows_without_repeats_stay_at_home(spark):
     assert keyed.where(substrings._marked(some.where("id < 0"), "_key")).count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 8, 35])
+def test_repeated_windows_equal_counting(window):
+    rng = random.Random(window)
+    for words in (2, 50):
+        strings = [bytes(" ".join(rng.choices([f"w{i}" for i in range(words)], k=rng.randint(window, window + 9))), "ascii")
+                   for _ in range(60)]
+        times = [rng.choice([1, 1, 1, 2]) for _ in strings]
+        cut = [[tuple(w[i:i + window]) for i in range(len(w) - window + 1)] for w in (s.split() for s in strings)]
+        seen = Counter(w for x, n in zip(cut, times) for w in x for _ in range(n))
+        found = set()
+        for s, lo, hi in zip(*map(np.ndarray.tolist, substrings.repeated_windows(strings, times, window))):
+            run = {(s, i) for i in range(lo, hi + 1)}
+            assert not run & found and (s, lo - 1) not in found  # runs are whole
+            found |= run
+        assert found == {(s, i) for s, x in enumerate(cut) for i, w in enumerate(x) if seen[w] > 1}
+
+
+def test_memory_of_a_large_bucket_is_near_its_strings():
+    """40,000 strings of one bucket: once each of their windows was a row of its own."""
+    rng = random.Random(5)
+    strings = [" ".join(rng.choices("abcdefghijkl", k=27) + ["at"] * 8 + rng.choices("abcdefghijkl", k=27)).encode()
+               for _ in range(40_000)]
+    tracemalloc.start()
+    string, _, _ = substrings.repeated_windows(strings, [1] * len(strings), 35)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not len(string) and peak < 250 << 20  # the windows alone: 40,000 * 28 * (35 + 33 + 72) bytes and more
+
+
+def test_strings_and_batches_leave_in_bounded_parts(frame, monkeypatch):
+    """However many strings a batch gives, they leave the task in small Arrow batches."""
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(substrings, "WORDS", 100)
+    texts = [" ".join(f"v{i % 61}" for i in range(n)) for n in range(30, 160, 3)]
+    rows = substrings.without_repeats(frame("doc_id long, text string", list(enumerate(texts))), window=8, minimiser=3,
+                                      hot_least=5).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in rows} == dict(enumerate(plain.without_repeats(texts, 8)))
+
+
 def test_arrow_batches_are_bounded_by_bytes(frame):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     df = frame("doc_id long, text string", [(i, "word " * 2000) for i in range(6000)])
-    for prepare in (lambda: jaccard.similar_documents(df.limit(2)),):
+    for prepare in (lambda: substrings.repeated_passages(df.limit(2)), lambda: jaccard.similar_documents(df.limit(2))):
         df.sparkSession.conf.unset(key)
         prepare()
         assert 0 < int(df.sparkSession.conf.get(key)) <= BATCH_BYTES
