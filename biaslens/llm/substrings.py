@@ -4,8 +4,8 @@ A window is ``window`` consecutive words of a document. Its minimiser is the
 run of ``minimiser`` words with the smallest hash inside it (the first of
 equals), so equal windows have equal minimisers at the same place. Consecutive
 windows that share a minimiser travel as one packed string of words to the
-bucket of that minimiser; there the windows of all strings are sorted and
-equal ones counted, word by word, not by hash.
+bucket of that minimiser; there the windows of all strings are ranked
+by their words and equal ones counted, not by hash.
 
 1. Minimisers are counted (pre-aggregated per batch). A window can only repeat
    if its minimiser does.
