@@ -74,7 +74,7 @@ def test_stages_take_odd_tables(spark, tmp_path, rows):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "embeddings"):
+    for t in ("documents", "pages", "conversations", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     rel = con.sql(SQL[name])
     frame = QUERIES[name](spark, SMALL)
